@@ -1,17 +1,78 @@
-"""The corpus pipeline: toxicity, language, near-duplicates, mixing, packing."""
+"""The corpus pipeline: toxicity, language, near-duplicates, mixing, packing.
+
+Every stage works on all rows its predecessor kept; all but the last return the
+columns of ``documents``.
+
+1. ``toxicity``: documents with a score of at least 0.7 go.
+2. ``language``: documents without a letter, or whose most likely language has a
+   posterior under 0.5, go.
+3. ``near_dedup``: the document of the smallest id of each class of near-duplicates
+   (five-word shingles, likeness 0.8 or more) stays.
+4. ``mixing``: every document stays with the chance of its rate (rates over 1 count
+   as 1), so that the tokens' shares of high and low quality meet ``MIX``.  The total
+   is the largest for which no domain needs more than it has.
+5. ``packing``: the rest is cut into sequences of 2048 ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import queries as Q
+from orrery.llm.common import table
+from orrery.llm.language import LanguageConfig, fit_language, predict_language
+from orrery.llm.mixing import MixingConfig, mix
+from orrery.llm.near_dedup import DedupConfig, deduplicate
+from orrery.llm.packing import PackingConfig, pack
+from orrery.llm.toxicity import ToxicityConfig, fit_toxicity, score_toxicity
+
+MIX = {"high": 0.93, "low": 0.07}
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ToxicityConfig())
+    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cfg = LanguageConfig(vocabulary=Q.vocabulary("piece_bpe_32k.model"))
+    made = predict_language(docs, fit_language(docs, cfg))
+    return made.where("lang_pred != 'und' and score >= 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicate(docs, DedupConfig())
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labelled = Q.quality_domains(table(spark, sf_dir, "labels"))
+    made = mix(docs, labelled, MixingConfig(targets=MIX, total="supply"))
+    return made.where(F.col("copies") >= 1).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = pack(docs, PackingConfig(vocabulary=Q.vocabulary("byte_bpe_50k.json")))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity),
+    ("language", language),
+    ("near_dedup", near_dedup),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Networks, expectation maximisation and tokenizers are beyond SQL; the stages are
+#: tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

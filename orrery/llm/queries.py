@@ -9,23 +9,49 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .language import LanguageConfig, fit_language, predict_language
+from .mixing import MixingConfig, mix
+from .near_dedup import DedupConfig, near_duplicates
+from .packing import PackingConfig, pack
 from .toxicity import ToxicityConfig, fit_toxicity, score_toxicity
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), DedupConfig())
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = PackingConfig(vocabulary=vocabulary("byte_bpe_50k.json"))
+    pieces = pack(table(spark, sf_dir, "documents"), cfg)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    cfg = LanguageConfig(vocabulary=_vocabulary("piece_bpe_32k.model"))
+    cfg = LanguageConfig(vocabulary=vocabulary("piece_bpe_32k.model"))
     made = predict_language(docs.select("doc_id", "text"), fit_language(docs, cfg))
     held = (fold(F.col("doc_id"), cfg.holdout_mod) == cfg.holdout).alias("held_out")
     return made.select("doc_id", held, "lang_pred", "score")
 
 
+def quality_domains(labels: DataFrame) -> DataFrame:
+    """The labelled table's domains: documents of high and of low quality."""
+    name = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    return labels.select("doc_id", name.alias("domain"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = quality_domains(table(spark, sf_dir, "labels"))
+    cfg = MixingConfig(targets={"high": 0.8, "low": 0.2}, total="corpus")
+    made = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, cfg)
+    return made.select("doc_id", "tokens", F.col("posterior")[0].alias("p_high"), F.col("posterior")[1].alias("p_low"), "rate", "copies")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, cfg = table(spark, sf_dir, "documents"), ToxicityConfig()
     made = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, table(spark, sf_dir, "labels"), cfg))
@@ -34,7 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
