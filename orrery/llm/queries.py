@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .fingerprint import FingerprintConfig, compare
 from .language import LanguageConfig, fit_language, predict_language
 from .mixing import MixingConfig, mix
 from .near_dedup import DedupConfig, near_duplicates
 from .packing import PackingConfig, pack
+from .sharding import ShardConfig, shard
 from .toxicity import ToxicityConfig, fit_toxicity, score_toxicity
 
 
@@ -31,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare(table(spark, sf_dir, "documents"), FingerprintConfig())
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     cfg = LanguageConfig(vocabulary=vocabulary("piece_bpe_32k.model"))
@@ -39,6 +45,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held, "lang_pred", "score")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = shard(table(spark, sf_dir, "documents").select("doc_id", "text"), ShardConfig(shards=24))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32")
+    return made.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def quality_domains(labels: DataFrame) -> DataFrame:
     """The labelled table's domains: documents of high and of low quality."""
     name = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
@@ -62,7 +74,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op4_packing": op4_packing,
+    "op5_fingerprint": op5_fingerprint,
     "op6_language_id": op6_language_id,
+    "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
