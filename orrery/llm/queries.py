@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .fingerprint import FingerprintConfig, compare
+from .html_text import extract
 from .language import LanguageConfig, fit_language, predict_language
 from .mixing import MixingConfig, mix
 from .near_dedup import DedupConfig, near_duplicates
@@ -27,6 +28,10 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), DedupConfig())
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = PackingConfig(vocabulary=vocabulary("byte_bpe_50k.json"))
     pieces = pack(table(spark, sf_dir, "documents"), cfg)
@@ -73,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_html_text": op3_html_text,
     "op4_packing": op4_packing,
     "op5_fingerprint": op5_fingerprint,
     "op6_language_id": op6_language_id,
