@@ -65,9 +65,9 @@ IMPLIED_NOT = frozenset("html head body".split())
 FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "beside", "main", "heading", "page_has_main")
 
 
-def _context(tag: str, attributes: str) -> tuple[bool, bool, bool]:
-    """(beside, main, hidden) of an element by its tag and attributes."""
-    beside, main, hidden = tag in BESIDE, tag in MAIN, False
+def _context(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """(beside, head, main, hidden) of an element by its tag and attributes."""
+    beside, head, main, hidden = tag in BESIDE and tag != "header", tag == "header", tag in MAIN, False
     if attributes:
         for m in NAMED.finditer(attributes):
             name, value = m[1].lower(), (m[2] or "").strip("\"'")
@@ -77,9 +77,10 @@ def _context(tag: str, attributes: str) -> tuple[bool, bool, bool]:
                 hidden |= bool(HIDDEN.search(value))
             else:
                 parts = {p.lower() for p in PART.findall(value)} | {re.sub(r"[^a-z]", "", w.lower()) for w in value.split()}
-                beside |= bool(parts & BESIDE_WORDS)
+                beside |= bool(parts & BESIDE_WORDS - {"header"})
+                head |= "header" in parts
                 main |= bool(parts & MAIN_WORDS)
-    return beside, main, hidden
+    return beside, head, main, hidden
 
 
 def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
@@ -139,12 +140,10 @@ def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
             stack.clear()  # a head left open ends here
         while stack and stack[-1][0] in IMPLIED.get(tag, ("p",) if tag not in IMPLIED_NOT else ()):
             stack.pop()  # end tags that may be left out
-        beside, main, hidden = _context(tag, m[3] or "")
+        beside, head, main, hidden = _context(tag, m[3] or "")
         _, b, a, h, u = stack[-1] if stack else outside
         # an article's own head is part of it, and a whole page is never beside itself
-        if tag in ("html", "body") or tag == "header" and a and not b:
-            beside = False
-        b |= beside
+        b |= (beside or head and not (a or main)) and tag not in ("html", "body")
         stack.append((tag, b, (a or main) and not b, h or tag in HEADING, u or hidden or tag in UNSHOWN))
     close()
     return out
