@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,6 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
@@ -72,23 +72,35 @@ class Encoder:
         ranks = {bytes(letters[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
         self.size = max(model["model"]["vocab"].values()) + 1
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.sure = Tokenizer.from_file(path)
-        self.sure.encode_special_tokens = True
+        self.path, self._sure = path, None
         self.run = re.compile(r"\S{%d}|\s{%d}" % (long_run, long_run))
         self.long_run = long_run
 
+    @property
+    def sure(self):
+        if self._sure is None:
+            from tokenizers import Tokenizer
+
+            self._sure = Tokenizer.from_file(self.path)
+            self._sure.encode_special_tokens = True
+        return self._sure
+
     def __call__(self, text: str) -> list[int]:
         if len(text) >= self.long_run and self.run.search(text):
             return self.sure.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+#: One encoder a worker: building it anew for each task takes time and memory.
+encoder = lru_cache(2)(Encoder)
+
+
 def tokenise(docs: DataFrame, cfg: PackingConfig) -> DataFrame:
     """(part, doc_id, first, n, ids): ids as little-endian numbers of 2 bytes, or 4
     where the vocabulary needs them; ``first`` counts the partition's ids before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = Encoder(cfg.vocabulary, cfg.long_run), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(cfg.vocabulary, cfg.long_run), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(encode.size, cfg.end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
             ids, firsts, sizes = [], [], []
