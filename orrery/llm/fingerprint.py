@@ -43,7 +43,7 @@ class FingerprintConfig:
 
 
 def _partition_bytes(spark: SparkSession, cfg: FingerprintConfig) -> int:
-    """A byte of text becomes about 40 bytes of sorted k-mer rows, of original and
+    """A byte of text becomes about 30 bytes of sorted k-mer rows, of original and
     edited text; half of a task's share of unified memory is to hold them."""
     if cfg.partition_bytes:
         return cfg.partition_bytes
@@ -51,7 +51,7 @@ def _partition_bytes(spark: SparkSession, cfg: FingerprintConfig) -> int:
     unit = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
     memory = float(text[:-1]) * unit[text[-1]] if text[-1] in unit else float(text) * (1 << 20)
     cores = int(spark.conf.get("spark.executor.cores", "2"))
-    return max(1 << 20, int(memory * 0.6 * 0.5 / cores / 40))
+    return max(1 << 20, int(memory * 0.6 * 0.5 / cores / 60))
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -97,14 +97,41 @@ def with_edit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
 
 
-def _kmers(text: str, cfg: FingerprintConfig) -> Column:
-    words = F.transform(F.split(F.translate(text, "\n\t\r", "   "), " "), lambda w: F.xxhash64(w))
-    out = words
+def _words(text: str | Column) -> Column:
+    return F.split(F.translate(text, "\n\t\r", "   "), " ")
+
+
+def _kmers(words: Column, cfg: FingerprintConfig) -> Column:
+    """Hashes of all runs of k words (of all words, where there are fewer)."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    out = hashes
     for i in range(1, cfg.k):
-        rest = F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))
-        # the last ones have fewer words: only the first of them stays, if it is the only one
+        rest = F.slice(hashes, i + 1, F.greatest(F.size(hashes) - i, F.lit(0)))
         out = F.zip_with(out, rest, lambda a, b: F.xxhash64(a, b))
-    return F.when(F.col(text) == "", F.array().cast("array<bigint>")).otherwise(F.slice(out, 1, F.greatest(F.size(out) - (cfg.k - 1), F.lit(1))))
+    return F.slice(out, 1, F.greatest(F.size(out) - (cfg.k - 1), F.lit(1)))
+
+
+BOTH, TEXT, EDITED = 0, 1, 2
+
+
+def kmer_rows(rows: DataFrame, cfg: FingerprintConfig) -> DataFrame:
+    """(part, row, of, pos, kmer): k-mers that the text and its edited form have in common
+    (before the edit, at the same places) once, the others of either."""
+    kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
+    # the word at the edit may differ, so the ones before it are common
+    common = F.greatest(F.size(_words(kept)) - cfg.k, F.lit(0))
+    rows = rows.select("part", "row", _kmers(_words("text"), cfg).alias("a"), _words("edited").alias("w"), common.cast("int").alias("c"), (F.col("text") == "").alias("no_text"), (F.col("edited") == "").alias("no_edited"))
+    rows = rows.withColumn("c", F.when(F.col("no_text") | F.col("no_edited"), 0).otherwise(F.col("c")))
+    rows = rows.withColumn("b", _kmers(F.slice("w", F.col("c") + 1, F.greatest(F.size("w") - F.col("c"), F.lit(0))), cfg))
+
+    def placed(of: int, x: Column, first: Column) -> Column:
+        return F.transform(x, lambda v, i: F.struct(F.lit(of).alias("of"), (first + i).alias("pos"), v.alias("kmer")))
+
+    none = F.array().cast("array<struct<of:int,pos:int,kmer:bigint>>")
+    own = F.slice("a", F.col("c") + 1, F.greatest(F.size("a") - F.col("c"), F.lit(0)))
+    shared = placed(BOTH, F.slice("a", F.lit(1), F.col("c")), F.lit(0))
+    each = F.concat(shared, F.when(F.col("no_text"), none).otherwise(placed(TEXT, own, F.col("c"))), F.when(F.col("no_edited"), none).otherwise(placed(EDITED, F.col("b"), F.col("c"))))
+    return rows.select("part", "row", F.inline(each))
 
 
 def _likeness(a: str, b: str) -> Column:
@@ -117,7 +144,7 @@ def _likeness(a: str, b: str) -> Column:
 
 def _show(a: str) -> Column:
     """The fingerprint as text: 8 hexadecimal digits a coordinate."""
-    return F.array_join(F.transform(a, lambda x: F.when(x.isNull(), F.lit("--------")).otherwise(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(a, lambda x: F.when(x.isNull(), F.lit("--------")).otherwise(F.lpad(F.hex(x.cast("bigint") + (1 << 31)), 8, "0"))), "")
 
 
 def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
@@ -125,18 +152,16 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
     arrays of ``coordinates`` 32-bit numbers, null where there is no k-mer."""
     rows = with_edit(neighbours(docs, cfg))
     place = 1 << cfg.place_bits
-    each = rows.select("part", "row", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("t")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("t")))).alias("x"))
-    each = each.select("part", "row", F.col("x.which").alias("which"), F.col("x.t").alias("t"))
-    kmers = each.select("part", "row", "which", F.posexplode(_kmers("t", cfg)).alias("pos", "kmer"))
     # one 64-bit key tells text and k-mer: sorting compares mostly that
-    keyed = kmers.withColumn("u", F.xxhash64("row", "which", "kmer"))
-    nth = F.row_number().over(Window.partitionBy("u", "part").orderBy("pos"))
-    h = F.xxhash64("kmer", "nth")
-    ranked = keyed.select("part", "row", "which", "kmer", "pos", nth.alias("nth")).select("part", "row", "which", "pos", h.alias("h"))
+    keyed = kmer_rows(rows, cfg).withColumn("u", F.xxhash64("row", "kmer"))
+    so_far = Window.partitionBy("u", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = {w: F.count(F.when(F.col("of") != other, 1)).over(so_far) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
+    nth = F.when(F.col("of") == EDITED, seen[EDITED]).otherwise(seen[TEXT])
+    ranked = keyed.select("part", "row", "of", "kmer", "pos", nth.alias("nth")).select("part", "row", "of", "pos", F.xxhash64("kmer", "nth").alias("h"))
     coordinate, side = F.pmod("h", F.lit(cfg.coordinates)), F.pmod(F.shiftright("h", 8), F.lit(2))
     packed = F.shiftright("h", cfg.place_bits) * place + F.pmod(F.col("pos"), F.lit(place))
-    ranked = ranked.select("part", "row", "which", coordinate.cast("int").alias("j"), side.cast("int").alias("side"), packed.alias("v"))
-    least = [F.min(F.when((F.col("which") == w) & (F.col("side") == s), F.col("v"))).alias(f"v{w}{s}") for w in (0, 1) for s in (0, 1)]
+    ranked = ranked.select("part", "row", "of", coordinate.cast("int").alias("j"), side.cast("int").alias("side"), packed.alias("v"))
+    least = [F.min(F.when((F.col("of") != other) & (F.col("side") == s), F.col("v"))).alias(f"v{w}{s}") for w, other in ((0, EDITED), (1, TEXT)) for s in (0, 1)]
     minima = ranked.groupBy("part", "row", "j").agg(*least)
 
     def tuple_hash(w: int) -> Column:
@@ -146,7 +171,7 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
         both = F.when(first, F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
         one = F.coalesce(ha, hb)
         h = F.when(a.isNotNull() & b.isNotNull(), both).when(one.isNotNull(), F.xxhash64(one))
-        return F.pmod(h, F.lit(1 << 32))
+        return (F.pmod(h, F.lit(1 << 32)) - (1 << 31)).cast("int")
 
     marks = minima.select("part", "row", "j", tuple_hash(0).alias("m"), tuple_hash(1).alias("e"))
     # at most ``coordinates`` entries a text
@@ -156,19 +181,34 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
     line = F.array(*[F.lit(j) for j in range(cfg.coordinates)])
     marks = marks.select(F.col("part").alias("__part"), F.col("row").alias("__row"), F.transform(line, lambda j: F.try_element_at("by", j)["m"]).alias("mark"), F.transform(line, lambda j: F.try_element_at("by", j)["e"]).alias("edited_mark"))
     base = rows.select("part", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array(*[F.lit(None).cast("bigint")] * cfg.coordinates)
+    none = F.array(*[F.lit(None).cast("int")] * cfg.coordinates)
     out = base.join(marks, (F.col("part") == F.col("__part")) & (F.col("row") == F.col("__row")), "left")
     return out.select("part", "row", "doc_id", "n_chars", "edited_sha256", F.coalesce("mark", none).alias("mark"), F.coalesce("edited_mark", none).alias("edited_mark"))
 
 
+#: Both sides of the operator's own join are dealt by ``part`` already; by default Spark
+#: would deal them anew by all of the join's keys.
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def compare(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and
     near_next: likeness to the edited and to the next text's fingerprint."""
-    made = materialise(fingerprints(docs, cfg), "fingerprints")
-    order = Window.partitionBy("part").orderBy("row")
+    spark = docs.sparkSession
+    before = spark.conf.get(CO_PARTITION, "true")
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        order = Window.partitionBy("part").orderBy("row")
+        prints = fingerprints(docs, cfg).withColumn("follower", F.lead("mark").over(order))
+        prints = prints.withColumns({"near_edited": _likeness("mark", "edited_mark"), "near_next": F.when(F.col("follower").isNotNull(), _likeness("mark", "follower"))}).drop("follower")
+        made = materialise(prints, "fingerprints")
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+    # the last text of each range meets the first of the next one: a row a range
     heads = made.where("row = 1").select("part", "mark")
-    parts = sorted(r["part"] for r in heads.select("part").collect())  # one number a range of ids
-    follow = F.broadcast(made.sparkSession.createDataFrame([(parts[(i + 1) % len(parts)], p) for i, p in enumerate(parts)], "part int, last_part int"))
+    parts = sorted(r["part"] for r in heads.select("part").collect())
+    follow = F.broadcast(spark.createDataFrame([(parts[(i + 1) % len(parts)], p) for i, p in enumerate(parts)], "part int, last_part int"))
     heads = heads.join(follow, "part").select("last_part", F.col("mark").alias("head"))
-    out = made.withColumn("follower", F.lead("mark").over(order)).join(heads, F.col("part") == F.col("last_part"), "left").withColumn("next_mark", F.coalesce("follower", "head"))
-    return out.select("doc_id", "n_chars", "edited_sha256", _show("mark").alias("fingerprint"), _show("edited_mark").alias("edited_fingerprint"), _likeness("mark", "edited_mark").alias("near_edited"), _likeness("mark", "next_mark").alias("near_next"))
+    last = made.where("near_next is null").join(heads, F.col("part") == F.col("last_part")).withColumn("near_next", _likeness("mark", "head"))
+    out = made.where("near_next is not null").unionByName(last.select(*made.columns))
+    return out.select("doc_id", "n_chars", "edited_sha256", _show("mark").alias("fingerprint"), _show("edited_mark").alias("edited_fingerprint"), "near_edited", "near_next")
