@@ -91,8 +91,10 @@ class Encoder:
         return self.fast.encode_ordinary(text)
 
 
-#: One encoder a worker: building it anew for each task takes time and memory.
-encoder = lru_cache(2)(Encoder)
+@lru_cache(2)
+def encoder(path: str, long_run: int) -> Encoder:
+    """One encoder a worker: building it anew for each task takes time and memory."""
+    return Encoder(path, long_run)
 
 
 def tokenise(docs: DataFrame, cfg: PackingConfig) -> DataFrame:
