@@ -14,15 +14,15 @@ each coordinate is the signature's entry.  Texts with a coordinate left empty
 throw on to twice the rank.
 
 Joining.  Equal texts are one class from the start.  Bands of signature entries
-are bucket keys.  In each bucket one member, the hub, is compared with every
-member that is not yet in its class; hubs that have been compared leave, and
-buckets whose rest is of one class close.  The number of hubs a bucket gets in a
-round doubles, so that large buckets with many classes end after few rounds;
-nothing is capped, every pair of a bucket is either compared or known to be of
-one class, and a bucket's pairs are never emitted at once.  Pairs whose
-signatures agree well below the threshold (4 standard errors) stop there;
-the rest is verified on the whole texts' shingles.  Classes are the components
-of verified links.
+are bucket keys; every member of a bucket is tied to the bucket's smallest id, and
+the components of these ties are the groups outside of which no pair is a candidate.
+A group is dealt into blocks of bounded size by a hash of the ids, and every pair of
+blocks is one unit of work: it compares all its pairs' signatures side by side, goes
+through those that agree (down to 4 standard errors under the threshold) from the
+likeliest on, and verifies on the whole texts' shingles each pair that the links
+found so far do not connect already.  Only the links of a spanning forest leave a
+unit, so the rows grow with the texts and not with their pairs; nothing is capped,
+and no unit holds more than two blocks.  Classes are the components of the links.
 
 Results at the edges: a null text counts as empty; texts without words are one
 class; texts of fewer words than a shingle have one shingle of all; rows
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, shuffle_partitions, small_batches
 from .hashing import counted, mix, shingles
 
 
@@ -52,6 +52,8 @@ class DedupConfig:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
+    #: Texts of a group that meet in one unit of work are two blocks of this size.
+    block: int = 96
 
     @property
     def k(self) -> int:
@@ -169,35 +171,67 @@ def _items(texts: DataFrame, cfg: DedupConfig) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, items binary")
 
 
-def _agreement(a: str, b: str, cfg: DedupConfig):
-    @F.pandas_udf("double")
-    def agree(x, y):
-        import pandas as pd
-
-        if not len(x):
-            return pd.Series([], dtype="float64")
-        left = np.frombuffer(b"".join(x), "<u4").reshape(-1, cfg.k)
-        right = np.frombuffer(b"".join(y), "<u4").reshape(-1, cfg.k)
-        return pd.Series((left == right).mean(1))
-
-    return agree(F.col(a), F.col(b))
+def _forest(doc: list, sig: np.ndarray, items: list[np.ndarray], side: np.ndarray, cross: bool, cfg: DedupConfig) -> list[tuple]:
+    """Links (a, b) of a spanning forest of the pairs at or above the threshold; ``cross``:
+    of pairs between the two sides alone (those within a side meet elsewhere)."""
+    n = len(doc)
+    left = np.flatnonzero(side == 0) if cross else np.arange(n)
+    right = np.flatnonzero(side == 1) if cross else np.arange(n)
+    if not len(left) or not len(right):
+        return []
+    agree = (sig[left][:, None, :] == sig[right][None]).mean(2)
+    if not cross:
+        agree[np.tril_indices(n)] = -1
+    i, j = np.nonzero(agree >= cfg.least_agreement)
+    order = np.argsort(-agree[i, j], kind="stable")
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            both = np.sort(np.concatenate([items[a], items[b]]), kind="stable")
+            # numbered occurrences repeat within one text only by a hash collision
+            common = int((both[1:] == both[:-1]).sum())
+            if common >= cfg.threshold * (len(items[a]) + len(items[b]) - common):
+                root[ra] = rb
+                out.append((doc[a], doc[b]))
+    return out
 
 
-def _likeness(a: str, b: str):
-    @F.pandas_udf("double")
-    def like(x, y):
-        import pandas as pd
+def links(units: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b) of rows (g, i, j, block, doc, sig, items): units are runs of equal (g, i, j)
+    within sorted partitions."""
+    kind = units.schema["doc"].dataType.simpleString()
+    doc_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
-        out = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
-            both = np.sort(np.concatenate([p, q]), kind="stable")
-            # numbered occurrences repeat within one text only by a hash collision
-            common = int((both[1:] == both[:-1]).sum())
-            out.append(common / max(1, len(p) + len(q) - common))
-        return pd.Series(out, dtype="float64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> list[tuple]:
+            if len(held) < 2:
+                return []
+            sig = np.frombuffer(b"".join(r[2] for r in held), "<u4").reshape(len(held), -1)
+            side = np.array([r[0] != key[1] for r in held], int)
+            return _forest([r[1] for r in held], sig, [np.frombuffer(r[3], "<u4") for r in held], side, key[1] != key[2], cfg)
+
+        key, held, found = None, [], []
+        for batch in batches:
+            for g, i, j, block, doc, sig, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != key:
+                    found += close()
+                    key, held = (g, i, j), []
+                held.append((block, doc, sig, items))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], doc_type) for k in (0, 1)], ["a", "b"])
+                found = []
+        found += close()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], doc_type) for k in (0, 1)], ["a", "b"])
 
-    return like(F.col(a), F.col(b))
+    return units.select("g", "i", "j", "block", "doc", "sig", "items").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,46 +270,21 @@ def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFr
     rep = texts.where("sig is not null").groupBy("text_id").agg(F.min("sig").alias("sig"))
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * cfg.rows * 4 + 1, F.lit(cfg.rows * 4)))))
     buckets = rep.select(F.col("text_id").alias("doc"), band.alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialise(buckets.join(shared, "key"), "buckets")
+    hubs = buckets.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("other")).where("hub != other").select("key", "hub")
+    ties = buckets.join(hubs, "key").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    groups = materialise(components(ties), "groups")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / cfg.block).cast("int"))
+    dealt = groups.join(sizes, "root").select(F.col("node").alias("doc"), F.col("root").alias("g"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     source = docs.where("doc_id is not null").select("doc_id", "text")
-    roots: DataFrame | None = None
-    linked: list[DataFrame] = []
-    hubs = 1
-    while not members.isEmpty():
-        named = members.withColumn("root", F.col("doc")) if roots is None else members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-        if roots is not None:  # buckets of one class close
-            alive = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-            named = materialise(named.join(alive, "key"), "open")
-            if named.isEmpty():
-                break
-        if hubs == 1:
-            chief = named.groupBy("key").agg(F.min(F.struct("doc", "root")).alias("c")).select("key", F.col("c.doc").alias("hub"), F.col("c.root").alias("hub_root"))
-        else:
-            order = Window.partitionBy("key").orderBy("doc")
-            chief = named.select("key", "doc", "root", F.row_number().over(order).alias("i")).where(F.col("i") <= hubs).select("key", F.col("doc").alias("hub"), F.col("root").alias("hub_root"))
-        pairs = named.join(chief, "key").where("doc != hub and root != hub_root").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-        left, right = rep.select(F.col("text_id").alias("a"), F.col("sig").alias("sa")), rep.select(F.col("text_id").alias("b"), F.col("sig").alias("sb"))
-        likely = pairs.join(left, "a").join(right, "b").where(_agreement("sa", "sb", cfg) >= cfg.least_agreement).select("a", "b")
-        likely = materialise(likely, "pairs")
-        ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        own = source.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        items = materialise(_items(own, cfg), "items")
-        left, right = items.select(F.col("doc_id").alias("a"), F.col("items").alias("ia")), items.select(F.col("doc_id").alias("b"), F.col("items").alias("ib"))
-        found = likely.join(left, "a").join(right, "b").where(_likeness("ia", "ib") >= cfg.threshold).select("a", "b")
-        linked.append(materialise(found, "found"))
-        edges = linked[0]
-        for more in linked[1:]:
-            edges = edges.union(more)
-        roots = components(edges)
-        gone = chief.select("key", F.col("hub").alias("doc"))
-        members = materialise(named.select("key", "doc").join(gone, ["key", "doc"], "left_anti"), "members")
-        hubs *= 2
+    own = source.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    items = materialise(_items(own, cfg).withColumnRenamed("doc_id", "doc").join(rep.withColumnRenamed("text_id", "doc"), "doc"), "items")
+    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("doc", "g", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    units = meets.join(items, "doc").repartition(shuffle_partitions(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
+    found = materialise(links(units, cfg), "found")
+    roots = components(found)
     named = texts.select("t1", "t2", "text_id")
-    if roots is None:
-        named = named.withColumn("class_id", F.col("text_id"))
-    else:
-        named = named.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("class_id", F.coalesce("root", "text_id")).drop("root")
+    named = named.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("class_id", F.coalesce("root", "text_id")).drop("root")
     out = sigs.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
     return out.groupBy("doc_id").agg(F.min("text_id").alias("text_id"), F.min("class_id").alias("class_id"))
 
