@@ -122,7 +122,11 @@ def signature_distances(signatures: DataFrame, length: int | None = None, column
     order = F.sort_array(F.collect_list(F.struct("signal_0_end", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])))
     rows = signatures.groupBy("cohort").agg(order.alias("x"))
     size = length or int(rows.agg(F.percentile(F.size("x"), 0.5)).first()[0] or 1)
-    rows = rows.select("cohort", *[F.transform("x", lambda p, c=c: p[c] / (scale[c] or 1.0)).alias(c) for c in columns])
+
+    def scaled(c: str):
+        return F.transform("x", lambda p: p[c] / (scale[c] or 1.0)).alias(c)
+
+    rows = rows.select("cohort", *[scaled(c) for c in columns])
     both = rows.select(F.col("cohort").alias("a"), F.struct(*columns).alias("xa")).join(rows.select(F.col("cohort").alias("b"), F.struct(*columns).alias("xb")), F.col("a") < F.col("b"))
 
     @F.pandas_udf("double")
