@@ -8,7 +8,7 @@ back-propagation through time and its optimiser are plain numpy.
 
 * Word inputs: smoothed log odds of the word, from the labelled sample.
 * Character inputs: the largest and mean log odds of the word's character
-  n-grams (3 to 5, with word edges), so that unseen inflections still carry the
+  n-grams (3 to 5 characters, with word edges), so that unseen inflections still carry the
   evidence of their stems; plus the word's length.
 
 Results at the edges: a null or empty text, or one without any word, has the
@@ -49,8 +49,9 @@ class ToxicityConfig:
     sample_chars: int = 8_000_000
     #: Documents in which a feature must be seen before it counts.
     least_df: int = 5
-    #: Standard errors that a feature's log odds must be from 0.
-    least_z: float = 3.5
+    #: Likelihood ratio statistic from which a feature counts: hundreds of thousands of
+    #: features are tried, so that chance alone brings forth a few of 20.
+    least_g: float = 24.0
     epochs: int = 12
     #: Epochs after which all windows are scored anew.
     rescan: int = 4
@@ -151,8 +152,10 @@ class Features:
         found = []
         for s in seen:
             odds = np.log((s[1] + 0.5) / (n1 + 1)) - np.log((s[0] + 0.5) / (n0 + 1))
-            error = np.sqrt(1 / (s[1] + 0.5) + 1 / (s[0] + 0.5))
-            sure = (s.sum(0) >= cfg.least_df) & (np.abs(odds) > cfg.least_z * error) | (s[0] == 0) & (s[1] >= cfg.least_df)
+            both, rate = s.sum(0), n1 / (n1 + n0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g = 2 * (np.where(s[1] > 0, s[1] * np.log(s[1] / (both * rate)), 0) + np.where(s[0] > 0, s[0] * np.log(s[0] / (both * (1 - rate))), 0))
+            sure = (both >= cfg.least_df) & (np.nan_to_num(g) > cfg.least_g)
             found.append(np.where(sure, np.clip(odds, -4, 8) / 4, 0).astype(np.float32))
         self.word, self.gram = found
 
@@ -278,9 +281,11 @@ class ToxicityModel:
         return _sigmoid(top.astype(np.float64))
 
     # ---- training ----------------------------------------------------------------
-    def fit(self, texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
+    def fit(self, texts: list[str | None], labels: np.ndarray, prior: float | None = None) -> ToxicityModel:
         """Multiple-instance training: each epoch scores all windows, then learns
-        from each document's strongest window (of label-0 documents also another)."""
+        from each document's strongest window (of label-0 documents also another).  Both
+        classes weigh alike while learning; afterwards ``prior``, the share of label 1
+        among all labelled rows, is put back, so that scores are probabilities."""
         cfg, labels = self.cfg, np.asarray(labels, np.int64)
         self.base = float(labels.mean()) if len(labels) else 0.0
         if len(np.unique(labels)) < 2:
@@ -317,6 +322,8 @@ class ToxicityModel:
                     self.net.p[k] = (self.net.p[k] - cfg.rate * move).astype(np.float32)
             if epoch % cfg.rescan == cfg.rescan - 1 and epoch + 1 < cfg.epochs:
                 logits, _ = self.window_logits(docs)
+        share = min(max(float(labels.mean()) if prior is None else prior, 0.02), 0.98)
+        self.net.p["b"] = self.net.p["b"] + np.float32(np.log(share / (1 - share)))
         return self
 
 
@@ -328,6 +335,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
         .where(fold(F.col("doc_id"), cfg.holdout_mod) != cfg.holdout)
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     )
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    prior = counts.get(1, 0) / max(1, sum(counts.values()))
     picked: list[tuple[int, int]] = []
     for y in (1, 0):
         rows = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_per_class).collect()
@@ -337,7 +346,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     y_of = dict(picked)
     texts = bounded_texts(docs, [i for i, _ in order], cfg.sample_chars)
     ids = list(texts)
-    return ToxicityModel(cfg).fit([texts[i] for i in ids], np.array([y_of[i] for i in ids], np.int64))
+    return ToxicityModel(cfg).fit([texts[i] for i in ids], np.array([y_of[i] for i in ids], np.int64), prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
