@@ -70,22 +70,25 @@ def neighbours(docs: DataFrame, cfg: FingerprintConfig) -> DataFrame:
     """(part, row, doc_id, text, next_text): each text and the next one's by id; the
     result is partitioned by ``part``, a range of ids, and ``row`` counts within it."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LOW)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # the id itself travels as has_id and key, which the order needs anyway: all readers of
+    # the exchange then need the same columns, and Spark makes it once
+    rows = docs.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(LOW)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _partition_bytes(spark, cfg)))
     parts = 4 * partitions
     shares = [i / parts for i in range(1, parts)]
     found = rows.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts)).alias("p")).first()["p"] or []
-    rows = rows.withColumn("part", _range_of(F.col("key"), sorted(set(found))))
+    rows = rows.withColumn("part", F.coalesce(_range_of(F.col("key"), sorted(set(found))), F.lit(0)))
     # a number for each part: the least id of the part after it (after the last: the first)
     heads = sorted((r["part"], r["least"]) for r in rows.groupBy("part").agg(F.min("key").alias("least")).collect())
     after = [(p, heads[(i + 1) % len(heads)][1]) for i, (p, _) in enumerate(heads)]
     follow = F.broadcast(spark.createDataFrame(after, "last_part int, head_key long"))
     head = rows.select("key", "text").join(follow, F.col("key") == F.col("head_key")).groupBy("last_part").agg(F.min("text").alias("head"))
-    order = Window.partitionBy("part").orderBy("key", "text")
+    order = Window.partitionBy("part").orderBy("has_id", "key", "text")
     own = rows.repartition(partitions, "part").withColumns({"row": F.row_number().over(order), "follower": F.lead("text").over(order)})
     last = own.join(head, F.col("part") == F.col("last_part"), "left")
-    return last.select("part", "row", "doc_id", "text", F.coalesce("follower", "head", F.lit("")).alias("next_text"))
+    doc_id = F.when(F.col("has_id"), F.col("key"))
+    return last.select("part", "row", doc_id.alias("doc_id"), "text", F.coalesce("follower", "head", F.lit("")).alias("next_text"))
 
 
 def with_edit(rows: DataFrame) -> DataFrame:
