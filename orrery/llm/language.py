@@ -18,6 +18,7 @@ are replaced.  Equal texts get equal results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -38,8 +39,8 @@ EDGE = "▁"
 class LanguageConfig:
     vocabulary: str = ""
     #: Documents of each language that are learned from, at most; and characters in all.
-    sample_per_lang: int = 300
-    sample_chars: int = 6_000_000
+    sample_per_lang: int = 200
+    sample_chars: int = 3_000_000
     #: Languages that can be learned, the most frequent ones.
     max_langs: int = 64
     rounds: int = 4
@@ -158,7 +159,7 @@ class LanguageModel:
         out = np.empty((len(words), len(self.langs)))
         size = np.fromiter(map(len, words), np.int64, len(words))
         short = np.flatnonzero(size <= self.cfg.vector_chars)
-        for part in np.array_split(short, max(1, len(short) // 20_000)):
+        for part in np.array_split(short, max(1, len(short) // 10_000)):
             if len(part):
                 own = [words[i] for i in part]
                 alpha = self._forward(own, self.seg.edges(own), self.prob)
@@ -170,19 +171,23 @@ class LanguageModel:
 
     def fit(self, texts: list[str], labels: np.ndarray) -> LanguageModel:
         n = len(self.langs)
-        counts: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        weight = np.zeros((0, n))
         for text, y in zip(texts, labels, strict=True):
-            for w in text.lower().split():
-                if len(w) < self.cfg.vector_chars:
-                    counts.setdefault(EDGE + w, np.zeros(n))[y] += 1
-        words = list(counts)
-        weight = np.array([counts[w] for w in words]).reshape(len(words), n)
+            own = Counter(w for w in text.lower().split() if len(w) < self.cfg.vector_chars)
+            at = np.fromiter((number.setdefault(EDGE + w, len(number)) for w in own), np.int64, len(own))
+            if len(number) > len(weight):
+                weight = np.concatenate([weight, np.zeros((max(len(number), len(weight)), n))])
+            weight[at, y] += np.fromiter(own.values(), float, len(own))
+        words = list(number)
+        weight = weight[: len(words)]
+        del number
         length = self.seg.length
         prob = np.full((self.seg.n + 1, n), 1.0 / (self.seg.n + 1))
         prob[-1] = self.cfg.unknown
         scale = self.SCALE ** length[:, None]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        parts = [p for p in np.array_split(np.arange(len(words)), max(1, len(words) // 20_000)) if len(p)]
+        parts = [p for p in np.array_split(np.arange(len(words)), max(1, len(words) // 5_000)) if len(p)]
         for _ in range(self.cfg.rounds if words else 0):
             seen = np.full((self.seg.n + 1, n), self.cfg.smoothing)
             for part in parts:

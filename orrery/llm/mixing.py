@@ -37,8 +37,8 @@ class MixingConfig:
     targets: dict[str, float] = field(default_factory=lambda: {"high": 0.9, "low": 0.1})
     buckets: int = 4096
     #: Labelled documents of each domain that are learned from, and characters in all, at most.
-    sample_per_domain: int = 1000
-    sample_chars: int = 8_000_000
+    sample_per_domain: int = 800
+    sample_chars: int = 5_000_000
     epochs: int = 300
     iterations: int = 60
     tolerance: float = 1e-3

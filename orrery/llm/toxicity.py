@@ -44,9 +44,9 @@ class ToxicityConfig:
     gram_buckets: int = 1 << 19
     grams: tuple[int, ...] = (3, 4, 5)
     #: Labelled documents of each class that are learned from, at most.
-    sample_per_class: int = 1200
+    sample_per_class: int = 1000
     #: Characters that are learned from, at most.
-    sample_chars: int = 8_000_000
+    sample_chars: int = 5_000_000
     #: Documents in which a feature must be seen before it counts.
     least_df: int = 5
     #: Likelihood ratio statistic from which a feature counts: hundreds of thousands of
@@ -136,18 +136,25 @@ class Features:
         out[:, 6] = 1
         return out
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray) -> None:
-        """Log odds of documents of label 1 against 0, for features seen often enough."""
-        cfg = self.cfg
-        seen = [np.zeros((2, cfg.word_buckets), np.int32), np.zeros((2, cfg.gram_buckets), np.int32)]
-        for words, y in zip(texts, labels, strict=True):
-            own = list(dict.fromkeys(words))
-            if not own:
+    def fit(self, words: list[str], texts: list[np.ndarray], labels: np.ndarray) -> None:
+        """Log odds of documents of label 1 against 0, for features that chance does not
+        explain.  ``texts``: numbers of ``words``, from 1 on."""
+        cfg, seen = self.cfg, [np.zeros((2, size), np.int32) for size in (self.cfg.word_buckets, self.cfg.gram_buckets)]
+        points, starts = self._points(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(points))))
+        word_of = self.word_buckets(points, starts, owner).astype(np.int32)
+        parts = [self.gram_buckets(points, owner, n) for n in cfg.grams]
+        bucket, of = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (0, 1))
+        order = np.argsort(of, kind="stable")
+        bucket, first = bucket[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+        for flat, y in zip(texts, labels, strict=True):
+            own = np.unique(flat) - 1
+            if not len(own):
                 continue
-            points, starts = self._points(own)
-            owner = np.repeat(np.arange(len(own)), np.diff(np.append(starts, len(points))))
-            seen[0][int(y), np.unique(self.word_buckets(points, starts, owner))] += 1
-            seen[1][int(y), np.unique(np.concatenate([self.gram_buckets(points, owner, n)[0] for n in cfg.grams]))] += 1
+            size = first[own + 1] - first[own]
+            at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            seen[0][int(y), np.unique(word_of[own])] += 1
+            seen[1][int(y), np.unique(bucket[at])] += 1
         n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
         found = []
         for s in seen:
@@ -253,30 +260,38 @@ class ToxicityModel:
         at = np.minimum(first[:, None] + place, max(0, len(flat) - 1))
         return np.where(mask, flat[at] if len(flat) else 0, 0), mask.astype(np.float32)
 
-    def _encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word vectors (row 0: padding), flat word numbers, texts' lengths."""
+    @staticmethod
+    def _number(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+        """The distinct words, and each text as their numbers from 1 on (0: padding)."""
         number: dict[str, int] = {}
         put = number.setdefault
-        flat = np.fromiter((put(w, len(number) + 1) for t in texts for w in t), np.int64)
-        x = np.concatenate([np.zeros((1, INPUTS), np.float32), self.features.vectors(list(number))])
-        return x, flat, np.fromiter(map(len, texts), np.int64, len(texts))
+        flat = [np.fromiter((put(w, len(number) + 1) for w in _words(t)), np.int32) for t in texts]
+        return list(number), flat
 
-    def window_logits(self, texts: list[list[str]], chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-        x, flat, lengths = self._encode(texts)
+    def _vectors(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros((1, INPUTS), np.float32), self.features.vectors(words)])
+
+    def _cut(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words in a row; owner, first word and size of every window."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         owner, start, size = self._windows(lengths)
-        first = (np.cumsum(lengths) - lengths)[owner] + start
-        xw, logits = self.net.project(x), np.empty(len(owner), np.float32)
-        for i in range(0, len(owner), chunk):
+        return np.concatenate([*texts, np.zeros(0, np.int32)]), owner, (np.cumsum(lengths) - lengths)[owner] + start, size
+
+    def _logits(self, x: np.ndarray, flat: np.ndarray, first: np.ndarray, size: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        xw, logits = self.net.project(x), np.empty(len(first), np.float32)
+        for i in range(0, len(first), chunk):
             at = slice(i, i + chunk)
             logits[at] = self.net.forward(xw, *self._ids(flat, first[at], size[at]))[0]
-        return logits, owner
+        return logits
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), self.base)
         if not len(texts):
             return np.zeros(0)
-        logits, owner = self.window_logits([_words(t) for t in texts])
+        words, numbers = self._number(texts)
+        flat, owner, first, size = self._cut(numbers)
+        logits = self._logits(self._vectors(words), flat, first, size)
         top = np.maximum.reduceat(logits, np.flatnonzero(np.append(True, owner[1:] != owner[:-1])))
         return _sigmoid(top.astype(np.float64))
 
@@ -290,19 +305,18 @@ class ToxicityModel:
         self.base = float(labels.mean()) if len(labels) else 0.0
         if len(np.unique(labels)) < 2:
             return self
-        docs = [_words(t) for t in texts]
+        words, numbers = self._number(texts)
         self.features = Features(cfg)
-        self.features.fit(docs, labels)
+        self.features.fit(words, numbers, labels)
         self.net = Network(cfg)
         rng = np.random.default_rng(cfg.seed)
-        x, flat, lengths = self._encode(docs)
-        owner, start, size = self._windows(lengths)
-        first = (np.cumsum(lengths) - lengths)[owner] + start
+        x = self._vectors(words)
+        flat, owner, first, size = self._cut(numbers)
+        del words, numbers
         at_doc = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         # before the network has learned anything, a window's strength is its strongest input
-        strong = np.append(x[:, 0] + x[:, 1:4].max(1), 0)
-        ids, mask = self._ids(flat, first, size)
-        logits = strong[ids].max(1)
+        strong = x[:, 0] + x[:, 1:4].max(1)
+        logits = np.concatenate([strong[self._ids(flat, first[i : i + 2048], size[i : i + 2048])[0]].max(1) for i in range(0, len(first), 2048)])
         m1, m2 = ({k: np.zeros(v.shape, np.float64) for k, v in self.net.p.items()} for _ in range(2))
         step = 0
         for epoch in range(cfg.epochs):
@@ -313,7 +327,7 @@ class ToxicityModel:
             weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
             for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // cfg.batch)):
                 step += 1
-                g = self.net.gradients(x, ids[chosen[part]], mask[chosen[part]], y[part], weight[part])
+                g = self.net.gradients(x, *self._ids(flat, first[chosen[part]], size[chosen[part]]), y[part], weight[part])
                 for k, v in g.items():
                     v = np.clip(v, -1, 1)
                     m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -321,7 +335,7 @@ class ToxicityModel:
                     move = m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
                     self.net.p[k] = (self.net.p[k] - cfg.rate * move).astype(np.float32)
             if epoch % cfg.rescan == cfg.rescan - 1 and epoch + 1 < cfg.epochs:
-                logits, _ = self.window_logits(docs)
+                logits = self._logits(x, flat, first, size)
         share = min(max(float(labels.mean()) if prior is None else prior, 0.02), 0.98)
         self.net.p["b"] = self.net.p["b"] + np.float32(np.log(share / (1 - share)))
         return self
