@@ -233,6 +233,12 @@ def ftle_rolling(obs: DataFrame, window: int = 200, stride: int = 50) -> DataFra
     return made.withColumn("ftle_acceleration", F.when(inner, F.col("ftle_velocity") - F.lag("ftle_velocity").over(w)).otherwise(0.0))
 
 
+def exponent_trend(rolling: DataFrame, value: str = "ftle") -> DataFrame:
+    """Line through a signal's rolling exponents: is it losing stability?"""
+    x = F.col("window_id").cast("double")
+    return rolling.where(F.col(value).isNotNull()).groupBy(*SIGNAL).agg(F.count("*").alias("n_windows"), F.regr_slope(value, x).alias(f"{value}_trend"), F.when(F.var_pop(value) > 1e-15, F.regr_r2(value, x)).otherwise(0.0).alias(f"{value}_trend_r2"), F.avg(value).alias(f"{value}_mean"), F.stddev_pop(value).alias(f"{value}_spread"))
+
+
 def ridge_proximity(rolling: DataFrame, field: DataFrame, ridge: float = 0.05) -> DataFrame:
     """Rolling exponents met by the cohort's speed at the same point: how fast the state
     runs up the exponent's slope, and how long to the ridge."""
@@ -367,6 +373,20 @@ def persistent_homology(cohort_vector: DataFrame, window: int = 20, stride: int
 # ---- critical slowing down -----------------------------------------------------------
 
 
+def kendall_trend(rows: DataFrame, value: str, order: str = "window_id") -> DataFrame:
+    """Kendall's tau of a column against the order of a signal's windows, with the normal
+    approximation's p.  A signal's windows are paired by a join on the signal."""
+    a = rows.where(F.col(value).isNotNull()).select(*SIGNAL, F.col(order).alias("i"), F.col(value).alias("x"))
+    b = a.select(*SIGNAL, F.col("i").alias("j"), F.col("x").alias("y"))
+    s = F.signum(F.col("y") - F.col("x"))
+    made = a.join(b, SIGNAL).where("i < j").groupBy(*SIGNAL).agg(F.sum(s).alias("s"), F.sum(F.abs(s)).alias("m"), F.count("*").alias("p"))
+    n = (1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2
+    z = F.abs("s") / F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+    # a logistic approximation of the normal tail, within 2e-4
+    tail = 2 / (1 + F.exp(1.5976 * z + 0.070566 * F.pow(z, F.lit(3.0))))
+    return made.select(*SIGNAL, F.try_divide(F.col("s"), F.nullif(F.col("m"), F.lit(0.0))).alias(f"tau_{value}"), tail.alias(f"tau_{value}_pvalue"))
+
+
 def critical_slowing_down(obs: DataFrame, window: int = 50, stride: int = 10) -> DataFrame:
     """Rising autocorrelation, variance and skewness of detrended windows, and a score."""
     from ..functions import columns as C

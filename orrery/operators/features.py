@@ -180,3 +180,12 @@ def feature_matrix(parts: list[DataFrame]) -> DataFrame:
     from ..sources.validation import drop_dead_columns
 
     return drop_dead_columns(reduce(lambda a, b: a.join(b, "cohort", "full"), parts), ["cohort"], 1.0)
+
+
+def with_remaining_life(features: DataFrame, life: DataFrame) -> DataFrame:
+    """Features with ``rul`` of (cohort, rul); cohorts without one keep null."""
+    return features.join(F.broadcast(life.select("cohort", "rul")) if _is_small(life) else life.select("cohort", "rul"), "cohort", "left")
+
+
+def _is_small(df: DataFrame, rows: int = 100_000) -> bool:
+    return df.limit(rows + 1).count() <= rows

@@ -288,3 +288,33 @@ def ftle_field(geometry: DataFrame, most_cohorts: int = 5000, steps: int = 20, a
             yield pd.DataFrame(out, columns=["engine", "centroid_a", "centroid_b", "ridge_strength", "ridge_width", "corridor_width", "ridge_location", "inter_centroid_distance"])
 
     return spark.createDataFrame(pairs, "engine string, i int, j int").mapInPandas(run, schema)
+
+
+def basins(geometry: DataFrame, most_cohorts: int = 5000, directions: int = 8, radii: int = 3) -> DataFrame:
+    """How deep each cohort's centroid lies: the rise of the local exponent from the centroid
+    outwards, the radius at which it is steepest, the direction in which it rises least
+    (where the state escapes), and how many directions stay low."""
+    axes = ["eigenvalue_1", "eigenvalue_2", "eigenvalue_3"]
+    made = geometry.groupBy("engine", "cohort").agg(*[F.avg(a).alias(a) for a in axes], *[(F.max_by(a, "signal_0_end") - F.min_by(a, "signal_0_end")).alias(f"d_{a}") for a in axes]).dropna()
+    cloud = made.groupBy("engine").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("cohort", F.array(*axes).alias("x"), F.array(*[F.col(f"d_{a}") for a in axes]).alias("d")))).alias("p")).where((F.col("n") >= 10) & (F.col("n") <= most_cohorts))
+    rows = cloud.select("engine", "p", F.explode(F.transform("p", lambda v: v["cohort"])).alias("cohort"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        turn = np.linspace(0, 2 * np.pi, directions, endpoint=False)
+        rays = np.stack([np.cos(turn), np.sin(turn), np.zeros(directions)], 1)
+        for b in batches:
+            out = []
+            for engine, p, cohort in b[["engine", "p", "cohort"]].itertuples(index=False):
+                x = np.array([v["x"] for v in p], float)
+                moved = x + np.array([v["d"] for v in p], float)
+                at = x[[v["cohort"] for v in p].index(cohort)]
+                scale = float(np.median(np.sqrt(((x - at) ** 2).sum(1)))) or 1.0
+                steps = scale * np.arange(1, radii + 1) / radii
+                base = local_exponent(at, x, moved)
+                rise = np.array([[local_exponent(at + r * ray, x, moved) - base for r in steps] for ray in rays])
+                mean = rise.mean(1)
+                low = int(mean.argmin())
+                out.append((engine, cohort, float(rise.mean()), float(steps[rise.mean(0).argmax()]), rays[low].tolist(), int((mean <= 0.25 * max(mean.max(), 0)).sum())))
+            yield pd.DataFrame(out, columns=["engine", "centroid_id", "basin_depth", "basin_radius", "escape_direction", "n_corridors"])
+
+    return rows.mapInPandas(run, "engine string, centroid_id string, basin_depth double, basin_radius double, escape_direction array<double>, n_corridors int")

@@ -89,3 +89,11 @@ def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: l
 def window_features(obs: DataFrame, window: int = 64, stride: int = 32) -> DataFrame:
     """The frame aggregates alone: moments, size and trend without any Python."""
     return framed(obs, window, stride, frame_features(frame(window)))
+
+
+def rolling(obs: DataFrame, engine: str, window: int) -> DataFrame:
+    """An engine over every window of ``window`` rows: its outputs stand at the window's
+    last row and are null before the first window is full."""
+    own = signal_vector(obs, window, 1, [engine], Manifest(engine_windows={engine: window}))
+    made = own.select(*SIGNAL, F.col("signal_0_end").alias("signal_0"), *[F.col(c).alias(f"rolling_{c}") for c in ENGINES[engine][3]])
+    return obs.join(made, [*SIGNAL, "signal_0"], "left")

@@ -71,8 +71,11 @@ def correlation(obs: DataFrame, least: int = 10) -> DataFrame:
 
 
 def safe_corr(x: str, y: str) -> Column:
-    """Correlation; null where either side does not vary (ANSI mode would fail)."""
-    return F.when((F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12), F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+    """Correlation of the rows that have both; null where either does not vary (ANSI mode
+    would fail)."""
+    sx = F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+    sy = F.stddev_pop(F.when(F.col(x).isNotNull(), F.col(y)))
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.try_divide(F.covar_pop(x, y), sx * sy))
 
 
 def gaussian_fingerprint(vector: DataFrame, features: list[str] = FINGERPRINT_FEATURES) -> DataFrame:

@@ -25,7 +25,7 @@ from .operators import segments as SG
 from .operators import sql_engines as S
 from .operators import state as ST
 from .operators import typology as T
-from .operators.signal_vector import signal_vector, window_features
+from .operators.signal_vector import rolling, signal_vector, window_features
 from .operators.windows import SIGNAL, arrays
 from .sources.observations import event_observations, lineitem_observations, lineitem_wide, pivot
 from .sources.validation import drop_constant_signals, validate_observations
@@ -338,6 +338,47 @@ def q_geometry_dynamics(spark, sf_dir):
     return D.geometry_dynamics(_geometry(spark, sf_dir)["geometry"])
 
 
+_ED = f"""cv AS (SELECT cohort, window_id, max(signal_0_end) AS s, count(*) AS n_signals, {', '.join(f'covar_samp({a}, {b}) AS {a}__{b}' for a in SHAPE for b in SHAPE)} FROM wf WHERE {' AND '.join(f'{c} IS NOT NULL' for c in SHAPE)} GROUP BY cohort, window_id),
+ed AS (SELECT cohort, s, power({' + '.join(f'{c}__{c}' for c in SHAPE)}, 2) / ({' + '.join(f'power({a}__{b}, 2)' for a in SHAPE for b in SHAPE)}) AS e FROM cv WHERE n_signals >= 2)"""
+
+
+def _gradient_sql(y: str) -> str:
+    b, f, hs, hd = f"lag({y}) OVER o", f"lead({y}) OVER o", "(s - lag(s) OVER o)", "(lead(s) OVER o - s)"
+    return f"CASE WHEN {b} IS NULL THEN ({f} - {y}) / {hd} WHEN {f} IS NULL THEN ({y} - {b}) / {hs} ELSE ({hs} * {hs} * {f} + ({hd} * {hd} - {hs} * {hs}) * {y} - {hd} * {hd} * {b}) / ({hs} * {hd} * ({hs} + {hd})) END"
+
+
+@query("dimension_dynamics", f"""WITH {EVENTS}, {_frames('ev')}, {_ED}, sm AS (SELECT *, (coalesce(lag(e) OVER o, 0) + e + coalesce(lead(e) OVER o, 0)) / 3 AS z FROM ed WINDOW o AS (PARTITION BY cohort ORDER BY s)),
+ve AS (SELECT *, {_gradient_sql('z')} AS v FROM sm WINDOW o AS (PARTITION BY cohort ORDER BY s)), ac AS (SELECT *, {_gradient_sql('v')} AS a FROM ve WINDOW o AS (PARTITION BY cohort ORDER BY s)), je AS (SELECT *, {_gradient_sql('a')} AS j FROM ac WINDOW o AS (PARTITION BY cohort ORDER BY s))
+SELECT cohort, {r('s', 'signal_0_end')}, {r('e', 'effective_dim')}, {r('v', 'effective_dim_velocity')}, {r('a', 'effective_dim_acceleration')}, {r('j', 'effective_dim_jerk')}, {r('abs(a) / power(1 + v * v, 1.5)', 'effective_dim_curvature')} FROM je""")
+def q_dimension_dynamics(spark, sf_dir):
+    rows = window_features(obs_events(spark, sf_dir), W, STEP)
+    ends = rows.groupBy("cohort", "window_id").agg(F.max("signal_0_end").alias("signal_0_end"))
+    made = G.effective_dim(rows, SHAPE).join(ends, ["cohort", "window_id"]).withColumns({"engine": F.lit("shape"), "eigenvalue_1": F.lit(0.0)})
+    got = D.geometry_dynamics(made)
+    return got.select("cohort", "signal_0_end", "effective_dim", "effective_dim_velocity", "effective_dim_acceleration", "effective_dim_jerk", "effective_dim_curvature")
+
+
+@query("rolling_engine")
+def q_rolling(spark, sf_dir):
+    return rolling(obs_events(spark, sf_dir), "statistics", 16)
+
+
+@query("exponent_trend")
+def q_exponent_trend(spark, sf_dir):
+    return D.exponent_trend(D.ftle_rolling(obs_events(spark, sf_dir), 100, 20))
+
+
+@query("kendall_trend")
+def q_kendall_trend(spark, sf_dir):
+    return D.kendall_trend(window_features(obs_events(spark, sf_dir), W, STEP), "std")
+
+
+@query("basins")
+def q_basins(spark, sf_dir):
+    rows = window_features(obs_items(spark, sf_dir), 64, 64)
+    return L.basins(G.cohort_geometry(rows, {"shape": SHAPE}, False)["geometry"])
+
+
 @query("thermodynamics")
 def q_thermodynamics(spark, sf_dir):
     return D.thermodynamics(_geometry(spark, sf_dir)["geometry"])
@@ -435,7 +476,14 @@ def q_pair_correlations(spark, sf_dir):
     return P.correlations(P.aligned(obs_items(spark, sf_dir)))
 
 
-@query("cross_correlation")
+_LAGS = range(-10, 11)
+_XCORR = f"""WITH {ITEMS}, {_JOINED}, sh AS (SELECT cohort, signal_a, signal_b, x, {', '.join(f"{'lead' if k > 0 else 'lag'}(y, {abs(k)}) OVER o AS y{i}" for i, k in enumerate(_LAGS))} FROM pr WINDOW o AS (PARTITION BY cohort, signal_a, signal_b ORDER BY signal_0)),
+cc AS (SELECT cohort, signal_a, signal_b, count(*) AS n, {', '.join(f'corr(x, y{i}) AS c{i}' for i in range(21))} FROM sh GROUP BY cohort, signal_a, signal_b), un AS ({' UNION ALL '.join(f'SELECT cohort, signal_a, signal_b, n, c{i} AS c, {k} AS lag FROM cc' for i, k in enumerate(_LAGS))}),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cohort, signal_a, signal_b ORDER BY abs(c) DESC, abs(lag), lag DESC) AS k FROM un)
+SELECT cohort, signal_a, signal_b, {r('c', 'max_xcorr')}, CAST(lag AS INTEGER) AS lag_at_max, n FROM rk WHERE k = 1 AND n >= 60"""
+
+
+@query("cross_correlation", _XCORR)
 def q_xcorr(spark, sf_dir):
     return P.cross_correlation(P.aligned(obs_items(spark, sf_dir)))
 
@@ -451,7 +499,13 @@ def q_mi(spark, sf_dir):
     return P.mutual_information(P.aligned(obs_items(spark, sf_dir)))
 
 
-@query("divergences")
+_KL = "sum(CASE WHEN {a} > 0 THEN {a} * ln(({a} + 1e-10) / ({b} + 1e-10)) ELSE 0 END)"
+
+
+@query("divergences", f"""WITH {EVENTS}, en AS (SELECT cohort, signal_id, min(value) AS lo, max(value) AS hi FROM ev GROUP BY ALL), pq AS (SELECT a.cohort, a.signal_id AS signal_a, b.signal_id AS signal_b, least(a.lo, b.lo) AS lo, greatest(a.hi, b.hi) AS hi FROM en a JOIN en b ON a.cohort = b.cohort AND a.signal_id < b.signal_id),
+bi AS (SELECT q.cohort, signal_a, signal_b, CAST(least(floor((value - lo) / (hi - lo) * 20), 19) AS INT) AS i, signal_id = signal_a AS first FROM pq q JOIN ev e ON e.cohort = q.cohort AND e.signal_id IN (signal_a, signal_b)),
+cn AS (SELECT cohort, signal_a, signal_b, i, sum(first::INT) * 1.0 AS ca, sum((NOT first)::INT) * 1.0 AS cb FROM bi GROUP BY ALL), pr AS (SELECT *, ca / sum(ca) OVER g AS p, cb / sum(cb) OVER g AS q FROM cn WINDOW g AS (PARTITION BY cohort, signal_a, signal_b)), mm AS (SELECT *, (p + q) / 2 AS m FROM pr)
+SELECT cohort, signal_a, signal_b, {r(_KL.format(a='p', b='q'), 'kl_divergence_a_to_b')}, {r(_KL.format(a='q', b='p'), 'kl_divergence_b_to_a')}, {r('0.5 * ' + _KL.format(a='p', b='m') + ' + 0.5 * ' + _KL.format(a='q', b='m'), 'js_divergence')} FROM mm GROUP BY cohort, signal_a, signal_b""")
 def q_divergences(spark, sf_dir):
     return P.divergences(obs_events(spark, sf_dir))
 
@@ -587,7 +641,9 @@ def q_parameters(spark, sf_dir):
     return z.join(m, SIGNAL)
 
 
-@query("recommend_normaliser")
+@query("recommend_normaliser", f"""WITH {EVENTS}, q AS (SELECT cohort, signal_id, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, avg(value) AS m FROM ev GROUP BY ALL),
+f AS (SELECT cohort, signal_id, sum(CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) / count(*) AS o, kurtosis_pop(value) AS k, avg(power(value - m, 3)) / power(avg(power(value - m, 2)), 1.5) AS s FROM ev JOIN q USING (cohort, signal_id) GROUP BY ALL)
+SELECT cohort, signal_id, {r('o', 'outlier_fraction')}, {r('k', 'kurtosis')}, {r('s', 'skewness')}, CASE WHEN o > 0.05 OR k > 10 THEN 'mad' WHEN k > 3 OR abs(s) > 1 THEN 'robust' ELSE 'zscore' END AS method FROM f""")
 def q_recommend(spark, sf_dir):
     return N.recommend(obs_events(spark, sf_dir))
 
