@@ -36,16 +36,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Remove the files of a materialised intermediate that is not needed again."""
-    root = shared_dir(spark)
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/part-" in f or root.split(":")[-1].lstrip("/") not in f:
-            continue
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

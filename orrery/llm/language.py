@@ -50,7 +50,7 @@ class LanguageConfig:
     #: Words up to this length are summed side by side, longer ones one by one.
     vector_chars: int = 48
     #: Words kept with their sums by each Python worker.
-    cache: int = 400_000
+    cache: int = 250_000
     holdout_mod: int = 5
     holdout: int = 0
 
