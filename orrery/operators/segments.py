@@ -112,7 +112,8 @@ def observation_geometry(wide: DataFrame, baseline: DataFrame, signals: list[str
     d = len(signals)
     own = baseline.select("cohort", "centroid", "std", "principal_directions", F.array(*[F.col(f"baseline_eigenvalue_{k}") for k in range(1, 4)]).alias("val"))
     fleet = own.where("cohort = 'fleet'").drop("cohort")
-    rows = wide.crossJoin(F.broadcast(fleet)) if _is_pooled(baseline) else wide.join(own, "cohort")
+    # the fleet's baseline is one row
+    rows = wide.join(F.broadcast(fleet), F.lit(1) == 1) if _is_pooled(baseline) else wide.join(own, "cohort")
     z = [F.when(F.col("std")[i] > 1e-12, (F.col(s) - F.col("centroid")[i]) / F.col("std")[i]).otherwise(0.0) for i, s in enumerate(signals)]
     rows = rows.withColumns({f"z_{s}": F.coalesce(v, F.lit(0.0)) for s, v in zip(signals, z, strict=True)})
     score = [sum((F.col(f"z_{s}") * F.col("principal_directions")[k * d + i] for i, s in enumerate(signals)), F.lit(0.0)) for k in range(3)]

@@ -17,12 +17,18 @@ FINGERPRINT_FEATURES = ["spectral_entropy", "hurst", "sample_entropy", "dfa", "a
 FINGERPRINT_PAIRS = {"corr_entropy_hurst": ("spectral_entropy", "hurst"), "corr_spectral_sample_entropy": ("spectral_entropy", "sample_entropy"), "corr_hurst_dfa": ("hurst", "dfa"), "corr_kurtosis_skewness": ("kurtosis", "skewness")}
 
 
-def statistics(obs: DataFrame) -> DataFrame:
+def quantile(column: str | Column, p: float, exact: bool = True) -> Column:
+    """Exact quantiles hold a group's distinct values in the aggregation's buffer; for signals
+    too long for that the sketch bounds it (relative rank error 1e-4)."""
+    return F.percentile(column, p) if exact else F.percentile_approx(column, p, 10_000)
+
+
+def statistics(obs: DataFrame, exact: bool = True) -> DataFrame:
     v = F.col("value")
-    q1, q3 = F.percentile(v, 0.25), F.percentile(v, 0.75)
+    q1, q3 = quantile(v, 0.25, exact), quantile(v, 0.75, exact)
     return obs.groupBy(*SIGNAL).agg(
         F.count("*").alias("n_points"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        (F.max(v) - F.min(v)).alias("range"), F.percentile(v, 0.5).alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
+        (F.max(v) - F.min(v)).alias("range"), quantile(v, 0.5, exact).alias("median"), q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"),
         F.var_samp(v).alias("variance"), F.try_divide(F.stddev_samp(v), F.nullif(F.abs(F.avg(v)), F.lit(0.0))).alias("cv"),
     )
 
@@ -40,12 +46,12 @@ def _severity(score: Column, mad: Column) -> Column:
     return F.when(mad <= EPS, "CONSTANT").when(a > 5.0, "CRITICAL").when(a > 3.5, "SEVERE").when(a > 2.5, "MODERATE").when(a > 2.0, "MILD").otherwise("NORMAL")
 
 
-def mad_departure(obs: DataFrame, threshold: float = 3.5) -> DataFrame:
+def mad_departure(obs: DataFrame, threshold: float = 3.5, exact: bool = True) -> DataFrame:
     """Scores 0.6745 (x - median) / MAD.  Exact medians are aggregations; the two small
     tables of them join back on the signal."""
-    median = obs.groupBy(*SIGNAL).agg(F.percentile("value", 0.5).alias("median_value"))
+    median = obs.groupBy(*SIGNAL).agg(quantile("value", 0.5, exact).alias("median_value"))
     rows = obs.join(median, SIGNAL)
-    mad = rows.groupBy(*SIGNAL).agg(F.percentile(F.abs(F.col("value") - F.col("median_value")), 0.5).alias("mad_value"))
+    mad = rows.groupBy(*SIGNAL).agg(quantile(F.abs(F.col("value") - F.col("median_value")), 0.5, exact).alias("mad_value"))
     score = F.when(F.col("mad_value") > EPS, 0.6745 * (F.col("value") - F.col("median_value")) / F.col("mad_value")).otherwise(0.0)
     out = rows.join(mad, SIGNAL).withColumn("mad_score", score)
     flag = F.coalesce((F.col("mad_value") > EPS) & (F.abs("mad_score") > threshold), F.lit(False))
