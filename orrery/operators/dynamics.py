@@ -103,7 +103,8 @@ def velocity_components(obs: DataFrame, standardise: bool = True, smoothing: boo
     """(cohort, signal_id, signal_0, velocity, acceleration) of every signal: differences
     over the axis, standing at the later point."""
     own, w = Window.partitionBy(*SIGNAL), Window.partitionBy(*SIGNAL).orderBy("signal_0")
-    rows = obs.where("value is not null and not isnan(value)").groupBy(*SIGNAL, "signal_0").agg(F.avg("value").alias("x"))
+    # dealt by signal once: equal points and all windows below stay in their partition
+    rows = obs.where("value is not null and not isnan(value)").repartition(*SIGNAL).groupBy(*SIGNAL, "signal_0").agg(F.avg("value").alias("x"))
     if standardise:
         m, s = F.avg("x").over(own), F.stddev_pop("x").over(own)
         rows = rows.withColumn("x", F.when(s > 1e-10, (F.col("x") - m) / s).otherwise(0.0))
