@@ -45,14 +45,16 @@ def spectrum_of(cov: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
 SUMMARY = [*[f"eigenvalue_{i + 1}" for i in range(TOP)], *[f"explained_{i + 1}" for i in range(TOP)], "effective_dim", "total_variance", "eigenvalue_entropy", "eigenvalue_entropy_norm", "condition_number", "ratio_2_1", "ratio_3_1"]
 
 
-def covariances(rows: DataFrame, keys: list[str], features: list[str], least: int = 2) -> DataFrame:
-    """(keys, n, mean, std, cov): sample covariance of the rows that are complete, flat by
-    rows.  D (D + 1) / 2 aggregates, pre-aggregated before the exchange."""
+def covariances(rows: DataFrame, keys: list[str], features: list[str], least: int = 2, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, extra, n, mean, std, cov): sample covariance of the rows that are complete, flat
+    by rows.  D (D + 1) / 2 aggregates, pre-aggregated before the exchange; ``extra``:
+    aggregates that are wanted beside them."""
+    extra = extra or {}
     complete = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features])
     pair = {(a, b): F.covar_samp(a, b) for i, a in enumerate(features) for b in features[i:]}
-    made = rows.where(complete).groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(f) for f in features]).alias("mean"), F.array(*[F.stddev_pop(f) for f in features]).alias("std"), *[c.alias(f"__{a}__{b}") for (a, b), c in pair.items()])
+    made = rows.where(complete).groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.avg(f) for f in features]).alias("mean"), F.array(*[F.stddev_pop(f) for f in features]).alias("std"), *[c.alias(f"__{a}__{b}") for (a, b), c in pair.items()], *[c.alias(k) for k, c in extra.items()])
     flat = F.array(*[F.col(f"__{min(a, b, key=features.index)}__{max(a, b, key=features.index)}") for a in features for b in features])
-    return made.where(F.col("n") >= least).select(*keys, "n", "mean", "std", flat.alias("cov"))
+    return made.where(F.col("n") >= least).select(*keys, *extra, "n", "mean", "std", flat.alias("cov"))
 
 
 def decompose(cov: DataFrame, keys: list[str], standardise: bool = True) -> DataFrame:
@@ -128,10 +130,9 @@ def cohort_geometry(vector: DataFrame, groups: dict[str, list[str]] | None = Non
         d = len(features)
         rows = vector.select(*POINT, "signal_id", *[_finite(f).alias(f) for f in features])
         keys = ["cohort", "window_id"]
-        eigen = decompose(covariances(rows, keys, features), keys).withColumn("engine", F.lit(engine))
-        eigen = _steady(eigen, d)
-        ends = rows.groupBy(*keys).agg(F.min("signal_0_start").alias("signal_0_start"), F.max("signal_0_end").alias("signal_0_end"), F.avg("signal_0_center").alias("signal_0_center"))
-        geometry = eigen.join(ends, keys)
+        ends = {"signal_0_start": F.min("signal_0_start"), "signal_0_end": F.max("signal_0_end"), "signal_0_center": F.avg("signal_0_center")}
+        eigen = decompose(covariances(rows, keys, features, 2, ends), [*keys, *ends]).withColumn("engine", F.lit(engine))
+        eigen = geometry = _steady(eigen, d)
         if with_jackknife:
             geometry = geometry.join(jackknife(rows, keys, features), keys, "left")
         else:
