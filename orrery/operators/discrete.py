@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .windows import SIGNAL, arrays
+from .windows import SIGNAL, arrays, spread
 
 KEYS = [*SIGNAL, "window_id", "signal_0_end"]
 
 
 def discrete_features(obs: DataFrame, window: int, stride: int, bins: int = 10) -> DataFrame:
     """Entropies, occupancy, duty, transitions and runs of every window."""
-    rows = arrays(obs, window, stride).select(*KEYS, "y").withColumn("level", C.level_labels(F.col("y"), bins))
+    rows = spread(arrays(obs, window, stride).select(*KEYS, "y")).withColumn("level", C.level_labels(F.col("y"), bins))
     rows = rows.withColumn("names", F.array_sort(F.array_distinct("level"))).withColumn("shares", F.transform("names", lambda v: F.size(F.filter("level", lambda x: x == v)).cast("double") / F.size("level")))
     rows = rows.withColumn("steps", F.transform(C.pairs(F.col("level"), 1), lambda p: p["a"] * 1000 + p["b"])).withColumn("ordered", F.sort_array("shares", asc=False)).withColumn("run", F.transform(C.runs(F.col("y")), lambda r: r["n"].cast("double")))
     k, n = F.size("names"), F.size("y")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .windows import SIGNAL, arrays
+from .windows import SIGNAL, arrays, spread
 
 FLOOR = 1e-12
 
@@ -159,7 +159,7 @@ def _last(obs: DataFrame, most: int, keys: list[str], reverse: bool = False) ->
     rows = obs.where("value is not null and not isnan(value)").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     made = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("signal_0").alias("s"), F.col("value").alias("y")))).alias("x"))
     y = F.transform("x", lambda p: p["y"])
-    return made.select(*keys, F.transform("x", lambda p: p["s"]).alias("s"), (F.reverse(y) if reverse else y).alias("y"))
+    return spread(made.select(*keys, F.transform("x", lambda p: p["s"]).alias("s"), (F.reverse(y) if reverse else y).alias("y")))
 
 
 def ftle(obs: DataFrame, direction: str = "forward", intervention: float | None = None, least: int = 200, most: int = 2000, keys: list[str] = SIGNAL) -> DataFrame:

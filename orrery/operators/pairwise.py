@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from .sql_engines import safe_corr
 from .state import _finite
+from .windows import spread
 
 PAIR = ["cohort", "signal_a", "signal_b"]
 
@@ -265,7 +266,7 @@ def information_flow(obs: DataFrame, flagged: DataFrame | None = None, least: in
     w = Window.partitionBy(*PAIR).orderBy(F.desc("signal_0"))
     last = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     made = last.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("signal_0", "x", "y"))).alias("p"))
-    made = made.select(*PAIR, F.transform("p", lambda v: v["x"]).alias("x"), F.transform("p", lambda v: v["y"]).alias("y"))
+    made = spread(made.select(*PAIR, F.transform("p", lambda v: v["x"]).alias("x"), F.transform("p", lambda v: v["y"]).alias("y")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import frame_features
 from ..functions.kernels import ENGINES, engine_outputs
 from ..sources.manifest import Gate, Manifest
-from .windows import SIGNAL, arrays, frame, framed
+from .windows import SIGNAL, arrays, frame, framed, spread
 
 KEYS = [*SIGNAL, "window_id", "signal_0_start", "signal_0_end", "signal_0_center", "n_obs"]
 KEY_TYPES = "cohort string, signal_id string, window_id long, signal_0_start double, signal_0_end double, signal_0_center double, n_obs long"
@@ -82,7 +82,7 @@ def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: l
             yield pd.concat([b[KEYS], made.replace([np.inf, -np.inf], np.nan)], axis=1)
 
     kinds = ", ".join(f"`{c}` double" for c in columns)
-    made = rows.select(*KEYS, "y", "skip").mapInPandas(run, f"{KEY_TYPES}, engine_mask long, {kinds}")
+    made = spread(rows.select(*KEYS, "y", "skip")).mapInPandas(run, f"{KEY_TYPES}, engine_mask long, {kinds}")
     return made.select(*KEYS, "engine_mask", *[F.nanvl(c, F.lit(None)).alias(c) for c in columns])
 
 

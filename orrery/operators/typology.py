@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from .windows import SIGNAL, arrays
+from .windows import SIGNAL, arrays, spread
 
 METRICS = ["hurst", "perm_entropy", "sample_entropy", "lyapunov_proxy", "spectral_flatness", "kurtosis", "cv", "range_norm", "zero_crossing_rate", "trend_strength", "mean_abs_diff"]
 
@@ -45,7 +45,7 @@ def typology_windows(obs: DataFrame, window: int = 64, stride: int = 32) -> Data
             yield pd.concat([b[keys], made.replace([np.inf, -np.inf], np.nan)], axis=1)
 
     kinds = "cohort string, signal_id string, window_id long, signal_0_start double, signal_0_end double, signal_0_center double, n_obs long, " + ", ".join(f"{m} double" for m in METRICS)
-    made = arrays(obs, window, stride, short="one").select(*keys, "y").mapInPandas(run, kinds)
+    made = spread(arrays(obs, window, stride, short="one").select(*keys, "y")).mapInPandas(run, kinds)
     return made.select(*keys, *[F.nanvl(m, F.lit(None)).alias(m) for m in METRICS])
 
 

@@ -60,3 +60,10 @@ def arrays(obs: DataFrame, window: int, stride: int, look_back: int | None = Non
     size = F.least(F.size("y"), F.lit(window))
     start, end = F.element_at("s", -size), F.element_at("s", -1)
     return made.select(*keys, "window_id", start.alias("signal_0_start"), end.alias("signal_0_end"), ((start + end) / 2).alias("signal_0_center"), F.size("y").cast("long").alias("n_obs"), "s", "y")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the shuffle's partitions before a kernel runs on each.  Arrays
+    are small and kernels slow: by bytes the planner would put them into a few tasks, and
+    by signal a long one would fill a task of its own."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -26,7 +26,7 @@ from .operators import sql_engines as S
 from .operators import state as ST
 from .operators import typology as T
 from .operators.signal_vector import rolling, signal_vector, window_features
-from .operators.windows import SIGNAL, arrays
+from .operators.windows import SIGNAL, arrays, spread
 from .sources.observations import event_observations, lineitem_observations, lineitem_wide, pivot
 from .sources.validation import drop_constant_signals, validate_observations
 
@@ -191,7 +191,7 @@ SELECT cohort, signal_id, window_id, {r('sum((value - m) * (v1 - m)) / sum((valu
 {r('max(abs(v1 - value))', 'abs_max_rate')}, CAST(sum(CASE WHEN sign(value - m) <> sign(v1 - m) THEN 1 ELSE 0 END) AS INTEGER) AS mean_crossings, {r('any_value(permutation_entropy)', 'permutation_entropy')} FROM la JOIN pe USING (cohort, signal_id, window_id) GROUP BY cohort, signal_id, window_id""")
 def q_window_arrays(spark, sf_dir):
     y = F.col("y")
-    rows = arrays(obs_events(spark, sf_dir), W, STEP)
+    rows = spread(arrays(obs_events(spark, sf_dir), W, STEP))
     return rows.select(*SIGNAL, "window_id", C.acf(y, 1).alias("acf_lag1"), C.variance_ratio(y, 2).alias("variance_ratio"), *[v.alias(k) for k, v in C.rates(y).items()], C.zero_crossings(C.centred(y)).alias("mean_crossings"), C.permutation_entropy(y).alias("permutation_entropy"))
 
 
