@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from .dynamics import _last
-from .windows import SIGNAL, arrays
+from .windows import SIGNAL, arrays, spread
 
 
 def jacobians(x: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
@@ -21,11 +21,8 @@ def jacobians(x: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
     k = min(max(k, d + 2), n)
     dist = ((p[:, None] - p[None]) ** 2).sum(2)
     near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    out = np.zeros((n, d, d))
-    for i in range(n):
-        a, b = p[near[i]] - p[i], v[near[i]] - v[i]
-        out[i] = np.linalg.lstsq(a, b, rcond=1e-6)[0].T
-    return v, out
+    a, b = p[near] - p[:, None], v[near] - v[:, None]
+    return v, (np.linalg.pinv(a, rcond=1e-6) @ b).transpose(0, 2, 1)
 
 
 def saddles(x: np.ndarray, k: int = 10) -> dict[str, float]:
@@ -55,14 +52,11 @@ def sensitivity(x: np.ndarray, horizon: int = 5, k: int = 10) -> dict[str, np.nd
     maps; shares, ranks and the mean influence of variables on each other."""
     v, j = jacobians(x, k)
     n, d = len(v), x.shape[1]
-    grown = np.empty((n, d))
-    total = np.zeros((d, d))
-    for i in range(n):
-        m = np.eye(d)
-        for t in range(i, min(i + horizon, n)):
-            m = (np.eye(d) + j[t]) @ m
-        grown[i] = np.sqrt((m**2).sum(0))
-        total += np.abs(m)
+    step = np.eye(d) + j
+    m = np.tile(np.eye(d), (n, 1, 1))
+    for t in range(min(horizon, n)):  # the maps of points near the end are fewer
+        m[: n - t] = step[t:] @ m[: n - t]
+    grown, total = np.sqrt((m**2).sum(1)), np.abs(m).sum(0)
     share = grown / np.maximum(grown.sum(1, keepdims=True), 1e-12)
     dominant = share.argmax(1)
     h = -(share * np.log(np.maximum(share, 1e-12))).sum(1) / np.log(max(2, d))
@@ -121,4 +115,4 @@ def trajectory_sensitivity(wide: DataFrame, signals: list[str], window: int = 10
                     out.append((c, w, float(p[-1]["signal_0"]), s, float(f["sensitivity"][-1, k]), float(f["sensitivity"][:, k].mean()), int(rank[k]), bool(f["dominant"][-1] == k), float(f["entropy"].mean()), len(f["transitions"]), f["influence"][k].tolist()))
             yield pd.DataFrame(out, columns=["cohort", "window_id", "signal_0_end", "signal_id", "current_sensitivity", "mean_sensitivity", "current_rank", "is_dominant", "sensitivity_entropy", "n_transitions", "influence"])
 
-    return made.mapInPandas(run, "cohort string, window_id long, signal_0_end double, signal_id string, current_sensitivity double, mean_sensitivity double, current_rank int, is_dominant boolean, sensitivity_entropy double, n_transitions int, influence array<double>")
+    return spread(made).mapInPandas(run, "cohort string, window_id long, signal_0_end double, signal_id string, current_sensitivity double, mean_sensitivity double, current_rank int, is_dominant boolean, sensitivity_entropy double, n_transitions int, influence array<double>")

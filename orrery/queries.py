@@ -464,7 +464,7 @@ def q_saddle_rolling(spark, sf_dir):
 
 @query("trajectory_sensitivity")
 def q_sensitivity(spark, sf_dir):
-    return LO.trajectory_sensitivity(wide_items(spark, sf_dir).where("signal_0 < 300"), SENSORS)
+    return LO.trajectory_sensitivity(wide_items(spark, sf_dir), SENSORS)
 
 
 # ---- pairs ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery import queries as Q
 from orrery.functions import columns as C
 from orrery.functions import kernels as K
-from orrery.operators import discrete, dynamics, normalisation, segments
+from orrery.operators import discrete, dynamics, local, normalisation, segments
 from orrery.operators.breaks import breaks
 from orrery.operators.signal_vector import signal_vector, window_features, window_size
 from orrery.operators.windows import arrays
@@ -108,6 +108,39 @@ def test_breaks_do_not_depend_on_blocks(spark):
     assert whole == steps(1000)
 
 
+def _sensitivity_by_hand(x, horizon=5, k=10):
+    v, p = np.diff(x, axis=0), x[:-1]
+    n, d = p.shape
+    j = []
+    for i in range(n):
+        near = sorted(range(n), key=lambda m: (((p[m] - p[i]) ** 2).sum(), m))[: max(k, d + 2)]
+        j.append(np.linalg.lstsq(p[near] - p[i], v[near] - v[i], rcond=1e-6)[0].T)
+    grown = []
+    for i in range(n):
+        m = np.eye(d)
+        for t in range(i, min(i + horizon, n)):
+            m = (np.eye(d) + j[t]) @ m
+        grown.append(np.sqrt((m**2).sum(0)))
+    return np.array(grown)
+
+
+def test_sensitivity_of_every_window(spark, tmp_path):
+    """The query sees whole cohorts, and its numbers are those of brute force."""
+    rng = np.random.default_rng(9)
+    rows = [(c, i, 4 * i + c, 1, float(a), float(b), float(e), float(f)) for c, n in ((0, 460), (1, 150)) for i, (a, b, e, f) in enumerate(rng.normal(size=(n, 4)).cumsum(0).round(3))]
+    names = ("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    spark.createDataFrame([("A", *r) for r in rows], "l_returnflag string, " + ", ".join(f"{c} {'long' if i < 4 else 'double'}" for i, c in enumerate(names))).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["cohort"], r["window_id"], r["signal_id"]): r for r in Q.QUERIES["trajectory_sensitivity"](spark, str(tmp_path)).collect()}
+    assert {k[:2] for k in got} == {("A_0", w) for w in range(8)} | {("A_1", w) for w in range(2)}
+    series = {c: np.array([(r[6], r[5], r[4], r[7]) for r in rows if r[0] == c]) for c in (0, 1)}  # d, p, q, t
+    for c, w in ((0, 0), (0, 7), (1, 1)):
+        x = series[c][50 * w : 50 * w + 100]
+        want = _sensitivity_by_hand((x - x.mean(0)) / x.std(0))
+        for k, s in enumerate(Q.SENSORS):
+            r = got[f"A_{c}", w, s]
+            assert r["signal_0_end"] == 50 * w + 99 and abs(r["current_sensitivity"] - want[-1, k]) < 1e-3 and abs(r["mean_sensitivity"] - want[:, k].mean()) < 1e-3
+
+
 def test_normalisers_invert(obs):
     for method in normalisation.METHODS:
         p = normalisation.parameters(obs, method)
