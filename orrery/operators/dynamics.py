@@ -4,6 +4,7 @@ finite-time Lyapunov exponents, ridge proximity, stability and topology."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -164,10 +165,11 @@ def _last(obs: DataFrame, most: int, keys: list[str], reverse: bool = False) ->
 
 def ftle(obs: DataFrame, direction: str = "forward", intervention: float | None = None, least: int = 200, most: int = 2000, keys: list[str] = SIGNAL) -> DataFrame:
     """Largest exponent of each series by Rosenstein's method; backward: of the reversed
-    series.  With an intervention also before and after it."""
+    series.  With an intervention also before and after it; the part before, short by
+    nature, needs 50 rows at most."""
     parts = {"": obs} if intervention is None else {"": obs, "_pre": obs.where(F.col("signal_0") < intervention), "_post": obs.where(F.col("signal_0") >= intervention)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for _, r in b.iterrows():
@@ -177,7 +179,8 @@ def ftle(obs: DataFrame, direction: str = "forward", intervention: float | None
             yield pd.DataFrame(rows, columns=[*keys, "ftle", "ftle_std", "embedding_dim", "embedding_tau", "confidence", "n_samples"])
 
     schema = ", ".join(f"{k} string" for k in keys) + ", ftle double, ftle_std double, embedding_dim int, embedding_tau int, confidence double, n_samples long"
-    made = {s: _last(o, most, keys, direction == "backward").mapInPandas(run, schema) for s, o in parts.items()}
+    needs = {"": least, "_pre": min(least, 50), "_post": least}
+    made = {s: _last(o, most, keys, direction == "backward").mapInPandas(partial(run, least=needs[s]), schema) for s, o in parts.items()}
     out = made[""].withColumn("direction", F.lit(direction))
     out = out.withColumns({"ftle": F.nanvl("ftle", F.lit(None)), "ftle_std": F.nanvl("ftle_std", F.lit(None))}).withColumn("stability", stability_class(F.col("ftle")))
     for suffix in ("_pre", "_post"):

@@ -412,17 +412,17 @@ def q_gradient(spark, sf_dir):
 
 @query("ftle")
 def q_ftle(spark, sf_dir):
-    return D.ftle_bidirectional(obs_events(spark, sf_dir), least=100, most=500)
+    return D.ftle_bidirectional(obs_events(spark, sf_dir))
 
 
 @query("ftle_intervention")
 def q_ftle_cut(spark, sf_dir):
-    return D.ftle(obs_events(spark, sf_dir), intervention=120.0, least=100, most=500)
+    return D.ftle(obs_events(spark, sf_dir), intervention=120.0)
 
 
 @query("lyapunov")
 def q_lyapunov(spark, sf_dir):
-    return D.lyapunov(obs_events(spark, sf_dir), least=100, most=500)
+    return D.lyapunov(obs_events(spark, sf_dir))
 
 
 @query("ftle_rolling")

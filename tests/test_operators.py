@@ -141,6 +141,30 @@ def test_sensitivity_of_every_window(spark, tmp_path):
             assert r["signal_0_end"] == 50 * w + 99 and abs(r["current_sensitivity"] - want[-1, k]) < 1e-3 and abs(r["mean_sensitivity"] - want[:, k].mean()) < 1e-3
 
 
+def _events(spark, tmp_path, series):
+    """An events table of one cohort with these series by type."""
+    rows = [(8, k, i, v) for k, y in series.items() for i, v in enumerate(map(float, y))]
+    made = spark.createDataFrame(rows, "user_id long, event_type string, event_id long, value double")
+    made.withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_exponents_of_the_last_2000_rows(spark, tmp_path):
+    """As the reference: 2000 rows of at least 200, but before an intervention of 50."""
+    rng = np.random.default_rng(10)
+    y = rng.normal(size=2300).cumsum()
+    sf = _events(spark, tmp_path, {"long": y, "short": rng.normal(size=150)})
+    of = lambda name: {(r["signal_id"], r.asDict().get("direction")): r for r in Q.QUERIES[name](spark, sf).collect()}
+    want = dynamics._exponent(y[-2000:])
+    both, cut, fixed = of("ftle"), of("ftle_intervention"), of("lyapunov")
+    for got in (both["long", "forward"], cut["long", "forward"]):
+        assert got["n_samples"] == 2000 and got["embedding_tau"] == want[3] and abs(got["ftle"] - want[0]) < 1e-3
+    assert both["short", "forward"]["ftle"] is None and both["short", "backward"]["ftle"] is None and fixed["short", None]["lyapunov"] is None
+    assert fixed["long", None]["n_samples"] == 2000 and abs(fixed["long", None]["lyapunov"] - dynamics._exponent(y[-2000:], None, 3)[0]) < 1e-3
+    r = cut["long", "forward"]
+    assert r["n_pre"] == 120 and abs(r["ftle_pre"] - dynamics._exponent(y[:120])[0]) < 1e-3 and r["n_post"] == 2000 and r["ftle_delta"] is not None
+
+
 def test_normalisers_invert(obs):
     for method in normalisation.METHODS:
         p = normalisation.parameters(obs, method)
