@@ -512,7 +512,7 @@ def q_divergences(spark, sf_dir):
 
 @query("information_flow")
 def q_flow(spark, sf_dir):
-    return P.information_flow(obs_items(spark, sf_dir), most=400)
+    return P.information_flow(obs_items(spark, sf_dir))
 
 
 # ---- fleet ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery import queries as Q
 from orrery.functions import columns as C
 from orrery.functions import kernels as K
-from orrery.operators import discrete, dynamics, local, normalisation, segments
+from orrery.operators import discrete, dynamics, normalisation, pairwise, segments
 from orrery.operators.breaks import breaks
 from orrery.operators.signal_vector import signal_vector, window_features, window_size
 from orrery.operators.windows import arrays
@@ -165,6 +165,18 @@ def test_exponents_of_the_last_2000_rows(spark, tmp_path):
     assert r["n_pre"] == 120 and abs(r["ftle_pre"] - dynamics._exponent(y[:120])[0]) < 1e-3 and r["n_post"] == 2000 and r["ftle_delta"] is not None
 
 
+def test_flow_of_the_last_2000_points(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    values = rng.normal(size=(2100, 4)).cumsum(0).round(3)
+    rows = [("A", 4, i, 1, 1, *map(float, v)) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "l_returnflag string, l_suppkey long, l_orderkey long, l_partkey long, l_linenumber long, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["signal_a"], r["signal_b"]): r for r in Q.QUERIES["information_flow"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and all(r["n_samples"] == 2000 for r in got.values())
+    p, q = values[-2000:, 1], values[-2000:, 0]
+    f, r = pairwise.granger(p, q)[0], got["p", "q"]
+    assert abs(r["granger_f_a_to_b"] - f) < 1e-3 and abs(r["transfer_entropy_a_to_b"] - pairwise.transfer_entropy(p, q)) < 1e-3 and abs(r["hedge_ratio"] - pairwise.cointegration(p, q)["hedge_ratio"]) < 1e-3
+
+
 def test_normalisers_invert(obs):
     for method in normalisation.METHODS:
         p = normalisation.parameters(obs, method)
