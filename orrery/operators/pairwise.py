@@ -250,7 +250,7 @@ def pair_flow(x: np.ndarray, y: np.ndarray, least: int = 100) -> dict:
     c, co = cointegration(x, y), copula(x, y)
     (fab, pab), (fba, pba) = granger(x, y), granger(y, x)
     out.update(
-        granger_f_a_to_b=fab, granger_p_a_to_b=pab, granger_f_b_to_a=fba, granger_p_b_to_a=pba, transfer_entropy_a_to_b=transfer_entropy(x, y), transfer_entropy_b_to_a=transfer_entropy(y, x), dtw_distance=dtw(z(x[-500:]), z(y[-500:])), mutual_info=mi, normalized_mi=mi / np.sqrt(hx * hy) if hx * hy > 1e-15 else 0.0,
+        granger_f_a_to_b=fab, granger_p_a_to_b=pab, granger_f_b_to_a=fba, granger_p_b_to_a=pba, transfer_entropy_a_to_b=transfer_entropy(x, y), transfer_entropy_b_to_a=transfer_entropy(y, x), dtw_distance=dtw(z(x), z(y)), mutual_info=mi, normalized_mi=mi / np.sqrt(hx * hy) if hx * hy > 1e-15 else 0.0,
         kl_divergence_a_to_b=kl(p, q), kl_divergence_b_to_a=kl(q, p), js_divergence=0.5 * kl(p, (p + q) / 2) + 0.5 * kl(q, (p + q) / 2), **{k: c[k] for k in ("is_cointegrated", "hedge_ratio", "half_life", "spread_zscore")}, **co,
     )
     return out

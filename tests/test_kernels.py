@@ -114,6 +114,19 @@ def test_pairs(rng):
     assert abs(P.kendall(x, x) - 1) < 1e-12 and P.copula(x, x + 0.5 * rng.normal(size=400))["kendall_tau"] > 0.5
 
 
+def test_warping_takes_whole_series():
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(2, 700)).cumsum(1)
+    y[:100] += 50  # only seen by who looks at more than the tail
+    a, b = ((v - v.mean()) / v.std() for v in (x, y))
+    table = np.full((701, 701), np.inf)
+    table[0, 0] = 0
+    for i in range(700):
+        for j in range(700):
+            table[i + 1, j + 1] = abs(a[i] - b[j]) + min(table[i, j], table[i, j + 1], table[i + 1, j])
+    assert abs(P.pair_flow(x, y)["dtw_distance"] - table[700, 700]) < 1e-6
+
+
 def test_geometry_kernels(rng):
     s, vecs = spectrum_of(np.diag([3.0, 1.0, 0.5]))
     assert s["eigenvalue_1"] == 3 and 1 <= s["effective_dim"] <= 3 and abs(s["condition_number"] - 6) < 1e-9 and vecs[0, 0] == 1
