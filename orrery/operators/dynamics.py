@@ -154,10 +154,13 @@ def _exponent(y: np.ndarray, delay: int | None = None, dim: int | None = None) -
     return value, float(good.std()) if len(good) else K.NAN, dim, delay, min(1.0, len(good) / 50)
 
 
-def _last(obs: DataFrame, most: int, keys: list[str], reverse: bool = False) -> DataFrame:
-    """(keys, s, y): the last ``most`` rows of each series, which bounds what is gathered."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("signal_0"), F.desc("value"))
-    rows = obs.where("value is not null and not isnan(value)").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+def _last(obs: DataFrame, most: int | None, keys: list[str], reverse: bool = False) -> DataFrame:
+    """(keys, s, y): the last ``most`` rows of each series, which bounds what is gathered;
+    None: all of them."""
+    rows = obs.where("value is not null and not isnan(value)")
+    if most is not None:
+        w = Window.partitionBy(*keys).orderBy(F.desc("signal_0"), F.desc("value"))
+        rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     made = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("signal_0").alias("s"), F.col("value").alias("y")))).alias("x"))
     y = F.transform("x", lambda p: p["y"])
     return spread(made.select(*keys, F.transform("x", lambda p: p["s"]).alias("s"), (F.reverse(y) if reverse else y).alias("y")))

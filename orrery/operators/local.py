@@ -12,17 +12,27 @@ from .dynamics import _last
 from .windows import SIGNAL, arrays, spread
 
 
+#: Distances held at once.
+CELLS = 500_000
+
+
 def jacobians(x: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """(velocity, Jacobian) at every point but the last: least squares of the k nearest
-    points' velocities over their offsets."""
+    points' velocities over their offsets.  Points are taken in blocks of about ``CELLS``
+    distances, so that memory grows with the length and only time with its square."""
     v = np.diff(x, axis=0)
     p = x[:-1]
     n, d = p.shape
     k = min(max(k, d + 2), n)
-    dist = ((p[:, None] - p[None]) ** 2).sum(2)
-    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    a, b = p[near] - p[:, None], v[near] - v[:, None]
-    return v, (np.linalg.pinv(a, rcond=1e-6) @ b).transpose(0, 2, 1)
+    out = np.empty((n, d, d))
+    block = max(1, CELLS // max(1, n))
+    for low in range(0, n, block):
+        q = p[low : low + block]
+        dist = ((q[:, None] - p[None]) ** 2).sum(2)
+        near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        a, b = p[near] - q[:, None], v[near] - v[low : low + block, None]
+        out[low : low + block] = (np.linalg.pinv(a, rcond=1e-6) @ b).transpose(0, 2, 1)
+    return v, out
 
 
 def saddles(x: np.ndarray, k: int = 10) -> dict[str, float]:
@@ -63,8 +73,8 @@ def sensitivity(x: np.ndarray, horizon: int = 5, k: int = 10) -> dict[str, np.nd
     return {"sensitivity": grown, "share": share, "dominant": dominant, "entropy": h, "transitions": np.flatnonzero(np.diff(dominant)) + 1, "influence": total / n}
 
 
-def saddle_detection(obs: DataFrame, dim: int = 3, most: int = 800) -> DataFrame:
-    """Of every signal, embedded at its own delay, over its last ``most`` rows."""
+def saddle_detection(obs: DataFrame, dim: int = 3) -> DataFrame:
+    """Of every signal, embedded at its own delay, over all its rows."""
 
     def run(batches):
         for b in batches:
@@ -76,7 +86,7 @@ def saddle_detection(obs: DataFrame, dim: int = 3, most: int = 800) -> DataFrame
                 rows.append((c, s, dim, delay, *[f[k] for k in SADDLE]))
             yield pd.DataFrame(rows, columns=[*SIGNAL, "embedding_dim", "embedding_tau", *SADDLE])
 
-    made = _last(obs, most, SIGNAL).mapInPandas(run, "cohort string, signal_id string, embedding_dim int, embedding_tau int, " + ", ".join(f"{c} double" for c in SADDLE))
+    made = _last(obs, None, SIGNAL).mapInPandas(run, "cohort string, signal_id string, embedding_dim int, embedding_tau int, " + ", ".join(f"{c} double" for c in SADDLE))
     return made.select(*SIGNAL, "embedding_dim", "embedding_tau", *[F.nanvl(c, F.lit(None)).alias(c) for c in SADDLE])
 
 

@@ -454,7 +454,7 @@ def q_csd(spark, sf_dir):
 
 @query("saddle_detection")
 def q_saddle(spark, sf_dir):
-    return LO.saddle_detection(obs_events(spark, sf_dir), most=200)
+    return LO.saddle_detection(obs_events(spark, sf_dir))
 
 
 @query("saddle_rolling")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery import queries as Q
 from orrery.functions import columns as C
 from orrery.functions import kernels as K
-from orrery.operators import discrete, dynamics, normalisation, pairwise, segments
+from orrery.operators import discrete, dynamics, local, normalisation, pairwise, segments
 from orrery.operators.breaks import breaks
 from orrery.operators.signal_vector import signal_vector, window_features, window_size
 from orrery.operators.windows import arrays
@@ -165,6 +165,20 @@ def test_exponents_of_the_last_2000_rows(spark, tmp_path):
     assert r["n_pre"] == 120 and abs(r["ftle_pre"] - dynamics._exponent(y[:120])[0]) < 1e-3 and r["n_post"] == 2000 and r["ftle_delta"] is not None
 
 
+def test_saddles_of_whole_series(spark, tmp_path, monkeypatch):
+    """Early rows count, and blocks of points change nothing."""
+    rng = np.random.default_rng(13)
+    y = np.concatenate([rng.normal(size=600), np.linspace(0, 40, 1000) + 1e-3 * rng.normal(size=1000)])
+    r = Q.QUERIES["saddle_detection"](spark, _events(spark, tmp_path, {"a": y})).first()
+    x = K.embed(y, 3, K.optimal_delay(y))
+    monkeypatch.setattr(local, "CELLS", len(x) ** 2)
+    whole = local.jacobians(x)[1]
+    want = local.saddles(x)
+    monkeypatch.setattr(local, "CELLS", 1000)
+    assert np.allclose(local.jacobians(x)[1], whole)
+    assert r["n_valid"] == len(x) - 1 and all(np.isclose(np.nan if r[c] is None else r[c], want[c], atol=1e-3, equal_nan=True) for c in local.SADDLE)
+
+
 def test_flow_of_the_last_2000_points(spark, tmp_path):
     rng = np.random.default_rng(11)
     values = rng.normal(size=(2100, 4)).cumsum(0).round(3)
