@@ -96,6 +96,13 @@ def curve_features(long: DataFrame, keys: list[str], value: str = "value", order
     return rows.groupBy(*keys).agg(*[c.alias(k) for k, c in made.items()])
 
 
+def signal_curves(obs: DataFrame, signals: list[str]) -> DataFrame:
+    """A row a cohort: the curve features of each of its signals."""
+    made = curve_features(obs, ["cohort", "signal_id"], "value", "signal_0")
+    cells = [F.max(F.when(F.col("signal_id") == s, F.col(c))).alias(f"{s}_{c}") for s in signals for c in CURVE]
+    return made.groupBy("cohort").agg(*cells)
+
+
 def fingerprint_matrix(windows: DataFrame, metrics: list[str] = WINDOW_METRICS) -> DataFrame:
     """A row a cohort: every window metric's curve features."""
     long = windows.unpivot(["cohort", "window_id"], metrics, "metric", "value")

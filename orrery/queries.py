@@ -27,7 +27,7 @@ from .operators import state as ST
 from .operators import typology as T
 from .operators.signal_vector import rolling, signal_vector, window_features
 from .operators.windows import SIGNAL, arrays, spread
-from .sources.observations import event_observations, lineitem_observations, lineitem_wide, pivot
+from .sources.observations import event_observations, lineitem_observations, lineitem_wide, pivot, signal_ids
 from .sources.validation import drop_constant_signals, validate_observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -682,7 +682,8 @@ def q_cross_axis(spark, sf_dir):
 
 @query("feature_matrix")
 def q_feature_matrix(spark, sf_dir):
-    curves = FE.curve_features(obs_events(spark, sf_dir).where("signal_id = 'click'"), ["cohort"], "value", "signal_0")
+    obs = obs_events(spark, sf_dir)
+    curves = FE.signal_curves(obs, signal_ids(obs))
     return FE.feature_matrix([curves, FE.sub_window_features(_geometry(spark, sf_dir)["geometry"], "shape")])
 
 

@@ -179,6 +179,13 @@ def test_saddles_of_whole_series(spark, tmp_path, monkeypatch):
     assert r["n_valid"] == len(x) - 1 and all(np.isclose(np.nan if r[c] is None else r[c], want[c], atol=1e-3, equal_nan=True) for c in local.SADDLE)
 
 
+def test_feature_matrix_has_every_signal(spark, sf_dir):
+    rows = Q.obs_events(spark, sf_dir).groupBy("cohort", "signal_id").agg(F.avg("value").alias("m")).collect()
+    got = {r["cohort"]: r for r in Q.QUERIES["feature_matrix"](spark, sf_dir).collect()}
+    assert len({r["signal_id"] for r in rows}) == 5 and {r["cohort"] for r in rows} <= set(got)
+    assert all(abs(got[r["cohort"]][f"{r['signal_id']}_mean"] - r["m"]) < 1e-3 for r in rows)
+
+
 def test_flow_of_the_last_2000_points(spark, tmp_path):
     rng = np.random.default_rng(11)
     values = rng.normal(size=(2100, 4)).cumsum(0).round(3)
