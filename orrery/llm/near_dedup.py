@@ -13,23 +13,30 @@ k (ln k + 4) of them hit.  Each dart has a coordinate; the earliest dart of
 each coordinate is the signature's entry.  Texts with a coordinate left empty
 throw on to twice the rank.
 
-Joining.  Equal texts are one class from the start.  Bands of signature entries
-are bucket keys; every member of a bucket is tied to the bucket's smallest id, and
-the components of these ties are the groups outside of which no pair is a candidate.
-A group is dealt into blocks of bounded size by a hash of the ids, and every pair of
-blocks is one unit of work: it compares all its pairs' signatures side by side, goes
-through those that agree (down to 4 standard errors under the threshold) from the
-likeliest on, and verifies on the whole texts' shingles each pair that the links
-found so far do not connect already.  Only the links of a spanning forest leave a
-unit, so the rows grow with the texts and not with their pairs; nothing is capped,
-and no unit holds more than two blocks.  Classes are the components of the links.
-
-Results at the edges: a null text counts as empty; texts without words are one
-class; texts of fewer words than a shingle have one shingle of all; rows
-that share an id are one document; rows with a null id are left out of
-``near_duplicates`` (they have no name to report) and kept by ``deduplicate``;
-an empty table gives an empty result; extra columns pass through
-``deduplicate``.
+Joining.  Equal texts are one from the start, whatever their ids.  Bands of signature
+entries are bucket keys, and the pairs of a bucket are the candidates; classes are the
+components of those that are near-duplicates on their whole texts.  Pairs that are
+connected already need no look, which keeps large groups of copies linear:
+
+1. every member of a bucket meets the bucket's hub (its smallest text);
+2. in buckets of more than ``block`` members, those outside the bucket's largest
+   component meet another member of it, again and again, as long as that joins many;
+3. in buckets that still hold several components, all pairs of different components
+   are compared, in units of two blocks, each pair in one bucket only.
+
+Nothing is capped, and no unit holds more than two blocks.  Only links leave a unit.
+The third step is quadratic in buckets of many different texts that are no
+near-duplicates (bands of 5 tie texts of likeness 0.5 in some bucket with chance 0.64):
+its units then grow with the square of such a bucket, their size does not.
+
+Results at the edges: a null text counts as empty; texts without words (empty ones,
+white space) are one class; texts of fewer words than a shingle have one shingle of
+all; texts of any length are read whole; rows that share an id but not a text are
+different documents, each in the class of its own text (a class is named by its smallest
+id, so that two classes share a name if one id has a text in either and no smaller id is
+there); rows with a null id are left out of ``near_duplicates`` (they have no name to
+report) and kept by ``deduplicate``; ties of ids go to the smaller hash of the text; an
+empty table gives an empty result; extra columns pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, small_batches
+from .common import materialise, small_batches
 from .hashing import counted, mix, shingles
 
 
@@ -52,18 +59,18 @@ class DedupConfig:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
-    #: Texts of a group that meet in one unit of work are two blocks of this size.
+    #: Texts that meet in one unit of work are two blocks of this size.
     block: int = 96
+    #: Members that stream past one copy of their hub.
+    chunk: int = 512
 
     @property
     def k(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def least_agreement(self) -> float:
-        """Agreement of signatures under which a pair is not verified."""
-        t = self.threshold
-        return t - 4 * (t * (1 - t) / self.k) ** 0.5
+
+#: A character that is not white space.
+WORD = r"[^\s\p{Z}\x1c-\x1f\x85]"
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -133,58 +140,103 @@ class Darts:
 
 
 def signatures(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(doc_id, t1, t2, sig): a 128-bit hash of the text, and the signature as bytes
-    (null for texts without words)."""
+    """(doc_id, t1, t2, buckets): a 128-bit hash of the text (of all texts without words
+    the same), and the keys of its bands' buckets (null for texts without words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+    rows = docs.where("doc_id is not null").select("doc_id", *text_key(text), text.alias("text"))
     darts = Darts(cfg.k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(3).to_pylist()
             h, owner, weight = counted(*shingles(texts, cfg.words))
-            sig, has = darts.signatures(h, owner, weight, len(texts)), np.bincount(owner, minlength=len(texts)) > 0
-            packed = pa.array([s.tobytes() if x else None for s, x in zip(sig, has, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "t1", "t2", "sig"])
+            bands = darts.signatures(h, owner, weight, len(texts)).reshape(len(texts), cfg.bands, cfg.rows).astype(np.uint64)
+            key = mix(np.broadcast_to(np.arange(cfg.bands, dtype=np.uint64), bands.shape[:2]))
+            for r in range(cfg.rows):
+                key = mix(key ^ bands[:, :, r])
+            has = np.bincount(owner, minlength=len(texts)) > 0
+            packed = pa.array([k if x else None for k, x in zip(key.view(np.int64), has, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "t1", "t2", "buckets"])
 
     small_batches(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, sig binary")
+    made = rows.mapInArrow(run, f"doc_id {_kind(docs)}, t1 long, t2 long, buckets array<long>")
+    return made.withColumns({t: F.when(F.col("buckets").isNull(), F.lit(0)).otherwise(F.col(t)) for t in ("t1", "t2")})
+
+
+def text_key(text) -> tuple:
+    """Two 64-bit hashes of a text."""
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
-def _items(texts: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(doc_id, items): hashes of the text's shingles numbered by occurrence, so that
-    the sets' Jaccard likeness is the weighted likeness of the counts."""
+def item_sets(texts: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(node, items) of (node, text): hashes of the text's shingles numbered by occurrence,
+    so that the sets' Jaccard likeness is the weighted likeness of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             h, owner, count = counted(*shingles(texts, cfg.words))
             nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            h, owner = mix(np.repeat(h, count) + nth.astype(np.uint64)) >> np.uint64(32), np.repeat(owner, count)
+            h, owner = mix(np.repeat(h, count) + nth.astype(np.uint64)), np.repeat(owner, count)
             order = np.lexsort((h, owner))
             cut = np.searchsorted(owner, np.arange(1, len(texts)))
-            items = [x.astype("<u4").tobytes() for x in np.split(h[order], cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["doc_id", "items"])
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, items binary")
-
-
-def _forest(doc: list, sig: np.ndarray, items: list[np.ndarray], side: np.ndarray, cross: bool, cfg: DedupConfig) -> list[tuple]:
-    """Links (a, b) of a spanning forest of the pairs at or above the threshold; ``cross``:
-    of pairs between the two sides alone (those within a side meet elsewhere)."""
-    n = len(doc)
-    left = np.flatnonzero(side == 0) if cross else np.arange(n)
-    right = np.flatnonzero(side == 1) if cross else np.arange(n)
-    if not len(left) or not len(right):
-        return []
-    agree = (sig[left][:, None, :] == sig[right][None]).mean(2)
-    if not cross:
-        agree[np.tril_indices(n)] = -1
-    i, j = np.nonzero(agree >= cfg.least_agreement)
-    order = np.argsort(-agree[i, j], kind="stable")
-    root, out = list(range(n)), []
+            items = [x.astype("<u8").tobytes() for x in np.split(h[order], cut)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["node", "items"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, items binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard likeness."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False  # the likeness is at most the ratio of the sizes
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= threshold * (len(a) + len(b) - common)
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def star_links(pairs: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b) of those (hub, node) whose whole texts are near-duplicates.  A hub's members
+    are dealt into chunks; every chunk streams past the hub's one set."""
+    degree = materialise(pairs.groupBy("hub").agg(F.ceil(F.count("*") / cfg.chunk).cast("int").alias("chunks")), "degrees")
+    dealt = materialise(pairs.join(degree, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "dealt")
+    sent = dealt.join(items, "node").select("hub", "chunk", "node", "items")
+    hubs = dealt.select("hub", "chunk").distinct().join(items.withColumnRenamed("node", "hub"), "hub").select("hub", "chunk", F.lit(None).cast("long").alias("node"), "items")
+    rows = sent.union(hubs).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", F.col("node").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, "<u8")
+        for batch in batches:
+            found = []
+            for hub, node, items in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if node is None:
+                    own = np.frombuffer(items, "<u8")
+                elif alike(own, np.frombuffer(items, "<u8"), cfg.threshold):
+                    found.append((hub, node))
+            yield _pairs(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _forest(key: tuple, held: list[tuple], cfg: DedupConfig) -> list[tuple[int, int]]:
+    """Links between the components in one unit: a bucket's block against another or itself.
+    ``held``: (block, node, comp, shared, items) each."""
+    bucket, i, j, hub = key
+    block, node, comp, shared, items = zip(*held, strict=True)
+    left = [k for k in range(len(held)) if block[k] == i]
+    right = [k for k in range(len(held)) if block[k] == j]
+    root: dict[int, int] = {c: c for c in comp}
+    buckets, sets = [set(s) for s in shared], [np.frombuffer(x, "<u8") for x in items]
+    size = np.array([len(s) for s in sets])
+    comps = np.array(comp)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -192,53 +244,76 @@ def _forest(doc: list, sig: np.ndarray, items: list[np.ndarray], side: np.ndarra
             x = root[x]
         return x
 
-    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist(), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            both = np.sort(np.concatenate([items[a], items[b]]), kind="stable")
-            # numbered occurrences repeat within one text only by a hash collision
-            common = int((both[1:] == both[:-1]).sum())
-            if common >= cfg.threshold * (len(items[a]) + len(items[b]) - common):
-                root[ra] = rb
-                out.append((doc[a], doc[b]))
+    out = []
+    if not left or not right:
+        return out
+    a, b = size[left][:, None], size[right][None]
+    open_ = (np.minimum(a, b) >= cfg.threshold * np.maximum(a, b)) & (comps[left][:, None] != comps[right][None])
+    if i == j:
+        open_ &= np.triu(np.ones(open_.shape, bool), 1)
+    for p, q in zip(*np.nonzero(open_), strict=True):
+        x, y = left[p], right[q]
+        # the bucket's hub met all members before; a pair of several buckets is of the least
+        if hub in (node[x], node[y]) or min(buckets[x] & buckets[y]) != bucket:
+            continue
+        rx, ry = find(comp[x]), find(comp[y])
+        if rx != ry and alike(sets[x], sets[y], cfg.threshold):
+            root[rx] = ry
+            out.append((comp[x], comp[y]))
     return out
 
 
-def links(units: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(a, b) of rows (g, i, j, block, doc, sig, items): units are runs of equal (g, i, j)
-    within sorted partitions."""
-    kind = units.schema["doc"].dataType.simpleString()
-    doc_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+def cross_links(members: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b): links between components that meet in a bucket, from comparing all pairs of
+    different components there.  ``members``: bucket, hub, node, comp.
+
+    Components of many members fill blocks of their own, which never meet each other;
+    the rest share blocks by a hash.  Every pair of blocks is one unit of work."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    big = F.col("n") >= cfg.block
+    sizes = sizes.withColumn("own", F.when(big, F.ceil(F.col("n") / cfg.block)).otherwise(0).cast("int"))
+    rest = sizes.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("n")).otherwise(0)) / cfg.block).cast("int").alias("rest"), F.sum("own").cast("int").alias("owns"), F.count("*").alias("comps"))
+    rest = materialise(rest.where("comps > 1").withColumn("blocks", F.col("rest") + F.col("owns")), "blocks")
+    # the few components with blocks of their own are numbered along, bucket by bucket
+    before = F.sum("own").over(Window.partitionBy("bucket").orderBy("comp")) - F.col("own")
+    large = materialise(sizes.where("own > 0").select("bucket", "comp", "own", before.cast("int").alias("first")), "large")
+    # buckets of the same members are one: the least of them stands for all
+    same = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"))
+    kept = materialise(same.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket"), "kept")
+    chosen = members.join(kept, "bucket", "left_semi").join(rest.select("bucket", "rest", "blocks"), "bucket").join(large, ["bucket", "comp"], "left")
+    chosen = materialise(chosen, "chosen")
+    shared = chosen.groupBy("node").agg(F.collect_list("bucket").alias("shared"))  # at most ``bands`` of them
+    first = F.col("rest") + F.col("first")
+    spread = F.xxhash64("node")
+    block = F.when(F.col("own") > 0, first + F.pmod(spread, F.col("own"))).otherwise(F.pmod(spread, F.greatest("rest", F.lit(1)))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda w: F.col("own").isNull() | (w < first) | (w >= first + F.col("own")))
+    meets = chosen.withColumn("block", block).withColumn("with", F.explode(others))
+    meets = meets.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "hub", "block", "node", "comp")
+    units = meets.join(items.join(shared, "node"), "node").select("bucket", "i", "j", "hub", "block", "node", "comp", "shared", "items")
+    units = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close() -> list[tuple]:
-            if len(held) < 2:
-                return []
-            sig = np.frombuffer(b"".join(r[2] for r in held), "<u4").reshape(len(held), -1)
-            side = np.array([r[0] != key[1] for r in held], int)
-            return _forest([r[1] for r in held], sig, [np.frombuffer(r[3], "<u4") for r in held], side, key[1] != key[2], cfg)
-
-        key, held, found = None, [], []
+        key, held = None, []
         for batch in batches:
-            for g, i, j, block, doc, sig, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, i, j) != key:
-                    found += close()
-                    key, held = (g, i, j), []
-                held.append((block, doc, sig, items))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], doc_type) for k in (0, 1)], ["a", "b"])
-                found = []
-        found += close()
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], doc_type) for k in (0, 1)], ["a", "b"])
+            found = []
+            for *at, block, node, comp, shared, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != key:
+                    if len(held) > 1:
+                        found += _forest(tuple(key), held, cfg)
+                    key, held = at, []
+                held.append((block, node, comp, shared, items))
+            yield _pairs(found)
+        yield _pairs(_forest(tuple(key), held, cfg) if len(held) > 1 else [])
 
-    return units.select("g", "i", "j", "block", "doc", "sig", "items").mapInArrow(run, f"a {kind}, b {kind}")
+    return units.mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the component's
-    smallest node.  Alternates large and small stars; each iteration is written
-    to the shared folder, and group minima are pre-aggregated, so that a hub with
-    any number of links is no hot task."""
+    smallest node.  Alternates large and small stars.  Each iteration is written to
+    the shared folder, and so are the nodes' minima: the join of a hub's many links
+    with its minimum is then one that the planner can split."""
+
     def both(e):
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -251,48 +326,73 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(state)
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
         near = both(e)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialise(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = near.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = materialise(large, "links")
         # small star: a node's smaller neighbours and itself go to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        e = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        e = materialise(e, "links")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """(doc_id, text_id, class_id), a row per distinct id: the smallest ids of equal
-    texts and of the near-duplicate class."""
+def classes(docs: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, t1, t2) of the rows, (t1, t2, text_id, node, root) of the distinct texts)."""
     sigs = materialise(signatures(docs, cfg), "signatures")
-    texts = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.min_by("sig", "doc_id").alias("sig"))
-    # rows that share an id but not a text are one document: their texts are linked
-    texts = materialise(texts, "texts")
-    rep = texts.where("sig is not null").groupBy("text_id").agg(F.min("sig").alias("sig"))
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(cfg.bands - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * cfg.rows * 4 + 1, F.lit(cfg.rows * 4)))))
-    buckets = rep.select(F.col("text_id").alias("doc"), band.alias("band", "key")).select("doc", F.xxhash64("band", "key").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("other")).where("hub != other").select("key", "hub")
-    ties = buckets.join(hubs, "key").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
-    groups = materialise(components(ties), "groups")
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / cfg.block).cast("int"))
-    dealt = groups.join(sizes, "root").select(F.col("node").alias("doc"), F.col("root").alias("g"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    source = docs.where("doc_id is not null").select("doc_id", "text")
-    own = source.join(groups.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    items = materialise(_items(own, cfg).withColumnRenamed("doc_id", "doc").join(rep.withColumnRenamed("text_id", "doc"), "doc"), "items")
-    meets = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("doc", "g", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    units = meets.join(items, "doc").repartition(shuffle_partitions(docs.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j")
-    found = materialise(links(units, cfg), "found")
-    roots = components(found)
-    named = texts.select("t1", "t2", "text_id")
-    named = named.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("class_id", F.coalesce("root", "text_id")).drop("root")
-    out = sigs.select("doc_id", "t1", "t2").join(named, ["t1", "t2"])
-    return out.groupBy("doc_id").agg(F.min("text_id").alias("text_id"), F.min("class_id").alias("class_id"))
+    texts = sigs.groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.first("buckets").alias("buckets"))
+    texts = materialise(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
+    members = texts.where("buckets is not null").select("node", F.explode("buckets").alias("bucket"))
+    hubs = materialise(members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
+    members = materialise(members.join(hubs, "bucket").select("bucket", "hub", "n", "node"), "members")
+    # one row of each text that met another, by its smallest id
+    active = texts.join(members.select("node").distinct(), "node", "left_semi").select(F.col("text_id").alias("doc_id"), "t1", "t2", "node")
+    source = docs.where("doc_id is not null").select("doc_id", *text_key(F.coalesce("text", F.lit(""))), "text")
+    own = source.join(active, ["doc_id", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
+    items = materialise(item_sets(own, cfg), "items")
+
+    def labelled(links: DataFrame, members: DataFrame) -> DataFrame:
+        roots = materialise(components(links), "roots")
+        return members.join(roots, "node", "left").select("bucket", "hub", "n", "node", F.coalesce("root", "node").alias("comp"))
+
+    links = materialise(star_links(members.where("node != hub").select("hub", "node").distinct(), items, cfg), "found")
+    members = materialise(labelled(links, members.where("n > 2")), "members")
+    before, turn = None, 0
+    while True:
+        # in large buckets, those outside the largest component meet another of its members
+        by = members.where(F.col("n") > cfg.block).groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"))
+        top = by.groupBy("bucket").agg(F.max(F.struct("k", "comp", "one")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        top = materialise(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.one").alias("one")), "top")
+        pairs = materialise(members.join(top, "bucket").where("comp != main").select(F.col("one").alias("hub"), "node").distinct(), "outside")
+        outside = pairs.count()
+        if not outside or before is not None and outside > 0.8 * before:
+            break  # what is left is not being joined by hubs
+        links = materialise(links.union(star_links(pairs, items, cfg)), "found")
+        members = materialise(labelled(links, members.drop("comp")), "members")
+        before, turn = outside, turn + 1
+    links = links.union(materialise(cross_links(members, items, cfg), "found"))
+    roots = components(links)
+    named = texts.join(roots, "node", "left").select("t1", "t2", "text_id", "node", F.coalesce("root", "node").alias("root"))
+    return sigs.select("doc_id", "t1", "t2"), materialise(named, "named")
+
+
+def near_duplicates(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
+    """(doc_id, text_id, class_id), a row per distinct id and text: the smallest ids of
+    equal texts and of the near-duplicate class."""
+    rows, named = classes(docs, cfg)
+    least = materialise(named.groupBy("root").agg(F.min("text_id").alias("class_id")), "classes")
+    named = materialise(named.join(least, "root").select("t1", "t2", "text_id", "class_id"), "named")
+    return rows.distinct().join(named, ["t1", "t2"]).select("doc_id", "text_id", "class_id")
 
 
 def deduplicate(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
-    """``docs`` with one document of each class, the one of the smallest id; rows with
-    a null id stay."""
-    keep = near_duplicates(docs, cfg).where("doc_id = class_id").select(F.col("doc_id").alias("__keep"))
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.where("doc_id is not null").join(keep, F.col("doc_id") == F.col("__keep")).withColumn("__n", one).where("__n = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    """``docs`` with one row of each class, the one of the smallest id (of several texts
+    of that id in the class, the one of the smallest hash); rows with a null id stay."""
+    _, named = classes(docs, cfg)
+    keep = named.groupBy("root").agg(F.min(F.struct("text_id", "t1", "t2")).alias("k")).select(F.col("k.text_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
+    keep = materialise(keep, "keep")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    known = docs.where("doc_id is not null").withColumns(dict(zip(("__a", "__b"), text_key(text), strict=True)))
+    wordless = (F.col("__t1") == 0) & (F.col("__t2") == 0)  # the one class whose texts may differ
+    same = (F.col("__a") == F.col("__t1")) & (F.col("__b") == F.col("__t2"))
+    met = known.join(keep, (F.col("doc_id") == F.col("__id")) & (same | wordless & ~text.rlike(WORD)))
+    one = F.row_number().over(Window.partitionBy("__id", "__t1", "__t2").orderBy("__a", "__b"))
+    return met.withColumn("__n", one).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -76,14 +76,25 @@ def test_language(docs, clashing, none):
 
 def test_near_dedup(docs, clashing, none):
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates(clashing).collect()}
-    assert got[9] == got[1] == 1 and got[5] == 5 and got[2] == got[3] and got[8] not in (2, 3) and None not in got
+    assert got[9] == got[1] == 1 and got[5] == 5 and got[2] == got[3] == got[8] == 2 and None not in got
     kept = deduplicate(clashing)
     assert kept.columns == clashing.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, i) for i in (1, 2, 4, 5, 7, 8)]
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 2, 4, 5, 7]
     assert kept.where("doc_id is null").count() == 1
     assert near_duplicates(none).count() == 0 and deduplicate(none).count() == 0
 
 
+def test_near_dedup_keeps_every_text_of_an_id(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "red green blue black white grey brown pink gold silver bronze violet"
+    rows = [(3, a), (7, a), (7, b), (9, b), (11, b + " orange"), (12, None), (13, "\x1c\u2003"), (13, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["text_id"], r["class_id"]) for r in near_duplicates(docs).collect()}
+    assert got == {(3, 3, 3), (7, 3, 3), (7, 7, 7), (9, 7, 7), (11, 11, 7), (12, 12, 12), (13, 12, 12)}
+    assert sorted((r["doc_id"], r["text"]) for r in deduplicate(docs).collect() if r["text"]) == [(3, a), (7, b)]
+    one = deduplicate(docs.where("doc_id = 13")).collect()
+    assert len(one) == 1 and one[0]["doc_id"] == 13
+
+
 def test_packing(docs, clashing, none):
     cfg = PackingConfig(vocabulary=BPE, length=64)
     got = pack(clashing, cfg).collect()

@@ -14,7 +14,7 @@ from orrery.llm import queries as Q
 from orrery.llm.html_text import TRAINING, main_text
 from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, load_pieces
 from orrery.llm.mixing import MixingConfig, mix
-from orrery.llm.near_dedup import Darts, components
+from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicates
 from orrery.llm.packing import Encoder
 from orrery.llm.toxicity import Network, ToxicityConfig
 
@@ -45,24 +45,52 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_duplicates_against_all_pairs(spark, sf_dir, docs):
+def classes_of_all_pairs(texts: dict[int, str | None]) -> dict[int, int]:
+    """Each document's class, from comparing all pairs that share a shingle."""
     bags = {}
-    for i, r in docs.items():
-        w = (r["text"] or "").lower().split()
+    for i, t in texts.items():
+        w = (t or "").lower().split()
         bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
-    root = {i: i for i in bags}
+    root, holders = {i: i for i in bags}, {}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in itertools.combinations(sorted(bags), 2):
-        if bags[a].keys() & bags[b].keys() and (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
+    for i, bag in bags.items():
+        for shingle in bag or [()]:
+            holders.setdefault(shingle, []).append(i)
+    for a, b in {p for own in holders.values() for p in itertools.combinations(sorted(own), 2)}:
+        if find(a) != find(b) and (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total():
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    got = {r["doc_id"]: r["class_id"] for r in Q.op2_minhash_dedup(spark, sf_dir).collect()}
-    assert got == {i: find(i) for i in bags}
+    return {i: find(i) for i in bags}
+
+
+def test_near_duplicates_against_all_pairs(spark, sf_dir):
+    for d in (sf_dir, sf_dir.replace("0.001", "0.01")):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+        got = {r["doc_id"]: r["class_id"] for r in Q.op2_minhash_dedup(spark, d).collect()}
+        assert got == classes_of_all_pairs(texts)
+
+
+def test_near_duplicates_in_one_large_bucket(spark):
+    """Chains, stars and strangers that share a passage: more of them than a block holds."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    shared = list(rng.choice(words, 60))
+    texts = {}
+    for g in range(12):
+        base = shared + list(rng.choice(words, 25))
+        for k in range(40):
+            own = list(base)
+            for _ in range(k % 4):
+                own[int(rng.integers(60, 85))] = f"x{g}_{k}_{int(rng.integers(9))}"
+            texts[len(texts)] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, DedupConfig(block=16, chunk=8)).collect()}
+    assert got == classes_of_all_pairs(texts)
 
 
 def test_encoder_equals_tokenizers(docs):
