@@ -1,13 +1,18 @@
 """Main text of web pages by shallow text features and a small decision tree.
 
 A page's html becomes a flat sequence of text blocks (cut at block-level tags).
-Each block carries its word count and link density, and those of its neighbours
-within the page, plus what surrounds it: whether it stands in an article, in a
-heading, or in a container whose tag, role, class or id speaks of menus, page
-heads and feet, sidebars, notices, adverts, forms or readers' comments.  A
-decision tree, trained on the small labelled table of ``TRAINING`` (pages
-written for the purpose, their main blocks marked), decides block by block.
-Scripts, styles and other unshown content never become text.
+Each block carries its word count and link density and those of its neighbours, its
+place in the page, and what its markup says: a heading or list item, inside an
+article, inside an element that HTML means for something else (menus, page heads and
+feet, asides, forms), and a hint from the names of its containers.  A decision tree,
+trained on the labelled table that ``labelled_pages`` writes out (main blocks are
+marked there), decides block by block.  Scripts, styles and other unshown content
+never become text.
+
+Names are read as English compounds: the last word of a class or id that is not a
+general one (``list``, ``box``) names the thing, so that ``comment-list`` is about
+comments, while ``has-sidebar``, ``page-with-menu`` and ``related-work`` say nothing.
+Only containers' names count, not those of headings and paragraphs.
 
 Results at the edges: a null or empty html, or one without a main block, has the
 empty text; white space inside a block becomes one space; blocks are joined by
@@ -19,10 +24,12 @@ an output are replaced.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,21 +45,28 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEM = frozenset("li dt dd".split())
 BESIDE = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset("article main".split())
-#: Words of a class, id or role that name what is not the article.
-BESIDE_WORDS = frozenset(
-    """nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot colophon sidebar side aside rail widget
-    ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert
+CONTAINER = frozenset("div section ul ol dl table tbody tr td article aside nav header footer form span center details figure".split())
+#: What a container's name may name besides the article, and the article itself.
+BESIDE_NAMES = frozenset(
+    """nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer foot colophon sidebar aside rail widget widgets
+    ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices
     newsletter subscribe subscription signup login signin register form search searchbox comment comments disqus replies reply respond
-    related recommended recommendations share sharing social follow tags tagcloud popup modal overlay dialog pagination pager copyright legal
-    disclaimer toolbar skip complementary contentinfo teaser outbrain taboola paywall feedback""".split()
+    related recommended recommendations share sharing social follow tagcloud popup modal overlay dialog pagination pager copyright legal
+    disclaimer toolbar complementary contentinfo teaser teasers taboola outbrain paywall feedback""".split()
 )
-MAIN_WORDS = frozenset("article articlebody post entry story content main maincontent body postcontent entrycontent text".split())
+MAIN_NAMES = frozenset("article main post entry story content".split())
+#: Last words of names that do not name the thing itself, and words at either end that speak of a page's layout.
+GENERAL = frozenset("list item items box block area section container wrapper wrap inner outer slot unit bar links link buttons button text body content contents posts post stories articles panel group row column col left right top bottom thread".split())
+LAYOUT = frozenset("has no with without is not hide show layout theme grid template".split())
+#: Words of a heading over readers' comments.
+COMMENTS = frozenset("comment comments reply replies response responses kommentar kommentare antworten commentaire commentaires réponses comentario comentarios respuestas".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|([^<]+|<)", re.S)
-NAMED = re.compile(r"(class|id|role|aria-label|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Elements whose content is raw, and the patterns of their ends.
@@ -62,35 +76,54 @@ IMPLIED = {"p": ("p",), "li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p",
 IMPLIED_NOT = frozenset("html head body".split())
 
 #: Features of a block, in order.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "beside", "main", "heading", "page_has_main")
-
-
-def _context(tag: str, attributes: str) -> tuple[bool, bool, bool, bool]:
-    """(beside, head, main, hidden) of an element by its tag and attributes."""
-    beside, head, main, hidden = tag in BESIDE and tag != "header", tag == "header", tag in MAIN, False
-    if attributes:
-        for m in NAMED.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                hidden = True
-            elif name == "style":
-                hidden |= bool(HIDDEN.search(value))
-            else:
-                parts = {p.lower() for p in PART.findall(value)} | {re.sub(r"[^a-z]", "", w.lower()) for w in value.split()}
-                beside |= bool(parts & BESIDE_WORDS - {"header"})
-                head |= "header" in parts
-                main |= bool(parts & MAIN_WORDS)
-    return beside, head, main, hidden
-
-
-def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link density, beside, main, heading) of every text block, in page order."""
-    out: list[tuple[str, float, bool, bool, bool]] = []
+FEATURES = (
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "words_before2", "words_after2", "around", "place", "from_end",
+    "heading", "item", "main", "beside", "hint", "page_has_main", "after_comments", "rights",
+)
+
+
+class Block(NamedTuple):
+    text: str
+    density: float = 0.0
+    heading: bool = False
+    item: bool = False
+    main: bool = False
+    beside: bool = False
+    hint: int = 0
+
+
+def name_hint(name: str) -> int:
+    """-1: the name speaks of something beside the article, 1: of the article, 0: neither."""
+    parts = [p.lower() for p in PART.findall(name)]
+    if not parts or parts[0] in LAYOUT or parts[-1] in LAYOUT | {"page", "site"} or {"with", "without"} & set(parts):
+        return 0
+    while len(parts) > 1 and parts[-1] in GENERAL:
+        parts.pop()
+    return -1 if parts[-1] in BESIDE_NAMES else 1 if parts[-1] in MAIN_NAMES else 0
+
+
+def _context(tag: str, attributes: str) -> tuple[bool, int]:
+    """(hidden, hint) of an element by its attributes."""
+    hidden, hints = False, set()
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name == "style":
+            hidden |= bool(HIDDEN.search(value))
+        elif name in ("class", "id", "role") and tag in CONTAINER:
+            hints.update(name_hint(v) for v in value.split())
+    return hidden, -1 if -1 in hints else 1 if 1 in hints else 0
+
+
+def blocks(html: str | None) -> list[Block]:
+    """Every text block, in page order."""
+    out: list[Block] = []
     if not html:
         return out
     text: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, beside, main, heading, unshown
-    outside = ("", False, False, False, False)
+    stack: list[tuple[str, Block, bool]] = []  # tag, what its blocks have, unshown
+    outside = ("", Block(""), False)
     linked, in_link, raw = 0, False, ""
 
     def close() -> None:
@@ -98,8 +131,7 @@ def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
-            _, beside, main, heading, _ = stack[-1] if stack else outside
-            out.append((words, min(1.0, linked / len(words)), beside, main, heading))
+            out.append((stack[-1] if stack else outside)[1]._replace(text=words, density=min(1.0, linked / len(words))))
         linked = 0
 
     at, n = 0, len(html)
@@ -113,7 +145,7 @@ def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
             break
         at = m.end()
         if m[4] is not None:
-            if not (stack and stack[-1][4]):
+            if not (stack and stack[-1][2]):
                 shown = unescape(m[4])
                 text.append(shown)
                 if in_link:
@@ -140,57 +172,167 @@ def blocks(html: str | None) -> list[tuple[str, float, bool, bool, bool]]:
             stack.clear()  # a head left open ends here
         while stack and stack[-1][0] in IMPLIED.get(tag, ("p",) if tag not in IMPLIED_NOT else ()):
             stack.pop()  # end tags that may be left out
-        beside, head, main, hidden = _context(tag, m[3] or "")
-        _, b, a, h, u = stack[-1] if stack else outside
-        # an article's own head is part of it, and a whole page is never beside itself
-        b |= (beside or head and not (a or main)) and tag not in ("html", "body")
-        stack.append((tag, b, (a or main) and not b, h or tag in HEADING, u or hidden or tag in UNSHOWN))
+        hidden, hint = _context(tag, m[3] or "")
+        _, up, unshown = stack[-1] if stack else outside
+        if tag in ("html", "body"):
+            hint = 0  # a whole page is never beside itself
+        # an article's own head is part of it; a page has one main element, whatever contains it
+        beside = up.beside or tag in BESIDE and not (tag == "header" and up.main)
+        if tag == "header" and up.main:
+            hint = 0
+        hint = up.hint if up.hint < 0 and tag != "main" or not hint else hint
+        main = (up.main or tag in MAIN) and not beside and hint >= 0
+        own = Block("", 0.0, up.heading or tag in HEADING, up.item or tag in ITEM, main, beside, 1 if tag == "main" else hint)
+        stack.append((tag, own, unshown or hidden or tag in UNSHOWN))
     close()
     return out
 
 
-def features(found: list[tuple[str, float, bool, bool, bool]]) -> np.ndarray:
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    """x of the block ``by`` places on, 0 beyond the page."""
+    out = np.zeros_like(x)
+    if by > 0:
+        out[:-by] = x[by:]
+    else:
+        out[-by:] = x[:by]
+    return out
+
+
+def _about_comments(block: Block) -> bool:
+    words = [w for w in re.findall(r"[^\W\d_]+", block.text.lower())]
+    return 0 < len(words) <= 4 and bool(COMMENTS & set(words))
+
+
+def _rights(text: str) -> bool:
+    low = text[:300].lower()
+    return "©" in low or low.startswith("copyright") or "all rights reserved" in low
+
+
+def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     if not n:
         return x
-    words, density = np.array([len(b[0].split()) for b in found], float), np.array([b[1] for b in found])
+    words, density = np.array([len(b.text.split()) for b in found], float), np.array([b.density for b in found])
+    plain = np.where(density < 0.5, words, 0)
     x[:, 0], x[:, 1] = words, density
-    x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
-    x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-    x[:, 6:9] = [b[2:5] for b in found]
-    x[:, 9] = any(b[3] for b in found)
+    for k, by in enumerate((-1, 1)):
+        x[:, 2 + 2 * k], x[:, 3 + 2 * k] = _shifted(words, by), _shifted(density, by)
+        x[:, 6 + k] = _shifted(words, 2 * by)
+    x[:, 8] = sum(_shifted(plain, by) for by in (-2, -1, 1, 2))
+    x[:, 9], x[:, 10] = np.round(np.arange(n) / max(1, n - 1), 2), np.minimum(np.arange(n)[::-1], 20)
+    x[:, 11:16] = [(b.heading, b.item, b.main, b.beside, b.hint) for b in found]
+    x[:, 16] = any(b.main for b in found)
+    x[:, 17] = np.cumsum([_about_comments(b) for b in found]) > 0
+    x[:, 18] = [w <= 60 and _rights(b.text) for w, b in zip(words, found, strict=True)]
     return x
 
 
-# The labelled table: (html, the texts of the main blocks).
-_NAV = "<nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/c'>Contact us</a></li></ul></nav>"
-_LINKS = "<div><a href='/1'>Latest stories</a> <a href='/2'>Sports results</a> <a href='/3'>Weather and traffic</a></div>"
-_LONG = "The council met on Tuesday evening to discuss the new bridge, and after three hours of debate the members agreed to send the plan back to the engineers for a second look at the cost."
-_MORE = "Residents who spoke at the meeting asked for a footpath on the eastern side. Several of them said that the current crossing is too narrow for two people to pass, let alone a bicycle."
-_FOOT = "<footer>&copy; 2020 The Daily Example. All rights reserved. Terms and conditions apply to all use of this site.</footer>"
-TRAINING: list[tuple[str, list[str]]] = [
-    (f"<body>{_NAV}<article><h1>Bridge plan sent back</h1><p>{_LONG}</p><p>Not yet.</p><p>{_MORE}</p></article>{_FOOT}</body>", ["Bridge plan sent back", _LONG, "Not yet.", _MORE]),
-    (f"<body>{_LINKS}<div class='content'><h2>Second look</h2><p>{_MORE}</p><p>Short line.</p><ul><li>One point</li><li>Another point</li></ul></div><div class='sidebar'><p>{_LONG}</p></div></body>", ["Second look", _MORE, "Short line.", "One point", "Another point"]),
-    (f"<body><div id='cookie-notice'>We use cookies to make this site work and to learn how it is used. By going on you agree to that.</div><main><p>{_LONG}</p><p>See <a href='/x'>the report</a> for the figures that were used.</p></main><div class='comments'><p>{_MORE}</p><p>Well said!</p></div></body>", [_LONG, "See the report for the figures that were used."]),
-    (f"<body><div>{_LONG}</div><div>{_MORE}</div>{_LINKS}<div>Share</div></body>", [_LONG, _MORE]),
-    (f"<body>{_LINKS}<table><tr><td>{_LONG}</td></tr><tr><td>{_MORE}</td></tr></table><p><a href='/next'>Next page</a></p><p>Print</p></body>", [_LONG, _MORE]),
-    (f"<body><header><p>The Daily Example, your paper for everything that happens in town and around it since 1890</p></header><article><p>{_MORE}</p><div class='ad'>Buy two and get the third one free, only this week in all of our shops in the centre of town.</div><p>{_LONG}</p><form><label>Your mail</label> Sign up for our weekly letter with the best of the paper</form></article>{_FOOT}</body>", [_MORE, _LONG]),
-    (f"<body><aside><p>{_MORE}</p></aside><article><h1>Short</h1><p>Yes.</p><p><a href='/a'>A linked line of the article itself</a></p></article><aside>{_LONG}</aside></body>", ["Short", "Yes.", "A linked line of the article itself"]),
-    (f"<body><h1>A page without containers</h1><p>{_LONG}</p><p>A short one between.</p><p>{_MORE}</p><p><a href='/p'>Privacy</a> <a href='/t'>Terms</a></p></body>", ["A page without containers", _LONG, "A short one between.", _MORE]),
-    ("<body><article><p>Only this.</p></article></body>", ["Only this."]),
-    (f"<body>{_NAV}<article><h1>Floods</h1><p>{_LONG}</p><p><a href='/map'>A map of all the places</a></p><p>Beware.</p></article></body>", ["Floods", _LONG, "A map of all the places", "Beware."]),
-    (f"<body>{_NAV}<main><h2>Opinion</h2><p>No.</p><p>{_MORE}</p></main>{_FOOT}</body>", ["Opinion", "No.", _MORE]),
-    (f"<body><p>{_LONG}</p></body>", [_LONG]),
-    (f"<body><div class='menu'>Home News Contact About the paper and its people</div><p>Just one line here.</p><p>{_MORE}</p><div class='related'>You may also like these other stories from our town and the villages around it</div></body>", ["Just one line here.", _MORE]),
-    (f"<body><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul><p>{_LONG}</p><p>{_MORE}</p><ul><li><a href='/3'>Three</a></li></ul></body>", [_LONG, _MORE]),
-]
+# ---- the labelled table ---------------------------------------------------------------
+MARK = "\u2063"  # stands before the text of a main block
+_SENTENCES = (
+    "The council met on Tuesday evening to discuss the new bridge",
+    "after three hours of debate the members agreed to send the plan back to the engineers",
+    "Residents who spoke at the meeting asked for a footpath on the eastern side",
+    "several of them said that the current crossing is too narrow for two people to pass",
+    "Snow fell on the hills above the town for the first time this winter",
+    "farmers brought their sheep down to the lower fields before the roads were closed",
+    "The museum has bought a small landscape that was thought to be lost",
+    "it was found behind a cupboard when the old library was painted",
+    "Trains will run every ten minutes once the second track is finished",
+    "the work is to cost less than was feared and to take a year longer",
+    "Researchers measured the water of the lake at forty places",
+    "they found fewer weeds than ten years ago and more of the small green mussels",
+)
+_TITLES = ("Bridge plan sent back", "Snow on the hills", "A lost picture", "Ten minutes", "The lake is clearer than it was", "Opinion")
+_CHROME = ("Home", "News", "Contact us", "About the paper", "Sports results", "Weather and traffic", "Print", "Latest stories from our town")
+
+
+def labelled_pages(pages: int = 300, seed: int = 4) -> list[str]:
+    """Pages whose main blocks begin with ``MARK``: combinations of articles with the
+    things that surround them, with telling tags, with telling names, with neither."""
+    rng = random.Random(seed)
+    pick, chance = rng.choice, rng.random
+
+    def prose(least: int, most: int) -> str:
+        n, words = rng.randint(least, most), []
+        while len(words) < n:
+            words += pick(_SENTENCES).split()
+        return " ".join(words[:n]) + "."
+
+    def link(text: str) -> str:
+        return f"<a href='/{rng.randint(1, 99)}'>{text}</a>"
+
+    def article(own: bool) -> str:
+        """``own``: the markup says what the article is, so that any words may be part of it."""
+        parts = [f"<h1>{MARK}{pick(_TITLES)}</h1>"] if chance() < 0.8 else []
+        for _ in range(rng.randint(2, 7)):
+            kind = chance()
+            if kind < 0.55:
+                words = prose(8, 70).split()
+                if chance() < 0.3:
+                    at = rng.randrange(len(words))
+                    words[at] = link(words[at])
+                parts.append(f"<p>{MARK}{' '.join(words)}</p>")
+            elif kind < 0.7:
+                parts.append(f"<p>{MARK}{prose(1, 6)}</p>")
+            elif kind < 0.78:
+                parts.append(f"<ul><li>{MARK}{prose(2, 6)}</li><li>{MARK}{prose(2, 9)}</li></ul>")
+            elif kind < 0.86:
+                parts.append(f"<h2>{MARK}{pick(_TITLES)}</h2><p>{MARK}{prose(15, 50)}</p>")
+            elif kind < 0.93:
+                parts.append(f"<blockquote>{MARK}{prose(8, 30)}</blockquote>")
+            else:
+                parts.append(f"<p>{link(MARK + prose(4, 9))}</p><p>{MARK}{prose(10, 40)}</p>")
+        if own and chance() < 0.4:
+            parts.append(f"<p>{MARK}{pick(['All rights reserved.', '© 2018 by the author.', 'Comments'])}</p>")
+        return "".join(parts)
+
+    def links() -> str:
+        own = [link(c) for c in rng.sample(_CHROME, rng.randint(2, 6))]
+        return "<ul>" + "".join(f"<li>{c}</li>" for c in own) + "</ul>" if chance() < 0.5 else " ".join(own)
+
+    def comments() -> str:
+        return "".join(f"<div><p>{link('Ann')} said</p><p>{prose(2, 40)}</p></div>" for _ in range(rng.randint(1, 3)))
+
+    styles = {
+        "tags": {
+            "head": lambda: f"<header><p>{prose(3, 20)}</p></header><nav>{links()}</nav>", "main": lambda: pick(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<article><header>{}</header></article>"]),
+            "ad": lambda: pick(["<aside>{}</aside>", "<div class='ad'>{}</div>", "<aside><p>{}</p></aside>"]).format(prose(4, 40) if chance() < 0.7 else links()), "form": lambda: f"<form><label>{prose(1, 4)}</label> {prose(3, 15)}</form>",
+            "comments": lambda: f"<section class='comments'><h3>Comments</h3>{comments()}</section>", "foot": lambda: f"<footer>&copy; 2020 {prose(2, 20)}</footer>",
+        },
+        "names": {
+            "head": lambda: f"<div class='masthead'>{prose(2, 15)}</div><div id='menu'>{links()}</div>", "main": lambda: pick(["<div class='post-content'>{}</div>", "<div id='main' class='no-sidebar content'>{}</div>", "<div class='post has-sidebar'>{}</div>", "<div class='wide'>{}</div>"]),
+            "ad": lambda: pick(["<div class='sidebar'><p>{}</p></div>", "<div class='ad-slot'>{}</div>", "<div id='cookie-notice'>{}</div>", "<div class='related-posts'>{}</div>"]).format(prose(4, 40) if chance() < 0.7 else links()), "form": lambda: f"<div class='newsletter-box'><p>{prose(4, 20)}</p></div>",
+            "comments": lambda: f"<div id='comments'><h3>2 Comments</h3>{comments()}</div>", "foot": lambda: f"<div class='footer'>{prose(3, 25)}</div>",
+        },
+        "neither": {
+            "head": lambda: f"<div>{links()}</div>", "main": lambda: pick(["<div>{}</div>", "<table><tr><td>{}</td></tr></table>", "{}"]),
+            "ad": lambda: f"<div>{links()}</div>", "form": lambda: f"<form>{prose(2, 15)}</form>",
+            "comments": lambda: f"<h3>{pick(['3 comments', 'Comments', 'Readers’ comments'])}</h3>{comments()}", "foot": lambda: f"<div>{pick(['© 2021 ', 'Copyright 2019 '])}{prose(2, 20)}</div><p>{link('Privacy')} {link('Terms')}</p>",
+        },
+    }
+    out = []
+    for k in range(pages):
+        s = styles[("tags", "names", "neither")[k % 3]]
+        body = s["head"]() if chance() < 0.8 else ""
+        body += s["ad"]() if chance() < 0.5 else ""
+        frame = s["main"]()
+        inner = article("wide" not in frame and k % 3 < 2)
+        if chance() < 0.3 and k % 3 < 2:  # something else in the middle of the article
+            cut = inner.index("</p>") + 4 if "</p>" in inner else 0
+            inner = inner[:cut] + (s["ad"]() if chance() < 0.6 else s["form"]()) + inner[cut:]
+        body += frame.format(inner)
+        for part, share in (("ad", 0.4), ("form", 0.3), ("comments", 0.5), ("foot", 0.8)):
+            body += s[part]() if chance() < share else ""
+        out.append(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    return out
 
 
 class Tree:
     """A binary decision tree by Gini impurity."""
 
-    def __init__(self, depth: int = 6, least: int = 1):
+    def __init__(self, depth: int = 10, least: int = 6):
         self.depth, self.least, self.root = depth, least, 0.0
 
     @staticmethod
@@ -237,24 +379,24 @@ class Tree:
         return out >= 0.5
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+def labelled_blocks(pages: list[str]) -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
-    for html, main in TRAINING:
+    for html in pages:
         found = blocks(html)
-        x.append(features(found))
-        y += [b[0] in main and not b[2] for b in found]
+        y += [b.text.startswith(MARK) for b in found]
+        x.append(features([b._replace(text=b.text.replace(MARK, "")) for b in found]))
     return np.concatenate(x), np.array(y)
 
 
 @lru_cache(1)
 def default_tree() -> Tree:
-    return Tree().fit(*labelled_blocks())
+    return Tree().fit(*labelled_blocks(labelled_pages()))
 
 
 def main_text(html: str | None, tree: Tree | None = None) -> str:
     found = blocks(html)
     keep = (tree or default_tree()).predict(features(found))
-    return " ".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
