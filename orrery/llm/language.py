@@ -6,7 +6,15 @@ pieces, of the products of the pieces' probabilities; a forward algorithm sums
 them.  A text's log probability is the sum over its words (a piece never reaches
 over white space, so the sum over a text's segmentations factors at words).
 The piece probabilities are fitted by expectation maximisation with the same
-sums (forward-backward), so that no single segmentation is ever chosen.
+sums (forward-backward), so that no single segmentation is ever chosen.  Words of any
+length are learned from, as languages written without spaces have nothing else; those
+of over ``fit_chars`` characters in parts of that size.  Short words are summed side by
+side, longer ones by logarithms, so that nothing underflows.
+
+``score`` compares the learned languages with each other only.  ``surprise``, the text's
+negative log probability a character in its language, says whether the text is in any of
+them: ``model.surprise_limit`` lies as far above the worst sampled document as that lies
+above the median.
 
 Results at the edges: a null text or one without any letter is ``und`` with
 score 0; a text of any length is read to its end; ties go to the language that
@@ -18,7 +26,7 @@ are replaced.  Equal texts get equal results.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -41,14 +49,19 @@ class LanguageConfig:
     #: Documents of each language that are learned from, at most; and characters in all.
     sample_per_lang: int = 200
     sample_chars: int = 3_000_000
-    #: Languages that can be learned, the most frequent ones.
-    max_langs: int = 64
+    #: More distinct values of the language column than this are refused, not cut off: every
+    #: language costs a number for each piece, and a mistaken column must not flood the driver.
+    max_langs: int = 1000
     rounds: int = 4
     smoothing: float = 0.05
     #: Probability of a character that no piece covers.
     unknown: float = 1e-7
-    #: Words up to this length are summed side by side, longer ones one by one.
+    #: Words up to this length are summed side by side as they are, longer ones by logarithms;
+    #: beyond ``fit_chars`` character by character, in memory of the longest piece's size.
     vector_chars: int = 48
+    fit_chars: int = 2048
+    #: Characters of longer words that are summed at once.
+    long_batch: int = 50_000
     #: Words kept with their sums by each Python worker.
     cache: int = 400_000
     holdout_mod: int = 5
@@ -103,6 +116,7 @@ class LanguageModel:
     def __init__(self, cfg: LanguageConfig, langs: list[str], pieces: list[str]):
         self.cfg, self.langs, self.pieces = cfg, langs, pieces
         self.prob: np.ndarray | None = None  # (pieces + 1, langs), scaled by SCALE ** length
+        self.surprise_limit = float("inf")
         self._seg: Segmenter | None = None
         self._cache: dict[str, int] = {}
         self._rows = np.zeros((0, len(langs)))
@@ -136,6 +150,48 @@ class LanguageModel:
                 self._add(alpha[j], word[at], alpha[start[at], word[at]] * prob[piece[at]])
         return alpha
 
+    def _forward_logs(self, words: list[str], edges, logs: np.ndarray) -> np.ndarray:
+        """As ``_forward``, of logarithms: (places, words, langs)."""
+        word, start, end, piece = edges
+        longest = max(map(len, words))
+        alpha = np.full((longest + 1, len(words), logs.shape[1]), -np.inf)
+        alpha[0] = 0
+        cut = np.searchsorted(end, np.arange(1, longest + 2))
+        for j in range(1, longest + 1):
+            at = slice(cut[j - 1], cut[j])
+            if at.start < at.stop:
+                own = word[at]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                alpha[j, own[first]] = np.logaddexp.reduceat(alpha[start[at], own] + logs[piece[at]], first)
+        return alpha
+
+    def _backward_logs(self, words: list[str], edges, logs: np.ndarray) -> np.ndarray:
+        word, start, end, piece = edges
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        longest = int(size.max())
+        beta = np.full((longest + 1, len(words), logs.shape[1]), -np.inf)
+        beta[size, np.arange(len(words))] = 0
+        order = np.lexsort((word, start))
+        cut = np.searchsorted(start[order], np.arange(longest + 1))
+        for j in range(longest - 1, -1, -1):
+            at = order[cut[j] : cut[j + 1]]
+            if len(at):
+                own = word[at]
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                beta[j, own[first]] = np.logaddexp.reduceat(beta[end[at], own] + logs[piece[at]], first)
+        return beta
+
+    def _batches(self, words: list[str], own: np.ndarray) -> list[np.ndarray]:
+        """The words ``own`` by length, in batches of ``long_batch`` characters' places."""
+        size = np.array([len(words[i]) for i in own], np.int64)
+        order, out, held = own[np.argsort(size, kind="stable")], [], []
+        for i in order.tolist():
+            if held and (len(held) + 1) * len(words[i]) > self.cfg.long_batch:
+                out.append(np.array(held))
+                held = []
+            held.append(i)
+        return out + ([np.array(held)] if held else [])
+
     def _long(self, word: str) -> np.ndarray:
         """Log sum over the segmentations of one word, rescaled at each character."""
         _, start, end, piece = self.seg.edges([word])
@@ -165,17 +221,30 @@ class LanguageModel:
                 alpha = self._forward(own, self.seg.edges(own), self.prob)
                 with np.errstate(divide="ignore"):
                     out[part] = np.log(alpha[size[part], np.arange(len(part))]) - size[part, None] * np.log(self.SCALE)
-        for i in np.flatnonzero((size > self.cfg.vector_chars)):
+        logs = None
+        for part in self._batches(words, np.flatnonzero((size > self.cfg.vector_chars) & (size <= self.cfg.fit_chars))):
+            if logs is None:
+                with np.errstate(divide="ignore"):
+                    logs = np.log(self.prob) - self.seg.length[:, None] * np.log(self.SCALE)
+            own = [words[i] for i in part]
+            out[part] = self._forward_logs(own, self.seg.edges(own), logs)[size[part], np.arange(len(part))]
+        for i in np.flatnonzero(size > self.cfg.fit_chars):
             out[i] = self._long(words[i])
         return out
 
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text's words as they are learned from: with their edge, and cut if too long."""
+        for w in text.lower().split():
+            w, most = EDGE + w, self.cfg.fit_chars
+            yield from (w[i : i + most] for i in range(0, len(w), most)) if len(w) > most else (w,)
+
     def fit(self, texts: list[str], labels: np.ndarray) -> LanguageModel:
         n = len(self.langs)
         number: dict[str, int] = {}
         weight = np.zeros((0, n))
         for text, y in zip(texts, labels, strict=True):
-            own = Counter(w for w in text.lower().split() if len(w) < self.cfg.vector_chars)
-            at = np.fromiter((number.setdefault(EDGE + w, len(number)) for w in own), np.int64, len(own))
+            own = Counter(self._parts(text))
+            at = np.fromiter((number.setdefault(w, len(number)) for w in own), np.int64, len(own))
             if len(number) > len(weight):
                 weight = np.concatenate([weight, np.zeros((max(len(number), len(weight)), n))])
             weight[at, y] += np.fromiter(own.values(), float, len(own))
@@ -187,7 +256,9 @@ class LanguageModel:
         prob[-1] = self.cfg.unknown
         scale = self.SCALE ** length[:, None]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        parts = [p for p in np.array_split(np.arange(len(words)), max(1, len(words) // 5_000)) if len(p)]
+        short = np.flatnonzero(size <= self.cfg.vector_chars)
+        parts = [p for p in np.array_split(short, max(1, len(short) // 5_000)) if len(p)]
+        long = self._batches(words, np.flatnonzero(size > self.cfg.vector_chars))
         for _ in range(self.cfg.rounds if words else 0):
             seen = np.full((self.seg.n + 1, n), self.cfg.smoothing)
             for part in parts:
@@ -206,45 +277,69 @@ class LanguageModel:
                 use = alpha[start, word] * (prob * scale)[piece] * beta[end, word] / total[word] * weight[part][word]
                 for lang in range(n):
                     seen[:, lang] += np.bincount(piece, use[:, lang], self.seg.n + 1)
+            with np.errstate(divide="ignore"):
+                logs = np.log(prob)
+            for part in long:
+                own = [words[i] for i in part]
+                word, start, end, piece = edges = self.seg.edges(own)
+                alpha, beta = self._forward_logs(own, edges, logs), self._backward_logs(own, edges, logs)
+                total = np.maximum(alpha[size[part], np.arange(len(part))], -1e300)
+                for lang in range(n):
+                    use = np.exp(np.minimum(alpha[start, word, lang] + logs[piece, lang] + beta[end, word, lang] - total[word, lang], 0)) * weight[part, lang][word]
+                    seen[:, lang] += np.bincount(piece, use, self.seg.n + 1)
             prob = seen / seen.sum(0)
             prob[-1] = self.cfg.unknown
         self.prob = prob * scale
+        self.surprise_limit = float("inf")
+        found = np.sort([s for i in range(0, len(texts), 64) for s in self.predict(texts[i : i + 64])[2] if s is not None])
+        if len(found):
+            self.surprise_limit = float(2 * found[-1] - found[len(found) // 2])
+        self._cache, self._rows = {}, np.zeros((0, n))
         return self
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        out, score = ["und"] * len(texts), [0.0] * len(texts)
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float | None]]:
+        """Of each text: language, posterior, surprise (None where the language is ``und``)."""
+        out, score, surprise = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
         if self.prob is None or not self.langs:
-            return out, score
+            return out, score, surprise
         split = [[EDGE + w for w in t.lower().split()] if t and LETTER.search(t) else [] for t in texts]
         used = set().union(*split)
         if len(self._cache) + len(used) > self.cfg.cache:
             self._cache, self._rows = {}, np.zeros((0, len(self.langs)))
         cache = self._cache
-        new = [w for w in used if w not in cache]
+        new = [w for w in used if w not in cache and len(w) <= self.cfg.vector_chars]
         if new:
             cache.update(zip(new, range(len(cache), len(cache) + len(new)), strict=True))
             if len(cache) > len(self._rows):
                 self._rows = np.concatenate([self._rows, np.zeros((max(len(cache), len(self._rows)), len(self.langs)))])
             self._rows[len(cache) - len(new) : len(cache)] = self.word_scores(new)
+        # long words seldom come again: they are not kept
+        once = [w for w in used if len(w) > self.cfg.vector_chars]
+        rows, number = self._rows, cache
+        if once:
+            rows = np.concatenate([rows, self.word_scores(once)])
+            number = ChainMap({w: len(self._rows) + i for i, w in enumerate(once)}, cache)
         size = np.fromiter(map(len, split), np.int64, len(split))
         read = np.flatnonzero(size)
         if not len(read):
-            return out, score
-        flat = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        total = np.add.reduceat(self._rows[flat], (np.cumsum(size) - size)[read])
+            return out, score, surprise
+        flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        total = np.add.reduceat(rows[flat], (np.cumsum(size) - size)[read])
         p = np.exp(total - total.max(1, keepdims=True))
         best = p.argmax(1)
-        for i, k, q in zip(read, best, p[np.arange(len(p)), best] / p.sum(1), strict=True):
-            out[i], score[i] = self.langs[k], float(q)
-        return out, score
+        for i, k, q, top in zip(read, best, p[np.arange(len(p)), best] / p.sum(1), total.max(1), strict=True):
+            out[i], score[i], surprise[i] = self.langs[k], float(q), float(-top) / sum(map(len, split[i]))
+        return out, score, surprise
 
 
 def fit_language(docs: DataFrame, cfg: LanguageConfig) -> LanguageModel:
-    """Fit on a bounded sample (``sample_per_lang`` documents of each of at most
-    ``max_langs`` languages, ``sample_chars`` characters) outside the held-out fold,
-    taken in the order of a hash of the ids."""
+    """Fit on a bounded sample (``sample_per_lang`` documents of each language,
+    ``sample_chars`` characters) outside the held-out fold, taken in the order of a
+    hash of the ids, language by language in turn."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(fold(F.col("doc_id"), cfg.holdout_mod) != cfg.holdout)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(cfg.max_langs).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(cfg.max_langs + 1).collect()
+    if len(counts) > cfg.max_langs:
+        raise ValueError(f"more than {cfg.max_langs} languages in the column lang")
     langs = sorted(r["lang"] for r in counts)
     model = LanguageModel(cfg, langs, load_pieces(cfg.vocabulary))
     if not langs:
@@ -268,14 +363,15 @@ def fit_language(docs: DataFrame, cfg: LanguageConfig) -> LanguageModel:
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior under equal priors."""
+    """``docs`` with ``lang_pred``, ``score`` (the posterior under equal priors) and
+    ``surprise`` (null for ``und``)."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, surprise double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score = model.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+            lang, score, surprise = model.predict(texts.tolist())
+            yield pd.DataFrame({"lang_pred": lang, "score": score, "surprise": pd.array(surprise, dtype="Float64")})
 
     made = docs.withColumn("__lang", predict(F.col(text_col)))
-    return made.withColumn("lang_pred", F.col("__lang.lang_pred")).withColumn("score", F.col("__lang.score")).drop("__lang")
+    return made.withColumns({c: F.col(f"__lang.{c}") for c in ("lang_pred", "score", "surprise")}).drop("__lang")
