@@ -15,7 +15,8 @@ Only the last sequence can be short, so padding is under one sequence in all.
 Results at the edges: a null or empty text is its end id alone, in one piece;
 texts of any length are read whole; repeated rows are packed as often as they
 occur; an empty table gives no pieces; a null id stays null; extra columns are
-ignored.  Special tokens' strings in a text count as ordinary text.
+ignored.  A text that contains the string of one of the vocabulary's added tokens has
+that token's id there, as with the ``tokenizers`` library.
 """
 
 from __future__ import annotations
@@ -57,7 +58,9 @@ class Encoder:
 
     The ids are those of ``tokenizers`` with add_special_tokens=False; the file's
     vocabulary lists its merges by id, so that the same ranks drive the faster
-    tiktoken encoder (tests hold the two against each other)."""
+    tiktoken encoder (tests hold the two against each other).  Added tokens are cut out
+    of a text first, the longest one at the leftmost place; where they have rules of their
+    own (whole words, white space at their sides) the library reads all texts itself."""
 
     def __init__(self, path: str, long_run: int):
         import re
@@ -68,9 +71,12 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = _byte_letters()
-        special = {t["content"] for t in model.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in special}
-        self.size = max(model["model"]["vocab"].values()) + 1
+        added = model.get("added_tokens") or []
+        self.added = {t["content"]: t["id"] for t in added}
+        self.mark = re.compile("(" + "|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.rules = bool(model.get("normalizer")) or any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip"))
+        ranks = {bytes(letters[c] for c in k): v for k, v in model["model"]["vocab"].items() if k not in self.added}
+        self.size = max([*model["model"]["vocab"].values(), *self.added.values()]) + 1
         self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self._sure = path, None
         self.run = re.compile(r"\S{%d}|\s{%d}" % (long_run, long_run))
@@ -82,13 +88,17 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._sure = Tokenizer.from_file(self.path)
-            self._sure.encode_special_tokens = True
         return self._sure
 
     def __call__(self, text: str) -> list[int]:
-        if len(text) >= self.long_run and self.run.search(text):
+        if self.rules or len(text) >= self.long_run and self.run.search(text):
             return self.sure.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
+        if self.mark is None or not any(c in text for c in self.added):
+            return self.fast.encode_ordinary(text)
+        out: list[int] = []
+        for k, piece in enumerate(self.mark.split(text)):  # every other piece is an added token
+            out += [self.added[piece]] if k % 2 else self.fast.encode_ordinary(piece)
+        return out
 
 
 @lru_cache(2)

@@ -2,7 +2,9 @@
 
 import hashlib
 import itertools
+import re
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import queries as Q
-from orrery.llm.html_text import TRAINING, main_text
-from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, load_pieces
+from orrery.llm.html_text import default_tree, labelled_blocks, labelled_pages, main_text
+from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, fit_language, load_pieces
 from orrery.llm.mixing import MixingConfig, mix
 from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicates
 from orrery.llm.packing import Encoder
@@ -96,21 +98,23 @@ def test_near_duplicates_in_one_large_bucket(spark):
 def test_encoder_equals_tokenizers(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     sure = Tokenizer.from_file(path)
-    sure.encode_special_tokens = True
-    encode = Encoder(path, 4000)
-    odd = ["", "a" * 5000, "\n" * 5000, "<|endoftext|>", "don't     x́ \U0001f600世", "'S 'll\t\t9_9"]
+    encode, rng = Encoder(path, 4000), np.random.default_rng(5)
+    odd = ["", "a" * 5000, "\n" * 5000, "<|endoftext|>", "a<|endoftext|><|endoftext|> b", " <|endoftext|>\n\n<|endoftext", "don't     x́ \U0001f600世", "'S 'll\t\t9_9"]
+    letters = list("ab\t\n  é世'!<|>9_") + ["<|endoftext|>", "the ", "ing"]
+    odd += ["".join(rng.choice(letters, n)) for n in (3, 30, 300, 3990, 4010, 9000) for _ in range(6)]
+    odd += [c * n + "x" for c in ("x", "é", " ", "9", "!") for n in (3999, 4000, 4001)]
     for text in [*odd, *[r["text"] for r in docs.values()][:100]]:
-        assert encode(text) == sure.encode(text, add_special_tokens=False).ids
+        assert encode(text or "") == sure.encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing_round_trip(spark, sf_dir, docs):
     import zlib
 
-    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 4000)
+    sure = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = Q.op4_packing(spark, sf_dir).collect()
     assert {r["doc_id"] for r in got} == set(docs)
     for r in got:
-        ids = np.array([*encode(docs[r["doc_id"]]["text"] or ""), 1], "<u4")
+        ids = np.array([*sure.encode(docs[r["doc_id"]]["text"] or "", add_special_tokens=False).ids, 1], "<u4")
         assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
     used = Counter()
     for r in got:
@@ -137,6 +141,47 @@ def test_segmentations_are_summed():
         assert np.allclose(model._long(word), np.log(total(word)))
 
 
+def test_languages_without_spaces_are_learned():
+    """Long words: learned from, and summed alike by logarithms, in parts and one by one."""
+    import itertools as it
+
+    rng = np.random.default_rng(2)
+    kana, han = "のはをがにでとしているたこれそもなかっよりますせん", "的一是不了在人有我他这中大来上个国到说们为子和你地出道也时年"
+    texts, y = [], []
+    for k in range(40):
+        own = kana if k % 2 else han
+        texts.append("".join(rng.choice(list(own), 300 + 20 * k)))
+        y.append(k % 2)
+    pieces = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = LanguageModel(LanguageConfig(), ["zh", "ja"], pieces).fit(texts[:30], np.array(y[:30]))
+    lang, score, surprise = model.predict(texts[30:])
+    assert lang == [["zh", "ja"][k] for k in y[30:]] and min(score) > 0.99 and max(surprise) <= model.surprise_limit
+    word = EDGE + texts[0][:500]
+    assert np.allclose(model.word_scores([word])[0], model._long(word))
+    small = LanguageConfig(vector_chars=4, fit_chars=100)
+    words = ["there", "is", "nothing", "like"]
+    one, two = (LanguageModel(c, ["a", "b"], pieces).fit([" ".join(words), "das ist nichts"], np.array([0, 1])) for c in (LanguageConfig(), small))
+    assert np.allclose(one.prob, two.prob)  # expectations by logarithms and as they are
+    assert all(np.allclose(one.word_scores([EDGE + w]), two.word_scores([EDGE + w])) for w in it.chain(words))
+
+
+def test_too_many_languages_are_refused(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{i}") for i in range(30)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        fit_language(docs, LanguageConfig(vocabulary=public_tokenizers.path("piece_bpe_32k.model"), max_langs=3))
+
+
+def test_surprise_tells_foreign_texts(spark, sf_dir, docs):
+    cfg = LanguageConfig(vocabulary=public_tokenizers.path("piece_bpe_32k.model"))
+    model = fit_language(spark.read.parquet(f"{sf_dir}/documents.parquet"), cfg)
+    own = model.predict([r["text"] for r in docs.values()])[2]
+    assert all(s is None or s <= model.surprise_limit for s in own)
+    rng = np.random.default_rng(3)
+    junk = ["".join(rng.choice(list("qxzjkvwpbmfgy"), 9)) for _ in range(50)]
+    foreign = ["Это письмо написано по-русски, и больше ничего в нём нет", " ".join(junk), "zqxj " * 40]
+    assert all(s > model.surprise_limit for s in model.predict(foreign)[2])
+
+
 def test_language_held_out(spark, sf_dir, docs):
     got = Q.op6_language_id(spark, sf_dir).where("held_out").collect()
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in got]) > 0.95
@@ -171,9 +216,42 @@ def test_toxicity_held_out(spark, sf_dir):
     assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) > 0.85
 
 
-def test_training_pages_are_separated():
-    for html, main in TRAINING:
-        assert main_text(html) == " ".join(main)
+def test_pages_not_trained_on_are_separated():
+    """Precision and recall of main blocks, over pages of another seed: with telling tags,
+    with telling names, with neither."""
+    pages, tree = labelled_pages(180, seed=1234), default_tree()
+    assert not set(pages) & set(labelled_pages())
+    for k in range(3):
+        x, y = labelled_blocks(pages[k::3])
+        got = tree.predict(x)
+        assert (got & y).sum() >= 0.98 * got.sum() and (got & y).sum() >= 0.98 * y.sum()
+
+
+LINE = "Plain words of an article about nothing at all, and then some more of them to make a line."
+
+
+@pytest.mark.parametrize("html", [
+    f'<div class="post has-sidebar"><p>{LINE}</p></div>', f'<div id="main" class="no-sidebar content"><p>{LINE}</p></div>', f'<article><p title="a hidden gem">{LINE}</p></article>', f'<article><p data-role="banner">{LINE}</p></article>',
+    f'<div><p>{LINE}</p></div><h3>Comments</h3><div><p>I like it very much indeed.</p></div><div>Copyright 2020 The Paper, all rights reserved.</div>', f'<p>{LINE}</p><div>&copy; 2020 Example</div>',
+    f'<div class="site-header"><p>The paper of the town</p></div><div class="entry-content"><p>{LINE}</p></div><div class="comment-list"><p>Well said, and {LINE}</p></div>', f'<div role="banner">Some words up there</div><p>{LINE}</p><div role="contentinfo">Some words down there</div>',
+    f'<div class="page-sidebar-layout"><main><p>{LINE}</p></main><aside>{LINE} Buy now.</aside></div>', f"<article class=post><p>{LINE}</p><form>Your mail <button>Go</button></form><div class='cookie-notice'>We use cookies to learn how this site is used.</div></article>",
+])
+def test_names_and_attributes_are_read_exactly(html):
+    assert main_text(html) == LINE
+
+
+@pytest.mark.parametrize("title", ["related-work", "form-and-function", "comments", "footer"])
+def test_headings_are_not_judged_by_their_ids(title):
+    assert main_text(f'<article><h2 id="{title}">A title</h2><p>{LINE}</p></article>') == f"A title {LINE}"
+
+
+def test_pages_table_is_extracted_exactly(spark, sf_dir):
+    """The pages of the test tables have one article element each: its text, by a plain reading."""
+    for r in Q.op3_html_text(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        plain = re.sub("<[^>]*>", " ", re.sub("</?b>", "", inner))
+        want = " ".join(unescape(plain).split())
+        assert r["text"] == want and r["n_chars"] == len(want)
 
 
 def test_html_parts():
