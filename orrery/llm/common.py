@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def slices(batch, most: int = 1 << 20):
+    """The batch in slices of at most ``most`` bytes (or one row): working memory follows
+    the bytes of texts, and not the number of rows."""
+    start, size, n = 0, 0, batch.num_rows
+    widths = sum((np.diff(_offsets(c)) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), np.zeros(n, np.int64))
+    for i, w in enumerate(widths.tolist()):
+        if i > start and size + w > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += w
+    if n > start:
+        yield batch.slice(start)
+
+
+def _offsets(column) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

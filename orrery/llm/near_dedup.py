@@ -19,15 +19,14 @@ components of those that are near-duplicates on their whole texts.  Pairs that a
 connected already need no look, which keeps large groups of copies linear:
 
 1. every member of a bucket meets the bucket's hub (its smallest text);
-2. in buckets of more than ``block`` members, those outside the bucket's largest
-   component meet another member of it, again and again, as long as that joins many;
-3. in buckets that still hold several components, all pairs of different components
-   are compared, in units of two blocks, each pair in one bucket only.
+2. components that still meet others in a bucket with ``large`` members or more are
+   compared with all of those others, once for all their buckets;
+3. what else is left in buckets that hold several components is compared pair by pair.
 
-Nothing is capped, and no unit holds more than two blocks.  Only links leave a unit.
-The third step is quadratic in buckets of many different texts that are no
-near-duplicates (bands of 5 tie texts of likeness 0.5 in some bucket with chance 0.64):
-its units then grow with the square of such a bucket, their size does not.
+Nothing is capped.  The second and third step work in units of two blocks of bounded
+bytes, out of which only links come.  Their cost is quadratic in buckets of many different
+texts that are no near-duplicates (bands of 5 tie texts of likeness 0.5 in some bucket with
+chance 0.64); what grows is the number of units, not their size.
 
 Results at the edges: a null text counts as empty; texts without words (empty ones,
 white space) are one class; texts of fewer words than a shingle have one shingle of
@@ -43,13 +42,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, slices, small_batches
 from .hashing import counted, mix, shingles
 
 
@@ -59,10 +59,12 @@ class DedupConfig:
     threshold: float = 0.8
     bands: int = 32
     rows: int = 5
-    #: Texts that meet in one unit of work are two blocks of this size.
-    block: int = 96
     #: Members that stream past one copy of their hub.
-    chunk: int = 512
+    chunk: int = 128
+    #: Members from which a component in a bucket is compared as a whole.
+    large: int = 96
+    #: Bytes of items of about each of the two blocks that meet in one unit of work.
+    block_bytes: int = 1 << 19
 
     @property
     def k(self) -> int:
@@ -147,7 +149,7 @@ def signatures(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
     darts = Darts(cfg.k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = batch.column(3).to_pylist()
             h, owner, weight = counted(*shingles(texts, cfg.words))
             bands = darts.signatures(h, owner, weight, len(texts)).reshape(len(texts), cfg.bands, cfg.rows).astype(np.uint64)
@@ -173,11 +175,11 @@ def _kind(docs: DataFrame) -> str:
 
 
 def item_sets(texts: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(node, items) of (node, text): hashes of the text's shingles numbered by occurrence,
+    """(node, items, bytes) of (node, text): hashes of the text's shingles numbered by occurrence,
     so that the sets' Jaccard likeness is the weighted likeness of the counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             texts = batch.column(1).to_pylist()
             h, owner, count = counted(*shingles(texts, cfg.words))
             nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -185,9 +187,10 @@ def item_sets(texts: DataFrame, cfg: DedupConfig) -> DataFrame:
             order = np.lexsort((h, owner))
             cut = np.searchsorted(owner, np.arange(1, len(texts)))
             items = [x.astype("<u8").tobytes() for x in np.split(h[order], cut)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary())], ["node", "items"])
+            size = pa.array([len(x) for x in items], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, pa.binary()), size], ["node", "items", "bytes"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, items binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, items binary, bytes long")
 
 
 def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
@@ -226,17 +229,24 @@ def star_links(pairs: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFram
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _forest(key: tuple, held: list[tuple], cfg: DedupConfig) -> list[tuple[int, int]]:
-    """Links between the components in one unit: a bucket's block against another or itself.
-    ``held``: (block, node, comp, shared, items) each."""
-    bucket, i, j, hub = key
-    block, node, comp, shared, items = zip(*held, strict=True)
+def _unit_links(key: tuple, held: list[tuple], cfg: DedupConfig) -> list[tuple[int, int]]:
+    """Links between the components in one unit: block i of a job against block j, or
+    itself.  ``held``: (block, comp, items) each.  An index of the right side's items
+    gives a left text's common items with all of them at once."""
+    _, i, j = key
+    block, comp, items = zip(*held, strict=True)
     left = [k for k in range(len(held)) if block[k] == i]
-    right = [k for k in range(len(held)) if block[k] == j]
-    root: dict[int, int] = {c: c for c in comp}
-    buckets, sets = [set(s) for s in shared], [np.frombuffer(x, "<u8") for x in items]
+    right = np.array([k for k in range(len(held)) if block[k] == j], np.int64)
+    if not len(left) or not len(right) or len(set(comp)) < 2:
+        return []
+    sets, comps = [np.frombuffer(x, "<u8") for x in items], np.array(comp)
     size = np.array([len(s) for s in sets])
-    comps = np.array(comp)
+    every = np.concatenate([sets[k] for k in right])
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(right)), size[right])[order]
+    known, first = np.unique(every[order], return_index=True)
+    count = np.diff(np.append(first, len(every)))
+    root: dict[int, int] = {c: c for c in comp}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -245,67 +255,80 @@ def _forest(key: tuple, held: list[tuple], cfg: DedupConfig) -> list[tuple[int,
         return x
 
     out = []
-    if not left or not right:
-        return out
-    a, b = size[left][:, None], size[right][None]
-    open_ = (np.minimum(a, b) >= cfg.threshold * np.maximum(a, b)) & (comps[left][:, None] != comps[right][None])
-    if i == j:
-        open_ &= np.triu(np.ones(open_.shape, bool), 1)
-    for p, q in zip(*np.nonzero(open_), strict=True):
-        x, y = left[p], right[q]
-        # the bucket's hub met all members before; a pair of several buckets is of the least
-        if hub in (node[x], node[y]) or min(buckets[x] & buckets[y]) != bucket:
+    for x in left:
+        may = comps[right] != comps[x]
+        if i == j:
+            may &= right > x
+        if not may.any():
             continue
-        rx, ry = find(comp[x]), find(comp[y])
-        if rx != ry and alike(sets[x], sets[y], cfg.threshold):
-            root[rx] = ry
-            out.append((comp[x], comp[y]))
+        at = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+        at = at[known[at] == sets[x]]
+        many = count[at]
+        met = np.repeat(first[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        common = np.bincount(owner[met], minlength=len(right))
+        for k in np.flatnonzero(may & (common >= cfg.threshold * (size[x] + size[right] - common))).tolist():
+            a, b = comp[x], comp[right[k]]
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[ra] = rb
+                out.append((a, b))
     return out
 
 
-def cross_links(members: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(a, b): links between components that meet in a bucket, from comparing all pairs of
-    different components there.  ``members``: bucket, hub, node, comp.
-
-    Components of many members fill blocks of their own, which never meet each other;
-    the rest share blocks by a hash.  Every pair of blocks is one unit of work."""
-    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    big = F.col("n") >= cfg.block
-    sizes = sizes.withColumn("own", F.when(big, F.ceil(F.col("n") / cfg.block)).otherwise(0).cast("int"))
-    rest = sizes.groupBy("bucket").agg(F.ceil(F.sum(F.when(F.col("own") == 0, F.col("n")).otherwise(0)) / cfg.block).cast("int").alias("rest"), F.sum("own").cast("int").alias("owns"), F.count("*").alias("comps"))
-    rest = materialise(rest.where("comps > 1").withColumn("blocks", F.col("rest") + F.col("owns")), "blocks")
-    # the few components with blocks of their own are numbered along, bucket by bucket
-    before = F.sum("own").over(Window.partitionBy("bucket").orderBy("comp")) - F.col("own")
-    large = materialise(sizes.where("own > 0").select("bucket", "comp", "own", before.cast("int").alias("first")), "large")
-    # buckets of the same members are one: the least of them stands for all
-    same = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s1"), F.sum(F.xxhash64(F.lit(7), "node").cast("decimal(38,0)")).alias("s2"))
-    kept = materialise(same.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket")).select("bucket"), "kept")
-    chosen = members.join(kept, "bucket", "left_semi").join(rest.select("bucket", "rest", "blocks"), "bucket").join(large, ["bucket", "comp"], "left")
-    chosen = materialise(chosen, "chosen")
-    shared = chosen.groupBy("node").agg(F.collect_list("bucket").alias("shared"))  # at most ``bands`` of them
-    first = F.col("rest") + F.col("first")
-    spread = F.xxhash64("node")
-    block = F.when(F.col("own") > 0, first + F.pmod(spread, F.col("own"))).otherwise(F.pmod(spread, F.greatest("rest", F.lit(1)))).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda w: F.col("own").isNull() | (w < first) | (w >= first + F.col("own")))
-    meets = chosen.withColumn("block", block).withColumn("with", F.explode(others))
-    meets = meets.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "hub", "block", "node", "comp")
-    units = meets.join(items.join(shared, "node"), "node").select("bucket", "i", "j", "hub", "block", "node", "comp", "shared", "items")
-    units = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+def unit_links(units: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b): links between the components in units.  ``units``: job, i, j, block, node, comp."""
+    rows = units.join(items, "node").select("job", "i", "j", "block", "comp", "items")
+    rows = rows.repartition("job", "i", "j").sortWithinPartitions("job", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             found = []
-            for *at, block, node, comp, shared, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != key:
+            for job, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (job, i, j) != key:
                     if len(held) > 1:
-                        found += _forest(tuple(key), held, cfg)
-                    key, held = at, []
-                held.append((block, node, comp, shared, items))
+                        found += _unit_links(key, held, cfg)
+                    key, held = (job, i, j), []
+                held.append(row)
             yield _pairs(found)
-        yield _pairs(_forest(tuple(key), held, cfg) if len(held) > 1 else [])
+        yield _pairs(_unit_links(key, held, cfg) if len(held) > 1 else [])
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    return units.mapInArrow(run, "a long, b long")
+def cross_links(members: DataFrame, items: DataFrame, cfg: DedupConfig) -> DataFrame:
+    """(a, b): links between components that meet in a bucket, from comparing all pairs of
+    different components there.  ``members``: bucket, node, comp, bytes.
+
+    Components of ``large`` members in a bucket are taken out of it: they are jobs of
+    their own, which compare those members, of whichever buckets, with all others they
+    met there.  The rest of a bucket is one job.  Jobs are dealt into blocks of about
+    ``block_bytes`` by a hash, and every pair of blocks is one unit of work."""
+    sizes = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    sizes = sizes.join(members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("bucket"), "bucket")
+    sizes = materialise(sizes.withColumn("big", F.col("k") >= cfg.large), "sizes")
+    tagged = materialise(members.join(sizes.drop("k"), ["bucket", "comp"]), "tagged")
+    big = sizes.where("big").select("bucket", F.col("comp").alias("job"))
+    own = tagged.where("big").select(F.col("comp").alias("job"), "node", "comp", "bytes").distinct()
+    met = tagged.join(big, "bucket").where("comp != job").select("job", "node", "comp", "bytes").distinct()
+    sides = materialise(own.withColumn("side", F.lit(0)).unionByName(met.withColumn("side", F.lit(1))), "sides")
+
+    def blocks(total) -> F.Column:
+        return F.ceil(total / cfg.block_bytes).cast("int")
+
+    each = sides.groupBy("job").agg(*[blocks(F.sum(F.when(F.col("side") == k, F.col("bytes")))).alias(f"n{k}") for k in (0, 1)])
+    sides = sides.join(materialise(each, "jobs"), "job")
+    block = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), "n0")).otherwise(F.col("n0") + F.pmod(F.xxhash64("node"), F.col("n1"))).cast("int")
+    other = F.when(F.col("side") == 0, F.sequence("n0", F.col("n0") + F.col("n1") - 1)).otherwise(F.sequence(F.lit(0), F.col("n0") - 1))
+    apart = sides.withColumn("block", block).withColumn("with", F.explode(other))
+
+    rest = tagged.where("not big").withColumnRenamed("bucket", "job")
+    each = rest.groupBy("job").agg(blocks(F.sum("bytes")).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y")
+    rest = rest.join(materialise(each.select("job", "n"), "jobs"), "job")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    # a component's id and a bucket's key may be the same number, so that the two are apart
+    units = [x.select("job", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "comp") for x in (apart, rest)]
+    return unit_links(units[0], items, cfg).union(unit_links(units[1], items, cfg))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,27 +371,12 @@ def classes(docs: DataFrame, cfg: DedupConfig) -> tuple[DataFrame, DataFrame]:
     source = docs.where("doc_id is not null").select("doc_id", *text_key(F.coalesce("text", F.lit(""))), "text")
     own = source.join(active, ["doc_id", "t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
     items = materialise(item_sets(own, cfg), "items")
-
-    def labelled(links: DataFrame, members: DataFrame) -> DataFrame:
-        roots = materialise(components(links), "roots")
-        return members.join(roots, "node", "left").select("bucket", "hub", "n", "node", F.coalesce("root", "node").alias("comp"))
-
-    links = materialise(star_links(members.where("node != hub").select("hub", "node").distinct(), items, cfg), "found")
-    members = materialise(labelled(links, members.where("n > 2")), "members")
-    before, turn = None, 0
-    while True:
-        # in large buckets, those outside the largest component meet another of its members
-        by = members.where(F.col("n") > cfg.block).groupBy("bucket", "comp").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"))
-        top = by.groupBy("bucket").agg(F.max(F.struct("k", "comp", "one")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        top = materialise(top.select("bucket", F.col("top.comp").alias("main"), F.col("top.one").alias("one")), "top")
-        pairs = materialise(members.join(top, "bucket").where("comp != main").select(F.col("one").alias("hub"), "node").distinct(), "outside")
-        outside = pairs.count()
-        if not outside or before is not None and outside > 0.8 * before:
-            break  # what is left is not being joined by hubs
-        links = materialise(links.union(star_links(pairs, items, cfg)), "found")
-        members = materialise(labelled(links, members.drop("comp")), "members")
-        before, turn = outside, turn + 1
-    links = links.union(materialise(cross_links(members, items, cfg), "found"))
+    links = materialise(star_links(members.where("node != hub").select("hub", "node").distinct(), items.select("node", "items"), cfg), "found")
+    # in a bucket of two there is no other pair
+    roots = materialise(components(links), "roots")
+    left = members.where("n > 2").select("bucket", "node").join(roots, "node", "left").join(items.select("node", "bytes"), "node")
+    left = materialise(left.select("bucket", "node", F.coalesce("root", "node").alias("comp"), "bytes"), "members")
+    links = links.union(materialise(cross_links(left, items.select("node", "items"), cfg), "found"))
     roots = components(links)
     named = texts.join(roots, "node", "left").select("t1", "t2", "text_id", "node", F.coalesce("root", "node").alias("root"))
     return sigs.select("doc_id", "t1", "t2"), materialise(named, "named")

@@ -91,7 +91,7 @@ def test_near_duplicates_in_one_large_bucket(spark):
                 own[int(rng.integers(60, 85))] = f"x{g}_{k}_{int(rng.integers(9))}"
             texts[len(texts)] = " ".join(own)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, DedupConfig(block=16, chunk=8)).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(docs, DedupConfig(large=8, chunk=8, block_bytes=4096)).collect()}
     assert got == classes_of_all_pairs(texts)
 
 
