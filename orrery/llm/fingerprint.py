@@ -1,23 +1,31 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers are runs of ``k`` words; equal k-mers are told apart by their
-occurrence number.  A hash of k-mer and number puts each into one of
-``coordinates`` x 2 classes.  In each coordinate both classes give their minimal
-k-mer; the two are kept in the order in which they stand in the text, and their
-tuple is hashed.  Moving passages about changes the order of tuples, so that the
-share of equal coordinates follows the edit distance and not only the shared
-content.  Coordinates for which neither text has a k-mer do not count.
+occurrence number.  Every coordinate has an order of its own over all numbered k-mers:
+by their hash with the coordinate's number added to its highest bits without carry
+(exclusive or).  The two minimal k-mers of that order are kept in the order in which
+they stand in the text, and their tuple is hashed.  Moving passages about changes the
+order of tuples, so that the share of equal coordinates follows the edit distance and
+not only the shared content.
+
+The hash's highest bits name a class of k-mers, and coordinate j's order begins with
+class j, then goes through the others by their number exclusive-or j.  Two k-mers of each
+class, the least ones, are therefore all that any coordinate can need: long texts fill
+every class, and short ones find the rest in the other classes.
 
 All k-mers of a text meet in the partition its text was sent to: one exchange of
 texts, by ranges of ids, serves the neighbour in id order, the numbering and the
-minima.  Numbering sorts by one 64-bit hash; minima are hash aggregations.
+minima.  Ranges come from a bounded number of quantiles, between which ids (and, for an
+id of very many rows, hashes of texts) are split evenly, so that neither the
+driver nor an expression holds anything that grows with the data; there are at most
+``max_parts`` ranges, beyond which sorts spill.
 
 Results at the edges: a null text counts as empty; an empty text has no k-mers,
 an empty fingerprint of dashes, and a likeness of 1 to another empty one, of 0
-to others; a text under ``k`` words is one k-mer; equal texts have equal
-fingerprints; rows of equal ids are ordered by text; a null id comes first; one
-document is its own successor; an empty table gives an empty result; extra
-columns are ignored.
+to others; a text under ``k`` words is one k-mer, which is every coordinate's; equal
+texts have equal fingerprints; rows of equal ids are ordered by their texts' hashes; a
+null id comes first; one document is its own successor; an empty table gives an empty
+result; texts of any length are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,11 +43,16 @@ LOW = -(1 << 63)
 @dataclass(frozen=True)
 class FingerprintConfig:
     k: int = 2
+    #: A power of two.
     coordinates: int = 64
-    #: Bits of a packed minimum that hold the place in the text.
+    #: Bits of a packed k-mer that hold the place in the text, and its hash within a class.
     place_bits: int = 28
+    hash_bits: int = 28
     #: Bytes of text in a partition; 0: by the executors' memory.
     partition_bytes: int = 0
+    #: Quantiles of the ids that are looked up, and ranges in all, at most.
+    quantiles: int = 4096
+    max_parts: int = 1 << 20
 
 
 def _partition_bytes(spark: SparkSession, cfg: FingerprintConfig) -> int:
@@ -66,25 +79,56 @@ def _range_of(key: Column, bounds: list[int]) -> Column:
     )
 
 
+def _part_of(rows: DataFrame, partitions: int, cfg: FingerprintConfig) -> Column:
+    """The range of (key, tie): it never falls as these rise.
+
+    Between two quantiles ids are split evenly; an id that is several quantiles at once
+    is split evenly by ``tie``."""
+    parts = min(4 * partitions, cfg.max_parts)
+    n = min(parts, cfg.quantiles)
+    split = -(-parts // n)
+    found = sorted(rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("p")).first()["p"] or []) if n > 1 else []
+    bounds = sorted(set(found))
+    often = [found.count(b) if split > 1 else found.count(b) - 1 for b in bounds]  # ranges of a bound's own id
+    often = [o * split if o > 0 else 0 for o in often]
+    first, starts = split, []
+    for o in often:  # of each bound: its own id's ranges, then those up to the next bound
+        starts.append(first)
+        first += o + split
+    at = _range_of(F.col("key"), bounds)
+    if not bounds:
+        return F.lit(0)
+    value = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i)
+    own, low, high = value(often, at - 1), value(bounds, at - 1), F.coalesce(value(bounds, at), F.lit((1 << 63) - 1))
+    by_tie = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * own)
+    # differences as doubles: monotone, and without overflow
+    by_id = F.floor((F.col("key").cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0)) * split)
+    inside = F.when((own > 0) & (F.col("key") == low), F.least(by_tie, own - 1)).otherwise(own + F.least(F.greatest(by_id, F.lit(0)), F.lit(split - 1)))
+    return F.when(at == 0, F.lit(0)).otherwise(value(starts, at - 1) + inside).cast("int")
+
+
 def neighbours(docs: DataFrame, cfg: FingerprintConfig) -> DataFrame:
     """(part, row, doc_id, text, next_text): each text and the next one's by id; the
     result is partitioned by ``part``, a range of ids, and ``row`` counts within it."""
     spark = docs.sparkSession
     # the id itself travels as has_id and key, which the order needs anyway: all readers of
     # the exchange then need the same columns, and Spark makes it once
-    rows = docs.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(LOW)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").isNotNull().alias("has_id"), F.coalesce("doc_id", F.lit(LOW)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("s")).first()["s"] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // _partition_bytes(spark, cfg)))
-    parts = 4 * partitions
-    shares = [i / parts for i in range(1, parts)]
-    found = rows.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts)).alias("p")).first()["p"] or []
-    rows = rows.withColumn("part", F.coalesce(_range_of(F.col("key"), sorted(set(found))), F.lit(0)))
-    # a number for each part: the least id of the part after it (after the last: the first)
-    heads = sorted((r["part"], r["least"]) for r in rows.groupBy("part").agg(F.min("key").alias("least")).collect())
-    after = [(p, heads[(i + 1) % len(heads)][1]) for i, (p, _) in enumerate(heads)]
-    follow = F.broadcast(spark.createDataFrame(after, "last_part int, head_key long"))
-    head = rows.select("key", "text").join(follow, F.col("key") == F.col("head_key")).groupBy("last_part").agg(F.min("text").alias("head"))
-    order = Window.partitionBy("part").orderBy("has_id", "key", "text")
+    partitions = min(partitions, cfg.max_parts)
+    rows = rows.withColumn("part", _part_of(rows, partitions, cfg))
+    # a row for each range: the first text of the range after it (after the last: of the first)
+    place = F.struct("has_id", "key", "tie")
+    heads = rows.groupBy("part").agg(F.min(place).alias("head"))
+    along = Window.orderBy("part")
+    follow = heads.select(F.col("part").alias("last_part"), F.coalesce(F.lead("head").over(along), F.first("head").over(along)).alias("next"))
+    follow = materialise(follow.select("last_part", F.col("next.has_id").alias("next_has"), F.col("next.key").alias("next_key"), F.col("next.tie").alias("next_tie")), "ranges")
+    meets = (F.col("key") == F.col("next_key")) & (F.col("tie") == F.col("next_tie")) & (F.col("has_id") == F.col("next_has"))
+    # at most ``max_parts`` rows of 32 bytes
+    head = rows.join(F.broadcast(follow), meets).groupBy("last_part").agg(F.min("text").alias("head"))
+    order = Window.partitionBy("part").orderBy("has_id", "key", "tie", "text")
     own = rows.repartition(partitions, "part").withColumns({"row": F.row_number().over(order), "follower": F.lead("text").over(order)})
     last = own.join(head, F.col("part") == F.col("last_part"), "left")
     doc_id = F.when(F.col("has_id"), F.col("key"))
@@ -138,11 +182,9 @@ def kmer_rows(rows: DataFrame, cfg: FingerprintConfig) -> DataFrame:
 
 
 def _likeness(a: str, b: str) -> Column:
-    """Share of equal coordinates among those that either has; 1 if none has any."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    used = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
-    return F.when(used == 0, F.lit(1.0)).otherwise(same.cast("double") / F.greatest(used, F.lit(1)))
+    """Share of equal coordinates; 1 if neither text has any k-mer."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda p: p))
+    return same.cast("double") / F.size(a)
 
 
 def _show(a: str) -> Column:
@@ -154,37 +196,57 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
     """(part, row, doc_id, n_chars, edited_sha256, mark, edited_mark): the two marks are
     arrays of ``coordinates`` 32-bit numbers, null where there is no k-mer."""
     rows = with_edit(neighbours(docs, cfg))
-    place = 1 << cfg.place_bits
+    classes, within = cfg.coordinates, cfg.place_bits + cfg.hash_bits
+    place = (1 << cfg.place_bits) - 1
     # one 64-bit key tells text and k-mer: sorting compares mostly that
     keyed = kmer_rows(rows, cfg).withColumn("u", F.xxhash64("row", "kmer"))
     so_far = Window.partitionBy("u", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = {w: F.count(F.when(F.col("of") != other, 1)).over(so_far) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
     nth = F.when(F.col("of") == EDITED, seen[EDITED]).otherwise(seen[TEXT])
     ranked = keyed.select("part", "row", "of", "kmer", "pos", nth.alias("nth")).select("part", "row", "of", "pos", F.xxhash64("kmer", "nth").alias("h"))
-    coordinate, side = F.pmod("h", F.lit(cfg.coordinates)), F.pmod(F.shiftright("h", 8), F.lit(2))
-    packed = F.shiftright("h", cfg.place_bits) * place + F.pmod(F.col("pos"), F.lit(place))
-    ranked = ranked.select("part", "row", "of", coordinate.cast("int").alias("j"), side.cast("int").alias("side"), packed.alias("v"))
-    least = [F.min(F.when((F.col("of") != other) & (F.col("side") == s), F.col("v"))).alias(f"v{w}{s}") for w, other in ((0, EDITED), (1, TEXT)) for s in (0, 1)]
-    minima = ranked.groupBy("part", "row", "j").agg(*least)
-
-    def tuple_hash(w: int) -> Column:
-        a, b = F.col(f"v{w}0"), F.col(f"v{w}1")
-        ha, hb = F.shiftright(a, cfg.place_bits), F.shiftright(b, cfg.place_bits)
-        first = F.pmod(a, F.lit(place)) <= F.pmod(b, F.lit(place))
-        both = F.when(first, F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
-        one = F.coalesce(ha, hb)
-        h = F.when(a.isNotNull() & b.isNotNull(), both).when(one.isNotNull(), F.xxhash64(one))
-        return (F.pmod(h, F.lit(1 << 32)) - (1 << 31)).cast("int")
-
-    marks = minima.select("part", "row", "j", tuple_hash(0).alias("m"), tuple_hash(1).alias("e"))
-    # at most ``coordinates`` entries a text
-    marks = marks.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("j", "m", "e"))).alias("x"))
+    # a k-mer as one number: its class, its hash within the class, its place in the text
+    own = F.shiftrightunsigned("h", 64 - classes.bit_length() + 1)
+    packed = F.shiftleft(own, within).bitwiseOR(F.shiftleft(F.col("h").bitwiseAND((1 << cfg.hash_bits) - 1), cfg.place_bits)).bitwiseOR(F.col("pos").cast("long").bitwiseAND(place))
+    ranked = ranked.select("part", "row", "of", own.cast("int").alias("j"), packed.alias("v"), (F.col("row") * F.lit(classes).cast("long") + own).alias("cell"))
+    # the two least of each class, of the text and of the edited text
+    least = Window.partitionBy("cell", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rank = {w: F.count(F.when(F.col("of") != other, 1)).over(least) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
+    few = ranked.select("part", "row", "of", "j", "v", rank[TEXT].alias("rt"), rank[EDITED].alias("re"))
+    few = few.select("part", "row", "j", "v", ((F.col("of") != EDITED) & (F.col("rt") <= 2)).alias("t"), ((F.col("of") != TEXT) & (F.col("re") <= 2)).alias("e")).where("t or e")
+    ends = [f(F.when(F.col(w), F.col("v"))).alias(f"{w}{i}") for w in ("t", "e") for i, f in enumerate((F.min, F.max))]
+    cells = few.groupBy("part", "row", "j").agg(*ends)
+    # at most a row for each class: arrays of ``coordinates`` entries a text
+    marks = cells.groupBy("part", "row").agg(F.collect_list(F.struct("j", "t0", "t1", "e0", "e1")).alias("x"))
     by = F.map_from_arrays(F.transform("x", lambda x: x["j"]), F.col("x"))
-    marks = marks.withColumn("by", by)
-    line = F.array(*[F.lit(j) for j in range(cfg.coordinates)])
-    marks = marks.select(F.col("part").alias("__part"), F.col("row").alias("__row"), F.transform(line, lambda j: F.try_element_at("by", j)["m"]).alias("mark"), F.transform(line, lambda j: F.try_element_at("by", j)["e"]).alias("edited_mark"))
+
+    def every(w: str) -> Column:
+        return F.array_compact(F.flatten(F.transform("x", lambda x: F.array(x[f"{w}0"], F.when(x[f"{w}0"] != x[f"{w}1"], x[f"{w}1"])))))
+
+    marks = marks.withColumns({"by": by, "all_t": every("t"), "all_e": every("e")})
+
+    def tuple_hash(a: Column, b: Column) -> Column:
+        """Of one or two packed k-mers, in the order of their places."""
+        ha, hb = F.shiftright(a, cfg.place_bits), F.shiftright(b, cfg.place_bits)
+        both = F.when(a.bitwiseAND(place) <= b.bitwiseAND(place), F.xxhash64(ha, hb)).otherwise(F.xxhash64(hb, ha))
+        h = F.when(b.isNull(), F.xxhash64(ha)).otherwise(both)
+        return F.when(a.isNotNull(), (F.pmod(h, F.lit(1 << 32)) - (1 << 31)).cast("int"))
+
+    def coordinate(w: str):
+        kept = F.col(f"all_{w}")
+
+        def made(j: Column) -> Column:
+            own, mask = F.try_element_at("by", j), F.shiftleft(j.cast("long"), within)
+            filled = own[f"{w}0"] < own[f"{w}1"]
+            # a class of one or none: the least of all in the coordinate's order
+            first = F.array_min(F.transform(kept, lambda v: v.bitwiseXOR(mask)))
+            second = F.array_min(F.transform(kept, lambda v: F.when(v.bitwiseXOR(mask) > first, v.bitwiseXOR(mask))))
+            return F.when(filled, tuple_hash(own[f"{w}0"], own[f"{w}1"])).otherwise(tuple_hash(first.bitwiseXOR(mask), second.bitwiseXOR(mask)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), made)
+
+    marks = marks.select(F.col("part").alias("__part"), F.col("row").alias("__row"), coordinate("t").alias("mark"), coordinate("e").alias("edited_mark"))
     base = rows.select("part", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    none = F.array(*[F.lit(None).cast("int")] * cfg.coordinates)
+    none = F.array(*[F.lit(None).cast("int")] * classes)
     out = base.join(marks, (F.col("part") == F.col("__part")) & (F.col("row") == F.col("__row")), "left")
     return out.select("part", "row", "doc_id", "n_chars", "edited_sha256", F.coalesce("mark", none).alias("mark"), F.coalesce("edited_mark", none).alias("edited_mark"))
 
@@ -209,9 +271,9 @@ def compare(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> Da
         spark.conf.set(CO_PARTITION, before)
     # the last text of each range meets the first of the next one: a row a range
     heads = made.where("row = 1").select("part", "mark")
-    parts = sorted(r["part"] for r in heads.select("part").collect())
-    follow = F.broadcast(spark.createDataFrame([(parts[(i + 1) % len(parts)], p) for i, p in enumerate(parts)], "part int, last_part int"))
-    heads = heads.join(follow, "part").select("last_part", F.col("mark").alias("head"))
+    along = Window.orderBy("part")
+    parts = heads.select("part").withColumn("last_part", F.coalesce(F.lag("part").over(along), F.max("part").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    heads = heads.join(parts, "part").select("last_part", F.col("mark").alias("head"))
     last = made.where("near_next is null").join(heads, F.col("part") == F.col("last_part")).withColumn("near_next", _likeness("mark", "head"))
     out = made.where("near_next is not null").unionByName(last.select(*made.columns))
     return out.select("doc_id", "n_chars", "edited_sha256", _show("mark").alias("fingerprint"), _show("edited_mark").alias("edited_fingerprint"), "near_edited", "near_next")

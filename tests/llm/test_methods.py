@@ -3,16 +3,19 @@
 import hashlib
 import itertools
 import re
+import struct
 from collections import Counter
 from html import unescape
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import queries as Q
+from orrery.llm.fingerprint import FingerprintConfig, compare
 from orrery.llm.html_text import default_tree, labelled_blocks, labelled_pages, main_text
 from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, fit_language, load_pieces
 from orrery.llm.mixing import MixingConfig, mix
@@ -271,20 +274,69 @@ def test_sharding_balance(spark, sf_dir, docs):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * most
 
 
-def test_fingerprint_edits(spark, sf_dir, docs):
+def fingerprint_twin(text: str) -> str:
+    """The fingerprint by plain loops: in each coordinate's order over all numbered word
+    pairs the two least, in the order of the text."""
+
+    def of_longs(*xs: int) -> int:
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64(struct.pack("<q", x), h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    if not text:
+        return "-" * 512
+    words = [xxhash.xxh64(w.encode(), 42).intdigest() for w in re.sub("[\n\t\r]", " ", text).split(" ")]
+    words = [w - (1 << 64) if w >> 63 else w for w in words]
+    pairs = [of_longs(a, b) for a, b in zip(words, words[1:], strict=False)] or [of_longs(words[0])]
+    seen, packed = Counter(), []
+    for place, kmer in enumerate(pairs):
+        seen[kmer] += 1
+        h = of_longs(kmer, seen[kmer]) & ((1 << 64) - 1)
+        packed.append((h >> 58) << 56 | (h & ((1 << 28) - 1)) << 28 | place)
+    out = []
+    for j in range(64):
+        two = sorted(packed, key=lambda v: v ^ (j << 56))[:2]
+        two.sort(key=lambda v: v & ((1 << 28) - 1))
+        out.append(f"{of_longs(*[v >> 28 for v in two]) % (1 << 32):08X}")
+    return "".join(out)
+
+
+def test_fingerprints_against_plain_loops(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in Q.op5_fingerprint(spark, sf_dir).collect()}
     order = sorted(docs)
-    prints = {}
+    texts = [docs[i]["text"] or "" for i in order]
+    prints = {t: fingerprint_twin(t) for t in texts}
     for k, i in enumerate(order):
-        text, after = docs[i]["text"] or "", docs[order[(k + 1) % len(order)]]["text"] or ""
+        text, after = texts[k], texts[(k + 1) % len(order)]
         q = len(text) // 4
         edited = text[: len(text) - q] + after[:q]
-        assert got[i]["n_chars"] == len(text) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert prints.setdefault(text, got[i]["fingerprint"]) == got[i]["fingerprint"]
-        if edited in prints:
-            assert got[i]["edited_fingerprint"] == prints[edited]
-    near = np.array([(r["near_edited"], r["near_next"]) for r in got.values()])
-    assert near[:, 0].mean() > 0.3 and near[:, 1].mean() < 0.05
+        r, mark, other = got[i], prints[text], fingerprint_twin(edited)
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == mark and r["edited_fingerprint"] == other
+        for name, x, y in (("near_edited", mark, other), ("near_next", mark, prints[after])):
+            assert abs(r[name] - np.mean([x[c : c + 8] == y[c : c + 8] for c in range(0, 512, 8)])) < 1e-12
+
+
+def test_fingerprints_follow_order_at_any_length(spark):
+    """A text against itself with its halves swapped keeps the words and half of the order."""
+    rng, rows = np.random.default_rng(4), []
+    lengths = (20, 40, 100, 1000)
+    for n in lengths:
+        for _ in range(30):
+            words = [f"w{x}" for x in rng.integers(0, 5000, n)]
+            rows += [" ".join(words), " ".join(words[n // 2 :] + words[: n // 2])]
+    got = compare(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for k, n in enumerate(lengths):
+        assert 0.3 < np.mean([r["near_next"] for r in got[60 * k : 60 * k + 60 : 2]]) < 0.6, n
+
+
+def test_ranges_do_not_change_fingerprints(spark):
+    """Many rows of one id, null ids, and fewer quantiles than ranges."""
+    rows = [(7, f"text number {i} of the same id") for i in range(300)] + [(None, f"text {i} without an id") for i in range(100)] + [(i * i, f"words of text {i} and more") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one, two = (sorted(map(str, compare(docs, cfg).collect())) for cfg in (FingerprintConfig(), FingerprintConfig(quantiles=5, partition_bytes=200)))
+    assert one == two and len(one) == len(rows)
 
 
 def test_mixing_meets_targets(spark, sf_dir):
