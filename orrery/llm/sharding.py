@@ -8,15 +8,19 @@ bracket is then probed more finely, until the bytes below some candidate are
 within ``tolerance`` of the cut's target or the bracket holds a single key.
 Candidates lie between texts as long as that suffices, so groups of equal texts
 are split only where a shard could not be met otherwise.  Ranges between
-candidates that hold too many rows for one task are probed on as well.
+candidates that hold more than their share of bytes are probed on as well, so that no
+range holds much more than 1 / (shards * ranges) of the whole but a single text.
 
-Then rows move once, to the range between two neighbouring candidates; a range
-is sorted by itself, and the counts give its first slot in its shard.  No task
-ever holds a shard.
+Then rows move once.  A range between two neighbouring candidates is split evenly by
+hash (of equal texts: by id) into parts of about ``part_bytes``; a part is sorted by itself, and
+prefix sums of the parts' rows give its first slot in its shard.  No task ever holds a
+shard.  The driver has a few thousand candidates, whatever the size of the data; of
+parts there are at most ``max_parts``, beyond which they grow and their sorts spill.
 
 Results at the edges: a null text has no bytes and sorts as an empty one; a null
 id sorts first; rows equal in text and id stay in one range, with slots in any
-order; shards may be empty in small tables; an empty table gives an empty
+order; texts of any length are one row, so that
+a shard may miss its target by the text at its border; shards may be empty in small tables; an empty table gives an empty
 result; extra columns move along; columns named like an output are replaced.
 """
 
@@ -44,8 +48,11 @@ class ShardConfig:
     tolerance: float = 0.001
     #: Candidates per open bracket and round.
     probes: int = 63
-    #: Ranges of rows per shard, at least.
+    #: Ranges per shard, at least.
     ranges: int = 32
+    #: Bytes of a part of a range, and the number of all parts at most.
+    part_bytes: int = 1 << 26
+    max_parts: int = 1 << 20
     extra_bytes: int = 8
 
 
@@ -92,7 +99,7 @@ def _histogram(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]
 
 
 def find_cuts(keys: DataFrame, cfg: ShardConfig) -> tuple[list[int], list[int], list[int], list[int]]:
-    """(candidates, rows below each, the cuts' indexes among them, rows in all).
+    """(candidates, rows below each, bytes below each, the cuts' indexes among them).
 
     The first candidate lies below all keys.  ``keys``: h, d, size."""
     row = keys.agg(F.sum("size").alias("s"), F.count("*").alias("n"), F.min("d").alias("a"), F.max("d").alias("b")).first()
@@ -100,10 +107,10 @@ def find_cuts(keys: DataFrame, cfg: ShardConfig) -> tuple[list[int], list[int],
     bottom, top = 0, 1 << 128
     below = {bottom: (0, 0), top: (total, rows)}
     if not rows:
-        return [bottom], [0], [0] * (cfg.shards - 1), [0]
+        return [bottom], [0], [0], [0] * (cfg.shards - 1)
     first_id, last_id = int(row["a"]), int(row["b"])
     targets = [total * i / cfg.shards for i in range(1, cfg.shards)]
-    slack, many = cfg.tolerance * total / cfg.shards, max(1, rows // (cfg.shards * cfg.ranges // 2))
+    slack, many = cfg.tolerance * total / cfg.shards, total / (cfg.shards * cfg.ranges)
 
     def between(lo: int, hi: int) -> list[int]:
         """Candidates inside (lo, hi): between texts if there is room, else between ids."""
@@ -125,7 +132,7 @@ def find_cuts(keys: DataFrame, cfg: ShardConfig) -> tuple[list[int], list[int],
             if min(abs(sizes[i] - t), abs(sizes[i - 1] - t)) > slack and below[known[i]][1] - below[known[i - 1]][1] > 1:
                 want.update(between(known[i - 1], known[i]))
         for lo, hi in zip(known, known[1:], strict=False):
-            if below[hi][1] - below[lo][1] > many:
+            if below[hi][0] - below[lo][0] > many and below[hi][1] - below[lo][1] > 1:
                 want.update(between(lo, hi))
         new = sorted(want - below.keys())
         if not new:
@@ -137,8 +144,7 @@ def find_cuts(keys: DataFrame, cfg: ShardConfig) -> tuple[list[int], list[int],
     for t in targets:
         i = max(1, bisect_left(sizes, t))
         cuts.append(min(i if sizes[i] - t < t - sizes[i - 1] else i - 1, len(known)))
-    # a range without rows moves nothing: keep candidates that separate rows, and the cuts
-    return known, [below[k][1] for k in known], cuts, [rows]
+    return known, [below[k][1] for k in known], sizes[:-1], cuts
 
 
 def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig()) -> DataFrame:
@@ -148,19 +154,35 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig()) -> DataFrame:
     keyed = plain.withColumns({"__h": F.xxhash64(text), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "size": (F.octet_length(text) + cfg.extra_bytes).cast("long")})
     keys = materialise(keyed.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"), "keys")
     small_batches(docs.sparkSession)
-    known, below, cuts, _ = find_cuts(keys, cfg)
+    known, below, _, cuts = find_cuts(keys, cfg)
     ph, pd_ = _split(known)
     cut_at = np.array(cuts)
     shard_of = np.searchsorted(cut_at, np.arange(len(known)), "right")  # cuts at or below a range
     start = np.array([0, *[below[c] if c < len(below) else 0 for c in cuts]])
     base = np.array(below) - start[shard_of]
+    # no range is much larger than the others, so that all are split alike
+    total = keys.agg(F.sum("size").alias("s")).first()["s"] or 0
+    split = max(1, min(-(-total // cfg.part_bytes), cfg.max_parts) // len(known))
+    ends_h, ends_d = np.append(ph[1:], np.int64(-LOW - 1)), np.append(pd_[1:], np.int64(-LOW - 1))
+    of_one_text = ph == ends_h  # between two ids of one text
 
-    @F.pandas_udf("range int, shard int, base long")
+    @F.pandas_udf("range int, part int, shard int, base long")
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for h, d in batches:
-            at = np.maximum(_place(ph, pd_, h.to_numpy(), d.to_numpy()) - 1, 0)
-            yield pd.DataFrame({"range": at.astype(np.int32), "shard": shard_of[at].astype(np.int32), "base": base[at]})
-
-    placed = keyed.withColumn("__p", place("__h", "__d")).withColumns({"__range": F.col("__p.range"), "shard": F.col("__p.shard"), "__base": F.col("__p.base")}).drop("__p")
-    order = F.row_number().over(Window.partitionBy("__range").orderBy("__h", "__d"))
-    return placed.withColumn("slot", F.col("__base") + order - 1).select(*plain.columns, "size", "shard", "slot")
+            h, d = h.to_numpy(), d.to_numpy()
+            at = np.maximum(_place(ph, pd_, h, d) - 1, 0)
+            one = of_one_text[at]
+            key, low, high = np.where(one, d, h).astype(float), np.where(one, pd_[at], ph[at]).astype(float), np.where(one, ends_d[at], ends_h[at]).astype(float)
+            part = np.clip((key - low) / np.maximum(high - low, 1) * split, 0, split - 1).astype(np.int32)
+            yield pd.DataFrame({"range": at.astype(np.int32), "part": part, "shard": shard_of[at].astype(np.int32), "base": base[at]})
+
+    placed = keyed.withColumn("__p", place("__h", "__d")).withColumns({"__range": F.col("__p.range"), "__part": F.col("__p.part"), "shard": F.col("__p.shard"), "__base": F.col("__p.base")}).drop("__p")
+    order = F.row_number().over(Window.partitionBy("__range", "__part").orderBy("__h", "__d"))
+    made = placed.withColumn("__n", order)
+    if split > 1:  # rows of a range's parts before each part: at most ``max_parts`` rows
+        found = keys.withColumn("__p", place("h", "d")).groupBy(F.col("__p.range").alias("__range"), F.col("__p.part").alias("__part")).agg(F.count("*").alias("n"))
+        before = found.select("__range", "__part", (F.sum("n").over(Window.partitionBy("__range").orderBy("__part")) - F.col("n")).alias("__before"))
+        made = made.join(F.broadcast(materialise(before, "parts")), ["__range", "__part"])
+    else:
+        made = made.withColumn("__before", F.lit(0))
+    return made.withColumn("slot", F.col("__base") + F.col("__before") + F.col("__n") - 1).select(*plain.columns, "size", "shard", "slot")

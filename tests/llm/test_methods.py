@@ -21,6 +21,7 @@ from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, fit_languag
 from orrery.llm.mixing import MixingConfig, mix
 from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicates
 from orrery.llm.packing import Encoder
+from orrery.llm.sharding import ShardConfig, shard
 from orrery.llm.toxicity import Network, ToxicityConfig
 
 
@@ -263,15 +264,42 @@ def test_html_parts():
     assert main_text(page) == "Title Café <b> text here. Quoted."
 
 
-def test_sharding_balance(spark, sf_dir, docs):
-    got = Q.op8_sharding(spark, sf_dir).collect()
+def spark_hash(text: str | None) -> int:
+    h = xxhash.xxh64((text or "").encode(), 42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 26, 300])
+def test_sharding_against_a_sort(spark, sf_dir, part_bytes):
+    """Shards and slots are those of the rows sorted by (hash, id), and every cut is as near
+    its target as ``tolerance`` or the rows allow."""
+    d = sf_dir.replace("0.001", "0.01")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    cfg = ShardConfig(shards=24, part_bytes=part_bytes)
+    got = {r["doc_id"]: r for r in shard(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), cfg).collect()}
+    order = sorted(docs, key=lambda i: (spark_hash(docs[i]), i))
+    size = [len((docs[i] or "").encode()) + 8 for i in order]
+    assert [got[i]["size"] for i in order] == size and len(got) == len(docs)
+    assert [(got[i]["shard"], got[i]["slot"]) for i in order] == sorted((got[i]["shard"], got[i]["slot"]) for i in order)
+    rows = Counter(got[i]["shard"] for i in order)
+    assert all(sorted(got[i]["slot"] for i in order if got[i]["shard"] == s) == list(range(n)) for s, n in rows.items())
+    total, below = sum(size), np.concatenate([[0], np.cumsum(size)])
+    for cut in range(1, 24):
+        at = below[sum(rows[s] for s in range(cut))]
+        target = total * cut / 24
+        assert abs(at - target) <= max(0.001 * total / 24, np.abs(below - target).min())
+
+
+def test_sharding_splits_copies(spark):
+    """One text of a third of all rows: its rows are cut between ids."""
+    rows = [(i, "the same text for all of them" if i % 3 else f"text {i} " + "x" * (i % 50)) for i in range(3000)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ShardConfig(shards=7, part_bytes=500)).collect()
     sizes = Counter()
     for r in got:
         sizes[r["shard"]] += r["size"]
-        assert r["size"] == len((docs[r["doc_id"]]["text"] or "").encode()) + 8
-    assert len(got) == len(docs) and set(sizes) == set(range(24))
-    most = max(r["size"] for r in got)
-    assert max(sizes.values()) - min(sizes.values()) <= 2 * most
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * max(r["size"] for r in got)
+    order = sorted(got, key=lambda r: (spark_hash(r["text"]), r["doc_id"]))
+    assert [(r["shard"], r["slot"]) for r in order] == sorted((r["shard"], r["slot"]) for r in got)
 
 
 def fingerprint_twin(text: str) -> str:
