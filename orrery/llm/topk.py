@@ -9,10 +9,12 @@ k-th verified distance is at most m (r + 1) - 1, which proves that nothing close
 is left.
 
 Equal codes are one entry with its k smallest ids, so that copies of a vector
-cost nothing.  Queries run in blocks of bounded size; every task indexes the
-codes of its own partition, reports for each query at most k verified codes of
-the round that are no farther than the k-th so far, and the reports are merged by
-distance and id.
+cost nothing.  Codes and queries are dealt into blocks of bounded size.  In a round
+every block of open queries meets every block of codes: the task indexes the codes once
+for all of the block's queries and reports for each at most k verified codes that are no
+farther than the k-th so far; the reports are merged by distance and id.  Queries that
+are done leave; all others go on together, in at most 17 rounds.  Nothing but
+counts reaches the driver.
 
 Results at the edges: a null vector or null id is in no result and asks nothing;
 null or NaN components give a 0 bit; vectors of other lengths than the longest
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_partitions
 
 BITS = 16
 
@@ -39,10 +41,11 @@ BITS = 16
 @dataclass(frozen=True)
 class SearchConfig:
     k: int = 10
-    #: Queries that travel to the tasks at once.
-    query_block: int = 1 << 16
-    #: Codes that a task indexes at once.
-    code_block: int = 1 << 13
+    #: Queries of a block, and codes that are indexed at once, at most (expected, by a hash).
+    query_block: int = 1 << 15
+    code_block: int = 1 << 16
+    #: Codes of a block from which more blocks only serve to occupy the cluster.
+    least_block: int = 1 << 13
 
 
 def binary_codes(vectors: DataFrame, dims: int) -> DataFrame:
@@ -93,44 +96,51 @@ class SegmentIndex:
         return rows[new], by_segment[new].sum(1).astype(np.int64)
 
 
-def _round(codes: DataFrame, queries: list[tuple[bytes, int]], r: int, cfg: SearchConfig) -> DataFrame:
-    """(query, code, distance, ids): at most k of each task and query."""
-    bound = np.array([b for _, b in queries])
-    own = np.frombuffer(b"".join(q for q, _ in queries), ">u2").astype(np.uint16).reshape(len(queries), -1)
-    raw, masks, k = [q for q, _ in queries], _masks(r), cfg.k
+def _packed(rows: DataFrame, number: int, key: str, *columns: str) -> DataFrame:
+    """(key, rows): ``number`` blocks of the rows, by a hash of their code."""
+    return rows.groupBy(F.pmod(F.xxhash64("code"), F.lit(number)).cast("int").alias(key)).agg(F.collect_list(F.struct(*columns)).alias(f"{key}_rows"))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    """(n, segments) of 16 bits of a column of codes."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").astype(np.uint16).reshape(len(column), -1)
+
+
+def _nearest(index: SegmentIndex, ids: list[list[int]], count: np.ndarray, query: np.ndarray, bound: int, r: int, masks: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k nearest (distance, id) of those whose nearest segment is at distance r."""
+    rows, distance = index.at_radius(query, r, masks)
+    near = distance <= bound
+    rows, distance = rows[near], distance[near]
+    if count[rows].sum() > k:  # enough codes for k ids, and whoever ties with the last
+        order = np.argsort(distance, kind="stable")
+        last = distance[order[np.searchsorted(np.cumsum(count[rows[order]]), k)]]
+        rows, distance = rows[distance <= last], distance[distance <= last]
+    return sorted((d, v) for d, row in zip(distance.tolist(), rows.tolist(), strict=True) for v in ids[row])[:k]
+
+
+def _round(codes: DataFrame, code_blocks: int, queries: DataFrame, query_blocks: int, r: int, cfg: SearchConfig) -> DataFrame:
+    """(query, distance, vec_id): at most k of each block of codes and query."""
+    masks, k = _masks(r), cfg.k
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    units = codes.withColumn("q", every(query_blocks)).join(queries.withColumn("c", every(code_blocks)), ["q", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def search(code: list[bytes], ids: list) -> pa.RecordBatch:
-            index = SegmentIndex(np.frombuffer(b"".join(code), ">u2").astype(np.uint16).reshape(len(code), -1))
-            count = np.array([len(x) for x in ids])
-            out: tuple[list, list, list] = ([], [], [])
-            for i, query in enumerate(own):
-                rows, distance = index.at_radius(query, r, masks)
-                near = distance <= bound[i]
-                rows, distance = rows[near], distance[near]
-                if len(rows) > k:  # enough codes for k ids, and whoever ties with the last
-                    order = np.argsort(distance, kind="stable")
-                    last = distance[order[np.searchsorted(np.cumsum(count[rows[order]]), k)]] if count[rows].sum() >= k else distance.max()
-                    rows, distance = rows[distance <= last], distance[distance <= last]
-                    pairs = sorted((d, v) for d, row in zip(distance.tolist(), rows.tolist(), strict=True) for v in ids[row])[:k]
-                else:
-                    pairs = sorted((d, v) for d, row in zip(distance.tolist(), rows.tolist(), strict=True) for v in ids[row])[:k]
-                out[0].extend([raw[i]] * len(pairs))
-                out[1].extend(d for d, _ in pairs)
-                out[2].extend(v for _, v in pairs)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["query", "distance", "vec_id"])
-
-        code, ids = [], []
         for batch in batches:
-            code += batch.column(0).to_pylist()
-            ids += batch.column(1).to_pylist()
-            if len(code) >= cfg.code_block:
-                yield search(code, ids)
-                code, ids = [], []
-        if code:
-            yield search(code, ids)
-
-    return codes.select("code", "ids").mapInArrow(run, "query binary, distance int, vec_id long")
+            for u in range(batch.num_rows):
+                entries, asked = batch.column(0)[u].values, batch.column(1)[u].values
+                index = SegmentIndex(_codes(entries.field("code")))
+                ids = entries.field("ids").to_pylist()
+                count = np.array([len(x) for x in ids])
+                raw, bounds = asked.field("code").to_pylist(), asked.field("bound").to_pylist()
+                out: tuple[list, list, list] = ([], [], [])
+                for code, query, bound in zip(raw, _codes(asked.field("code")), bounds, strict=True):
+                    pairs = _nearest(index, ids, count, query, bound, r, masks, k)
+                    out[0].extend([code] * len(pairs))
+                    out[1].extend(d for d, _ in pairs)
+                    out[2].extend(v for _, v in pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64())], ["query", "distance", "vec_id"])
+
+    return units.select("c_rows", "q_rows").mapInArrow(run, "query binary, distance int, vec_id long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
@@ -142,30 +152,32 @@ def search(vectors: DataFrame, queries: DataFrame, cfg: SearchConfig = SearchCon
     few = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
     codes = binary_codes(vectors, dims).distinct().withColumn("n", few).where(F.col("n") <= cfg.k).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     codes = materialise(codes, "codes")
-    codes = materialise(codes.repartition(max(1, -(-codes.count() // cfg.code_block))), "codes")
+    n = codes.count()
+    code_blocks = max(1, -(-n // cfg.code_block), min(shuffle_partitions(spark), -(-n // cfg.least_block)))
+    packed = materialise(_packed(codes, code_blocks, "c", "code", "ids"), "codes")
     asked = materialise(binary_codes(queries, dims).distinct(), "queries")
-    blocks = max(1, -(-asked.count() // cfg.query_block))
-    block_of = F.pmod(F.xxhash64("code"), F.lit(blocks))
-    best = Window.partitionBy("query").orderBy("distance", "vec_id")
-    out: DataFrame | None = None
-    for b in range(blocks):
-        # bounded by query_block (blocks are of equal shares of hashes)
-        todo = [(bytes(r["code"]), segments * BITS) for r in asked.where(block_of == b).select("code").distinct().collect()]
-        found: DataFrame | None = None
-        for r in range(BITS + 1):
-            if not todo:
-                break
-            new = _round(codes, todo, r, cfg)
-            found = (new if found is None else found.union(new)).withColumn("n", F.row_number().over(best)).where(F.col("n") <= cfg.k).drop("n")
-            found = materialise(found, "found")
-            kth = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where(F.col("n") == cfg.k)
-            bound = {bytes(x["query"]): x["d"] for x in kth.collect()}
-            covered = segments * (r + 1) - 1
-            todo = [(q, bound.get(q, segments * BITS)) for q, _ in todo if bound.get(q, 1 << 30) > covered]
-        if found is not None:
-            out = found if out is None else out.union(found)
-    if out is None:
+    best, wide = Window.partitionBy("query").orderBy("distance", "vec_id"), segments * BITS
+    todo = materialise(asked.select("code").distinct().withColumn("bound", F.lit(wide)), "open")
+    found: DataFrame | None = None
+    done = []
+    for r in range(BITS + 1 if n else 0):
+        waiting = todo.count()
+        if not waiting:
+            break
+        query_blocks = -(-waiting // cfg.query_block)
+        new = _round(packed, code_blocks, _packed(todo, query_blocks, "q", "code", "bound"), query_blocks, r, cfg)
+        found = new if found is None else found.union(new)
+        found = materialise(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= cfg.k).drop("n"), "found")
+        kth = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+        kth = materialise(todo.select(F.col("code").alias("query")).join(kth, "query", "left").withColumn("full", F.coalesce(F.col("n") == cfg.k, F.lit(False))), "kth")
+        covered = F.col("full") & (F.col("d") <= segments * (r + 1) - 1) | F.lit(r == BITS)
+        done.append(found.join(kth.where(covered).select("query"), "query", "left_semi"))
+        todo = kth.where(~covered).select(F.col("query").alias("code"), F.when(F.col("full"), F.col("d")).otherwise(F.lit(wide)).alias("bound"))
+        found = found.join(todo.select(F.col("code").alias("query")), "query", "left_semi")
+    if not done:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
-    ranked = out.withColumn("rank", rank)
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    ranked = out.withColumn("rank", F.row_number().over(best))
     return asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(ranked, "query").select("query_id", "rank", "vec_id", "distance")

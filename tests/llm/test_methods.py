@@ -22,6 +22,7 @@ from orrery.llm.mixing import MixingConfig, mix
 from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicates
 from orrery.llm.packing import Encoder
 from orrery.llm.sharding import ShardConfig, shard
+from orrery.llm.topk import SearchConfig, search
 from orrery.llm.toxicity import Network, ToxicityConfig
 
 
@@ -264,6 +265,24 @@ def test_html_parts():
     assert main_text(page) == "Title Café <b> text here. Quoted."
 
 
+def test_search_against_all_distances(spark, sf_dir):
+    """Several blocks of codes and of queries, copies, and queries that close in different rounds."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    rng = np.random.default_rng(6)
+    x = np.array([r["embedding"] for r in rows]) > 0
+    far = rng.random((40, x.shape[1])) > 0.5
+    bits = np.concatenate([x, x[:15], far])
+    table = spark.createDataFrame([(i, [1.0 if b else -1.0 for b in row]) for i, row in enumerate(bits)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in search(table, table.where("vec_id % 7 = 0"), SearchConfig(k=5, query_block=9, code_block=40, least_block=40)).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["distance"]))
+    assert set(got) == set(range(0, len(bits), 7))
+    for q, own in got.items():
+        d = (bits != bits[q]).sum(1)
+        want = sorted(range(len(bits)), key=lambda i: (d[i], i))[:5]
+        assert sorted(own) == [(k + 1, i, d[i]) for k, i in enumerate(want)]
+
+
 def spark_hash(text: str | None) -> int:
     h = xxhash.xxh64((text or "").encode(), 42).intdigest()
     return h - (1 << 64) if h >> 63 else h
