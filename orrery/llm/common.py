@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.  Only where the
-    session has none (local tests) a temporary one is set."""
+    session has none and runs in one process (tests) a temporary one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -39,9 +43,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """For the session of a registered query.  Operators leave the session's settings
+    alone, and work through larger batches in slices."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def prefix(df: DataFrame) -> str:
+    """Underscores with which no column of ``df`` begins: for columns of an operator's own."""
+    at = "__"
+    while any(c.startswith(at) for c in df.columns):
+        at += "_"
+    return at
+
+
 def slices(batch, most: int = 1 << 20):
     """The batch in slices of at most ``most`` bytes (or one row): working memory follows
     the bytes of texts, and not the number of rows."""
@@ -56,6 +70,18 @@ def slices(batch, most: int = 1 << 20):
         yield batch.slice(start)
 
 
+def spans(texts: list[str | None], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """The list in spans of at most ``most`` characters (or one text)."""
+    out, start, size = [], 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and size + n > most:
+            out.append((start, i))
+            start, size = i, 0
+        size += n
+    return out + ([(start, len(texts))] if len(texts) > start else [])
+
+
 def _offsets(column) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)

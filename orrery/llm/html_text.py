@@ -36,7 +36,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 # fixed values: the classes of HTML elements
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -401,7 +400,6 @@ def main_text(html: str | None, tree: Tree | None = None) -> str:
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (its code points)."""
-    small_batches(pages.sparkSession)
     tree = tree or default_tree()
 
     @F.pandas_udf("string")

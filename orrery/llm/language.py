@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, fold, small_batches
+from .common import bounded_texts, fold, prefix, spans
 
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = "▁"
@@ -365,13 +365,15 @@ def fit_language(docs: DataFrame, cfg: LanguageConfig) -> LanguageModel:
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` (the posterior under equal priors) and
     ``surprise`` (null for ``und``)."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, surprise double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            lang, score, surprise = model.predict(texts.tolist())
-            yield pd.DataFrame({"lang_pred": lang, "score": score, "surprise": pd.array(surprise, dtype="Float64")})
-
-    made = docs.withColumn("__lang", predict(F.col(text_col)))
-    return made.withColumns({c: F.col(f"__lang.{c}") for c in ("lang_pred", "score", "surprise")}).drop("__lang")
+            own = texts.tolist()
+            found = [model.predict(own[a:b]) for a, b in spans(own)]
+            lang, score, surprise = (list(chain.from_iterable(f[k] for f in found)) for k in range(3))
+            yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float), "surprise": pd.array(surprise, dtype="Float64")})
+
+    own = f"{prefix(docs)}lang"
+    made = docs.withColumn(own, predict(F.col(text_col)))
+    return made.withColumns({c: F.col(f"{own}.{c}") for c in ("lang_pred", "score", "surprise")}).drop(own)

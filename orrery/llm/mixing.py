@@ -9,9 +9,13 @@ iteration is one aggregation of a few sums over all documents, after which every
 document moves against the gradient and is cut off at 0.  A document's rate
 depends on its posterior and the few gradients so far, so that no rates need be
 stored between iterations, and nothing but the domains' sums leaves the cluster.
+``mix_with_report`` says what was reached; ``mix`` warns if that is not the target.
+
+A document's tokens are its ids by the vocabulary of ``vocabulary``, or its words if
+none is given.
 
 Results at the edges: a null or empty text has no tokens and the posterior of an
-empty text; rows with a null id are mixed like others; repeated rows get equal
+empty text; texts of any length are read whole; ties do not arise; rows with a null id are mixed like others; repeated rows get equal
 rates and equal copies; a domain that no document supports keeps its error, the
 others are matched; an empty table gives an empty result; without labels to
 learn from there is one domain and every rate is the scale of the total.  Other
@@ -20,6 +24,7 @@ columns pass through; columns named like an output are replaced.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, materialise, small_batches
+from .common import bounded_texts, materialise, prefix, spans
+from .packing import PackingConfig, encoder
 
 
 @dataclass(frozen=True)
@@ -45,6 +51,8 @@ class MixingConfig:
     #: 'supply': the largest total at which no domain needs more than it has; 'corpus': the corpus' total.
     total: str = "supply"
     seed: int = 5
+    #: A vocabulary file of the tokenizers library; empty: tokens are words.
+    vocabulary: str = ""
 
 
 class DomainModel:
@@ -126,17 +134,20 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, cfg: MixingConfig) -> Doma
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``docs`` with ``tokens`` (words) and ``posterior`` (array in the order of domains)."""
-    small_batches(docs.sparkSession)
+    """``docs`` with ``tokens`` and ``posterior`` (array in the order of domains)."""
+    cfg = model.cfg
 
     @F.pandas_udf("tokens long, posterior array<double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ids = encoder(cfg.vocabulary, PackingConfig.long_run) if cfg.vocabulary else str.split
         for texts in batches:
             own = texts.tolist()
-            yield pd.DataFrame({"tokens": [len(t.split()) if t else 0 for t in own], "posterior": list(model.posteriors(own))})
+            found = [p for a, b in spans(own) for p in model.posteriors(own[a:b])]
+            yield pd.DataFrame({"tokens": [len(ids(t)) if t else 0 for t in own], "posterior": pd.Series(found, dtype=object)})
 
-    made = docs.withColumn("__made", predict(F.col("text")))
-    return made.withColumn("tokens", F.col("__made.tokens")).withColumn("posterior", F.col("__made.posterior")).drop("__made")
+    own = f"{prefix(docs)}made"
+    made = docs.withColumn(own, predict(F.col("text")))
+    return made.withColumns({c: F.col(f"{own}.{c}") for c in ("tokens", "posterior")}).drop(own)
 
 
 def _rate(moves: list[list[float]]):
@@ -174,25 +185,35 @@ def fit_rates(made: DataFrame, cfg: MixingConfig, domains: list[str]) -> tuple[l
     # relative errors weigh alike; steps of one over the largest curvature cannot overshoot
     scale = 1 / np.maximum(have, 1e-9 * have.sum())
     curvature = np.linalg.eigvalsh(np.sqrt(scale)[:, None] * gram * np.sqrt(scale)[None, :]).max()
-    moves, reached = [], have
+    sums = [F.sum(t * p[i] * F.col("rate")).alias(f"s{i}") for i in range(k)]
+    moves, reached, missed = [], have, []
     for _ in range(cfg.iterations):
-        error = (reached - target) * scale
-        if np.abs(reached - target).max() <= cfg.tolerance * total:
-            break
-        moves.append((error / curvature).tolist())
-        row = made.select("tokens", "posterior", _rate(moves).alias("rate")).agg(*[F.sum(t * p[i] * F.col("rate")).alias(f"s{i}") for i in range(k)]).first()
+        missed.append(float(np.abs(reached - target).max() / total))
+        if missed[-1] <= cfg.tolerance or len(missed) > 8 and missed[-9] - missed[-1] < 1e-3 * missed[-1]:
+            break  # reached, or as near as the documents allow
+        moves.append(((reached - target) * scale / curvature).tolist())
+        row = made.select("tokens", "posterior", _rate(moves).alias("rate")).agg(*sums).first()
         reached = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
     return moves, report | {"iterations": len(moves), "target": target.tolist(), "reached": reached.tolist()}
 
 
-def mix(docs: DataFrame, labelled: DataFrame, cfg: MixingConfig = MixingConfig()) -> DataFrame:
-    """``docs`` with ``tokens``, ``posterior``, ``rate`` and ``copies``: the rate's whole
-    part, and one more by a hash of the id with the chance of its fraction."""
+def mix_with_report(docs: DataFrame, labelled: DataFrame, cfg: MixingConfig = MixingConfig()) -> tuple[DataFrame, dict]:
+    """(``docs`` with ``tokens``, ``posterior``, ``rate`` and ``copies``, the report of the fit):
+    copies are the rate's whole part, and one more by a hash of the id with the chance
+    of its fraction."""
     model = fit_domains(docs, labelled, cfg)
     plain = docs.drop("tokens", "posterior", "rate", "copies")
-    small = materialise(posteriors(plain.select("text"), model).select("tokens", "posterior"), "posteriors")
-    moves, _ = fit_rates(small, cfg, model.domains)
-    # the last pass predicts again: that is cheaper than a shuffle of all texts
+    made = materialise(posteriors(plain, model), "posteriors")  # one pass over the texts
+    moves, report = fit_rates(made, cfg, model.domains)
     chance = F.pmod(F.xxhash64(F.lit(cfg.seed), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rated = posteriors(plain, model).withColumn("rate", _rate(moves))
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
+    rated = made.withColumn("rate", _rate(moves))
+    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")), report
+
+
+def mix(docs: DataFrame, labelled: DataFrame, cfg: MixingConfig = MixingConfig()) -> DataFrame:
+    """``mix_with_report`` without the report: warns if the targets were not met."""
+    made, report = mix_with_report(docs, labelled, cfg)
+    off = max((abs(a - b) for a, b in zip(report["reached"], report["target"], strict=True)), default=0.0)
+    if off > cfg.tolerance * max(sum(report["target"]), 1e-9):
+        warnings.warn(f"no nonnegative rates meet the targets: {report}", stacklevel=2)
+    return made

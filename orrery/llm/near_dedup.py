@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, small_batches
+from .common import materialise, prefix, slices
 from .hashing import counted, mix, shingles
 
 
@@ -160,7 +160,6 @@ def signatures(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
             packed = pa.array([k if x else None for k, x in zip(key.view(np.int64), has, strict=True)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], ["doc_id", "t1", "t2", "buckets"])
 
-    small_batches(docs.sparkSession)
     made = rows.mapInArrow(run, f"doc_id {_kind(docs)}, t1 long, t2 long, buckets array<long>")
     return made.withColumns({t: F.when(F.col("buckets").isNull(), F.lit(0)).otherwise(F.col(t)) for t in ("t1", "t2")})
 
@@ -395,12 +394,13 @@ def deduplicate(docs: DataFrame, cfg: DedupConfig = DedupConfig()) -> DataFrame:
     """``docs`` with one row of each class, the one of the smallest id (of several texts
     of that id in the class, the one of the smallest hash); rows with a null id stay."""
     _, named = classes(docs, cfg)
-    keep = named.groupBy("root").agg(F.min(F.struct("text_id", "t1", "t2")).alias("k")).select(F.col("k.text_id").alias("__id"), F.col("k.t1").alias("__t1"), F.col("k.t2").alias("__t2"))
-    keep = materialise(keep, "keep")
+    at = prefix(docs)
+    keep = named.groupBy("root").agg(F.min(F.struct("text_id", "t1", "t2")).alias("k"))
+    keep = materialise(keep.select(F.col("k.text_id").alias(f"{at}id"), F.col("k.t1").alias(f"{at}t1"), F.col("k.t2").alias(f"{at}t2")), "keep")
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = docs.where("doc_id is not null").withColumns(dict(zip(("__a", "__b"), text_key(text), strict=True)))
-    wordless = (F.col("__t1") == 0) & (F.col("__t2") == 0)  # the one class whose texts may differ
-    same = (F.col("__a") == F.col("__t1")) & (F.col("__b") == F.col("__t2"))
-    met = known.join(keep, (F.col("doc_id") == F.col("__id")) & (same | wordless & ~text.rlike(WORD)))
-    one = F.row_number().over(Window.partitionBy("__id", "__t1", "__t2").orderBy("__a", "__b"))
-    return met.withColumn("__n", one).where("__n = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null").withColumns(dict(zip((f"{at}a", f"{at}b"), text_key(text), strict=True)))
+    t1, t2, a, b = (F.col(f"{at}{c}") for c in ("t1", "t2", "a", "b"))
+    wordless = (t1 == 0) & (t2 == 0)  # the one class whose texts may differ
+    met = known.join(keep, (F.col("doc_id") == F.col(f"{at}id")) & ((a == t1) & (b == t2) | wordless & ~text.rlike(WORD)))
+    one = F.row_number().over(Window.partitionBy(f"{at}id", t1, t2).orderBy(a, b))
+    return met.withColumn(f"{at}n", one).where(F.col(f"{at}n") == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -25,6 +25,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, slices
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def tokenise(docs: DataFrame, cfg: PackingConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(cfg.vocabulary, cfg.long_run), TaskContext.get().partitionId(), 0
         kind = "<u2" if max(encode.size, cfg.end_id + 1) <= 1 << 16 else "<u4"
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             ids, firsts, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 own = np.array([*encode(text or ""), cfg.end_id], kind)
@@ -125,7 +126,6 @@ def tokenise(docs: DataFrame, cfg: PackingConfig) -> DataFrame:
             columns = [pa.array([part] * len(ids), pa.int32()), batch.column(0), pa.array(firsts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "first", "n", "ids"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"part int, doc_id {kind}, first long, n long, ids binary")
 

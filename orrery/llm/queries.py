@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table
 from .fixity import FixityConfig, audit
 from .fingerprint import FingerprintConfig, compare
 from .html_text import extract
@@ -117,7 +118,7 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = quality_domains(table(spark, sf_dir, "labels"))
-    cfg = MixingConfig(targets={"high": 0.8, "low": 0.2}, total="corpus")
+    cfg = MixingConfig(targets={"high": 0.8, "low": 0.2}, total="corpus", vocabulary=vocabulary("byte_bpe_50k.json"))
     made = mix(table(spark, sf_dir, "documents").select("doc_id", "text"), labelled, cfg)
     return made.select("doc_id", "tokens", F.col("posterior")[0].alias("p_high"), F.col("posterior")[1].alias("p_low"), "rate", "copies")
 
@@ -129,17 +130,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held, "score", "predicted")
 
 
+def _batched(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session of small Arrow batches: whole texts travel in them."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc_fixity": op1_warc_fixity,
-    "op2_minhash_dedup": op2_minhash_dedup,
-    "op3_html_text": op3_html_text,
-    "op4_packing": op4_packing,
-    "op5_fingerprint": op5_fingerprint,
-    "op6_language_id": op6_language_id,
-    "op7_topk_search": op7_topk_search,
-    "op8_sharding": op8_sharding,
-    "op9_mixing": op9_mixing,
-    "op10_toxicity": op10_toxicity,
+    q.__name__: _batched(q)
+    for q in (op1_warc_fixity, op2_minhash_dedup, op3_html_text, op4_packing, op5_fingerprint, op6_language_id, op7_topk_search, op8_sharding, op9_mixing, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_warc_fixity": OP1_SQL, "op7_topk_search": OP7_SQL}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import materialise, prefix
 
 LOW, SPAN = -(1 << 63), 1 << 64
 
@@ -151,9 +151,9 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig()) -> DataFrame:
     """``docs`` with ``size`` (bytes), ``shard`` and ``slot`` (from 0, without gaps)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.drop("size", "shard", "slot")
-    keyed = plain.withColumns({"__h": F.xxhash64(text), "__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "size": (F.octet_length(text) + cfg.extra_bytes).cast("long")})
-    keys = materialise(keyed.select(F.col("__h").alias("h"), F.col("__d").alias("d"), "size"), "keys")
-    small_batches(docs.sparkSession)
+    at = prefix(plain)
+    keyed = plain.withColumns({f"{at}h": F.xxhash64(text), f"{at}d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "size": (F.octet_length(text) + cfg.extra_bytes).cast("long")})
+    keys = materialise(keyed.select(F.col(f"{at}h").alias("h"), F.col(f"{at}d").alias("d"), "size"), "keys")
     known, below, _, cuts = find_cuts(keys, cfg)
     ph, pd_ = _split(known)
     cut_at = np.array(cuts)
@@ -170,19 +170,19 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig()) -> DataFrame:
     def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for h, d in batches:
             h, d = h.to_numpy(), d.to_numpy()
-            at = np.maximum(_place(ph, pd_, h, d) - 1, 0)
-            one = of_one_text[at]
-            key, low, high = np.where(one, d, h).astype(float), np.where(one, pd_[at], ph[at]).astype(float), np.where(one, ends_d[at], ends_h[at]).astype(float)
+            i = np.maximum(_place(ph, pd_, h, d) - 1, 0)
+            one = of_one_text[i]
+            key, low, high = np.where(one, d, h).astype(float), np.where(one, pd_[i], ph[i]).astype(float), np.where(one, ends_d[i], ends_h[i]).astype(float)
             part = np.clip((key - low) / np.maximum(high - low, 1) * split, 0, split - 1).astype(np.int32)
-            yield pd.DataFrame({"range": at.astype(np.int32), "part": part, "shard": shard_of[at].astype(np.int32), "base": base[at]})
+            yield pd.DataFrame({"range": i.astype(np.int32), "part": part, "shard": shard_of[i].astype(np.int32), "base": base[i]})
 
-    placed = keyed.withColumn("__p", place("__h", "__d")).withColumns({"__range": F.col("__p.range"), "__part": F.col("__p.part"), "shard": F.col("__p.shard"), "__base": F.col("__p.base")}).drop("__p")
-    order = F.row_number().over(Window.partitionBy("__range", "__part").orderBy("__h", "__d"))
-    made = placed.withColumn("__n", order)
+    placed = keyed.withColumn(f"{at}p", place(f"{at}h", f"{at}d")).withColumns({f"{at}range": F.col(f"{at}p.range"), f"{at}part": F.col(f"{at}p.part"), "shard": F.col(f"{at}p.shard"), f"{at}base": F.col(f"{at}p.base")}).drop(f"{at}p")
+    order = F.row_number().over(Window.partitionBy(f"{at}range", f"{at}part").orderBy(f"{at}h", f"{at}d"))
+    made = placed.withColumn(f"{at}n", order)
     if split > 1:  # rows of a range's parts before each part: at most ``max_parts`` rows
-        found = keys.withColumn("__p", place("h", "d")).groupBy(F.col("__p.range").alias("__range"), F.col("__p.part").alias("__part")).agg(F.count("*").alias("n"))
-        before = found.select("__range", "__part", (F.sum("n").over(Window.partitionBy("__range").orderBy("__part")) - F.col("n")).alias("__before"))
-        made = made.join(F.broadcast(materialise(before, "parts")), ["__range", "__part"])
+        found = keys.withColumn(f"{at}p", place("h", "d")).groupBy(F.col(f"{at}p.range").alias(f"{at}range"), F.col(f"{at}p.part").alias(f"{at}part")).agg(F.count("*").alias("n"))
+        before = found.select(f"{at}range", f"{at}part", (F.sum("n").over(Window.partitionBy(f"{at}range").orderBy(f"{at}part")) - F.col("n")).alias(f"{at}before"))
+        made = made.join(F.broadcast(materialise(before, "parts")), [f"{at}range", f"{at}part"])
     else:
-        made = made.withColumn("__before", F.lit(0))
-    return made.withColumn("slot", F.col("__base") + F.col("__before") + F.col("__n") - 1).select(*plain.columns, "size", "shard", "slot")
+        made = made.withColumn(f"{at}before", F.lit(0))
+    return made.withColumn("slot", F.col(f"{at}base") + F.col(f"{at}before") + F.col(f"{at}n") - 1).select(*plain.columns, "size", "shard", "slot")

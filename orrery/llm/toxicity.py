@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, fold, small_batches
+from .common import bounded_texts, fold, spans
 
 WORD = re.compile(r"\w+")
 
@@ -365,11 +365,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(model.scores(texts.tolist()))
+            own = texts.tolist()
+            yield pd.Series(np.concatenate([np.zeros(0), *[model.scores(own[a:b]) for a, b in spans(own)]]))
 
     return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= model.cfg.threshold).cast("int"))

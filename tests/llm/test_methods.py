@@ -18,7 +18,7 @@ from orrery.llm import queries as Q
 from orrery.llm.fingerprint import FingerprintConfig, compare
 from orrery.llm.html_text import default_tree, labelled_blocks, labelled_pages, main_text
 from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, fit_language, load_pieces
-from orrery.llm.mixing import MixingConfig, mix
+from orrery.llm.mixing import MixingConfig, _rate, fit_domains, fit_rates, mix, mix_with_report
 from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicates
 from orrery.llm.packing import Encoder
 from orrery.llm.sharding import ShardConfig, shard
@@ -396,6 +396,51 @@ def test_mixing_meets_targets(spark, sf_dir):
     assert row["least"] >= 0 and abs(row["high"] / row["n"] - 0.7) < 0.01 and abs(row["low"] / row["n"] - 0.3) < 0.01
 
 
+def test_rates_against_plain_projected_gradient(spark):
+    """Three domains, tokens of very different sizes: the same steps by numpy, and targets met."""
+    rng = np.random.default_rng(9)
+    p, t = rng.dirichlet([0.4, 0.4, 0.4], 400), rng.integers(1, 3000, 400)
+    made = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "tokens long, posterior array<double>").repartition(5)
+    cfg = MixingConfig(targets={"a": 0.6, "b": 0.3, "c": 0.1}, total="corpus")
+    moves, report = fit_rates(made, cfg, ["a", "b", "c"])
+    got = np.array([r[0] for r in made.select("tokens", "posterior", _rate(moves).alias("r")).orderBy("tokens", "posterior").select("r").collect()])
+    order = sorted(range(400), key=lambda i: (t[i], list(p[i])))
+    p, t = p[order], t[order].astype(float)
+    have, target = p.T @ t, np.array([0.6, 0.3, 0.1]) * t.sum()
+    w = 1 / np.sqrt(have)
+    step = 1 / np.linalg.eigvalsh((w[:, None] * p.T * t) @ (p * w)).max()
+    rate = np.ones(400)
+    for _ in moves:
+        rate = np.maximum(0, rate - step * p @ ((p.T @ (t * rate) - target) / have))
+    assert np.allclose(got, rate) and np.allclose(report["reached"], p.T @ (t * rate))
+    assert np.abs(p.T @ (t * rate) - target).max() <= 1e-3 * t.sum()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    docs = spark.createDataFrame([(i, "plain words of one kind only") for i in range(50)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "high" if i % 2 else "low") for i in range(50)], "doc_id long, domain string")
+    cfg = MixingConfig(targets={"high": 0.9, "low": 0.1}, total="corpus")
+    made, report = mix_with_report(docs, labelled, cfg)
+    assert made.count() == 50 and abs(report["reached"][0] - report["target"][0]) > 0.1 * sum(report["target"])
+    with pytest.warns(UserWarning, match="no nonnegative rates"):
+        mix(docs, labelled, cfg)
+
+
+def test_domains_held_out(spark, sf_dir):
+    """Labels that the classifier has not seen: better than the share of the larger class, and
+    the posteriors rank them."""
+    d = sf_dir.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), Q.quality_domains(spark.read.parquet(f"{d}/labels.parquet")).where("domain is not null")
+    cfg = MixingConfig(targets={"high": 0.5, "low": 0.5})
+    model = fit_domains(docs, labels.where("doc_id % 4 != 0"), cfg)
+    rows = docs.join(labels.where("doc_id % 4 = 0"), "doc_id").select("text", "domain").collect()
+    y = np.array([r["domain"] == "low" for r in rows])
+    score = model.posteriors([r["text"] for r in rows])[:, 1]
+    rank = np.argsort(np.argsort(score))
+    auc = (rank[y].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (~y).sum())
+    assert auc > 0.9 and ((score > 0.5) == y).mean() > max(y.mean(), 1 - y.mean())
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline
 
@@ -408,3 +453,32 @@ def test_pipeline(spark, sf_dir, docs):
         at = after
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, sf_dir)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in at.select("doc_id").collect()}
+
+
+def test_pipeline_edges(spark, sf_dir):
+    """Nulls, repeats, an empty table, junk, and the user's columns named like the operators' own."""
+    import corpus_pipeline
+
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    clean = real.where("lang is not null and n_chars between 200 and 3000")
+    rng = np.random.default_rng(1)
+    junk = " ".join("".join(rng.choice(list("qxzjkvwpbmfgy"), 9)) for _ in range(60))
+    text = clean.orderBy("doc_id").first()["text"]
+    odd = spark.createDataFrame([(100_001, None, "en", "s", None), (100_002, "", None, None, 0), (100_003, junk, "en", "s", 9), (None, text + " and no id", "en", "s", 9), (100_004, text, "en", "s", 9), (100_004, text, "en", "s", 9)], real.schema)
+    docs = clean.unionByName(odd)
+    for name in ("score", "predicted", "Surprise", "lang_pred", "tokens", "posterior", "rate", "copies", "node", "t1", "job", "__n"):
+        docs = docs.withColumn(name, F.concat(F.lit("mine "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+        assert at.columns == docs.columns, name
+        rows = at.collect()
+        assert all(r["score"] == r["rate"] == r["Surprise"] == r["t1"] == f"mine {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows)
+        ids = [r["doc_id"] for r in rows]
+        if name == "language":
+            assert not {100_001, 100_002, 100_003} & set(ids) and None in ids and ids.count(100_004) == 2
+        if name == "near_dedup":
+            assert 100_004 not in ids and None in ids and len(ids) == len(set(ids))
+    assert corpus_pipeline.STAGES[-1][1](spark, at, sf_dir).count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
