@@ -192,22 +192,36 @@ def _show(a: str) -> Column:
     return F.array_join(F.transform(a, lambda x: F.when(x.isNull(), F.lit("--------")).otherwise(F.lpad(F.hex(x.cast("bigint") + (1 << 31)), 8, "0"))), "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig()) -> DataFrame:
     """(part, row, doc_id, n_chars, edited_sha256, mark, edited_mark): the two marks are
     arrays of ``coordinates`` 32-bit numbers, null where there is no k-mer."""
     rows = with_edit(neighbours(docs, cfg))
     classes, within = cfg.coordinates, cfg.place_bits + cfg.hash_bits
     place = (1 << cfg.place_bits) - 1
-    # one 64-bit key tells text and k-mer: sorting compares mostly that
-    keyed = kmer_rows(rows, cfg).withColumn("u", F.xxhash64("row", "kmer"))
-    so_far = Window.partitionBy("u", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    top = 64 - (classes.bit_length() - 1)  # bits of a hash below its class
+    own = lambda h: F.shiftrightunsigned(h, top)
+    cell = lambda h: (F.col("row") * F.lit(classes).cast("long") + own(h)).alias("cell")
+    # a k-mer's first occurrence has its own hash, so that the order which numbers k-mers also
+    # tells the two least of each class; what repeats has the hash of k-mer and number
+    keyed = kmer_rows(rows, cfg).select("part", "row", "of", "pos", "kmer", cell("kmer"), F.col("kmer").bitwiseAND((1 << top) - 1).alias("low"))
+    so_far = Window.partitionBy("cell", "part", "low").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     seen = {w: F.count(F.when(F.col("of") != other, 1)).over(so_far) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
     nth = F.when(F.col("of") == EDITED, seen[EDITED]).otherwise(seen[TEXT])
-    ranked = keyed.select("part", "row", "of", "kmer", "pos", nth.alias("nth")).select("part", "row", "of", "pos", F.xxhash64("kmer", "nth").alias("h"))
+    numbered = keyed.withColumn("nth", nth)
+    least = Window.partitionBy("cell", "part").orderBy("low", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rank = {w: F.count(F.when((F.col("of") != other) & (F.col("nth") == 1), 1)).over(least) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
+    few = numbered.withColumns({"rt": rank[TEXT], "re": rank[EDITED]})
+    few = few.where((F.col("nth") > 1) | (F.col("of") != EDITED) & (F.col("rt") <= 2) | (F.col("of") != TEXT) & (F.col("re") <= 2))
+    ranked = few.select("part", "row", "of", "pos", F.when(F.col("nth") == 1, F.col("kmer")).otherwise(F.xxhash64("kmer", "nth")).alias("h"))
     # a k-mer as one number: its class, its hash within the class, its place in the text
-    own = F.shiftrightunsigned("h", 64 - classes.bit_length() + 1)
-    packed = F.shiftleft(own, within).bitwiseOR(F.shiftleft(F.col("h").bitwiseAND((1 << cfg.hash_bits) - 1), cfg.place_bits)).bitwiseOR(F.col("pos").cast("long").bitwiseAND(place))
-    ranked = ranked.select("part", "row", "of", own.cast("int").alias("j"), packed.alias("v"), (F.col("row") * F.lit(classes).cast("long") + own).alias("cell"))
+    short = F.shiftrightunsigned("h", top - cfg.hash_bits).bitwiseAND((1 << cfg.hash_bits) - 1)
+    packed = F.shiftleft(own("h"), within).bitwiseOR(F.shiftleft(short, cfg.place_bits)).bitwiseOR(F.col("pos").cast("long").bitwiseAND(place))
+    ranked = ranked.select("part", "row", "of", own("h").cast("int").alias("j"), packed.alias("v"), cell("h"))
     # the two least of each class, of the text and of the edited text
     least = Window.partitionBy("cell", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     rank = {w: F.count(F.when(F.col("of") != other, 1)).over(least) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
@@ -231,19 +245,21 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
         h = F.when(b.isNull(), F.xxhash64(ha)).otherwise(both)
         return F.when(a.isNotNull(), (F.pmod(h, F.lit(1 << 32)) - (1 << 31)).cast("int"))
 
-    def coordinate(w: str):
+    def least_two(w: str) -> Column:
+        """For each coordinate its one or two least k-mers: those of its class, or, where that
+        has one or none, the least of all in the coordinate's order."""
         kept = F.col(f"all_{w}")
 
         def made(j: Column) -> Column:
-            own, mask = F.try_element_at("by", j), F.shiftleft(j.cast("long"), within)
-            filled = own[f"{w}0"] < own[f"{w}1"]
-            # a class of one or none: the least of all in the coordinate's order
-            first = F.array_min(F.transform(kept, lambda v: v.bitwiseXOR(mask)))
-            second = F.array_min(F.transform(kept, lambda v: F.when(v.bitwiseXOR(mask) > first, v.bitwiseXOR(mask))))
-            return F.when(filled, tuple_hash(own[f"{w}0"], own[f"{w}1"])).otherwise(tuple_hash(first.bitwiseXOR(mask), second.bitwiseXOR(mask)))
+            mask = F.shiftleft(j.cast("long"), within)
+            ordered = F.slice(F.array_sort(F.transform(kept, lambda v: v.bitwiseXOR(mask))), 1, 2)
+            rest = F.transform(ordered, lambda v: v.bitwiseXOR(mask))
+            return _let(F.try_element_at("by", j), lambda own: F.when(own[f"{w}0"] < own[f"{w}1"], F.array(own[f"{w}0"], own[f"{w}1"])).otherwise(rest))
 
         return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), made)
 
+    marks = marks.select("part", "row", least_two("t").alias("two_t"), least_two("e").alias("two_e"))
+    coordinate = lambda w: F.transform(f"two_{w}", lambda p: tuple_hash(F.get(p, 0), F.get(p, 1)))
     marks = marks.select(F.col("part").alias("__part"), F.col("row").alias("__row"), coordinate("t").alias("mark"), coordinate("e").alias("edited_mark"))
     base = rows.select("part", "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     none = F.array(*[F.lit(None).cast("int")] * classes)

@@ -339,8 +339,8 @@ def fingerprint_twin(text: str) -> str:
     seen, packed = Counter(), []
     for place, kmer in enumerate(pairs):
         seen[kmer] += 1
-        h = of_longs(kmer, seen[kmer]) & ((1 << 64) - 1)
-        packed.append((h >> 58) << 56 | (h & ((1 << 28) - 1)) << 28 | place)
+        h = (kmer if seen[kmer] == 1 else of_longs(kmer, seen[kmer])) & ((1 << 64) - 1)
+        packed.append((h >> 58) << 56 | (h >> 30 & ((1 << 28) - 1)) << 28 | place)
     out = []
     for j in range(64):
         two = sorted(packed, key=lambda v: v ^ (j << 56))[:2]
