@@ -80,12 +80,14 @@ def system_ftle(wide: DataFrame, feature: str = "shape_effective_dim", least: in
 
 
 def system_velocity_field(wide: DataFrame, features: list[str]) -> DataFrame:
-    """Motion of each cohort through its features, a missing one replaced by its mean."""
+    """Motion of each cohort through its features, a missing one replaced by its mean.
+    Steps that are rounding alone count as none."""
     w, order = Window.partitionBy("cohort"), Window.partitionBy("cohort").orderBy("signal_0_end")
     rows = wide.withColumns({f: F.coalesce(F.nanvl(f, F.lit(None)), F.avg(F.nanvl(f, F.lit(None))).over(w), F.lit(0.0)) for f in features}).withColumn("n", F.count("*").over(w)).where("n >= 3")
-    dt = F.greatest(F.col("signal_0_end") - F.lag("signal_0_end").over(order), F.lit(FLOOR))
-    rows = rows.withColumn("dt", dt)
+    step = F.col("signal_0_end") - F.lag("signal_0_end").over(order)  # null at the first row
+    rows = rows.withColumn("dt", F.when(step.isNotNull(), F.greatest(step, F.lit(FLOOR))))
     rows = rows.withColumns({f"v_{f}": (F.col(f) - F.lag(f).over(order)) / F.col("dt") for f in features})
+    rows = rows.withColumns({f"v_{f}": F.when(F.abs(f"v_{f}") < 1e-12, 0.0).otherwise(F.col(f"v_{f}")) for f in features})
     mid = (F.col("dt") + F.lag("dt").over(order)) / 2
     parts = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"v_{f}").alias("velocity"), ((F.col(f"v_{f}") - F.lag(f"v_{f}").over(order)) / mid).alias("acceleration")) for f in features])
     each = rows.withColumn("p", parts).where(F.col("dt").isNotNull()).select("cohort", "signal_0_end", F.explode("p").alias("p")).select("cohort", "signal_0_end", "p.*")

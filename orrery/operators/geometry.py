@@ -24,10 +24,11 @@ TOP = 5
 
 def spectrum_of(cov: np.ndarray) -> tuple[dict[str, float], np.ndarray]:
     """Summary of a covariance, and its eigenvectors by falling eigenvalue, each with its
-    largest component positive."""
+    largest component (the first of those that are equal but for rounding) positive."""
     vals, vecs = np.linalg.eigh(cov)
     vals, vecs = np.maximum(vals[::-1], 0), vecs[:, ::-1]
-    big = np.abs(vecs).argmax(0)
+    size = np.abs(vecs)
+    big = (size >= size.max(0) * (1 - 1e-6)).argmax(0)
     vecs = vecs * np.where(vecs[big, np.arange(len(vals))] < 0, -1, 1)
     total = vals.sum()
     p = vals / total if total > 1e-15 else np.zeros_like(vals)
@@ -90,10 +91,12 @@ def _component(features: list[str], which: int) -> Column:
 
 def _steady(made: DataFrame, d: int) -> DataFrame:
     """Directions whose sign follows the window before: the sign of a window is the product
-    of all turns up to it, which is a running count of them.  Counts the turns."""
+    of all turns up to it, which is a running count of them.  Counts the turns; a
+    direction without variance, here or before, is arbitrary and has none."""
     order = Window.partitionBy("cohort", "engine").orderBy("window_id")
     dots = [sum((F.col("pc")[k * d + i] * F.lag("pc").over(order)[k * d + i] for i in range(d)), F.lit(0.0)) for k in range(3)]
-    made = made.withColumns({f"__t{k}": F.when(dots[k] < 0, 1).otherwise(0) for k in range(3)})
+    real = [F.least(F.col(f"eigenvalue_{k + 1}"), F.lag(f"eigenvalue_{k + 1}").over(order)) > 1e-9 for k in range(3)]
+    made = made.withColumns({f"__t{k}": F.when(real[k] & (dots[k] < 0), 1).otherwise(0) for k in range(3)})
     made = made.withColumns({f"__s{k}": 1 - 2 * (F.sum(f"__t{k}").over(order) % 2) for k in range(3)})
     signed = F.array(*[F.col("pc")[k * d + i] * F.col(f"__s{k}") for k in range(3) for i in range(d)])
     return made.withColumns({"pc": signed, "eigenvector_flip_count": F.col("__t0") + F.col("__t1") + F.col("__t2")}).drop(*[f"__{x}{k}" for x in "ts" for k in range(3)])

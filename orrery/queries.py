@@ -562,13 +562,13 @@ def q_system_velocity(spark, sf_dir):
     return L.system_velocity_field(wide, own)
 
 
-def _signatures(spark, sf_dir) -> DataFrame:
+def _signatures(spark, sf_dir, engine: str = "shape") -> DataFrame:
     geometry = _geometry(spark, sf_dir)["geometry"]
     velocity = D.velocity_field(D.velocity_components(obs_events(spark, sf_dir)))
-    return L.trajectory_signatures(geometry, D.geometry_dynamics(geometry), velocity)
+    return L.trajectory_signatures(geometry, D.geometry_dynamics(geometry), velocity, engine)
 
 
-@query("trajectory_signatures")
+@query("trajectory_signatures", digits=3)
 def q_signatures(spark, sf_dir):
     return _signatures(spark, sf_dir)
 
@@ -663,21 +663,21 @@ def q_fingerprint_matrix(spark, sf_dir):
     return FE.fingerprint_matrix(FE.cohort_windows(wide_items(spark, sf_dir), SENSORS))
 
 
-@query("trajectory_features")
+@query("trajectory_features", digits=3)
 def q_trajectory_features(spark, sf_dir):
     return FE.single_axis_features(_signatures(spark, sf_dir), "shape")
 
 
-@query("sub_window_features")
+@query("sub_window_features", digits=3)
 def q_sub_window(spark, sf_dir):
     return FE.sub_window_features(_geometry(spark, sf_dir)["geometry"], "shape")
 
 
-@query("cross_axis_features")
+@query("cross_axis_features", digits=3)
 def q_cross_axis(spark, sf_dir):
-    one = FE.single_axis_features(_signatures(spark, sf_dir), "a")
-    two = FE.single_axis_features(_signatures(spark, sf_dir), "b")
-    return FE.cross_axis_features(one.join(two, "cohort"), ["a", "b"])
+    axes = ["shape", "trend"]
+    one, two = (FE.single_axis_features(_signatures(spark, sf_dir, a), a) for a in axes)
+    return FE.cross_axis_features(one.join(two, "cohort"), axes)
 
 
 @query("feature_matrix")
