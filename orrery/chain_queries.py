@@ -146,9 +146,9 @@ FROM ps a JOIN ps b ON a.window_id = b.window_id AND a.cohort < b.cohort"""
 ORACLE_SQL["system_velocity_field"] = f"""WITH {FLEET}, f0 AS (SELECT cohort, signal_0_end AS s, coalesce({_A}, avg({_A}) OVER w, 0) AS x, coalesce({_B}, avg({_B}) OVER w, 0) AS y, count(*) OVER w AS n FROM pv WINDOW w AS (PARTITION BY cohort)), f1 AS (SELECT *, s - lag(s) OVER o AS dt, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy FROM f0 WHERE n >= 3 WINDOW o AS (PARTITION BY cohort ORDER BY s)),
 f2 AS (SELECT *, CASE WHEN abs(dx / dt) < 1e-12 THEN 0 ELSE dx / dt END AS vx, CASE WHEN abs(dy / dt) < 1e-12 THEN 0 ELSE dy / dt END AS vy FROM f1), f3 AS (SELECT *, (vx - lag(vx) OVER o) / ((dt + lag(dt) OVER o) / 2) AS ax, (vy - lag(vy) OVER o) / ((dt + lag(dt) OVER o) / 2) AS ay FROM f2 WINDOW o AS (PARTITION BY cohort ORDER BY s)),
 f4 AS (SELECT *, vx * vx + vy * vy AS vv, coalesce(ax * ax + ay * ay, 0) AS aa, coalesce(vx * ax + vy * ay, 0) AS va FROM f3 WHERE dt IS NOT NULL)
-SELECT cohort, {r('s', 'signal_0_end')}, {r('sqrt(vv)', 'speed')}, {r('CASE WHEN ax IS NOT NULL THEN sqrt(aa) END', 'acceleration_magnitude')}, {r('CASE WHEN ax IS NOT NULL THEN va / nullif(sqrt(vv), 0) END', 'acceleration_parallel')}, {r('CASE WHEN ax IS NOT NULL THEN sqrt(greatest(aa - coalesce(va * va / nullif(vv, 0), 0), 0)) END', 'acceleration_perpendicular')},
-{r('CASE WHEN ax IS NOT NULL THEN sqrt(greatest(aa - coalesce(va * va / nullif(vv, 0), 0), 0)) / (vv + 1e-12) END', 'curvature')}, CASE WHEN abs(vy) >= abs(vx) THEN '{_B}' ELSE '{_A}' END AS dominant_motion_feature,
-{r('CASE WHEN vv > 0 THEN exp(ln(vv) - (CASE WHEN vx <> 0 THEN vx * vx * ln(vx * vx) ELSE 0 END + CASE WHEN vy <> 0 THEN vy * vy * ln(vy * vy) ELSE 0 END) / vv) END', 'motion_dimensionality')} FROM f4"""
+SELECT cohort, {r('s', 'signal_0_end', 2)}, {r('sqrt(vv)', 'speed', 2)}, {r('CASE WHEN ax IS NOT NULL THEN sqrt(aa) END', 'acceleration_magnitude', 2)}, {r('CASE WHEN ax IS NOT NULL THEN va / nullif(sqrt(vv), 0) END', 'acceleration_parallel', 2)}, {r('CASE WHEN ax IS NOT NULL THEN sqrt(greatest(aa - coalesce(va * va / nullif(vv, 0), 0), 0)) END', 'acceleration_perpendicular', 2)},
+{r('CASE WHEN ax IS NOT NULL THEN sqrt(greatest(aa - coalesce(va * va / nullif(vv, 0), 0), 0)) / (vv + 1e-12) END', 'curvature', 2)}, CASE WHEN abs(vy) >= abs(vx) THEN '{_B}' ELSE '{_A}' END AS dominant_motion_feature,
+{r('CASE WHEN vv > 0 THEN exp(ln(vv) - (CASE WHEN vx <> 0 THEN vx * vx * ln(vx * vx) ELSE 0 END + CASE WHEN vy <> 0 THEN vy * vy * ln(vy * vy) ELSE 0 END) / vv) END', 'motion_dimensionality', 2)} FROM f4"""
 
 # ---- trajectories and features -------------------------------------------------------
 

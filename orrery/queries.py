@@ -556,7 +556,7 @@ def q_system_ftle(spark, sf_dir):
     return L.system_ftle(_fleet(spark, sf_dir)[0], least=10)
 
 
-@query("system_velocity_field")
+@query("system_velocity_field", digits=2)
 def q_system_velocity(spark, sf_dir):
     wide, own = _fleet(spark, sf_dir)
     return L.system_velocity_field(wide, own)
