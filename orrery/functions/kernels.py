@@ -183,24 +183,29 @@ def embed(y: np.ndarray, dim: int, delay: int = 1) -> np.ndarray:
     return np.stack([y[i * delay : i * delay + n] for i in range(dim)], 1) if n > 0 else np.zeros((0, dim))
 
 
-def _chebyshev_counts(x: np.ndarray, r: float) -> np.ndarray:
-    return (np.abs(x[:, None] - x[None]).max(2) <= r).sum(1)
+def _matches(y: np.ndarray, r: float, m: int) -> list[np.ndarray]:
+    """For lengths 1 to ``m``: which templates lie within ``r`` of each other.  Longer ones
+    match where shorter ones and the next values do."""
+    near = np.abs(y[:, None] - y[None]) <= r
+    out = [near]
+    for k in range(1, m):
+        out.append(out[-1][:-1, :-1] & near[k:, k:])
+    return out
 
 
 def sample_entropy(y: np.ndarray, m: int = 2, share: float = 0.2) -> float:
     if len(y) < m + 2 or y.std() < TINY:
         return NAN
-    r, x = share * y.std(), embed(y, m + 1)
-    b = (_chebyshev_counts(x[:, :m], r) - 1).sum()
-    a = (_chebyshev_counts(x, r) - 1).sum()
+    short, long = _matches(y, share * y.std(), m + 1)[-2:]
+    n = len(long)
+    a, b = long.sum() - n, short[:n, :n].sum() - n
     return float(-np.log(a / b)) if a > 0 and b > 0 else NAN
 
 
 def approximate_entropy(y: np.ndarray, m: int = 2, share: float = 0.2) -> float:
     if len(y) < m + 2 or y.std() < TINY:
         return NAN
-    r = share * y.std()
-    phi = [np.log(_chebyshev_counts(x := embed(y, k), r) / len(x)).mean() for k in (m, m + 1)]
+    phi = [np.log(near.sum(1) / len(near)).mean() for near in _matches(y, share * y.std(), m + 1)[-2:]]
     return float(phi[0] - phi[1])
 
 
@@ -208,8 +213,8 @@ def permutation_entropy(y: np.ndarray, order: int = 3) -> float:
     if len(y) < order + 1:
         return NAN
     ranks = np.argsort(embed(y, order), axis=1, kind="stable")
-    _, c = np.unique(ranks, axis=0, return_counts=True)
-    p = c / c.sum()
+    c = np.bincount(ranks @ order ** np.arange(order))
+    p = c[c > 0] / c.sum()
     return float(-(p * np.log2(p)).sum() / np.log2(factorial(order)))
 
 
@@ -331,13 +336,24 @@ def band_stability(y: np.ndarray) -> dict[str, float]:
 # ---- phase space ---------------------------------------------------------------------
 
 
+def _cells(x: np.ndarray, bins: int) -> np.ndarray:
+    """Numbers of equal-width bins; a value on an edge belongs to the bin above, the largest
+    to the last one."""
+    low, high = x.min(), x.max()
+    if high <= low:
+        return np.zeros(len(x), np.int64)
+    edges = np.linspace(low, high, bins + 1)
+    at = np.minimum(((x - low) / (high - low) * bins).astype(np.int64), bins - 1)
+    at -= x < edges[at]  # the quotient may be off by its rounding
+    return at + ((x >= edges[at + 1]) & (at < bins - 1))
+
+
 def mutual_information(x: np.ndarray, y: np.ndarray, bins: int) -> tuple[float, float, float]:
     """(MI, H(x), H(y)) in nats from equal-width histograms."""
-    h, _, _ = np.histogram2d(x, y, bins)
-    p = h / max(1, h.sum())
-    px, py = p.sum(1), p.sum(0)
+    h = np.bincount(_cells(x, bins) * bins + _cells(y, bins), minlength=bins * bins).reshape(bins, bins)
+    p = h / max(1, len(x))
     ent = lambda q: float(-(q[q > 0] * np.log(q[q > 0])).sum())
-    hx, hy = ent(px), ent(py)
+    hx, hy = ent(p.sum(1)), ent(p.sum(0))
     return max(0.0, hx + hy - ent(p.ravel())), hx, hy
 
 
@@ -361,22 +377,29 @@ def _distances(x: np.ndarray) -> np.ndarray:
 
 
 def cao_dimension(y: np.ndarray, delay: int, most: int = 10, points: int = 600) -> int:
-    """Where Cao's E1 stops changing."""
-    means = []
+    """Where Cao's E1 stops changing.  The distance in d + 1 dimensions is the larger of that
+    in d and of the new coordinate's, so that each dimension costs one matrix."""
+    means, low, step, d0 = [], None, 0, 0
     for d in range(1, most + 2):
-        x = embed(y, d + 1, delay)
-        if len(x) < 10:
+        n = len(y) - d * delay
+        if n < 10:
             break
-        x = x[:: max(1, len(x) // points)]
-        low = np.abs(x[:, None, :d] - x[None, :, :d]).max(2)
-        np.fill_diagonal(low, np.inf)
-        low[low < 1e-12] = np.inf
-        near = low.argmin(1)
-        full = np.abs(x - x[near]).max(1)
-        base = low[np.arange(len(x)), near]
+        every = max(1, n // points)
+        at = np.arange(0, n, every)
+        if every != step:  # other points: from the first coordinate on
+            low, step, d0 = np.zeros((len(at), len(at))), every, 0
+        low = low[: len(at), : len(at)]
+        for k in range(d0, d):
+            v = y[at + k * delay]
+            low = np.maximum(low, np.abs(v[:, None] - v[None]))
+        d0 = d
+        far = np.where(low < 1e-12, np.inf, low)  # also the points themselves
+        near = far.argmin(1)
+        base = far[np.arange(len(at)), near]
         good = np.isfinite(base)
         if not good.any():
             break
+        full = np.maximum(base, np.abs(y[at + d * delay] - y[at[near] + d * delay]))
         means.append((full[good] / base[good]).mean())
     e1 = [b / a for a, b in zip(means, means[1:], strict=False) if a > 0]
     for d in range(1, len(e1)):
@@ -417,23 +440,25 @@ def recurrence(x: np.ndarray, epsilon: float) -> np.ndarray:
     return _distances(x) <= epsilon
 
 
-def _lines(diagonals: list[np.ndarray], least: int = 2) -> np.ndarray:
-    out = []
-    for d in diagonals:
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], d.astype(int), [0]])))
-        out.append(edge[1::2] - edge[::2])
-    n = np.concatenate(out) if out else np.zeros(0, int)
+def _runs(rows: np.ndarray, least: int = 2) -> np.ndarray:
+    """Lengths of the runs of 1 within rows, those of at least ``least``."""
+    flat = np.zeros((len(rows), rows.shape[1] + 1), np.int8)
+    flat[:, :-1] = rows
+    edge = np.flatnonzero(np.diff(flat.ravel(), prepend=0, append=0))
+    n = edge[1::2] - edge[::2]
     return n[n >= least]
 
 
 def rqa(r: np.ndarray) -> dict[str, float]:
     n = len(r)
     total = r.sum()
-    diag = _lines([np.diagonal(r, k) for k in range(1, n)])
-    vert = _lines(list(r))
+    i, j = np.triu_indices(n, 1)
+    above = np.zeros((max(n - 1, 0), n), np.int8)  # a diagonal a row
+    above[j - i - 1, i] = r[i, j]
+    diag, vert = _runs(above), _runs(r)
     off = (total - n) / 2
-    _, c = np.unique(diag, return_counts=True)
-    p = c / c.sum() if len(c) else np.zeros(0)
+    c = np.bincount(diag)
+    p = c[c > 0] / c.sum() if len(diag) else np.zeros(0)
     return {
         "recurrence_rate": float(total / n**2), "determinism": float(diag.sum() / off) if off > 0 else 0.0, "laminarity": float(vert.sum() / total) if total else 0.0,
         "trapping_time": float(vert.mean()) if len(vert) else 0.0, "rqa_entropy": float(-(p * np.log(p)).sum()) if len(p) else 0.0, "longest_diagonal": float(diag.max()) if len(diag) else 0.0,
