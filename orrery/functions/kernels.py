@@ -76,6 +76,26 @@ def mann_kendall(y: np.ndarray) -> dict[str, float]:
     return {"mk_stat": float(z), "mk_pvalue": float(2 * (1 - normal_cdf(abs(z)))), "mk_slope": float(np.median(d / (j - i)))}
 
 
+def concordance(y: np.ndarray, block: int = 256) -> tuple[int, int]:
+    """(rising, falling): pairs of earlier and later values, by merging sorted blocks, in
+    n log(n)^2 steps and memory in proportion to n."""
+    rising = falling = 0
+    blocks = []
+    for i in range(0, len(y), block):
+        own = y[i : i + block]
+        d = np.sign(own[None] - own[:, None])[np.triu_indices(len(own), 1)]
+        rising, falling = rising + int((d > 0).sum()), falling + int((d < 0).sum())
+        blocks.append(np.sort(own))
+    while len(blocks) > 1:
+        merged = []
+        for a, b in zip(blocks[::2], blocks[1::2], strict=False):
+            rising += int(np.searchsorted(a, b, "left").sum())
+            falling += int((len(a) - np.searchsorted(a, b, "right")).sum())
+            merged.append(np.sort(np.concatenate([a, b]), kind="stable"))
+        blocks = merged + ([blocks[-1]] if len(blocks) % 2 else [])
+    return rising, falling
+
+
 def rate_of_change(y: np.ndarray) -> dict[str, float]:
     if len(y) < 3:
         return dict.fromkeys(("mean_rate", "max_rate", "min_rate", "rate_std", "abs_max_rate"), NAN)

@@ -382,16 +382,21 @@ def persistent_homology(cohort_vector: DataFrame, window: int = 20, stride: int
 
 def kendall_trend(rows: DataFrame, value: str, order: str = "window_id") -> DataFrame:
     """Kendall's tau of a column against the order of a signal's windows, with the normal
-    approximation's p.  A signal's windows are paired by a join on the signal."""
-    a = rows.where(F.col(value).isNotNull()).select(*SIGNAL, F.col(order).alias("i"), F.col(value).alias("x"))
-    b = a.select(*SIGNAL, F.col("i").alias("j"), F.col("x").alias("y"))
-    s = F.signum(F.col("y") - F.col("x"))
-    made = a.join(b, SIGNAL).where("i < j").groupBy(*SIGNAL).agg(F.sum(s).alias("s"), F.sum(F.abs(s)).alias("m"), F.count("*").alias("p"))
-    n = (1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2
+    approximation's p.  A signal's windows (one number each) are gathered, and their pairs
+    counted by merging."""
+    known = rows.where(F.col(value).isNotNull())
+    made = known.groupBy(*SIGNAL).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("i"), F.col(value).alias("x")))), lambda p: p["x"]).alias("y"))
+
+    @F.pandas_udf("up long, down long")
+    def count(y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([K.concordance(np.asarray(v, float)) for v in y], columns=["up", "down"])
+
+    made = spread(made).withColumn("c", count("y")).select(*SIGNAL, F.size("y").cast("double").alias("n"), (F.col("c.up") - F.col("c.down")).alias("s"), (F.col("c.up") + F.col("c.down")).alias("m")).where("n > 1")
+    n = F.col("n")
     z = F.abs("s") / F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
     # a logistic approximation of the normal tail, within 2e-4
     tail = 2 / (1 + F.exp(1.5976 * z + 0.070566 * F.pow(z, F.lit(3.0))))
-    return made.select(*SIGNAL, F.try_divide(F.col("s"), F.nullif(F.col("m"), F.lit(0.0))).alias(f"tau_{value}"), tail.alias(f"tau_{value}_pvalue"))
+    return made.select(*SIGNAL, F.try_divide(F.col("s"), F.nullif(F.col("m"), F.lit(0))).alias(f"tau_{value}"), tail.alias(f"tau_{value}_pvalue"))
 
 
 def critical_slowing_down(obs: DataFrame, window: int = 50, stride: int = 10) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import kernels as K
 from .dynamics import FLOOR, ftle, velocity_field
 from .geometry import SUMMARY, covariances, decompose
 from .pairwise import dtw, feature_pairs, information_flow
+from .windows import spread
 
 METRICS = ["effective_dim", "eigenvalue_1", "eigenvalue_2", "eigenvalue_3", "explained_1", "total_variance", "condition_number", "ratio_2_1", "ratio_3_1", "eigenvalue_entropy", "eigenvalue_entropy_norm"]
 ENGINES = ("complexity", "shape", "spectral")
@@ -117,29 +118,32 @@ def _resample(x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.interp(at, np.arange(len(x)), x[:, k]) for k in range(x.shape[1])], 1)
 
 
-def signature_distances(signatures: DataFrame, length: int | None = None, columns: list[str] = SIGNATURE) -> DataFrame:
+def signature_distances(signatures: DataFrame, length: int | None = None, columns: list[str] = SIGNATURE, block: int = 32) -> DataFrame:
     """(a, b, distance) of all cohorts: dynamic time warping of each scaled dimension,
-    meaned, over trajectories resampled to the median length."""
+    meaned, over trajectories resampled to the median length.  Cohorts are dealt into
+    blocks; a pair of blocks is one unit of work, and a trajectory travels once to each."""
     scale = signatures.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
     order = F.sort_array(F.collect_list(F.struct("signal_0_end", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in columns])))
     rows = signatures.groupBy("cohort").agg(order.alias("x"))
     size = length or int(rows.agg(F.percentile(F.size("x"), 0.5)).first()[0] or 1)
 
     def scaled(c: str):
-        return F.transform("x", lambda p: p[c] / (scale[c] or 1.0)).alias(c)
+        return F.transform("x", lambda p: p[c] / (scale[c] or 1.0))
 
-    rows = rows.select("cohort", *[scaled(c) for c in columns])
-    both = rows.select(F.col("cohort").alias("a"), F.struct(*columns).alias("xa")).join(rows.select(F.col("cohort").alias("b"), F.struct(*columns).alias("xb")), F.col("a") < F.col("b"))
+    blocks = max(1, -(-rows.count() // block))
+    x = F.array(*[scaled(c) for c in columns]).alias("x")
+    rows = rows.select("cohort", x, F.pmod(F.xxhash64("cohort"), F.lit(blocks)).cast("int").alias("at"))
+    each = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    units = each.select(F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "cohort", "x")
 
-    @F.pandas_udf("double")
-    def distance(x: pd.DataFrame, y: pd.DataFrame) -> pd.Series:
-        out = []
-        for i in range(len(x)):
-            p, q = (_resample(np.stack([np.asarray(t[c].iloc[i], float) for c in columns], 1), size) for t in (x, y))
-            out.append(np.mean([dtw(p[:, k], q[:, k]) for k in range(len(columns))]) / size)
-        return pd.Series(out)
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        x = {c: _resample(np.stack([np.asarray(k, float) for k in v], 1), size) for c, v in zip(b["cohort"], b["x"], strict=True)}
+        left, right = (b.loc[b["at"] == k, "cohort"].tolist() for k in key)
+        pairs = [(p, q) for p in left for q in right if (p < q if key[0] == key[1] else True)]
+        made = [(min(p, q), max(p, q), float(np.mean([dtw(x[p][:, k], x[q][:, k]) for k in range(len(columns))]) / size)) for p, q in pairs]
+        return pd.DataFrame(made, columns=["a", "b", "distance"])
 
-    return both.select("a", "b", distance("xa", "xb").alias("distance"))
+    return units.groupBy("i", "j").applyInPandas(run, "a string, b string, distance double")
 
 
 def ward(d: np.ndarray) -> list[tuple[int, int]]:
@@ -292,24 +296,29 @@ def ftle_field(geometry: DataFrame, most_cohorts: int = 5000, steps: int = 20, a
     return spark.createDataFrame(pairs, "engine string, i int, j int").mapInPandas(run, schema)
 
 
-def basins(geometry: DataFrame, most_cohorts: int = 5000, directions: int = 8, radii: int = 3) -> DataFrame:
+def basins(geometry: DataFrame, most_cohorts: int = 5000, directions: int = 8, radii: int = 3, together: int = 64) -> DataFrame:
     """How deep each cohort's centroid lies: the rise of the local exponent from the centroid
     outwards, the radius at which it is steepest, the direction in which it rises least
     (where the state escapes), and how many directions stay low."""
     axes = ["eigenvalue_1", "eigenvalue_2", "eigenvalue_3"]
     made = geometry.groupBy("engine", "cohort").agg(*[F.avg(a).alias(a) for a in axes], *[(F.max_by(a, "signal_0_end") - F.min_by(a, "signal_0_end")).alias(f"d_{a}") for a in axes]).dropna()
     cloud = made.groupBy("engine").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("cohort", F.array(*axes).alias("x"), F.array(*[F.col(f"d_{a}") for a in axes]).alias("d")))).alias("p")).where((F.col("n") >= 10) & (F.col("n") <= most_cohorts))
-    rows = cloud.select("engine", "p", F.explode(F.transform("p", lambda v: v["cohort"])).alias("cohort"))
+    # the cloud travels once for every ``together`` of its cohorts
+    rows = spread(cloud.select("engine", "p", F.explode(F.sequence(F.lit(0), F.size("p") - 1, F.lit(together))).alias("first")))
+
+    def points(b: pd.DataFrame):
+        for engine, p, first in b[["engine", "p", "first"]].itertuples(index=False):
+            x = np.array([v["x"] for v in p], float)
+            moved = x + np.array([v["d"] for v in p], float)
+            for k in range(first, min(first + together, len(p))):
+                yield engine, p[k]["cohort"], x[k], x, moved
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         turn = np.linspace(0, 2 * np.pi, directions, endpoint=False)
         rays = np.stack([np.cos(turn), np.sin(turn), np.zeros(directions)], 1)
         for b in batches:
             out = []
-            for engine, p, cohort in b[["engine", "p", "cohort"]].itertuples(index=False):
-                x = np.array([v["x"] for v in p], float)
-                moved = x + np.array([v["d"] for v in p], float)
-                at = x[[v["cohort"] for v in p].index(cohort)]
+            for engine, cohort, at, x, moved in points(b):
                 scale = float(np.median(np.sqrt(((x - at) ** 2).sum(1)))) or 1.0
                 steps = scale * np.arange(1, radii + 1) / radii
                 base = local_exponent(at, x, moved)

@@ -50,12 +50,17 @@ def feature_pairs(vector: DataFrame, engine: str, features: list[str], positions
     )
 
 
-def aligned(obs: DataFrame) -> DataFrame:
-    """(cohort, signal_a, signal_b, signal_0, x, y): pairs of values at equal signal_0."""
+def aligned(obs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(cohort, signal_a, signal_b, signal_0, x, y): pairs of values at equal signal_0.
+    ``only`` (cohort, signal_a, signal_b): the pairs that are wanted; they meet one side
+    before the sides meet, so that no other pair's points are ever made."""
     rows = obs.where("value is not null and not isnan(value)").groupBy("cohort", "signal_id", "signal_0").agg(F.avg("value").alias("v"))
     a = rows.select("cohort", "signal_0", F.col("signal_id").alias("signal_a"), F.col("v").alias("x"))
     b = rows.select("cohort", "signal_0", F.col("signal_id").alias("signal_b"), F.col("v").alias("y"))
-    return a.join(b, ["cohort", "signal_0"]).where("signal_a < signal_b")
+    if only is not None:
+        wanted = only.select(*PAIR).distinct().where("signal_a < signal_b")
+        return a.join(wanted, ["cohort", "signal_a"]).join(b, ["cohort", "signal_0", "signal_b"]).select(*PAIR, "signal_0", "x", "y")
+    return a.join(b, ["cohort", "signal_0"]).where("signal_a < signal_b").select(*PAIR, "signal_0", "x", "y")
 
 
 def correlations(pairs: DataFrame, least: int = 3) -> DataFrame:
@@ -258,11 +263,8 @@ def pair_flow(x: np.ndarray, y: np.ndarray, least: int = 100) -> dict:
 
 def information_flow(obs: DataFrame, flagged: DataFrame | None = None, least: int = 100, most: int = 2000, names: tuple[str, str] = ("signal_a", "signal_b"), keys: tuple[str, ...] = ("cohort",)) -> DataFrame:
     """Dependence of pairs of series over their last ``most`` common points.  ``flagged``
-    (cohort, signal_a, signal_b) keeps pairs by a semi join before any series is
-    gathered."""
-    pairs = aligned(obs)
-    if flagged is not None:
-        pairs = pairs.join(flagged.select(*PAIR).distinct(), PAIR, "left_semi")
+    (cohort, signal_a, signal_b) keeps pairs before any of their points meet."""
+    pairs = aligned(obs, flagged)
     w = Window.partitionBy(*PAIR).orderBy(F.desc("signal_0"))
     last = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     made = last.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("signal_0", "x", "y"))).alias("p"))

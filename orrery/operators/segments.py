@@ -52,9 +52,10 @@ def segment_comparison(wide: DataFrame, signals: list[str], segments: list[Segme
     return made.withColumns({"eff_dim_delta": F.col("eff_dim_b") - F.col("eff_dim_a"), "eigenvalue_1_delta": F.col("eigenvalue_1_b") - F.col("eigenvalue_1_a")})
 
 
-def info_flow_delta(obs: DataFrame, segments: list[Segment], lag: int = 5, most: int = 2000, alpha: float = 0.05) -> DataFrame:
-    """Granger links of ordered pairs in two segments, and what became of them."""
-    rows = in_segments(aligned(obs), segments)
+def info_flow_delta(obs: DataFrame, segments: list[Segment], lag: int = 5, most: int = 2000, alpha: float = 0.05, flagged: DataFrame | None = None) -> DataFrame:
+    """Granger links of ordered pairs (of those ``flagged``) in two segments, and what became
+    of them."""
+    rows = in_segments(aligned(obs, flagged), segments)
     w = Window.partitionBy(*PAIR, "segment").orderBy(F.desc("signal_0"))
     last = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     series = last.groupBy(*PAIR, "segment").agg(F.sort_array(F.collect_list(F.struct("signal_0", "x", "y"))).alias("p"))

@@ -515,6 +515,15 @@ def q_flow(spark, sf_dir):
     return P.information_flow(obs_items(spark, sf_dir))
 
 
+@query("information_flow_gated")
+def q_flow_gated(spark, sf_dir):
+    """Of the pairs alone that load on a window's first direction together."""
+    obs = obs_items(spark, sf_dir)
+    rows = window_features(obs, 64, 64)
+    positions = G.cohort_geometry(rows, {"shape": SHAPE}, False)["positions"]
+    return P.information_flow(obs, P.feature_pairs(rows, "shape", SHAPE, positions, threshold=1.0).where("needs_granger"))
+
+
 # ---- fleet ---------------------------------------------------------------------------
 
 
