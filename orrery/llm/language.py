@@ -13,8 +13,7 @@ side, longer ones by logarithms, so that nothing underflows.
 
 ``score`` compares the learned languages with each other only.  ``surprise``, the text's
 negative log probability a character in its language, says whether the text is in any of
-them: ``model.surprise_limit`` lies as far above the worst sampled document as that lies
-above the median.
+them: ``model.surprise_limit`` is ``surprise_factor`` times the sampled documents' median.
 
 Results at the edges: a null text or one without any letter is ``und`` with
 score 0; a text of any length is read to its end; ties go to the language that
@@ -64,6 +63,7 @@ class LanguageConfig:
     long_batch: int = 50_000
     #: Words kept with their sums by each Python worker.
     cache: int = 400_000
+    surprise_factor: float = 3.4
     holdout_mod: int = 5
     holdout: int = 0
 
@@ -293,7 +293,7 @@ class LanguageModel:
         self.surprise_limit = float("inf")
         found = np.sort([s for i in range(0, len(texts), 64) for s in self.predict(texts[i : i + 64])[2] if s is not None])
         if len(found):
-            self.surprise_limit = float(2 * found[-1] - found[len(found) // 2])
+            self.surprise_limit = float(self.cfg.surprise_factor * found[len(found) // 2])
         self._cache, self._rows = {}, np.zeros((0, n))
         return self
 
