@@ -63,7 +63,7 @@ class LanguageConfig:
     long_batch: int = 50_000
     #: Words kept with their sums by each Python worker.
     cache: int = 400_000
-    surprise_factor: float = 3.4
+    surprise_factor: float = 3.0
     holdout_mod: int = 5
     holdout: int = 0
 
