@@ -6,10 +6,16 @@ bidirectional GRU; attention pools a window's states into one logit, and a
 document's logit is the largest of its windows.  The network, its
 back-propagation through time and its optimiser are plain numpy.
 
-* Word inputs: smoothed log odds of the word, from the labelled sample.
-* Character inputs: the largest and mean log odds of the word's character
-  n-grams (3 to 5 characters, with word edges), so that unseen inflections still carry the
-  evidence of their stems; plus the word's length.
+* Word inputs: a trained embedding of the word, and its smoothed log odds in the
+  labelled sample.
+* Character inputs: the mean of trained embeddings of the word's character n-grams (3 to
+  5 characters, with word edges), and the largest and mean log odds of these n-grams, so
+  that unseen inflections still carry the evidence of their stems; plus the word's length.
+
+Embeddings begin at zero and are learned through the network from words of at least
+``least_df`` documents, so that a rare or new word adds nothing but its n-grams.  Log odds that a document's own words helped to make
+would be surer of it than of others: while learning, each of ``folds`` parts of the sample
+reads the odds of the other parts.
 
 Results at the edges: a null or empty text, or one without any word, has the
 score of an empty window (a constant of the fitted model).  Texts of any length
@@ -42,6 +48,13 @@ class ToxicityConfig:
     hidden: int = 8
     word_buckets: int = 1 << 17
     gram_buckets: int = 1 << 19
+    #: Numbers of a word's and of an n-gram's embedding, and rows of the two tables.
+    embedding: int = 4
+    word_rows: int = 1 << 15
+    gram_rows: int = 1 << 16
+    #: Step and decay of the embeddings.
+    embedding_rate: float = 0.01
+    embedding_decay: float = 0.002
     grams: tuple[int, ...] = (3, 4, 5)
     #: Labelled documents of each class that are learned from, at most.
     sample_per_class: int = 1000
@@ -52,6 +65,7 @@ class ToxicityConfig:
     #: Likelihood ratio statistic from which a feature counts: hundreds of thousands of
     #: features are tried, so that chance alone brings forth a few of 20.
     least_g: float = 24.0
+    folds: int = 4
     epochs: int = 12
     #: Epochs after which all windows are scored anew.
     rescan: int = 4
@@ -63,7 +77,7 @@ class ToxicityConfig:
     holdout: int = 1
 
 
-INPUTS = 7
+ODDS = 7
 
 
 def _words(text: str | None) -> list[str]:
@@ -71,10 +85,13 @@ def _words(text: str | None) -> list[str]:
 
 
 class Features:
-    """Hashed word and character n-gram log odds, and the vectors made of them."""
+    """Hashed word and character n-gram log odds and embeddings, and the vectors made of
+    them."""
 
     def __init__(self, cfg: ToxicityConfig):
         self.cfg = cfg
+        self.word_table = np.zeros((cfg.word_rows, cfg.embedding), np.float32)
+        self.gram_table = np.zeros((cfg.gram_rows, cfg.embedding), np.float32)
         self.word = np.zeros(cfg.word_buckets, np.float32)
         self.gram = np.zeros(cfg.gram_buckets, np.float32)
 
@@ -114,8 +131,31 @@ class Features:
             return self._bucket(h, self.cfg.gram_buckets), owner[inside]
 
     def vectors(self, words: list[str]) -> np.ndarray:
-        """(words, INPUTS) of distinct words."""
-        out = np.zeros((len(words), INPUTS), np.float32)
+        """(words, inputs) of distinct words: odds, then the two embeddings."""
+        return np.concatenate([self.odds(words), self.embedded(*self.rows(words))], 1)
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each word's row of the word table; the n-grams' rows, and the words they are of."""
+        if not words:
+            return (np.zeros(0, np.int64),) * 3
+        points, starts = self._points(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(points))))
+        parts = [self.gram_buckets(points, owner, n) for n in self.cfg.grams]
+        gram, of = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        order = np.argsort(of, kind="stable")
+        return self.word_buckets(points, starts, owner) % self.cfg.word_rows, gram[order] % self.cfg.gram_rows, of[order]
+
+    def embedded(self, word: np.ndarray, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """The word's embedding and the mean of its n-grams'."""
+        mean = np.zeros((len(word), self.cfg.embedding), np.float32)
+        if len(of):
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            mean[of[first]] = np.add.reduceat(self.gram_table[gram], first) / np.diff(np.append(first, len(of)))[:, None]
+        return np.concatenate([self.word_table[word], mean], 1)
+
+    def odds(self, words: list[str]) -> np.ndarray:
+        """(words, ODDS) of distinct words."""
+        out = np.zeros((len(words), ODDS), np.float32)
         if not words:
             return out
         points, starts = self._points(words)
@@ -136,17 +176,21 @@ class Features:
         out[:, 6] = 1
         return out
 
-    def fit(self, words: list[str], texts: list[np.ndarray], labels: np.ndarray) -> None:
-        """Log odds of documents of label 1 against 0, for features that chance does not
-        explain.  ``texts``: numbers of ``words``, from 1 on."""
-        cfg, seen = self.cfg, [np.zeros((2, size), np.int32) for size in (self.cfg.word_buckets, self.cfg.gram_buckets)]
+    def prepare(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the words; of all their n-grams, word by word; where each word's begin."""
         points, starts = self._points(words)
         owner = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(points))))
         word_of = self.word_buckets(points, starts, owner).astype(np.int32)
-        parts = [self.gram_buckets(points, owner, n) for n in cfg.grams]
+        parts = [self.gram_buckets(points, owner, n) for n in self.cfg.grams]
         bucket, of = (np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (0, 1))
         order = np.argsort(of, kind="stable")
-        bucket, first = bucket[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+        return word_of, bucket[order], np.searchsorted(of[order], np.arange(len(words) + 1))
+
+    def fit(self, prepared: tuple[np.ndarray, np.ndarray, np.ndarray], texts: list[np.ndarray], labels: np.ndarray) -> None:
+        """Log odds of documents of label 1 against 0, for features that chance does not
+        explain.  ``texts``: numbers of the prepared words, from 1 on."""
+        cfg, seen = self.cfg, [np.zeros((2, size), np.int32) for size in (self.cfg.word_buckets, self.cfg.gram_buckets)]
+        word_of, bucket, first = prepared
         for flat, y in zip(texts, labels, strict=True):
             own = np.unique(flat) - 1
             if not len(own):
@@ -176,10 +220,10 @@ class Network:
 
     def __init__(self, cfg: ToxicityConfig):
         rng, h = np.random.default_rng(cfg.seed), cfg.hidden
-        self.h = h
+        self.h, inputs = h, ODDS + 2 * cfg.embedding
         small = lambda *s: (rng.normal(size=s) * 0.3).astype(np.float32)
         self.p = {
-            "W0": small(INPUTS, 3 * h), "U0": small(h, 3 * h), "W1": small(INPUTS, 3 * h), "U1": small(h, 3 * h),
+            "W0": small(inputs, 3 * h), "U0": small(h, 3 * h), "W1": small(inputs, 3 * h), "U1": small(h, 3 * h),
             "a": small(2 * h), "v": small(2 * h), "b": np.zeros(1, np.float32),
         }
 
@@ -213,7 +257,7 @@ class Network:
         return pooled @ self.p["v"] + self.p["b"][0], out, att, pooled
 
     def gradients(self, x: np.ndarray, ids: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the weighted mean log loss of windows."""
+        """Of the weighted mean log loss of windows; ``x`` of the inputs, a row a word."""
         p, h, keep = self.p, self.h, ([], [])
         logit, out, att, pooled = self.forward(self.project(x), ids, mask, keep)
         d = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
@@ -222,6 +266,7 @@ class Network:
         datt = np.einsum("nh,tnh->tn", dpool, out)
         dscore = att * (datt - (att * datt).sum(0))
         g["a"] = np.einsum("tn,tnh->h", dscore, out)
+        g["x"] = np.zeros_like(x)
         dout = att[:, :, None] * dpool + dscore[:, :, None] * p["a"]
         for k, (steps, U, W) in enumerate(((keep[0], "U0", "W0"), (keep[1], "U1", "W1"))):
             gu, gw, dstate = np.zeros_like(p[U]), np.zeros_like(p[W]), np.zeros((len(ids), h), np.float32)
@@ -233,6 +278,7 @@ class Network:
                 dh = np.concatenate([dz, dr, dc * r], 1)
                 gu += state.T @ dh
                 gw += x[ids[:, i]].T @ dx
+                np.add.at(g["x"], ids[:, i], (m > 0) * (dx @ p[W].T))
                 dstate = dnew * (1 - m * (1 - z)) + dh @ p[U].T
             g[U], g[W] = gu, gw
         return g
@@ -269,7 +315,8 @@ class ToxicityModel:
         return list(number), flat
 
     def _vectors(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([np.zeros((1, INPUTS), np.float32), self.features.vectors(words)])
+        made = self.features.vectors(words)
+        return np.concatenate([np.zeros((1, made.shape[1]), np.float32), made])
 
     def _cut(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words in a row; owner, first word and size of every window."""
@@ -306,18 +353,35 @@ class ToxicityModel:
         if len(np.unique(labels)) < 2:
             return self
         words, numbers = self._number(texts)
-        self.features = Features(cfg)
-        self.features.fit(words, numbers, labels)
         self.net = Network(cfg)
         rng = np.random.default_rng(cfg.seed)
-        x = self._vectors(words)
+        # odds for a part of the sample come from the other parts
+        fold = np.zeros(len(labels), np.int64)
+        for y in (0, 1):
+            own = rng.permutation(np.flatnonzero(labels == y))
+            fold[own] = np.arange(len(own)) % cfg.folds
+        own, prepared = [], Features(cfg).prepare(words)
+        for k in range(cfg.folds):
+            other, rest = Features(cfg), (fold != k) | (cfg.folds == 1)
+            other.fit(prepared, [t for t, h in zip(numbers, rest, strict=True) if h], labels[rest])
+            own.append(other.odds(words))
+        n = len(words)
+        # a word of part k is row k n + 1 to (k + 1) n
+        odds = np.concatenate([np.zeros((1, ODDS), np.float32), *own])
+        numbers = [t + np.int32(n * k) for t, k in zip(numbers, fold, strict=True)]
+        self.features = Features(cfg)
+        word, gram, of = self.features.rows(words)
+        x = self._joined(odds, self.features.embedded(word, gram, of))
         flat, owner, first, size = self._cut(numbers)
-        del words, numbers
         at_doc = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         # before the network has learned anything, a window's strength is its strongest input
         strong = x[:, 0] + x[:, 1:4].max(1)
         logits = np.concatenate([strong[self._ids(flat, first[i : i + 2048], size[i : i + 2048])[0]].max(1) for i in range(0, len(first), 2048)])
         m1, m2 = ({k: np.zeros(v.shape, np.float64) for k, v in self.net.p.items()} for _ in range(2))
+        seen = [np.zeros(len(t), np.float32) for t in (self.features.word_table, self.features.gram_table)]
+        gram_first = np.searchsorted(of, np.arange(n + 1))
+        counts = np.bincount(np.concatenate([np.unique(t - n * k) - 1 for t, k in zip(numbers, fold, strict=True) if len(t)] or [np.zeros(0, np.int64)]), minlength=n)
+        common = counts >= cfg.least_df
         step = 0
         for epoch in range(cfg.epochs):
             order = np.lexsort((-logits, owner))
@@ -327,7 +391,13 @@ class ToxicityModel:
             weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
             for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // cfg.batch)):
                 step += 1
-                g = self.net.gradients(x, *self._ids(flat, first[chosen[part]], size[chosen[part]]), y[part], weight[part])
+                ids, mask = self._ids(flat, first[chosen[part]], size[chosen[part]])
+                used, ids = np.unique(ids, return_inverse=True)  # the batch's words alone
+                ids = ids.reshape(mask.shape)
+                own_x = np.concatenate([odds[used], self._embedded_rows(used, n, word, gram, gram_first)], 1)
+                own_x[used == 0] = 0
+                g = self.net.gradients(own_x, ids, mask, y[part], weight[part])
+                self._learn_embeddings(g.pop("x")[:, ODDS:], used, common, word, gram, gram_first, seen)
                 for k, v in g.items():
                     v = np.clip(v, -1, 1)
                     m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -335,12 +405,50 @@ class ToxicityModel:
                     move = m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
                     self.net.p[k] = (self.net.p[k] - cfg.rate * move).astype(np.float32)
             if epoch % cfg.rescan == cfg.rescan - 1 and epoch + 1 < cfg.epochs:
-                logits = self._logits(x, flat, first, size)
+                logits = self._logits(self._joined(odds, self.features.embedded(word, gram, of)), flat, first, size)
+        # the odds of all labelled documents serve from now on
+        tables = self.features.word_table, self.features.gram_table
+        self.features = Features(cfg)
+        self.features.fit(prepared, [t - np.int32(n * k) for t, k in zip(numbers, fold, strict=True)], labels)
+        self.features.word_table, self.features.gram_table = tables
         share = min(max(float(labels.mean()) if prior is None else prior, 0.02), 0.98)
         self.net.p["b"] = self.net.p["b"] + np.float32(np.log(share / (1 - share)))
         return self
 
 
+    @staticmethod
+    def _joined(odds: np.ndarray, embedded: np.ndarray) -> np.ndarray:
+        """The inputs of all parts' words; the first row stands for padding."""
+        parts = (len(odds) - 1) // max(1, len(embedded))
+        return np.concatenate([odds, np.concatenate([np.zeros((1, embedded.shape[1]), np.float32), *[embedded] * parts])], 1)
+
+    @staticmethod
+    def _grams_of(word: np.ndarray, gram_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all n-grams of some words, and which of the words each is of."""
+        many = gram_first[word + 1] - gram_first[word]
+        at = np.repeat(gram_first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return at, np.repeat(np.arange(len(word)), many)
+
+    def _embedded_rows(self, used: np.ndarray, n: int, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray) -> np.ndarray:
+        own = np.maximum(used - 1, 0) % n
+        at, of = self._grams_of(own, gram_first)
+        return self.features.embedded(word[own], gram[at], of)
+
+    def _learn_embeddings(self, g: np.ndarray, used: np.ndarray, common: np.ndarray, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray, seen: list[np.ndarray]) -> None:
+        """One step of Adagrad, a rate for each row, on the rows that the batch touched."""
+        cfg, d = self.cfg, self.cfg.embedding
+        keep = (used > 0) & common[np.maximum(used - 1, 0) % len(common)]
+        own, g = (used[keep] - 1) % len(common), g[keep]
+        at, of = self._grams_of(own, gram_first)
+        share = 1 / np.maximum(gram_first[own + 1] - gram_first[own], 1)
+        for table, total, rows, value in ((self.features.word_table, seen[0], word[own], g[:, :d]), (self.features.gram_table, seen[1], gram[at], (g[:, d:] * share[:, None])[of])):
+            touched, place = np.unique(rows, return_inverse=True)
+            step = np.zeros((len(touched), d), np.float32)
+            np.add.at(step, place, value)
+            total[touched] += (step * step).mean(1)
+            table[touched] = (1 - cfg.embedding_decay) * table[touched] - cfg.embedding_rate * step / (np.sqrt(total[touched]) + 1e-8)[:, None]
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fit on a bounded sample (``sample_per_class``, ``sample_chars``) of labelled
     documents outside the held-out fold, taken in the order of a hash of their id."""

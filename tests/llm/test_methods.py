@@ -23,7 +23,7 @@ from orrery.llm.near_dedup import Darts, DedupConfig, components, near_duplicate
 from orrery.llm.packing import Encoder
 from orrery.llm.sharding import ShardConfig, shard
 from orrery.llm.topk import SearchConfig, search
-from orrery.llm.toxicity import Network, ToxicityConfig
+from orrery.llm.toxicity import ODDS, Network, ToxicityConfig, ToxicityModel
 
 
 @pytest.fixture(scope="module")
@@ -193,9 +193,10 @@ def test_language_held_out(spark, sf_dir, docs):
 
 
 def test_gradients_by_differences():
-    net, rng = Network(ToxicityConfig(hidden=3)), np.random.default_rng(1)
+    cfg = ToxicityConfig(hidden=3)
+    net, rng, inputs = Network(cfg), np.random.default_rng(1), ODDS + 2 * cfg.embedding
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, ids = rng.normal(size=(9, 7)), rng.integers(1, 9, (4, 6))
+    x, ids = rng.normal(size=(9, inputs)), rng.integers(1, 9, (4, 6))
     mask = (np.arange(6) < np.array([6, 4, 1, 5])[:, None]).astype(float)
     y, w = np.array([1.0, 0, 1, 0]), np.ones(4)
 
@@ -204,21 +205,58 @@ def test_gradients_by_differences():
         return float(np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)))
 
     g = net.gradients(x, ids, mask, y, w)
-    for name in ("W0", "U0", "U1", "a", "v", "b"):
-        flat, at = net.p[name].reshape(-1), 0
+    places = [(net.p[name].reshape(-1), g[name].reshape(-1), 0) for name in ("W0", "U0", "U1", "a", "v", "b")]
+    places += [(x.reshape(-1), g["x"].reshape(-1), int(k)) for k in (ids[0, 2] * inputs + 1, ids[3, 4] * inputs + 9, ids[2, 0] * inputs + 14)]
+    for flat, grad, at in places:
         old = flat[at]
         values = []
         for step in (1e-2, -1e-2):
             flat[at] = old + step
             values.append(loss())
         flat[at] = old
-        assert abs((values[0] - values[1]) / 2e-2 - g[name].reshape(-1)[at]) < 2e-3, name
+        assert abs((values[0] - values[1]) / 2e-2 - grad[at]) < 2e-3
+
+
+def test_scores_against_plain_loops():
+    """Every window of a text through both recurrences, step by step."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, 90)) + (" bad worse" if i % 2 else "") for i in range(40)]
+    model = ToxicityModel(ToxicityConfig(hidden=3, window=16, stride=10, epochs=3)).fit(texts, np.arange(40) % 2)
+    net, sigmoid = model.net.p, lambda v: 1 / (1 + np.exp(-v))
+
+    def window_logit(x):
+        out = []
+        for k, order in (("0", range(len(x))), ("1", range(len(x) - 1, -1, -1))):
+            h, states = np.zeros(3), {}
+            for t in order:
+                a, b = x[t] @ net["W" + k], h @ net["U" + k]
+                z, r = sigmoid(a[:3] + b[:3]), sigmoid(a[3:6] + b[3:6])
+                h = z * h + (1 - z) * np.tanh(a[6:] + r * b[6:])
+                states[t] = h
+            out.append(np.array([states[t] for t in range(len(x))]))
+        states = np.concatenate(out, 1)
+        e = np.exp(states @ net["a"])
+        return float((e[:, None] / e.sum() * states).sum(0) @ net["v"] + net["b"][0])
+
+    for text in [*texts[:6], "bad", "one two badly three " * 30]:
+        x = model.features.vectors(re.findall(r"\w+", text.lower()))
+        starts = sorted({min(10 * k, max(len(x) - 16, 0)) for k in range(len(x) // 10 + 2)})
+        want = max(window_logit(x[s : s + 16]) for s in starts)
+        assert abs(model.scores([text])[0] - sigmoid(want)) < 1e-4
 
 
 def test_toxicity_held_out(spark, sf_dir):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").collect()}
-    got = [r for r in Q.op10_toxicity(spark, sf_dir.replace("0.001", "0.01")).where("held_out").collect() if r["doc_id"] in labels]
-    assert np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) > 0.85
+    """Labels that were not learned from: recall of label 1, average precision, and accuracy
+    against the share of label 0."""
+    d = sf_dir.replace("0.001", "0.1")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").collect()}
+    got = [r for r in Q.op10_toxicity(spark, d).where("held_out").collect() if r["doc_id"] in labels]
+    y, score = np.array([labels[r["doc_id"]] for r in got]), np.array([r["score"] for r in got])
+    found = np.array([r["predicted"] for r in got]) == 1
+    rank = np.argsort(-score, kind="stable")
+    precision = (np.cumsum(y[rank]) / np.arange(1, len(y) + 1))[y[rank] == 1].mean()
+    assert found[y == 1].mean() > 0.75 and precision > 0.88 and (found == y).mean() > 1 - y.mean() + 0.05
 
 
 def test_pages_not_trained_on_are_separated():
