@@ -11,7 +11,8 @@ Nodes name blocks of ids, not ordinals, so that a lost record changes its own
 branch and no other.  A node has at most 32 children (a leaf: one for each
 version of a record), so no group grows with the data.
 
-Results at the edges: null url or html count as empty; a null id is replaced by a
+Results at the edges: ids are numbers; html of any length is hashed whole; ties do not
+arise, as leaves are in the order of ids; null url or html count as empty; a null id is replaced by a
 negative number from a hash of the content; rows repeated n times are one leaf
 that also hashes n; several versions of one id are compared as a whole; an
 archive without records has no root and differs from any other; empty against

@@ -151,6 +151,9 @@ def test_fixity(spark):
     two = spark.createDataFrame([(i, u, "changed" if i == 150 else h, e) for i, u, h, e in rows if i != 33] + [(500, "new", "new", None)], kind)
     assert {(r["page_id"], r["status"]) for r in audit(one, two).collect()} == {(150, "corrupt"), (33, "missing"), (500, "extra")}
     assert {r["page_id"] for r in audit(one, spark.createDataFrame(rows[:200] + rows[201:], kind)).collect()} == {7}
+    clashing = one.withColumns({c: F.lit("mine") for c in ("id", "digest", "length", "up", "n", "x", "file", "status", "replica_digest")}).where("page_id is not null")
+    big = clashing.withColumn("html", F.when(F.col("page_id") == 5, F.repeat(F.lit("x"), 3_000_000)).otherwise(F.col("html")))
+    assert [(r["page_id"], r["status"]) for r in audit(clashing, big).collect()] == [(5, "corrupt")]
     empty = one.where("false")
     assert audit(empty, empty).count() == 0 and audit(empty, one.where("page_id < 3")).count() == 3
 
@@ -161,4 +164,8 @@ def test_topk(spark):
     t = spark.createDataFrame(rows, kind)
     got = [(r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in search(t, t.where("vec_id = 1"), SearchConfig(k=3)).orderBy("rank").collect()]
     assert got == [(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 4, 1)]
+    wide = t.withColumns({c: F.lit("mine") for c in ("code", "ids", "bound", "distance", "rank", "query", "q", "c")}).where("vec_id is not null")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in search(wide, wide.where("vec_id = 1"), SearchConfig(k=3)).collect()) == got
+    long = spark.createDataFrame([(i, [1.0 if (i >> (k % 7)) & 1 else -1.0 for k in range(20_000)]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert [r["distance"] for r in search(long, long.where("vec_id = 0"), SearchConfig(k=2)).orderBy("rank").collect()][0] == 0
     assert search(t, t.where("vec_id = 3")).count() == 0 and search(t.where("false"), t.where("false")).count() == 0
