@@ -260,3 +260,11 @@ m AS (SELECT cohort, signal_id, window_id, sum(d * x) / sum(d * d) AS ac, var_sa
 o AS (SELECT cohort, signal_id, count(*) AS n, max_by(ac, window_id) AS ac, max_by(va, window_id) AS va, max_by(sk, window_id) AS sk, regr_slope(ac, window_id) AS act, regr_r2(ac, window_id) AS acr, regr_slope(va, window_id) AS vat, regr_r2(va, window_id) AS var, min_by(va, window_id) AS va0 FROM m GROUP BY 1, 2),
 q AS (SELECT *, 0.3 * least(greatest(coalesce(ac, 0), 0), 1) + 0.25 * least(greatest(coalesce(CASE WHEN act > 0 THEN acr END, 0), 0), 1) + 0.25 * least(greatest(coalesce(CASE WHEN vat > 0 THEN var END, 0), 0), 1) + 0.2 * least(greatest(coalesce(abs(sk), 0), 0), 1) AS score FROM o)
 SELECT cohort, signal_id, n AS n_windows, {r('ac', 'autocorrelation_lag1')}, {r('va', 'variance')}, {r('sk', 'skewness')}, {r('act', 'autocorr_trend')}, {r('acr', 'autocorr_trend_r2')}, {r('vat', 'variance_trend')}, {r('var', 'variance_trend_r2')}, {r('CASE WHEN ac > 0 THEN -ln(ac) END', 'recovery_rate')}, {r('va / nullif(va0, 0)', 'variance_ratio')}, {r('score', 'csd_score')}, coalesce(score > 0.6 AND ac > 0.7 AND vat > 0, false) AS csd_detected FROM q"""
+
+
+_MEANS3 = ", ".join(f"avg({c}) AS f{i}" for i, c in enumerate(SHAPE))
+ORACLE_SQL["recurrence_measures"] = f"""WITH {EVENTS}, {_frames('ev', 32, 8)}, st AS (SELECT cohort, window_id, max(signal_0_end) AS s, {_MEANS3} FROM wf WHERE coalesce({', '.join(SHAPE)}) IS NOT NULL GROUP BY 1, 2), x AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY s) AS i FROM st WHERE {' AND '.join(f'f{k} IS NOT NULL' for k in range(3))}),
+d AS (SELECT a.cohort, a.i, b.i AS j, sqrt({' + '.join(f'power(a.f{k} - b.f{k}, 2)' for k in range(3))}) AS d FROM x a JOIN x b USING (cohort)), q AS (SELECT cohort, quantile_cont(d, 0.1) AS q, count(*) AS nn FROM d GROUP BY 1), r AS (SELECT d.*, nn, d <= q + 1e-9 AS near FROM d JOIN q USING (cohort)),
+dg AS (SELECT cohort, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY cohort, j - i ORDER BY i) AS isle FROM r WHERE near AND j > i) GROUP BY cohort, j - i, isle HAVING count(*) >= 2), vg AS (SELECT cohort, count(*) AS n FROM (SELECT *, j - row_number() OVER (PARTITION BY cohort, i ORDER BY j) AS isle FROM r WHERE near) GROUP BY cohort, i, isle HAVING count(*) >= 2),
+t AS (SELECT cohort, sum(near::INT) AS total, sqrt(max(nn)) AS n FROM r GROUP BY 1), ds AS (SELECT cohort, sum(n) AS s, max(n) AS m FROM dg GROUP BY 1), vs AS (SELECT cohort, sum(n) AS s, avg(n) AS a FROM vg GROUP BY 1), dc AS (SELECT cohort, n, count(*) AS c FROM dg GROUP BY 1, 2), de AS (SELECT cohort, -sum(p * ln(p)) AS h FROM (SELECT cohort, c / sum(c) OVER (PARTITION BY cohort) AS p FROM dc) GROUP BY 1)
+SELECT cohort, CAST(n AS BIGINT) AS n_points, {r('total / (n * n)', 'recurrence_rate')}, {r('CASE WHEN total > n THEN coalesce(ds.s, 0) / ((total - n) / 2) ELSE 0 END', 'determinism')}, {r('coalesce(vs.s, 0) / total', 'laminarity')}, {r('coalesce(vs.a, 0)', 'trapping_time')}, {r('coalesce(h, 0)', 'rqa_entropy')}, {r('coalesce(ds.m, 0)', 'longest_diagonal')} FROM t LEFT JOIN ds USING (cohort) LEFT JOIN vs USING (cohort) LEFT JOIN de USING (cohort)"""

@@ -10,8 +10,9 @@ import numpy as np
 
 from .functions.kernels import ENGINES
 from .operators.signal_vector import outputs_of, signal_vector
+from .operators.typology import typology_windows
 from .operators.windows import SIGNAL
-from .queries import EVENTS, obs_events, query, r
+from .queries import EVENTS, ORACLE_SQL, obs_events, query, r
 
 WINDOW, STRIDE = 64, 32
 K = "cohort, signal_id, window_id"
@@ -181,3 +182,27 @@ o AS (SELECT {K}, h AS shannon_entropy, CASE WHEN k > 1 THEN h / greatest(1, log
   transition_count, top AS duty_dominant, coalesce(second, 0) AS duty_secondary, top / second AS duty_ratio, h / log2(k) AS duty_balance, top - low AS duty_range, dm AS dwell_mean, ds AS dwell_std, dx AS dwell_max, dn AS dwell_min, ds / dm AS dwell_cv, dc AS n_dwells, mm AS mtb_mean, ms AS mtb_std, mx AS mtb_max, mn AS mtb_min, ms / mm AS mtb_cv
   FROM h JOIN je USING ({K}) JOIN tc USING ({K}) JOIN dw USING ({K}) JOIN mt USING ({K}) JOIN gi USING ({K}) JOIN un USING ({K}) JOIN ta USING ({K}))"""
 engine("discrete", _DISCRETE, ["shannon_entropy", "normalized_entropy", "conditional_entropy", "excess_entropy", "n_levels", "level_occupancy", "dominant_level", "level_spread", "level_entropy", "hist_uniformity", "hist_concentration", "hist_peak_ratio", "hist_tail_weight", "trans_entropy", "trans_self_loop", "trans_max_self_loop", "trans_n_active", "trans_sparsity", "transition_count", "duty_dominant", "duty_secondary", "duty_ratio", "duty_balance", "duty_range", "dwell_mean", "dwell_std", "dwell_max", "dwell_min", "dwell_cv", "n_dwells", "mtb_mean", "mtb_std", "mtb_max", "mtb_min", "mtb_cv"])
+
+# ---- what is made of engines ---------------------------------------------------------
+
+_STRIDED = f"""{EVENTS}, nu AS (SELECT *, row_number() OVER (PARTITION BY cohort, signal_id ORDER BY signal_0, value) - 1 AS i FROM ev), x0 AS (SELECT e.cohort, e.signal_id, (e.i - 29) // 5 AS window_id, s.i - (e.i - 29) AS t, s.value AS v, s.signal_0, e.signal_0 AS s1 FROM nu e JOIN nu s ON s.cohort = e.cohort AND s.signal_id = e.signal_id AND s.i BETWEEN e.i - 29 AND e.i WHERE e.i >= 29 AND (e.i - 29) % 5 = 0),
+x AS (SELECT *, v - avg(v) OVER ({P}) AS d FROM x0), ends AS (SELECT {K}, min(signal_0) AS s0, max(s1) AS s1 FROM x0 {G})"""
+_STABLE = {"h_freq_stability_mean": "avg(stab)", "h_freq_stability_min": "min(stab)", "h_freq_std_max": "max(fs)", "h_freq_drift_mean": "avg(drift)", "h_freq_drift_spread": "stddev_pop(drift)", "h_amp_cv_mean": "avg(cv)", "h_amp_trend_mean": "avg(atr)", "h_phase_coherence_mean": "avg(coh)", "h_phase_coherence_min": "min(coh)", "h_am_fm_ratio_mean": "avg(amfm)", "w_entropy_mean": "avg(we)", "w_concentration_mean": "avg(wc)", "w_energy_drift_mean": "avg(wd)", "w_energy_drift_max": "max(wd)", "w_temporal_std_mean": "avg(ws)", "w_intermittency_mean": "avg(wk)", "w_intermittency_max": "max(wk)", "w_energy_low_mean": "avg(el)", "w_energy_high_mean": "avg(eh)", "w_energy_ratio_mean": "avg(er)"}
+ORACLE_SQL["signal_stability"] = f"""WITH {_STRIDED}, {_analytic(30, 'x', K)}, a AS (SELECT {K}, t, sqrt(re * re + im * im) AS amp, atan2(im, re) AS ph FROM z), b AS (SELECT *, ph - lag(ph) OVER ({P} ORDER BY t) AS e FROM a), fr AS (SELECT {K}, t - 1 AS t, (e - 2 * pi() * floor((e + pi()) / (2 * pi()))) / (2 * pi()) AS q, e FROM b WHERE e IS NOT NULL),
+u AS (SELECT {K}, stddev_pop(amp) / avg(amp) AS cv, regr_slope(amp, t) AS atr FROM a {G}), w AS (SELECT {K}, avg(q) AS fm, stddev_pop(q) AS fs, regr_slope(q, t) AS drift, sqrt(power(avg(cos(e)), 2) + power(avg(sin(e)), 2)) AS coh FROM fr {G}),
+en AS (SELECT {K}, (k - 1) // 5 AS b, sum(re * re + im * im) AS e FROM ft WHERE k BETWEEN 1 AND 15 GROUP BY ALL), sh AS (SELECT {K}, b, e / sum(e) OVER ({P}) AS q FROM en), we AS (SELECT {K}, -sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) AS we, max(q) AS wc, max(CASE WHEN b = 0 THEN q END) AS el, max(CASE WHEN b = 2 THEN q END) AS eh FROM sh {G}),
+ro AS (SELECT {K}, t - 2 AS t, s FROM (SELECT *, (v * v + power(lag(v) OVER w, 2) + power(lag(v, 2) OVER w, 2)) / 3 AS s FROM x WINDOW w AS ({P} ORDER BY t)) WHERE s IS NOT NULL), {_moments('s', 'ro')}, wl AS (SELECT {K}, regr_slope(s, t) AS wd, stddev_pop(s) AS ws FROM ro {G}),
+al AS (SELECT *, 1 / (1 + fs / (abs(fm) + 1e-10)) AS stab, cv / (fs / (abs(fm) + 1e-10)) AS amfm, el / eh AS er, {_KURT} AS wk FROM ends JOIN u USING ({K}) JOIN w USING ({K}) JOIN we USING ({K}) JOIN wl USING ({K}) JOIN mo USING ({K}))
+SELECT cohort, window_id, {r('min(s0)', 'signal_0_start', 3)}, {r('max(s1)', 'signal_0_end', 3)}, {r('avg((s0 + s1) / 2)', 'signal_0_center', 3)}, count(*) AS n_signals, count(fs) AS n_hilbert_signals, count(we) AS n_wavelet_signals, {', '.join(r(v, k, 3) for k, v in _STABLE.items())} FROM al GROUP BY cohort, window_id"""
+
+_TYPE = ["hurst", "perm_entropy", "sample_entropy", "kurtosis", "cv", "range_norm", "zero_crossing_rate", "trend_strength", "mean_abs_diff"]
+
+
+@query("typology_measures", f"""WITH {_x(64)}, y AS (SELECT *, k, t // k AS part FROM x JOIN range(10, 16) AS s(k) ON t < (64 // k) * k), z AS (SELECT *, sum(e) OVER ({P}, k, part ORDER BY t) AS c FROM (SELECT *, v - avg(v) OVER ({P}, k, part) AS e FROM y)), p AS (SELECT {K}, k, part, max(c) - min(c) AS rg, stddev_samp(v) AS s FROM z GROUP BY {K}, k, part), q AS (SELECT {K}, k, avg(rg / s) FILTER (s > 1e-15) AS rs FROM p GROUP BY {K}, k), h AS (SELECT {K}, regr_slope(ln(rs), ln(k)) AS hurst FROM q {G}),
+l AS (SELECT *, v AS v0, lead(v, 1) OVER w AS v1, lead(v, 2) OVER w AS v2, lag(d) OVER w AS pd FROM x WINDOW w AS ({P} ORDER BY t)), p2 AS ({_templates(2)}), p3 AS ({_templates(3)}), sb AS (SELECT {K}, sum(CASE WHEN near AND i <> j AND i < 62 AND j < 62 THEN 1 ELSE 0 END) AS b FROM p2 {G}), sa AS (SELECT {K}, sum(CASE WHEN near AND i <> j THEN 1 ELSE 0 END) AS a FROM p3 {G}),
+pk AS (SELECT {K}, CAST(v0 > v1 AS INT) + 2 * CAST(v0 > v2 AS INT) + 4 * CAST(v1 > v2 AS INT) AS k, count(*) / 62.0 AS q FROM l WHERE v2 IS NOT NULL GROUP BY ALL), pe AS (SELECT {K}, -sum(q * log2(q)) / log2(6) AS perm FROM pk {G}), {_moments('v', 'x')},
+o AS (SELECT {K}, stddev_pop(v) / nullif(abs(avg(v)), 0) AS cv, (max(v) - min(v)) / nullif(abs(avg(v)), 0) AS rn, sum(CASE WHEN sign(d) <> sign(pd) THEN 1 ELSE 0 END) / 63.0 AS zc, least(greatest(regr_r2(v, t), 0), 1) AS tr, avg(abs(v1 - v0)) AS md FROM l {G})
+SELECT cohort, signal_id, window_id, {r('hurst', 'hurst')}, {r('perm', 'perm_entropy')}, {r('CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END', 'sample_entropy')}, {r(_KURT, 'kurtosis')}, {r('cv', 'cv')}, {r('rn', 'range_norm')}, {r('zc', 'zero_crossing_rate')}, {r('tr', 'trend_strength')}, {r('md', 'mean_abs_diff')} FROM o JOIN h USING ({K}) JOIN sb USING ({K}) JOIN sa USING ({K}) JOIN pe USING ({K}) JOIN mo USING ({K})""")
+def q_typology_measures(spark, sf_dir):
+    """Of the typology's windows, without the exponent and the flatness."""
+    return typology_windows(obs_events(spark, sf_dir), WINDOW, STRIDE).select(*SIGNAL, "window_id", *_TYPE)

@@ -456,6 +456,32 @@ def lyapunov_rosenstein(y: np.ndarray, dim: int, delay: int, points: int = 1200)
     return (line(t[ok], v[ok])[0] if ok.sum() >= 3 else NAN), div
 
 
+def lyapunov_kantz(y: np.ndarray, dim: int, delay: int, share: float = 0.1, points: int = 1200) -> tuple[float, np.ndarray]:
+    """As above, of the mean distance to all neighbours within ``share`` of the deviation."""
+    x = embed(y, dim, delay)
+    n = len(x)
+    if n < 20 or y.std() < TINY:
+        return NAN, np.zeros(0)
+    steps = min(n // 4, 50)
+    m = min(n - steps, points)
+    d = _distances(x[:m])
+    i = np.arange(m)
+    a, b = np.nonzero((d <= share * y.std() * np.sqrt(dim)) & (d >= 1e-12) & (np.abs(i[:, None] - i[None]) > dim * delay))
+    if len(np.unique(a)) < 5:
+        return NAN, np.zeros(0)
+    own = np.bincount(a, minlength=m)
+    div = []
+    for k in range(steps):
+        mean = np.bincount(a, np.sqrt(((x[a + k] - x[b + k]) ** 2).sum(1)), m)[own > 0] / own[own > 0]
+        mean = mean[mean > 1e-12]
+        div.append(np.log(mean).mean() if len(mean) else NAN)
+    div = np.array(div)
+    first = max(3, steps // 3)
+    t, v = np.arange(first, dtype=float), div[:first]
+    ok = np.isfinite(v)
+    return (line(t[ok], v[ok])[0] if ok.sum() >= 3 else NAN), div
+
+
 def recurrence(x: np.ndarray, epsilon: float) -> np.ndarray:
     return _distances(x) <= epsilon
 
@@ -706,10 +732,21 @@ def discrete(y: np.ndarray, bins: int = 10) -> dict[str, float]:
 ENGINES: dict[str, tuple] = {}
 
 
-def _register(name: str, fn, window: int, least: int) -> None:
+_BUILT_IN: dict[str, tuple] = {}
+
+
+def register(name: str, fn, window: int, least: int) -> None:
+    """Add (or replace) an engine: ``fn`` makes a dict of fixed names of a window's values,
+    also of none."""
     ENGINES[name] = (fn, window, least, tuple(fn(np.zeros(0))))
 
 
+def reset_engines() -> None:
+    """Only the built-in engines, as they were."""
+    ENGINES.clear()
+    ENGINES.update(_BUILT_IN)
+
+
 def _complexity(y: np.ndarray) -> dict[str, float]:
     return {"sample_entropy": sample_entropy(y), "permutation_entropy": permutation_entropy(y), "approximate_entropy": approximate_entropy(y)}
 
@@ -737,13 +774,14 @@ for _name, _fn, _window, _least in (
     ("cycle_counting", cycles, 32, 4), ("lof", lof, 32, 21), ("pulsation_index", _pulsation, 16, 10), ("time_constant", time_constant, 16, 10), ("discrete", discrete, 32, 4),
     ("garch", _unfitted("garch_omega", "garch_alpha", "garch_beta", "garch_persistence"), 64, 32), ("hmm", _unfitted("hmm_n_states", "hmm_current_state", "hmm_current_prob", "hmm_state_entropy", "hmm_transition_rate", "hmm_log_likelihood", "hmm_bic"), 128, 30),
 ):
-    _register(_name, _fn, _window, _least)
+    register(_name, _fn, _window, _least)
+_BUILT_IN.update(ENGINES)
 
 
 def engine_outputs(y: np.ndarray, engines: dict[str, int], skip: frozenset[str] = frozenset()) -> dict[str, float]:
     """All outputs of the engines (name -> look-back) at the end of ``y``; an engine with
-    too few observations, or that fails, gives NaN."""
-    out: dict[str, float] = {}
+    too few observations, or that fails, gives NaN.  ``n_failed`` counts those that failed."""
+    out: dict[str, float] = {"n_failed": 0}
     for name, window in engines.items():
         fn, _, least, names = ENGINES[name]
         own = clean(y[-window:])
@@ -754,6 +792,7 @@ def engine_outputs(y: np.ndarray, engines: dict[str, int], skip: frozenset[str]
             out.update(fn(own))
         except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError):
             out.update(dict.fromkeys(names, NAN))
+            out["n_failed"] += 1
     return out
 
 

@@ -196,15 +196,22 @@ def ftle_bidirectional(obs: DataFrame, **options) -> DataFrame:
     return ftle(obs, "forward", **options).unionByName(ftle(obs, "backward", **options))
 
 
-def lyapunov(obs: DataFrame, dim: int = 3, least: int = 200, most: int = 2000) -> DataFrame:
-    """The same exponent at a fixed embedding dimension."""
+def lyapunov(obs: DataFrame, dim: int = 3, least: int = 200, most: int = 2000, method: str = "rosenstein") -> DataFrame:
+    """The same exponent at a fixed embedding dimension; ``method``: of the nearest neighbour
+    (``rosenstein``) or of all near ones (``kantz``)."""
+    follow = {"rosenstein": K.lyapunov_rosenstein, "kantz": K.lyapunov_kantz}[method]
+
+    def of(y: np.ndarray) -> tuple[float, int, float]:
+        delay = K.optimal_delay(y)
+        value, div = follow(y, dim, delay)
+        return value, delay, min(1.0, float(np.isfinite(div).sum()) / 50)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for c, s, y in zip(b["cohort"], b["signal_id"], b["y"], strict=True):
                 y = np.asarray(y, float)
-                value, _, _, delay, sure = _exponent(y, None, dim) if len(y) >= least else (K.NAN, K.NAN, 0, 0, 0.0)
+                value, delay, sure = of(y) if len(y) >= least else (K.NAN, 0, 0.0)
                 rows.append([c, s, value, dim, delay, sure, len(y)])
             yield pd.DataFrame(rows, columns=[*SIGNAL, "lyapunov", "embedding_dim", "embedding_tau", "confidence", "n_samples"])
 
@@ -212,6 +219,18 @@ def lyapunov(obs: DataFrame, dim: int = 3, least: int = 200, most: int = 2000) -
     return made.withColumn("lyapunov", F.nanvl("lyapunov", F.lit(None)))
 
 
+def lyapunov_rolling(obs: DataFrame, window: int = 500, stride: int = 50, dim: int = 3) -> DataFrame:
+    """The exponent at a fixed dimension of strided windows, each at its own delay."""
+
+    @F.pandas_udf("lyapunov double, confidence double")
+    def exponent(y: pd.Series) -> pd.DataFrame:
+        made = [_exponent(np.asarray(v, float), None, dim) for v in y]
+        return pd.DataFrame([(m[0], m[4]) for m in made], columns=["lyapunov", "confidence"])
+
+    made = spread(arrays(obs, window, stride)).withColumn("e", exponent("y"))
+    return made.select(*SIGNAL, "window_id", "signal_0_end", F.nanvl("e.lyapunov", F.lit(None)).alias("lyapunov"), "e.confidence")
+
+
 def ftle_rolling(obs: DataFrame, window: int = 200, stride: int = 50) -> DataFrame:
     """Exponents of strided windows, with the embedding of the signal's first window, their
     steps and the steps' steps."""

@@ -99,6 +99,56 @@ def saddle_rolling(obs: DataFrame, window: int = 100, stride: int = 20, dim: int
     return arrays(obs, window, stride).select(*SIGNAL, "window_id", "signal_0_end", "y").mapInPandas(run, "cohort string, signal_id string, window_id long, signal_0_end double, rolling_saddle_score double, rolling_basin_stability double")
 
 
+def _gathered(states: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """(cohort, x): a cohort's complete states in their order."""
+    rows = states.select("cohort", order, *[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns]).dropna()
+    made = rows.groupBy("cohort").agg(F.sort_array(F.collect_list(F.struct(order, F.array(*columns).alias("x")))).alias("p"))
+    return spread(made.select("cohort", F.transform("p", lambda v: v["x"]).alias("x")))
+
+
+def saddle_multivariate(states: DataFrame, columns: list[str], order: str = "signal_0_end", least: int = 15) -> DataFrame:
+    """Saddles of each cohort's joint trajectory through ``columns``: without embedding, of
+    the 2 d + 1 nearest states.  For tables of states (a row a window)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for c, x in b[["cohort", "x"]].itertuples(index=False):
+                x = np.stack([np.asarray(v, float) for v in x])
+                f = saddles(x, 2 * x.shape[1] + 1) if len(x) >= least else dict.fromkeys(SADDLE, K.NAN) | {"n_valid": float(len(x))}
+                rows.append((c, *[f[k] for k in SADDLE]))
+            yield pd.DataFrame(rows, columns=["cohort", *SADDLE])
+
+    made = _gathered(states, columns, order).mapInPandas(run, "cohort string, " + ", ".join(f"{c} double" for c in SADDLE))
+    return made.select("cohort", *[F.nanvl(c, F.lit(None)).alias(c) for c in SADDLE])
+
+
+RECURRENCE = list(K.rqa(np.eye(2)))
+
+
+def recurrence_measures(states: DataFrame, columns: list[str], order: str = "signal_0_end", share: float = 0.1) -> DataFrame:
+    """Recurrence measures of each cohort's trajectory through ``columns``: points recur within
+    the distance that ``share`` of all pairs have."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for c, x in b[["cohort", "x"]].itertuples(index=False):
+                x = np.stack([np.asarray(v, float) for v in x])
+                d = K._distances(x)
+                rows.append((c, len(x), *K.rqa(d <= np.percentile(d, 100 * share)).values()))
+            yield pd.DataFrame(rows, columns=["cohort", "n_points", *RECURRENCE])
+
+    return _gathered(states, columns, order).mapInPandas(run, "cohort string, n_points long, " + ", ".join(f"{c} double" for c in RECURRENCE))
+
+
+def sensitivity_of_vector(vector: DataFrame, feature: str, signals: list[str], window: int = 20, stride: int = 10) -> DataFrame:
+    """Sensitivity of the trajectory that a feature of all signals makes, a row a window end."""
+    cells = [F.avg(F.when(F.col("signal_id") == s, F.col(feature))).alias(s) for s in signals]
+    wide = vector.groupBy("cohort", F.col("signal_0_end").alias("signal_0")).agg(*cells)
+    return trajectory_sensitivity(wide, signals, window, stride)
+
+
 def trajectory_sensitivity(wide: DataFrame, signals: list[str], window: int = 100, stride: int = 50) -> DataFrame:
     """A row for each window and variable: current and mean sensitivity, rank, whether it
     dominates, and the window's entropy and number of changes of the dominant one.  A

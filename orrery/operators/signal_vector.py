@@ -57,8 +57,8 @@ def _gated(windows: DataFrame, typology: DataFrame | None, gates: tuple[Gate, ..
 
 
 def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: list[str] | None = None, manifest: Manifest | None = None, typology: DataFrame | None = None) -> DataFrame:
-    """A row for each window: keys, ``engine_mask`` (bit i: the i-th engine by name ran)
-    and every engine's outputs; undefined and infinite values are null.  Engines look
+    """A row for each window: keys, ``engine_mask`` (bit i: the i-th engine by name ran),
+    ``n_failed`` (engines that raised) and every engine's outputs; undefined and infinite values are null.  Engines look
     back their own number of rows from the window's end."""
     names = sorted(engines or ENGINES)
     back = {e: ENGINES[e][1] for e in names} | ({k: v for k, v in manifest.engine_windows.items() if k in names} if manifest else {})
@@ -78,12 +78,12 @@ def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: l
                 row = engine_outputs(np.asarray(y, float), sizes, skipped)
                 row["engine_mask"] = sum(1 << i for i, e in enumerate(names) if e not in skipped and min(len(y), sizes[e]) >= ENGINES[e][2])
                 out.append(row)
-            made = pd.DataFrame(out, columns=["engine_mask", *columns], index=b.index)
+            made = pd.DataFrame(out, columns=["engine_mask", "n_failed", *columns], index=b.index)
             yield pd.concat([b[KEYS], made.replace([np.inf, -np.inf], np.nan)], axis=1)
 
     kinds = ", ".join(f"`{c}` double" for c in columns)
-    made = spread(rows.select(*KEYS, "y", "skip")).mapInPandas(run, f"{KEY_TYPES}, engine_mask long, {kinds}")
-    return made.select(*KEYS, "engine_mask", *[F.nanvl(c, F.lit(None)).alias(c) for c in columns])
+    made = spread(rows.select(*KEYS, "y", "skip")).mapInPandas(run, f"{KEY_TYPES}, engine_mask long, n_failed long, {kinds}")
+    return made.select(*KEYS, "engine_mask", "n_failed", *[F.nanvl(c, F.lit(None)).alias(c) for c in columns])
 
 
 def window_features(obs: DataFrame, window: int = 64, stride: int = 32) -> DataFrame:

@@ -16,12 +16,13 @@ from ..operators import dynamics as D
 from ..operators import fleet as L
 from ..operators import geometry as G
 from ..operators import pairwise as P
+from ..operators import segments as SG
 from ..operators import state as S
 from ..operators import typology as T
 from ..operators.signal_vector import signal_vector
 from ..schemas import available_groups
 from ..sources.manifest import Manifest
-from ..sources.observations import read_observations
+from ..sources.observations import pivot, read_observations, signal_ids
 from ..sources.tables import dynamics_units, geometry_units, read_table, velocity_units, write_table
 from ..sources.validation import InputError, drop_constant_signals, validate_observations
 
@@ -60,6 +61,15 @@ def _signal_geometry(t: Tables, m: Manifest) -> DataFrame:
     return reduce(DataFrame.unionByName, [G.signal_geometry(t["signal_vector"], t["cohort_feature_loadings"], t["cohort_vector"], e, f) for e, f in groups.items()])
 
 
+def _wide(t: Tables) -> tuple[DataFrame, list[str]]:
+    signals = signal_ids(t["observations"])
+    return pivot(t["observations"], signals), signals
+
+
+def _segments(t: Tables, m: Manifest) -> list[SG.Segment]:
+    return list(m.segments) or SG.default_segments(t["observations"])
+
+
 STAGES = [
     Stage("breaks", ("observations",), lambda t, m: B.breaks(t["observations"])),
     Stage("typology_windows", ("observations",), lambda t, m: T.typology_windows(t["observations"], m.window, m.stride)),
@@ -83,6 +93,12 @@ STAGES = [
     Stage("ftle_rolling", ("observations",), lambda t, m: D.ftle_rolling(t["observations"])),
     Stage("ridge_proximity", ("ftle_rolling", "velocity_field"), lambda t, m: D.ridge_proximity(t["ftle_rolling"], t["velocity_field"])),
     Stage("ftle_field", ("cohort_geometry",), lambda t, m: L.ftle_field(t["cohort_geometry"])),
+    Stage("lyapunov_rolling", ("observations",), lambda t, m: D.lyapunov_rolling(t["observations"])),
+    Stage("segment_comparison", ("observations",), lambda t, m: SG.segment_comparison(*_wide(t), _segments(t, m))),
+    Stage("info_flow_delta", ("observations", "cohort_pairwise"), lambda t, m: SG.info_flow_delta(t["observations"], _segments(t, m), flagged=t["cohort_pairwise"].where("needs_granger"))),
+    Stage("sensor_eigendecomp", ("observations",), lambda t, m: SG.sensor_eigendecomp(*_wide(t))),
+    Stage("cohort_baseline", ("observations",), lambda t, m: SG.cohort_baseline(*_wide(t))),
+    Stage("observation_geometry", ("observations", "cohort_baseline"), lambda t, m: SG.observation_geometry(_wide(t)[0], t["cohort_baseline"], _wide(t)[1])),
     Stage("signal_stability", ("observations",), lambda t, m: D.signal_stability(t["observations"])),
     Stage("persistent_homology", ("cohort_vector",), lambda t, m: D.persistent_homology(t["cohort_vector"])),
     Stage("system_wide", ("cohort_geometry",), lambda t, m: L.pivot_geometry(t["cohort_geometry"]), True),

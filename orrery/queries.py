@@ -27,7 +27,7 @@ from .operators import state as ST
 from .operators import typology as T
 from .operators.signal_vector import rolling, signal_vector, window_features
 from .operators.windows import SIGNAL, arrays, spread
-from .sources.observations import event_observations, lineitem_observations, lineitem_wide, pivot, signal_ids
+from .sources.observations import event_observations, impute_mean, interpolate, lineitem_observations, lineitem_wide, pivot, select, signal_ids
 from .sources.validation import drop_constant_signals, validate_observations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,32 @@ def q_constant(spark, sf_dir):
     return drop_constant_signals(obs, typology).groupBy(*SIGNAL).agg(F.count("*").alias("n"))
 
 
+@query("select_signals", f"WITH {EVENTS} SELECT cohort, signal_id, {r('signal_0', 'signal_0')}, {r('value', 'value')} FROM ev WHERE cohort IN ('1', '4') AND signal_id IN ('click', 'view', 'purchase')")
+def q_select(spark, sf_dir):
+    return select(obs_events(spark, sf_dir), ["1", "4"], ["click", "view", "purchase"])
+
+
+_GAPS = f"""{EVENTS}, ga AS (SELECT cohort, signal_id, signal_0, CASE WHEN (CAST(signal_0 AS BIGINT) * 7 + CAST(signal_0 AS BIGINT) // 5) % 4 <> 0 THEN value END AS v FROM ev)"""
+
+
+def _with_gaps(obs: DataFrame) -> DataFrame:
+    """About a quarter of the values missing, alone and in runs."""
+    i = F.col("signal_0").cast("long")
+    return obs.withColumn("value", F.when((i * 7 + F.floor(i / 5)) % 4 != 0, F.col("value")))
+
+
+@query("interpolate_missing", f"""WITH {_GAPS}, nb AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN signal_0 END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s0, min(CASE WHEN v IS NOT NULL THEN signal_0 END) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS s1 FROM ga WINDOW o AS (PARTITION BY cohort, signal_id ORDER BY signal_0))
+SELECT n.cohort, n.signal_id, {r('n.signal_0', 'signal_0')}, {r('CASE WHEN n.v IS NOT NULL THEN n.v WHEN a.v IS NULL THEN b.v WHEN b.v IS NULL THEN a.v ELSE a.v + (b.v - a.v) * (n.signal_0 - s0) / (s1 - s0) END', 'value')} FROM nb n LEFT JOIN ga a ON a.cohort = n.cohort AND a.signal_id = n.signal_id AND a.signal_0 = s0 LEFT JOIN ga b ON b.cohort = n.cohort AND b.signal_id = n.signal_id AND b.signal_0 = s1""")
+def q_interpolate(spark, sf_dir):
+    return interpolate(_with_gaps(obs_events(spark, sf_dir)))
+
+
+@query("impute_mean", f"""WITH {WIDE}, ga AS (SELECT cohort, signal_0, {', '.join(f'CASE WHEN CAST(signal_0 AS BIGINT) % {i + 3} <> 1 THEN {c} END AS {c}' for i, c in enumerate(SENSORS))} FROM wide) SELECT cohort, {r('signal_0', 'signal_0')}, {', '.join(r(f'coalesce({c}, avg({c}) OVER ())', c) for c in SENSORS)} FROM ga""")
+def q_impute(spark, sf_dir):
+    i = F.col("signal_0").cast("long")
+    return impute_mean(wide_items(spark, sf_dir).withColumns({c: F.when(i % (k + 3) != 1, F.col(c)) for k, c in enumerate(SENSORS)}), SENSORS)
+
+
 # ---- relational summaries ------------------------------------------------------------
 
 _STATS = ", ".join(
@@ -425,6 +451,21 @@ def q_lyapunov(spark, sf_dir):
     return D.lyapunov(obs_events(spark, sf_dir))
 
 
+@query("lyapunov_kantz")
+def q_lyapunov_kantz(spark, sf_dir):
+    return D.lyapunov(obs_events(spark, sf_dir), method="kantz")
+
+
+@query("lyapunov_rolling")
+def q_lyapunov_rolling(spark, sf_dir):
+    return D.lyapunov_rolling(obs_events(spark, sf_dir), 200, 50)
+
+
+@query("lyapunov_trend")
+def q_lyapunov_trend(spark, sf_dir):
+    return D.exponent_trend(D.lyapunov_rolling(obs_events(spark, sf_dir), 100, 20), "lyapunov")
+
+
 @query("ftle_rolling")
 def q_ftle_rolling(spark, sf_dir):
     return D.ftle_rolling(obs_events(spark, sf_dir), 100, 50)
@@ -436,7 +477,7 @@ def q_ridge(spark, sf_dir):
     return D.ridge_proximity(D.ftle_rolling(obs, 100, 20), D.velocity_field(D.velocity_components(obs)))
 
 
-@query("signal_stability")
+@query("signal_stability", digits=3)
 def q_stability(spark, sf_dir):
     return D.signal_stability(obs_events(spark, sf_dir))
 
@@ -462,6 +503,26 @@ def q_saddle_rolling(spark, sf_dir):
     return LO.saddle_rolling(obs_events(spark, sf_dir), 100, 50)
 
 
+def _states(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    return ST.cohort_vector(window_features(obs_events(spark, sf_dir), W, 8), {"shape": SHAPE}), [f"state_shape_{c}" for c in SHAPE]
+
+
+@query("saddle_multivariate")
+def q_saddle_multivariate(spark, sf_dir):
+    return LO.saddle_multivariate(*_states(spark, sf_dir))
+
+
+@query("recurrence_measures")
+def q_recurrence(spark, sf_dir):
+    return LO.recurrence_measures(*_states(spark, sf_dir))
+
+
+@query("sensitivity_of_vector")
+def q_sensitivity_of_vector(spark, sf_dir):
+    obs = obs_events(spark, sf_dir)
+    return LO.sensitivity_of_vector(window_features(obs, W, 8), "std", signal_ids(obs))
+
+
 @query("trajectory_sensitivity")
 def q_sensitivity(spark, sf_dir):
     return LO.trajectory_sensitivity(wide_items(spark, sf_dir), SENSORS)

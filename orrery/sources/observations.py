@@ -62,6 +62,42 @@ def pivot(obs: DataFrame, signals: list[str] | None = None) -> DataFrame:
     return obs.groupBy("cohort", "signal_0").pivot("signal_id", signals or signal_ids(obs)).agg(F.avg("value"))
 
 
+def select(obs: DataFrame, cohorts: list[str] | None = None, signals: list[str] | None = None) -> DataFrame:
+    """The observations of some cohorts or signals.  Conditions on columns of the table: they
+    reach the scan, and a table written by cohort is pruned to its folders."""
+    for name, own in (("cohort", cohorts), ("signal_id", signals)):
+        if own is not None:
+            obs = obs.where(F.col(name).isin(own))
+    return obs
+
+
+def interpolate(obs: DataFrame, axis: bool = False) -> DataFrame:
+    """Missing values (null or NaN) filled on the line between their neighbours, by row (or
+    along the ``axis`` signal_0); those before the first and after the last take its value.
+    A signal without any value stays missing."""
+    order = Window.partitionBy("cohort", "signal_id").orderBy("signal_0")
+    at = F.col("signal_0") if axis else F.row_number().over(order).cast("double")
+    v = F.nanvl(F.col("value"), F.lit(None))
+    rows = obs.withColumns({"__v": v, "__at": at}).withColumn("__p", F.when(F.col("__v").isNotNull(), F.struct("__at", "__v")))
+    before = F.last("__p", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__p", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"__b": before, "__a": after})
+    gap = F.col("__a.__at") - F.col("__b.__at")
+    line = F.col("__b.__v") + (F.col("__a.__v") - F.col("__b.__v")) * F.try_divide(F.col("__at") - F.col("__b.__at"), gap)
+    return rows.withColumn("value", F.coalesce("__v", line, "__b.__v", "__a.__v")).drop("__v", "__at", "__p", "__b", "__a")
+
+
+def impute_mean(wide: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Missing values of the columns replaced by the column's mean (within ``keys``), by 0 if
+    there is none."""
+    if keys is not None:
+        w = Window.partitionBy(*keys)
+        return wide.withColumns({c: F.coalesce(F.nanvl(c, F.lit(None)), F.avg(F.nanvl(c, F.lit(None))).over(w), F.lit(0.0)) for c in columns})
+    means = wide.agg(*[F.avg(F.nanvl(c, F.lit(None))).alias(f"__{c}") for c in columns])
+    made = wide.join(F.broadcast(means), F.lit(True))  # one row
+    return made.withColumns({c: F.coalesce(F.nanvl(c, F.lit(None)), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
 def event_observations(events: DataFrame, cohorts: int = 8, even: bool = True) -> DataFrame:
     """Event rows as observations: users fall into cohorts, event types are signals.
     ``even``: the order is the row's number, else seconds."""
