@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .operators import features as FE
 from .operators import fleet as L
+from .operators import pairwise as P
 from .operators import segments as SG
 from .operators.geometry import SUMMARY
-from .queries import _SEGMENTS, EVENTS, ORACLE_SQL, SENSORS, SHAPE, WIDE, _frames, _gradient_sql, query, r, wide_items
+from .queries import _SEGMENTS, EVENTS, ITEMS, ORACLE_SQL, SENSORS, SHAPE, WIDE, _frames, _gradient_sql, obs_items, query, r, wide_items
 
 GROUPS = {"shape": SHAPE, "trend": ["trend_slope", "trend_r2", "detrend_std"]}
 WINDOWS = f"{EVENTS}, {_frames('ev')}"
@@ -268,3 +269,42 @@ d AS (SELECT a.cohort, a.i, b.i AS j, sqrt({' + '.join(f'power(a.f{k} - b.f{k},
 dg AS (SELECT cohort, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY cohort, j - i ORDER BY i) AS isle FROM r WHERE near AND j > i) GROUP BY cohort, j - i, isle HAVING count(*) >= 2), vg AS (SELECT cohort, count(*) AS n FROM (SELECT *, j - row_number() OVER (PARTITION BY cohort, i ORDER BY j) AS isle FROM r WHERE near) GROUP BY cohort, i, isle HAVING count(*) >= 2),
 t AS (SELECT cohort, sum(near::INT) AS total, sqrt(max(nn)) AS n FROM r GROUP BY 1), ds AS (SELECT cohort, sum(n) AS s, max(n) AS m FROM dg GROUP BY 1), vs AS (SELECT cohort, sum(n) AS s, avg(n) AS a FROM vg GROUP BY 1), dc AS (SELECT cohort, n, count(*) AS c FROM dg GROUP BY 1, 2), de AS (SELECT cohort, -sum(p * ln(p)) AS h FROM (SELECT cohort, c / sum(c) OVER (PARTITION BY cohort) AS p FROM dc) GROUP BY 1)
 SELECT cohort, CAST(n AS BIGINT) AS n_points, {r('total / (n * n)', 'recurrence_rate')}, {r('CASE WHEN total > n THEN coalesce(ds.s, 0) / ((total - n) / 2) ELSE 0 END', 'determinism')}, {r('coalesce(vs.s, 0) / total', 'laminarity')}, {r('coalesce(vs.a, 0)', 'trapping_time')}, {r('coalesce(h, 0)', 'rqa_entropy')}, {r('coalesce(ds.m, 0)', 'longest_diagonal')} FROM t LEFT JOIN ds USING (cohort) LEFT JOIN vs USING (cohort) LEFT JOIN de USING (cohort)"""
+
+# ---- dependence of pairs -------------------------------------------------------------
+
+_PK = "cohort, signal_a, signal_b"
+_FLOWN = f"""{ITEMS}, pr AS (SELECT a.cohort, a.signal_id AS signal_a, b.signal_id AS signal_b, a.signal_0, a.value AS x, b.value AS y FROM li a JOIN li b ON a.cohort = b.cohort AND a.signal_0 = b.signal_0 AND a.signal_id < b.signal_id),
+la AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY signal_0 DESC) AS k FROM pr), p AS (SELECT *, row_number() OVER (PARTITION BY {_PK} ORDER BY signal_0) - 1 AS t, count(*) OVER (PARTITION BY {_PK}) AS n FROM la WHERE k <= 2000)"""
+
+
+def _cell(v: str, low: str, high: str, bins: int) -> str:
+    """The equal-width bin of a value; one on an edge belongs to the bin above."""
+    at, step = f"least(floor(({v} - {low}) / ({high} - {low}) * {bins}), {bins - 1})", f"(({high} - {low}) / {bins})"
+    return f"CAST({at} - ({v} < {at} * {step} + {low})::INT + ({at} < {bins - 1} AND {v} >= ({at} + 1) * {step} + {low})::INT AS INT)"
+
+
+def _entropy(columns: str, name: str, source: str = "tl") -> str:
+    return f"{name} AS (SELECT {_PK}, -sum(c / s * ln(c / s)) AS h FROM (SELECT *, sum(c) OVER (PARTITION BY {_PK}) AS s FROM (SELECT {_PK}, {columns}, count(*) * 1.0 AS c FROM {source} GROUP BY ALL)) GROUP BY ALL)"
+
+
+_CUT = lambda v: f"CAST(least(trunc(({v} - min({v}) OVER g) / (max({v}) OVER g - min({v}) OVER g) * 8), 7) AS INT)"
+_TE = f"""cu AS (SELECT {_PK}, t, {_CUT('x')} AS a, {_CUT('y')} AS b FROM p WINDOW g AS (PARTITION BY {_PK})), tl AS (SELECT * FROM (SELECT *, lead(a) OVER o AS a1, lead(b) OVER o AS b1 FROM cu WINDOW o AS (PARTITION BY {_PK} ORDER BY t)) WHERE a1 IS NOT NULL),
+{_entropy('b1, b', 'h1')}, {_entropy('b, a', 'h2')}, {_entropy('b', 'h3')}, {_entropy('b1, b, a', 'h4')}, {_entropy('b', 'hb', 'cu')}, {_entropy('a1, a', 'h5')}, {_entropy('a', 'h6')}, {_entropy('a1, a, b', 'h7')}, {_entropy('a', 'ha', 'cu')}"""
+_DEP = ["transfer_entropy_a_to_b", "transfer_entropy_b_to_a", "mutual_info", "normalized_mi", "kl_divergence_a_to_b", "kl_divergence_b_to_a", "js_divergence", "hedge_ratio", "half_life", "spread_zscore", "kendall_tau", "spearman_rho", "lower_tail_dependence", "upper_tail_dependence", "tail_asymmetry"]
+_KLS = lambda a, b: f"sum(CASE WHEN {a} > 0 THEN {a} * ln(({a} + 1e-10) / ({b} + 1e-10)) ELSE 0 END)"
+
+
+@query("information_flow_measures", f"""WITH {_FLOWN}, {_TE}, te AS (SELECT {_PK}, greatest(h1.h + h2.h - h3.h - h4.h, 0) / hb.h AS ab, greatest(h5.h + h2.h - h6.h - h7.h, 0) / ha.h AS ba FROM h1 JOIN h2 USING ({_PK}) JOIN h3 USING ({_PK}) JOIN h4 USING ({_PK}) JOIN hb USING ({_PK}) JOIN h5 USING ({_PK}) JOIN h6 USING ({_PK}) JOIN h7 USING ({_PK}) JOIN ha USING ({_PK})),
+en AS (SELECT {_PK}, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, least(min(x), min(y)) AS l, greatest(max(x), max(y)) AS u, regr_slope(x, y) AS beta, regr_intercept(x, y) AS alpha, max(n) AS n FROM p GROUP BY ALL),
+bi AS (SELECT {_PK}, {_cell('x', 'x0', 'x1', 10)} AS i, {_cell('y', 'y0', 'y1', 10)} AS j FROM p JOIN en USING ({_PK})), c2 AS (SELECT {_PK}, i, j, count(*) * 1.0 AS c FROM bi GROUP BY ALL), c3 AS (SELECT *, sum(c) OVER w AS n, sum(c) OVER (PARTITION BY {_PK}, i) AS ci, sum(c) OVER (PARTITION BY {_PK}, j) AS cj FROM c2 WINDOW w AS (PARTITION BY {_PK})), mi AS (SELECT {_PK}, greatest(sum(c / n * ln(c * n / (ci * cj))), 0) AS mi, -sum(c / n * ln(ci / n)) AS hx, -sum(c / n * ln(cj / n)) AS hy FROM c3 GROUP BY ALL),
+kb AS (SELECT {_PK}, {_cell('x', 'l', 'u', 20)} AS b, 1 AS f, 0 AS g FROM p JOIN en USING ({_PK}) UNION ALL SELECT {_PK}, {_cell('y', 'l', 'u', 20)}, 0, 1 FROM p JOIN en USING ({_PK})), kc AS (SELECT {_PK}, b, sum(f) AS f, sum(g) AS g FROM kb GROUP BY {_PK}, b), kd AS (SELECT {_PK}, b, f / sum(f) OVER w AS p, g / sum(g) OVER w AS q, (f / sum(f) OVER w + g / sum(g) OVER w) / 2 AS m FROM kc WINDOW w AS (PARTITION BY {_PK})),
+kl AS (SELECT {_PK}, {_KLS('p', 'q')} AS pq, {_KLS('q', 'p')} AS qp, 0.5 * {_KLS('p', 'm')} + 0.5 * {_KLS('q', 'm')} AS js FROM kd GROUP BY ALL),
+re AS (SELECT {_PK}, t, x - alpha - beta * y AS e FROM p JOIN en USING ({_PK})), rl AS (SELECT *, lag(e) OVER (PARTITION BY {_PK} ORDER BY t) AS b FROM re), ct AS (SELECT {_PK}, regr_slope(e, b) FILTER (b IS NOT NULL) AS phi, max_by(e, t) / stddev_pop(e) AS z FROM rl GROUP BY ALL),
+sm AS (SELECT DISTINCT {_PK}, CASE WHEN n > 1000 THEN CAST(floor(k * ((n - 1) / 999.0::DOUBLE)) AS BIGINT) ELSE k END AS t FROM en, range(0, 1000) AS s(k) WHERE k < n), sp AS (SELECT p.* FROM p JOIN sm USING ({_PK}, t)), uv AS (SELECT {_PK}, x, y, row_number() OVER (PARTITION BY {_PK} ORDER BY x, t) / (count(*) OVER (PARTITION BY {_PK}) + 1.0) AS u, row_number() OVER (PARTITION BY {_PK} ORDER BY y, t) / (count(*) OVER (PARTITION BY {_PK}) + 1.0) AS v FROM sp),
+ta AS (SELECT {_PK}, sum(sign(a.x - b.x) * sign(a.y - b.y)) / sum(abs(sign(a.x - b.x) * sign(a.y - b.y))) AS tau FROM uv a JOIN uv b USING ({_PK}) GROUP BY ALL), tl2 AS (SELECT {_PK}, corr(u, v) AS rho, sum((u <= 0.1 AND v <= 0.1)::INT) / sum((u <= 0.1)::INT) AS lo, sum((u > 0.9 AND v > 0.9)::INT) / sum((u > 0.9)::INT) AS hi FROM uv GROUP BY ALL)
+SELECT {_PK}, en.n AS n_samples, {r('ab', 'transfer_entropy_a_to_b')}, {r('ba', 'transfer_entropy_b_to_a')}, {r('mi', 'mutual_info')}, {r('mi / sqrt(hx * hy)', 'normalized_mi')}, {r('pq', 'kl_divergence_a_to_b')}, {r('qp', 'kl_divergence_b_to_a')}, {r('js', 'js_divergence')}, {r('beta', 'hedge_ratio')}, {r('CASE WHEN phi > 0 AND phi < 1 THEN -ln(2) / ln(phi) END', 'half_life')}, {r('z', 'spread_zscore')}, {r('tau', 'kendall_tau')}, {r('rho', 'spearman_rho')}, {r('lo', 'lower_tail_dependence')}, {r('hi', 'upper_tail_dependence')}, {r('hi - lo', 'tail_asymmetry')}
+FROM en JOIN te USING ({_PK}) JOIN mi USING ({_PK}) JOIN kl USING ({_PK}) JOIN ct USING ({_PK}) JOIN ta USING ({_PK}) JOIN tl2 USING ({_PK})""")
+def q_flow_measures(spark, sf_dir):
+    """Without causality by regressions, warping and the choice of a family."""
+    made = P.information_flow(obs_items(spark, sf_dir))
+    return made.withColumn("half_life", F.when(F.col("half_life") < float("inf"), F.col("half_life"))).select("cohort", "signal_a", "signal_b", "n_samples", *_DEP)
