@@ -104,7 +104,8 @@ def _part_of(rows: DataFrame, partitions: int, cfg: FingerprintConfig) -> Column
     # differences as doubles: monotone, and without overflow
     by_id = F.floor((F.col("key").cast("double") - low.cast("double")) / F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0)) * split)
     inside = F.when((own > 0) & (F.col("key") == low), F.least(by_tie, own - 1)).otherwise(own + F.least(F.greatest(by_id, F.lit(0)), F.lit(split - 1)))
-    return F.when(at == 0, F.lit(0)).otherwise(value(starts, at - 1) + inside).cast("int")
+    # never null, as the planner can tell: a filter of nulls would make one reader's exchange another
+    return F.coalesce(F.when(at == 0, F.lit(0)).otherwise(value(starts, at - 1) + inside).cast("int"), F.lit(0))
 
 
 def neighbours(docs: DataFrame, cfg: FingerprintConfig) -> DataFrame:
