@@ -7,10 +7,12 @@ undefined is NaN.  Shared work (periodogram, analytic signal) is done once by
 from __future__ import annotations
 
 from math import factorial, lgamma
+from statistics import NormalDist
 
 import numpy as np
 
 NAN = float("nan")
+_STANDARD = NormalDist()
 TINY = 1e-15
 
 
@@ -383,10 +385,11 @@ def optimal_delay(y: np.ndarray, most: int = 20) -> int:
     most = min(most, len(y) // 4)
     if most < 2 or y.std() < TINY:
         return 1
-    ami = [mutual_information(y[:-k], y[k:], 16)[0] for k in range(1, most + 1)]
-    for k in range(1, len(ami) - 1):
-        if ami[k] < ami[k - 1] and ami[k] <= ami[k + 1]:
-            return k + 1
+    ami: list[float] = []
+    for k in range(1, most + 1):
+        ami.append(mutual_information(y[:-k], y[k:], 16)[0])
+        if k > 2 and ami[-2] < ami[-3] and ami[-2] <= ami[-1]:
+            return k - 1
     below = np.flatnonzero(acf(y, most) < 1 / np.e)
     return int(max(1, below[0])) if len(below) else 1
 
@@ -399,7 +402,7 @@ def _distances(x: np.ndarray) -> np.ndarray:
 def cao_dimension(y: np.ndarray, delay: int, most: int = 10, points: int = 600) -> int:
     """Where Cao's E1 stops changing.  The distance in d + 1 dimensions is the larger of that
     in d and of the new coordinate's, so that each dimension costs one matrix."""
-    means, low, step, d0 = [], None, 0, 0
+    means, e1, low, step, d0 = [], [], None, 0, 0
     for d in range(1, most + 2):
         n = len(y) - d * delay
         if n < 10:
@@ -421,10 +424,10 @@ def cao_dimension(y: np.ndarray, delay: int, most: int = 10, points: int = 600)
             break
         full = np.maximum(base, np.abs(y[at + d * delay] - y[at[near] + d * delay]))
         means.append((full[good] / base[good]).mean())
-    e1 = [b / a for a, b in zip(means, means[1:], strict=False) if a > 0]
-    for d in range(1, len(e1)):
-        if abs(e1[d] - e1[d - 1]) < 0.05:
-            return d + 1
+        if len(means) > 1 and means[-2] > 0:
+            e1.append(means[-1] / means[-2])
+            if len(e1) > 1 and abs(e1[-1] - e1[-2]) < 0.05:
+                return len(e1)
     return max(2, min(len(e1) + 1, most)) if e1 else 2
 
 
@@ -607,14 +610,16 @@ def adf(y: np.ndarray, max_lag: int | None = None) -> dict[str, float]:
     if y.std() < 1e-10:
         return {"adf_stat": -np.inf, "adf_pvalue": 0.0, "adf_lags": 0.0, "adf_nobs": float(n)}
     most = min(int(12 * (n / 100) ** 0.25), n // 2 - 2) if max_lag is None else max_lag
-    d, best = np.diff(y), None
-    for lag in range(most + 1):
-        x = np.column_stack([y[most:-1], np.ones(len(d) - most), *[d[most - k : len(d) - k] for k in range(1, lag + 1)]])
-        _, ssr, _ = _ols(x, d[most:])
-        aic = len(x) * np.log(max(ssr, TINY) / len(x)) + 2 * x.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, lag)
-    lag = best[1]
+    d = np.diff(y)
+    # the regressions of fewer lags are the first columns of that of most: one factor serves all
+    x = np.column_stack([y[most:-1], np.ones(len(d) - most), *[d[most - k : len(d) - k] for k in range(1, most + 1)]])
+    t, m = d[most:], len(d) - most
+    try:
+        z = np.linalg.solve(np.linalg.cholesky(x.T @ x), x.T @ t)
+        ssr = (t @ t - np.cumsum(z * z))[1:]
+    except np.linalg.LinAlgError:
+        ssr = np.array([_ols(x[:, : lag + 2], t)[1] for lag in range(most + 1)])
+    lag = int(np.argmin(m * np.log(np.maximum(ssr, TINY) / m) + 2 * (np.arange(most + 1) + 2)))
     x = np.column_stack([y[lag:-1], np.ones(len(d) - lag), *[d[lag - k : len(d) - k] for k in range(1, lag + 1)]])
     b, ssr, _ = _ols(x, d[lag:])
     var = ssr / max(1, len(x) - x.shape[1]) * np.linalg.pinv(x.T @ x)[0, 0]
@@ -778,10 +783,10 @@ for _name, _fn, _window, _least in (
 _BUILT_IN.update(ENGINES)
 
 
-def engine_outputs(y: np.ndarray, engines: dict[str, int], skip: frozenset[str] = frozenset()) -> dict[str, float]:
+def engine_outputs(y: np.ndarray, engines: dict[str, int], skip: frozenset[str] = frozenset(), failed: list[str] | None = None) -> dict[str, float]:
     """All outputs of the engines (name -> look-back) at the end of ``y``; an engine with
-    too few observations, or that fails, gives NaN.  ``n_failed`` counts those that failed."""
-    out: dict[str, float] = {"n_failed": 0}
+    too few observations, or that fails, gives NaN.  ``failed`` takes the names of those."""
+    out: dict[str, float] = {}
     for name, window in engines.items():
         fn, _, least, names = ENGINES[name]
         own = clean(y[-window:])
@@ -792,7 +797,8 @@ def engine_outputs(y: np.ndarray, engines: dict[str, int], skip: frozenset[str]
             out.update(fn(own))
         except (np.linalg.LinAlgError, ValueError, FloatingPointError, ZeroDivisionError):
             out.update(dict.fromkeys(names, NAN))
-            out["n_failed"] += 1
+            if failed is not None:
+                failed.append(name)
     return out
 
 
@@ -806,14 +812,8 @@ def normal_cdf(x):
 
 
 def normal_quantile(p) -> np.ndarray:
-    """Bisection and two Newton steps on the distribution function."""
     p = np.clip(np.asarray(p, float), 1e-12, 1 - 1e-12)
-    low, high = np.full(p.shape, -8.0), np.full(p.shape, 8.0)
-    for _ in range(50):
-        mid = (low + high) / 2
-        below = normal_cdf(mid) < p
-        low, high = np.where(below, mid, low), np.where(below, high, mid)
-    return (low + high) / 2
+    return np.array([_STANDARD.inv_cdf(v) for v in p.ravel().tolist()]).reshape(p.shape)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

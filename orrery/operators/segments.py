@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .geometry import SUMMARY, covariances, decompose
+from .geometry import SUMMARY, covariances, decompose, spectrum_of
 from .pairwise import PAIR, aligned, granger
+from .windows import spread
 
 Segment = tuple[str, float, float | None]
 
@@ -83,16 +84,27 @@ def info_flow_delta(obs: DataFrame, segments: list[Segment], lag: int = 5, most:
 def sensor_eigendecomp(wide: DataFrame, signals: list[str], window: int = 30, stride: int = 5, history: int = 30) -> DataFrame:
     """Eigen summary of the last ``history`` rolling means of the signals, at each mean.
 
-    Sums over a frame give the covariance of every point, so that no window is copied."""
+    A frame of ``history`` means travels with each point, which is less than its covariances
+    as soon as there are more signals than that."""
     order = Window.partitionBy("cohort").orderBy("signal_0")
     frame = order.rowsBetween(-(window - 1), 0)
     rows = wide.withColumns({"i": F.row_number().over(order) - 1, **{f"m_{s}": F.avg(s).over(frame) for s in signals}}).where((F.col("i") >= window - 1) & ((F.col("i") - (window - 1)) % stride == 0))
     rows = rows.select("cohort", "signal_0", *[F.coalesce(F.col(f"m_{s}") - F.avg(f"m_{s}").over(Window.partitionBy("cohort")), F.lit(0.0)).alias(s) for s in signals])
-    back = order.rowsBetween(-(history - 1), 0)
-    n = F.count("*").over(back)
-    cov = F.array(*[F.covar_samp(a, b).over(back) for a in signals for b in signals])
-    made = rows.select("cohort", "signal_0", n.alias("n"), F.array(*[F.avg(s).over(back) for s in signals]).alias("mean"), F.array(*[F.stddev_pop(s).over(back) for s in signals]).alias("std"), cov.alias("cov")).where("n >= 5")
-    out = decompose(made, ["cohort", "signal_0"])
+    past = F.collect_list(F.array(*signals)).over(order.rowsBetween(-(history - 1), 0))
+    made = rows.select("cohort", "signal_0", past.alias("p")).where(F.size("p") >= 5)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c, at, p in b.itertuples(index=False):
+                x = np.stack([np.asarray(v, float) for v in p])
+                sd = x.std(0)
+                if (sd >= 1e-12).all():
+                    summary, _ = spectrum_of(np.atleast_2d(np.cov(x.T)) / np.outer(sd, sd))
+                    out.append((c, at, len(x), *[summary[k] for k in SUMMARY]))
+            yield pd.DataFrame(out, columns=["cohort", "signal_0", "n", *SUMMARY])
+
+    out = spread(made).mapInPandas(run, "cohort string, signal_0 double, n long, " + ", ".join(f"{k} double" for k in SUMMARY))
     return out.select("cohort", F.col("signal_0").alias("signal_0_end"), F.lit(len(signals)).cast("long").alias("n_signals"), F.col("n").alias("n_samples"), *SUMMARY, F.pow(F.lit(2.0), F.col("eigenvalue_entropy")).alias("eff_dim_entropy"), F.col("explained_1").alias("energy_concentration"))
 
 

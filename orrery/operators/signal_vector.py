@@ -75,7 +75,9 @@ def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: l
             for cohort, signal, y, skip in zip(b["cohort"], b["signal_id"], b["y"], b["skip"], strict=True):
                 sizes = back | own.get((cohort, signal), {})
                 skipped = frozenset(skip)
-                row = engine_outputs(np.asarray(y, float), sizes, skipped)
+                failed: list[str] = []
+                row = engine_outputs(np.asarray(y, float), sizes, skipped, failed)
+                row["n_failed"] = len(failed)
                 row["engine_mask"] = sum(1 << i for i, e in enumerate(names) if e not in skipped and min(len(y), sizes[e]) >= ENGINES[e][2])
                 out.append(row)
             made = pd.DataFrame(out, columns=["engine_mask", "n_failed", *columns], index=b.index)
