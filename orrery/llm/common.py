@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -87,6 +90,13 @@ def _offsets(column) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
+def release() -> None:
+    """Give memory that a fit has freed back to the system: the driver's process lives on."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, fold, prefix, spans
+from .common import bounded_texts, fold, prefix, release, spans
 
 LETTER = re.compile(r"[^\W\d_]")
 EDGE = "▁"
@@ -358,8 +358,11 @@ def fit_language(docs: DataFrame, cfg: LanguageConfig) -> LanguageModel:
     turn = [(ids[k], lang) for k in range(cfg.sample_per_lang) for lang, ids in of.items() if k < len(ids)]
     lang_of = dict(turn)
     texts = bounded_texts(docs, list(dict.fromkeys(i for i, _ in turn)), cfg.sample_chars)
-    ids = list(texts)
-    return model.fit([texts[i] for i in ids], np.array([langs.index(lang_of[i]) for i in ids], np.int64))
+    model.fit(list(texts.values()), np.array([langs.index(lang_of[i]) for i in texts], np.int64))
+    model._seg = None  # workers build their own
+    del texts
+    release()
+    return model
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, materialise, prefix, spans
+from .common import bounded_texts, materialise, prefix, release, spans
 from .packing import PackingConfig, encoder
 
 
@@ -126,6 +126,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, cfg: MixingConfig) -> Doma
     texts = bounded_texts(docs, [i for i, _ in turn], cfg.sample_chars)
     ids = list(texts)
     model.fit([texts[i] for i in ids], np.array([domains.index(name_of[i]) for i in ids], np.int64))
+    del texts
+    release()
     total, sample = sum(shares.values()), max(1, len(ids))
     for k, name in enumerate(domains):  # the sample was drawn by domain: the table's shares are the priors
         own = sum(name_of[i] == name for i in ids)

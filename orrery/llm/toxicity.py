@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_texts, fold, spans
+from .common import bounded_texts, fold, release, spans
 
 WORD = re.compile(r"\w+")
 
@@ -360,28 +360,41 @@ class ToxicityModel:
         for y in (0, 1):
             own = rng.permutation(np.flatnonzero(labels == y))
             fold[own] = np.arange(len(own)) % cfg.folds
-        own, prepared = [], Features(cfg).prepare(words)
+        n, prepared = len(words), Features(cfg).prepare(words)
+        odds = np.zeros((cfg.folds, n + 1, ODDS), np.float32)  # of each part's words; the first row stands for padding
         for k in range(cfg.folds):
             other, rest = Features(cfg), (fold != k) | (cfg.folds == 1)
             other.fit(prepared, [t for t, h in zip(numbers, rest, strict=True) if h], labels[rest])
-            own.append(other.odds(words))
-        n = len(words)
-        # a word of part k is row k n + 1 to (k + 1) n
-        odds = np.concatenate([np.zeros((1, ODDS), np.float32), *own])
-        numbers = [t + np.int32(n * k) for t, k in zip(numbers, fold, strict=True)]
+            odds[k, 1:] = other.odds(words)
+            del other
         self.features = Features(cfg)
-        word, gram, of = self.features.rows(words)
-        x = self._joined(odds, self.features.embedded(word, gram, of))
+        self.features.fit(prepared, numbers, labels)  # the odds of all labelled documents serve after learning
+        del prepared
+        word, gram, of = (v.astype(np.int32) for v in self.features.rows(words))
+        gram_first = np.searchsorted(of, np.arange(n + 1))
+        counts = np.bincount(np.concatenate([np.unique(t) - 1 for t in numbers if len(t)] or [np.zeros(0, np.int64)]), minlength=n)
+        common = counts >= cfg.least_df
         flat, owner, first, size = self._cut(numbers)
+        del words, numbers
+        part_of = fold[owner]
         at_doc = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+
+        def by_part(score) -> np.ndarray:
+            """``score(k, first, size)`` of the windows of each part."""
+            out = np.empty(len(first), np.float32)
+            for k in range(cfg.folds):
+                at = np.flatnonzero(part_of == k)
+                out[at] = score(k, first[at], size[at])
+            return out
+
+        def strongest(k: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+            strong = odds[k, :, 0] + odds[k, :, 1:4].max(1)
+            return np.concatenate([np.zeros(0), *[strong[self._ids(flat, first[i : i + 2048], size[i : i + 2048])[0]].max(1) for i in range(0, len(first), 2048)]])
+
         # before the network has learned anything, a window's strength is its strongest input
-        strong = x[:, 0] + x[:, 1:4].max(1)
-        logits = np.concatenate([strong[self._ids(flat, first[i : i + 2048], size[i : i + 2048])[0]].max(1) for i in range(0, len(first), 2048)])
+        logits = by_part(strongest)
         m1, m2 = ({k: np.zeros(v.shape, np.float64) for k, v in self.net.p.items()} for _ in range(2))
         seen = [np.zeros(len(t), np.float32) for t in (self.features.word_table, self.features.gram_table)]
-        gram_first = np.searchsorted(of, np.arange(n + 1))
-        counts = np.bincount(np.concatenate([np.unique(t - n * k) - 1 for t, k in zip(numbers, fold, strict=True) if len(t)] or [np.zeros(0, np.int64)]), minlength=n)
-        common = counts >= cfg.least_df
         step = 0
         for epoch in range(cfg.epochs):
             order = np.lexsort((-logits, owner))
@@ -392,12 +405,12 @@ class ToxicityModel:
             for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // cfg.batch)):
                 step += 1
                 ids, mask = self._ids(flat, first[chosen[part]], size[chosen[part]])
-                used, ids = np.unique(ids, return_inverse=True)  # the batch's words alone
-                ids = ids.reshape(mask.shape)
-                own_x = np.concatenate([odds[used], self._embedded_rows(used, n, word, gram, gram_first)], 1)
-                own_x[used == 0] = 0
-                g = self.net.gradients(own_x, ids, mask, y[part], weight[part])
-                self._learn_embeddings(g.pop("x")[:, ODDS:], used, common, word, gram, gram_first, seen)
+                # the batch's words alone, each part's apart
+                used, ids = np.unique(ids + (n + 1) * part_of[chosen[part]][:, None], return_inverse=True)
+                ids, own, which = ids.reshape(mask.shape), used % (n + 1), used // (n + 1)
+                x = np.concatenate([odds[which, own], self._embedded_rows(own, word, gram, gram_first)], 1)
+                g = self.net.gradients(x, ids, mask, y[part], weight[part])
+                self._learn_embeddings(g.pop("x")[:, ODDS:], own, common, word, gram, gram_first, seen)
                 for k, v in g.items():
                     v = np.clip(v, -1, 1)
                     m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -405,23 +418,14 @@ class ToxicityModel:
                     move = m1[k] / (1 - 0.9**step) / (np.sqrt(m2[k] / (1 - 0.999**step)) + 1e-8)
                     self.net.p[k] = (self.net.p[k] - cfg.rate * move).astype(np.float32)
             if epoch % cfg.rescan == cfg.rescan - 1 and epoch + 1 < cfg.epochs:
-                logits = self._logits(self._joined(odds, self.features.embedded(word, gram, of)), flat, first, size)
-        # the odds of all labelled documents serve from now on
-        tables = self.features.word_table, self.features.gram_table
-        self.features = Features(cfg)
-        self.features.fit(prepared, [t - np.int32(n * k) for t, k in zip(numbers, fold, strict=True)], labels)
-        self.features.word_table, self.features.gram_table = tables
+                embedded = np.concatenate([np.zeros((1, 2 * cfg.embedding), np.float32), self.features.embedded(word, gram, of)])
+                logits = by_part(lambda k, f, z, e=embedded: self._logits(np.concatenate([odds[k], e], 1), flat, f, z))
+                del embedded
         share = min(max(float(labels.mean()) if prior is None else prior, 0.02), 0.98)
         self.net.p["b"] = self.net.p["b"] + np.float32(np.log(share / (1 - share)))
         return self
 
 
-    @staticmethod
-    def _joined(odds: np.ndarray, embedded: np.ndarray) -> np.ndarray:
-        """The inputs of all parts' words; the first row stands for padding."""
-        parts = (len(odds) - 1) // max(1, len(embedded))
-        return np.concatenate([odds, np.concatenate([np.zeros((1, embedded.shape[1]), np.float32), *[embedded] * parts])], 1)
-
     @staticmethod
     def _grams_of(word: np.ndarray, gram_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of all n-grams of some words, and which of the words each is of."""
@@ -429,16 +433,18 @@ class ToxicityModel:
         at = np.repeat(gram_first[word] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         return at, np.repeat(np.arange(len(word)), many)
 
-    def _embedded_rows(self, used: np.ndarray, n: int, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray) -> np.ndarray:
-        own = np.maximum(used - 1, 0) % n
-        at, of = self._grams_of(own, gram_first)
-        return self.features.embedded(word[own], gram[at], of)
+    def _embedded_rows(self, own: np.ndarray, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray) -> np.ndarray:
+        """Embeddings of words by their numbers; those of 0, padding, are 0."""
+        at, of = self._grams_of(np.maximum(own - 1, 0), gram_first)
+        out = self.features.embedded(word[np.maximum(own - 1, 0)], gram[at], of)
+        out[own == 0] = 0
+        return out
 
-    def _learn_embeddings(self, g: np.ndarray, used: np.ndarray, common: np.ndarray, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray, seen: list[np.ndarray]) -> None:
+    def _learn_embeddings(self, g: np.ndarray, own: np.ndarray, common: np.ndarray, word: np.ndarray, gram: np.ndarray, gram_first: np.ndarray, seen: list[np.ndarray]) -> None:
         """One step of Adagrad, a rate for each row, on the rows that the batch touched."""
         cfg, d = self.cfg, self.cfg.embedding
-        keep = (used > 0) & common[np.maximum(used - 1, 0) % len(common)]
-        own, g = (used[keep] - 1) % len(common), g[keep]
+        keep = (own > 0) & common[np.maximum(own - 1, 0)]
+        own, g = own[keep] - 1, g[keep]
         at, of = self._grams_of(own, gram_first)
         share = 1 / np.maximum(gram_first[own + 1] - gram_first[own], 1)
         for table, total, rows, value in ((self.features.word_table, seen[0], word[own], g[:, :d]), (self.features.gram_table, seen[1], gram[at], (g[:, d:] * share[:, None])[of])):
@@ -467,8 +473,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Toxic
     order += picked[2 * (len(picked) // 2) :]
     y_of = dict(picked)
     texts = bounded_texts(docs, [i for i, _ in order], cfg.sample_chars)
-    ids = list(texts)
-    return ToxicityModel(cfg).fit([texts[i] for i in ids], np.array([y_of[i] for i in ids], np.int64), prior)
+    y = np.array([y_of[i] for i in texts], np.int64)
+    model = ToxicityModel(cfg).fit(list(texts.values()), y, prior)
+    del texts
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
