@@ -56,17 +56,18 @@ def _gated(windows: DataFrame, typology: DataFrame | None, gates: tuple[Gate, ..
     return windows.withColumn("skip", F.array_compact(F.array(*rules))).drop(*[f"__{m}" for m in metrics])
 
 
-def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: list[str] | None = None, manifest: Manifest | None = None, typology: DataFrame | None = None) -> DataFrame:
+def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: list[str] | None = None, manifest: Manifest | None = None, typology: DataFrame | None = None, blocks: int = 0) -> DataFrame:
     """A row for each window: keys, ``engine_mask`` (bit i: the i-th engine by name ran),
     ``n_failed`` (engines that raised) and every engine's outputs; undefined and infinite values are null.  Engines look
-    back their own number of rows from the window's end."""
+    back their own number of rows from the window's end.  ``blocks``: for very long signals
+    (see ``windows.numbered``)."""
     names = sorted(engines or ENGINES)
     back = {e: ENGINES[e][1] for e in names} | ({k: v for k, v in manifest.engine_windows.items() if k in names} if manifest else {})
     own: dict[tuple[str, str], dict[str, int]] = {}
     for cohort, signal, engine, size in manifest.overrides() if manifest else []:
         own.setdefault((cohort, signal), {})[engine] = size
     longest = max([window, *back.values(), *(w for o in own.values() for w in o.values())])
-    rows = _gated(arrays(obs, window, stride, longest), typology, () if manifest is None or manifest.force_all else manifest.gates)
+    rows = _gated(arrays(obs, window, stride, longest, blocks=blocks), typology, () if manifest is None or manifest.force_all else manifest.gates)
     columns = outputs_of(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,8 @@ looks back ``window`` rows.  Two forms:
   streaming pass; for everything that is an aggregate of a frame.
 * ``arrays``: every row is copied to the windows it lies in (ceil(window / stride) of
   them), and a window's rows are gathered.  Numbering and gathering share one exchange
-  by (cohort, signal_id), and no group is longer than a window, however long its signal.
+  by (cohort, signal_id), and no gathered group is longer than a window.  Numbering sorts a
+  whole signal in one task, unless ``blocks`` cuts it.
 """
 
 from __future__ import annotations
@@ -18,9 +19,22 @@ from pyspark.sql import functions as F
 SIGNAL = ["cohort", "signal_id"]
 
 
-def numbered(obs: DataFrame, keys: list[str] = SIGNAL, order: str = "signal_0") -> DataFrame:
-    """Rows with a value, numbered from 0 in the signal's order."""
-    return obs.where("value is not null and not isnan(value)").withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order, "value")) - 1)
+def numbered(obs: DataFrame, keys: list[str] = SIGNAL, order: str = "signal_0", blocks: int = 0) -> DataFrame:
+    """Rows with a value, numbered (``i``) from 0 in the signal's order, and their count ``n``.
+
+    A signal is numbered in one task.  ``blocks``: for signals that are too long for that,
+    each is cut at so many quantiles of its axis, numbered block by block, and prefix
+    counts of the blocks (a row each) give every block's first number."""
+    rows = obs.where("value is not null and not isnan(value)")
+    if not blocks:
+        return rows.withColumns({"i": F.row_number().over(Window.partitionBy(*keys).orderBy(order, "value")) - 1, "n": F.count("*").over(Window.partitionBy(*keys))})
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)] or [0.5], 10 * blocks).alias("__cuts"))
+    rows = rows.join(cuts, keys).withColumn("__block", F.size(F.filter("__cuts", lambda c: c <= F.col(order)))).drop("__cuts")
+    sizes = rows.groupBy(*keys, "__block").agg(F.count("*").alias("__size"))
+    per = Window.partitionBy(*keys)
+    first = sizes.select(*keys, "__block", (F.sum("__size").over(per.orderBy("__block")) - F.col("__size")).alias("__first"), F.sum("__size").over(per).alias("n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__block").orderBy(order, "value"))
+    return rows.join(first, [*keys, "__block"]).withColumn("i", F.col("__first") + own - 1).drop("__block", "__first")
 
 
 def frame(window: int, keys: list[str] = SIGNAL, order: str = "signal_0"):
@@ -39,22 +53,21 @@ def framed(obs: DataFrame, window: int, stride: int, columns: dict[str, Column])
     return rows.select(*SIGNAL, ((F.col("i") - (window - 1)) / stride).cast("long").alias("window_id"), "signal_0_start", F.col("signal_0").alias("signal_0_end"), ((F.col("signal_0_start") + F.col("signal_0")) / 2).alias("signal_0_center"), *columns)
 
 
-def arrays(obs: DataFrame, window: int, stride: int, look_back: int | None = None, short: str = "drop", keys: list[str] = SIGNAL) -> DataFrame:
+def arrays(obs: DataFrame, window: int, stride: int, look_back: int | None = None, short: str = "drop", keys: list[str] = SIGNAL, blocks: int = 0) -> DataFrame:
     """(keys, window_id, signal_0_start, signal_0_end, signal_0_center, n_obs, s, y): the
     last ``look_back`` (default: ``window``) rows up to each window's end.
 
     ``short``: signals of fewer rows than a window give no row (``drop``) or one of all
     their rows (``one``)."""
     back = max(look_back or window, window)
-    rows = numbered(obs, keys)
+    rows = numbered(obs, keys, blocks=blocks)
     # windows k with end e_k = window - 1 + k stride, e_k - back < i <= e_k
     low = F.greatest(F.ceil((F.col("i") - (window - 1)) / stride), F.lit(0)).cast("long")
     high = F.floor((F.col("i") + back - window) / stride).cast("long")
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
     last = F.floor((F.col("n") - window) / stride).cast("long")
     few = F.col("n") < window
     span = F.when(few, F.array(F.lit(0).cast("long")) if short == "one" else F.array().cast("array<bigint>")).otherwise(F.when(low <= F.least(high, last), F.sequence(low, F.least(high, last))))
-    each = counted.select(*keys, "signal_0", "value", "i", F.explode(span).alias("window_id"))
+    each = rows.select(*keys, "signal_0", "value", "i", F.explode(span).alias("window_id"))
     made = each.groupBy(*keys, "window_id").agg(F.sort_array(F.collect_list(F.struct("i", F.col("signal_0").alias("s"), F.col("value").alias("y")))).alias("x"))
     made = made.select(*keys, "window_id", F.transform("x", lambda p: p["s"]).alias("s"), F.transform("x", lambda p: p["y"]).alias("y"))
     size = F.least(F.size("y"), F.lit(window))

@@ -43,6 +43,18 @@ def test_windows_have_their_rows(obs):
     assert arrays(short, 32, 10).count() == 0 and arrays(short, 32, 10, short="one").count() == 6
 
 
+def test_numbers_in_blocks(spark, obs):
+    """Long signals are numbered in blocks of their axis, ties and short signals included."""
+    from orrery.operators.windows import numbered
+
+    ties = spark.range(500).selectExpr("'a' as cohort", "case when id < 3 then 'short' else 'long' end as signal_id", "cast(id div 7 as double) as signal_0", "cast(id % 11 as double) as value")
+    for rows in (obs, ties):
+        one, two = (sorted(map(str, numbered(rows, blocks=b).select("cohort", "signal_id", "signal_0", "value", "i", "n").collect())) for b in (0, 9))
+        assert one == two and one
+    one, two = (sorted(map(str, arrays(obs, 16, 8, blocks=b).collect())) for b in (0, 9))
+    assert one == two and one
+
+
 def test_frames_equal_kernels(obs):
     got = window_features(obs, 32, 16).where("cohort = 'c0' and signal_id = 's0'").orderBy("window_id").collect()
     y = _series(obs)
