@@ -221,16 +221,19 @@ def q_window_arrays(spark, sf_dir):
     return rows.select(*SIGNAL, "window_id", C.acf(y, 1).alias("acf_lag1"), C.variance_ratio(y, 2).alias("variance_ratio"), *[v.alias(k) for k, v in C.rates(y).items()], C.zero_crossings(C.centred(y)).alias("mean_crossings"), C.permutation_entropy(y).alias("permutation_entropy"))
 
 
-@query("discrete_features", f"""WITH {ITEMS}, {_frames("(SELECT * FROM li WHERE signal_id = 't')")},
-st AS (SELECT *, lead(value) OVER g AS nx, CASE WHEN value = lag(value) OVER g THEN 0 ELSE 1 END AS starts FROM mo WINDOW g AS (PARTITION BY cohort, signal_id, window_id ORDER BY i)),
+_LEVEL = "CASE WHEN nd <= 10 THEN value ELSE (SELECT sum((value > CASE WHEN g.e = 10 THEN hi ELSE lo + (hi - lo) * g.e / 10.0 END)::INT) FROM range(0, 11) AS g(e)) END"
+
+
+@query("discrete_features", f"""WITH {ITEMS}, {_frames('li')}, lv AS (SELECT cohort, signal_id, window_id, min(value) AS lo, max(value) AS hi, count(DISTINCT value) AS nd FROM mo GROUP BY ALL), lb AS (SELECT mo.*, {_LEVEL} AS label FROM mo JOIN lv USING (cohort, signal_id, window_id)),
+st AS (SELECT *, lead(label) OVER g AS nx, CASE WHEN value = lag(value) OVER g THEN 0 ELSE 1 END AS starts FROM lb WINDOW g AS (PARTITION BY cohort, signal_id, window_id ORDER BY i)),
 rn AS (SELECT *, sum(starts) OVER (PARTITION BY cohort, signal_id, window_id ORDER BY i) AS run FROM st),
 rl AS (SELECT cohort, signal_id, window_id, run, count(*) AS len FROM rn GROUP BY ALL), dw AS (SELECT cohort, signal_id, window_id, count(*) AS n_dwells, avg(len) AS dwell_mean, stddev_pop(len) AS dwell_std, max(len) AS dwell_max, min(len) AS dwell_min FROM rl GROUP BY ALL),
-sh AS (SELECT cohort, signal_id, window_id, value, count(*) / {W}.0 AS p FROM mo GROUP BY ALL), en AS (SELECT cohort, signal_id, window_id, -sum(p * log2(p)) AS shannon_entropy, count(*) AS n_levels, max(p) AS duty_dominant, max(p) - min(p) AS duty_range FROM sh GROUP BY ALL),
-tr AS (SELECT cohort, signal_id, window_id, sum(CASE WHEN nx <> value THEN 1 ELSE 0 END) AS transition_count FROM st WHERE nx IS NOT NULL GROUP BY ALL)
+sh AS (SELECT cohort, signal_id, window_id, label, count(*) / {W}.0 AS p FROM lb GROUP BY ALL), en AS (SELECT cohort, signal_id, window_id, -sum(p * log2(p)) AS shannon_entropy, count(*) AS n_levels, max(p) AS duty_dominant, max(p) - min(p) AS duty_range FROM sh GROUP BY ALL),
+tr AS (SELECT cohort, signal_id, window_id, sum(CASE WHEN nx <> label THEN 1 ELSE 0 END) AS transition_count FROM st WHERE nx IS NOT NULL GROUP BY ALL)
 SELECT cohort, signal_id, window_id, {r('shannon_entropy', 'shannon_entropy')}, CAST(n_levels AS INTEGER) AS n_levels, {r('duty_dominant', 'duty_dominant')}, {r('duty_range', 'duty_range')}, CAST(transition_count AS INTEGER) AS transition_count, CAST(n_dwells AS INTEGER) AS n_dwells, {r('dwell_mean', 'dwell_mean')}, {r('dwell_std', 'dwell_std')}, {r('dwell_max', 'dwell_max')}, {r('dwell_min', 'dwell_min')}
 FROM en JOIN dw USING (cohort, signal_id, window_id) JOIN tr USING (cohort, signal_id, window_id)""")
 def q_discrete(spark, sf_dir):
-    made = DI.discrete_features(obs_items(spark, sf_dir).where("signal_id = 't'"), W, STEP)
+    made = DI.discrete_features(obs_items(spark, sf_dir), W, STEP)
     return made.select(*SIGNAL, "window_id", "shannon_entropy", "n_levels", "duty_dominant", "duty_range", "transition_count", "n_dwells", "dwell_mean", "dwell_std", "dwell_max", "dwell_min")
 
 
