@@ -12,30 +12,32 @@ from pyspark.sql import functions as F
 TINY = 1e-15
 
 
-def frame_features(w: WindowSpec, value: str = "value", index: str = "i") -> dict[str, Column]:
-    """Moments, size and trend over a frame of at least four rows."""
-    y, x, n = F.col(value), F.col(index), F.count(value).over(w)
-    m2 = F.var_pop(y).over(w)
-    rms = F.sqrt(F.avg(y * y).over(w))
+def frame_features(w: WindowSpec | None, value: str = "value", index: str = "i") -> dict[str, Column]:
+    """Moments, size and trend over a frame of at least four rows; without a frame as
+    aggregates of a group."""
+    over = (lambda c: c) if w is None else (lambda c: c.over(w))
+    y, x, n = F.col(value), F.col(index), over(F.count(value))
+    m2 = over(F.var_pop(y))
+    rms = F.sqrt(over(F.avg(y * y)))
     varies = (m2 > TINY) & (n >= 4)
-    slope = F.regr_slope(y, x).over(w)
-    r2 = F.regr_r2(y, x).over(w)
+    slope = over(F.regr_slope(y, x))
+    r2 = over(F.regr_r2(y, x))
     return {
         "n_obs": n,
-        "mean": F.avg(y).over(w),
-        "std": F.stddev_pop(y).over(w),
-        "kurtosis": F.when(varies, F.kurtosis(y).over(w)),
-        "skewness": F.when(varies, F.skewness(y).over(w)),
-        "crest_factor": F.when((n >= 4) & (rms > TINY), F.max(F.abs(y)).over(w) / rms),
+        "mean": over(F.avg(y)),
+        "std": over(F.stddev_pop(y)),
+        "kurtosis": F.when(varies, over(F.kurtosis(y))),
+        "skewness": F.when(varies, over(F.skewness(y))),
+        "crest_factor": F.when((n >= 4) & (rms > TINY), over(F.max(F.abs(y))) / rms),
         "rms": rms,
-        "peak": F.max(F.abs(y)).over(w),
-        "peak_to_peak": F.max(y).over(w) - F.min(y).over(w),
+        "peak": over(F.max(F.abs(y))),
+        "peak_to_peak": over(F.max(y)) - over(F.min(y)),
         "trend_slope": F.when(n >= 3, slope),
         "trend_r2": F.when(n >= 3, F.when(m2 > TINY, r2).otherwise(0.0)),
         "detrend_std": F.when(n >= 3, F.sqrt(F.greatest(m2 * (1 - F.when(m2 > TINY, r2).otherwise(0.0)), F.lit(0.0)))),
-        "pulsation_index": F.when(n >= 10, (F.max(y).over(w) - F.min(y).over(w)) / (F.abs(F.avg(y).over(w)) + 1e-10)),
-        "flow_mean": F.when(n >= 10, F.avg(y).over(w)),
-        "flow_range": F.when(n >= 10, F.max(y).over(w) - F.min(y).over(w)),
+        "pulsation_index": F.when(n >= 10, (over(F.max(y)) - over(F.min(y))) / (F.abs(over(F.avg(y))) + 1e-10)),
+        "flow_mean": F.when(n >= 10, over(F.avg(y))),
+        "flow_range": F.when(n >= 10, over(F.max(y)) - over(F.min(y))),
     }
 
 

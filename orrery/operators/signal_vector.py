@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import frame_features
 from ..functions.kernels import ENGINES, engine_outputs
 from ..sources.manifest import Gate, Manifest
-from .windows import SIGNAL, arrays, frame, framed, spread
+from .windows import SIGNAL, arrays, frame, framed, gathered, spread
 
 KEYS = [*SIGNAL, "window_id", "signal_0_start", "signal_0_end", "signal_0_center", "n_obs"]
 KEY_TYPES = "cohort string, signal_id string, window_id long, signal_0_start double, signal_0_end double, signal_0_center double, n_obs long"
@@ -90,7 +90,11 @@ def signal_vector(obs: DataFrame, window: int = 64, stride: int = 32, engines: l
 
 
 def window_features(obs: DataFrame, window: int = 64, stride: int = 32) -> DataFrame:
-    """The frame aggregates alone: moments, size and trend without any Python."""
+    """The aggregates alone: moments, size and trend without any Python.  A frame is summed
+    anew at every row, a group once for each window: windows that a row lies in up to
+    eight of are groups."""
+    if window <= 8 * stride:
+        return gathered(obs, window, stride, frame_features(None))
     return framed(obs, window, stride, frame_features(frame(window)))
 
 

@@ -1,10 +1,11 @@
 """Strided count windows over signals.
 
 A window ends at row ``window`` - 1 of its signal and every ``stride`` rows after, and
-looks back ``window`` rows.  Two forms:
+looks back ``window`` rows.  Three forms:
 
 * ``framed``: aggregates over a row frame, kept at window ends.  One exchange and one
-  streaming pass; for everything that is an aggregate of a frame.
+  streaming pass, in which every row's frame is summed; for windows at (almost) every row.
+* ``gathered``: the same aggregates of windows as groups; for windows that overlap little.
 * ``arrays``: every row is copied to the windows it lies in (ceil(window / stride) of
   them), and a window's rows are gathered.  Numbering and gathering share one exchange
   by (cohort, signal_id), and no gathered group is longer than a window.  Numbering sorts a
@@ -53,6 +54,18 @@ def framed(obs: DataFrame, window: int, stride: int, columns: dict[str, Column])
     return rows.select(*SIGNAL, ((F.col("i") - (window - 1)) / stride).cast("long").alias("window_id"), "signal_0_start", F.col("signal_0").alias("signal_0_end"), ((F.col("signal_0_start") + F.col("signal_0")) / 2).alias("signal_0_center"), *columns)
 
 
+def gathered(obs: DataFrame, window: int, stride: int, aggregates: dict[str, Column]) -> DataFrame:
+    """The same as ``framed``, for few windows a row: rows are copied to the windows they lie
+    in, and each window is a group.  The groups lie in the partitions of their signals, so
+    that this costs no exchange more."""
+    rows = numbered(obs).where(F.col("n") >= window)
+    low = F.greatest(F.ceil((F.col("i") - (window - 1)) / stride), F.lit(0)).cast("long")
+    high = F.least(F.floor(F.col("i") / stride), F.floor((F.col("n") - window) / stride)).cast("long")
+    each = rows.select(*SIGNAL, "signal_0", "value", "i", F.explode(F.when(low <= high, F.sequence(low, high))).alias("window_id"))
+    made = each.groupBy(*SIGNAL, "window_id").agg(F.min("signal_0").alias("signal_0_start"), F.max("signal_0").alias("signal_0_end"), *[c.alias(k) for k, c in aggregates.items()])
+    return made.select(*SIGNAL, "window_id", "signal_0_start", "signal_0_end", ((F.col("signal_0_start") + F.col("signal_0_end")) / 2).alias("signal_0_center"), *aggregates)
+
+
 def arrays(obs: DataFrame, window: int, stride: int, look_back: int | None = None, short: str = "drop", keys: list[str] = SIGNAL, blocks: int = 0) -> DataFrame:
     """(keys, window_id, signal_0_start, signal_0_end, signal_0_center, n_obs, s, y): the
     last ``look_back`` (default: ``window``) rows up to each window's end.

@@ -1,6 +1,7 @@
 """Operators on Spark: against kernels, invariances, and every query on the small tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def test_numbers_in_blocks(spark, obs):
     assert one == two and one
 
 
+def test_frames_equal_groups(obs):
+    """Windows as row frames and as groups, short signals included."""
+    from orrery.functions.columns import frame_features
+    from orrery.operators.windows import frame, framed, gathered
+
+    for window, stride in ((16, 8), (10, 3), (200, 50)):
+        one = framed(obs, window, stride, frame_features(frame(window))).toPandas().sort_values(["cohort", "signal_id", "window_id"]).reset_index(drop=True)
+        two = gathered(obs, window, stride, frame_features(None)).toPandas().sort_values(["cohort", "signal_id", "window_id"]).reset_index(drop=True)
+        assert list(one.columns) == list(two.columns)
+        pd.testing.assert_frame_equal(one, two, rtol=1e-9, atol=1e-9)
+
+
 def test_frames_equal_kernels(obs):
     got = window_features(obs, 32, 16).where("cohort = 'c0' and signal_id = 's0'").orderBy("window_id").collect()
     y = _series(obs)
