@@ -339,13 +339,14 @@ def components(edges: DataFrame) -> DataFrame:
     def both(e):
         return e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-    e, seen = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), None
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     e = materialise(e, "links")
     while True:
-        state = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
-        if seen == tuple(state):
+        # stars: no node has two smaller neighbours, or one and a larger one
+        centres = e.select(F.col("b").alias("c")).distinct()
+        open_ = e.groupBy("a").agg(F.count("*").alias("k")).join(centres, F.col("a") == F.col("c"), "left").where("k > 1 or c is not null")
+        if not open_.limit(1).count():
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
-        seen = tuple(state)
         # large star: a node's larger neighbours go to its smallest neighbour (or itself)
         near = both(e)
         least = materialise(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
