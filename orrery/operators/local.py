@@ -128,15 +128,14 @@ RECURRENCE = list(K.rqa(np.eye(2)))
 
 def recurrence_measures(states: DataFrame, columns: list[str], order: str = "signal_0_end", share: float = 0.1) -> DataFrame:
     """Recurrence measures of each cohort's trajectory through ``columns``: points recur within
-    the distance that ``share`` of all pairs have."""
+    the distance that ``share`` of all pairs have.  All pairs are seen, some at a time."""
 
     def run(batches):
         for b in batches:
             rows = []
             for c, x in b[["cohort", "x"]].itertuples(index=False):
                 x = np.stack([np.asarray(v, float) for v in x])
-                d = K._distances(x)
-                rows.append((c, len(x), *K.rqa(d <= np.percentile(d, 100 * share)).values()))
+                rows.append((c, len(x), *K.recurrence_of_states(x, share).values()))
             yield pd.DataFrame(rows, columns=["cohort", "n_points", *RECURRENCE])
 
     return _gathered(states, columns, order).mapInPandas(run, "cohort string, n_points long, " + ", ".join(f"{c} double" for c in RECURRENCE))

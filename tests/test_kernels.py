@@ -1,5 +1,7 @@
 """Kernels against analytic truths."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -155,3 +157,26 @@ def test_local(rng):
     assert saddles(x)["saddle_score_max"] > 0.1
     f = sensitivity(rng.normal(size=(60, 3)).cumsum(0))
     assert np.allclose(f["share"].sum(1), 1) and f["influence"].shape == (3, 3)
+
+
+@pytest.mark.parametrize("states", [lambda rng, n: rng.normal(size=(n, 3)), lambda rng, n: rng.integers(0, 3, (n, 3)).astype(float), lambda rng, n: np.ones((n, 3))])
+def test_recurrence_of_states_in_blocks(states, monkeypatch):
+    """As of the whole matrix, also where many distances are equal."""
+    for n in (1, 2, 3, 15, 120):
+        x = states(np.random.default_rng(n), n)
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        want = K.rqa(d <= np.percentile(d, 10) + 1e-9)
+        for cells in (40, 500_000):
+            monkeypatch.setattr(K, "CELLS", cells)
+            got = K.recurrence_of_states(x, 0.1)
+            assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_recurrence_memory():
+    """Of 4000 states a matrix has 128 MB."""
+    x = np.random.default_rng(1).normal(size=(4000, 3))
+    tracemalloc.start()
+    K.recurrence_of_states(x, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
