@@ -76,15 +76,16 @@ def interpolate(obs: DataFrame, axis: bool = False) -> DataFrame:
     along the ``axis`` signal_0); those before the first and after the last take its value.
     A signal without any value stays missing."""
     order = Window.partitionBy("cohort", "signal_id").orderBy("signal_0")
-    at = F.col("signal_0") if axis else F.row_number().over(order).cast("double")
     v = F.nanvl(F.col("value"), F.lit(None))
-    rows = obs.withColumns({"__v": v, "__at": at}).withColumn("__p", F.when(F.col("__v").isNotNull(), F.struct("__at", "__v")))
-    before = F.last("__p", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__p", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"__b": before, "__a": after})
+    rows = obs.withColumns({"__v": v, "__i": F.row_number().over(order)})
+    at = F.col("signal_0") if axis else F.col("__i").cast("double")
+    rows = rows.withColumn("__p", F.when(F.col("__v").isNotNull(), F.struct(at.alias("__at"), "__v"))).withColumn("__at", at)
+    # a frame that ends at the last row would be read to its end from every row: seen backwards instead
+    known = lambda i: F.last("__p", True).over(Window.partitionBy("cohort", "signal_id").orderBy(i).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__b", known(F.col("__i"))).withColumn("__a", known(F.desc("__i")))
     gap = F.col("__a.__at") - F.col("__b.__at")
     line = F.col("__b.__v") + (F.col("__a.__v") - F.col("__b.__v")) * F.try_divide(F.col("__at") - F.col("__b.__at"), gap)
-    return rows.withColumn("value", F.coalesce("__v", line, "__b.__v", "__a.__v")).drop("__v", "__at", "__p", "__b", "__a")
+    return rows.withColumn("value", F.coalesce("__v", line, "__b.__v", "__a.__v")).drop("__v", "__i", "__at", "__p", "__b", "__a")
 
 
 def impute_mean(wide: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:

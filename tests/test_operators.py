@@ -15,7 +15,7 @@ from orrery.operators.breaks import breaks
 from orrery.operators.signal_vector import signal_vector, window_features, window_size
 from orrery.operators.windows import arrays
 from orrery.sources.manifest import Config, Gate, Manifest, deep_merge, parse_manifest
-from orrery.sources.observations import cmapss_observations, read_cmapss
+from orrery.sources.observations import cmapss_observations, interpolate, read_cmapss
 from orrery.sources.tables import read_table, units_of, write_sidecar, write_table
 from orrery.sources.validation import drop_dead_columns, finite_or_null, validate_manifest, validate_observations
 
@@ -284,3 +284,19 @@ def test_query_runs(spark, sf_dir, name):
 
 def test_flagship(spark, sf_dir):
     assert Q.flagship(spark, sf_dir).count() > 0
+
+
+@pytest.mark.parametrize("axis", [False, True])
+def test_interpolation_reads_rows_once(spark, axis):
+    """The next value is found without frames that reach to the end from every row."""
+    rng = np.random.default_rng(3)
+    s, y = np.cumsum(rng.integers(1, 5, 3000)).astype(float), rng.normal(size=3000)
+    y[rng.random(3000) < 0.4] = np.nan
+    y[:3] = y[-4:] = np.nan
+    obs = spark.createDataFrame([("a", "x", float(a), float(b)) for a, b in zip(s, y, strict=True)] + [("a", "none", 1.0, None)], "cohort string, signal_id string, signal_0 double, value double")
+    made = interpolate(obs, axis)
+    assert "unboundedfollowing" not in made._jdf.queryExecution().executedPlan().toString().lower()
+    assert made.columns == obs.columns and made.where("signal_id = 'none'").first()["value"] is None
+    got = made.where("signal_id = 'x'").orderBy("signal_0").toPandas()["value"].to_numpy()
+    at, known = s if axis else np.arange(3000.0), np.isfinite(y)
+    assert np.allclose(got, np.interp(at, at[known], y[known]))
