@@ -14,24 +14,87 @@ from .windows import SIGNAL, arrays, spread
 
 #: Distances held at once.
 CELLS = 500_000
+#: Points of a leaf, in the search of neighbours, have twice this number at most.
+LEAF = 32
+
+
+def _leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Places of points that lie together: halved at the median of the widest axis."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= 2 * LEAF:
+            done.append(at)
+            continue
+        own = x[at, np.ptp(x[at], axis=0).argmax()]
+        by, half = np.argpartition(own, len(at) // 2), len(at) // 2
+        todo += [at[by[:half]], at[by[half:]]]
+    return done
+
+
+def _first(q: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k points of ``x`` nearest to each of ``q``, as a stable sort has them."""
+    d = K.squares(q[:, None], x[None])
+    if len(x) <= 4 * k:
+        return np.argsort(d, axis=1, kind="stable")[:, :k]
+    r, c = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k])
+    by = np.lexsort((c, d[r, c], r))
+    return c[by][np.searchsorted(r, np.arange(len(q)))[:, None] + np.arange(k)]
+
+
+def nearest(p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, near, of): the first of every distinct point's places, the places of the k points
+    nearest to it (of equally far ones the earlier), and the distinct point at every place.
+
+    The same as sorting all distances.  Of equal points only the first k can be among the
+    nearest; the rest lie in leaves, and those are looked into whose box is as near as the
+    k-th of the points in the nearest leaves."""
+    n = len(p)
+    order = np.lexsort(p.T[::-1])
+    new = np.append(True, (p[order[1:]] != p[order[:-1]]).any(1))
+    group = new.cumsum() - 1
+    of = np.empty(n, np.int64)
+    of[order] = group
+    first = order[new]
+    pool = np.sort(order[np.arange(n) - np.flatnonzero(new)[group] < k])
+    x, asks = p[pool], np.zeros(n, bool)
+    asks[first] = True
+    near = np.empty((len(first), k), np.int64)
+    leaves = _leaves(x)
+    low, high = np.array([x[at].min(0) for at in leaves]), np.array([x[at].max(0) for at in leaves])
+    for i, at in enumerate(leaves):
+        at = at[asks[pool[at]]]
+        if not len(at):
+            continue
+        gap = K.squares(np.maximum(np.maximum(low - high[i], low[i] - high), 0), np.zeros(p.shape[1]))
+        by = np.argsort(gap, kind="stable")
+        some = np.concatenate([leaves[j] for j in by[: 4 + k // LEAF * 2]])
+        for part in np.array_split(at, min(len(at), -(-len(at) * len(some) // CELLS))):
+            far = np.partition(K.squares(x[part, None], x[some][None]), k - 1, axis=1)[:, k - 1].max()
+            seen = np.sort(np.concatenate([leaves[j] for j in by[: np.searchsorted(gap[by], far * (1 + 1e-9), "right")]]))
+            for q in np.array_split(part, min(len(part), -(-len(part) * len(seen) // CELLS))):
+                near[of[pool[q]]] = pool[seen[_first(x[q], x[seen], k)]]
+    return first, near, of
 
 
 def jacobians(x: np.ndarray, k: int = 10) -> tuple[np.ndarray, np.ndarray]:
     """(velocity, Jacobian) at every point but the last: least squares of the k nearest
-    points' velocities over their offsets.  Points are taken in blocks of about ``CELLS``
-    distances, so that memory grows with the length and only time with its square."""
+    points' velocities over their offsets.  Points are taken in blocks, so that memory grows
+    with the length."""
     v = np.diff(x, axis=0)
     p = x[:-1]
     n, d = p.shape
     k = min(max(k, d + 2), n)
+    first, near, of = nearest(p, k)
     out = np.empty((n, d, d))
-    block = max(1, CELLS // max(1, n))
+    block = max(1, CELLS // (k * d))
+    inverse = np.empty((len(first), d, k))
+    for low in range(0, len(first), block):
+        own = slice(low, low + block)
+        inverse[own] = np.linalg.pinv(p[near[own]] - p[first[own], None], rcond=1e-6)
     for low in range(0, n, block):
-        q = p[low : low + block]
-        dist = ((q[:, None] - p[None]) ** 2).sum(2)
-        near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        a, b = p[near] - q[:, None], v[near] - v[low : low + block, None]
-        out[low : low + block] = (np.linalg.pinv(a, rcond=1e-6) @ b).transpose(0, 2, 1)
+        own = of[low : low + block]
+        out[low : low + block] = (inverse[own] @ (v[near[own]] - v[low : low + block, None])).transpose(0, 2, 1)
     return v, out
 
 

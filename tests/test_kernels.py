@@ -6,12 +6,13 @@ import numpy as np
 import pytest
 
 from orrery.functions import kernels as K
+from orrery.operators import local
 from orrery.operators import pairwise as P
 from orrery.operators.dynamics import persistence_summary
 from orrery.operators.features import window_metrics
 from orrery.operators.fleet import adjacent_pairs, cut, silhouette, ward
 from orrery.operators.geometry import spectrum_of
-from orrery.operators.local import saddles, sensitivity
+from orrery.operators.local import nearest, saddles, sensitivity
 
 
 @pytest.fixture(scope="module")
@@ -180,3 +181,24 @@ def test_recurrence_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 64e6
+
+
+@pytest.mark.parametrize("cells", [700, 500_000])
+@pytest.mark.parametrize("n,d", [(3, 3), (40, 2), (300, 1), (1500, 3), (700, 5)])
+def test_nearest_as_by_sorting(n, d, cells, monkeypatch):
+    """Ties by place too, and whatever number of points are equal."""
+    monkeypatch.setattr(local, "CELLS", cells)
+    rng = np.random.default_rng(n)
+    for p in (rng.normal(size=(n, d)), rng.integers(0, 5, (n, d)).astype(float), np.tile(rng.normal(size=(max(1, n // 20), d)), (40, 1))[:n], np.ones((n, d))):
+        k = min(10, n)
+        first, near, of = nearest(p, k)
+        want = np.argsort(((p[:, None] - p[None]) ** 2).sum(2), axis=1, kind="stable")[:, :k]
+        assert (p[first][of] == p).all() and (near[of] == want).all()
+
+
+def test_nearest_looks_at_few_points(monkeypatch):
+    """Distances in proportion to the points, not to their square."""
+    seen, plain = [], K.squares
+    monkeypatch.setattr(K, "squares", lambda q, p: seen.append(q[..., 0].size * p[..., 0].size) or plain(q, p))
+    nearest(np.random.default_rng(2).normal(size=(20_000, 3)), 10)
+    assert sum(seen) < 20_000**2 / 10
