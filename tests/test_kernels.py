@@ -202,3 +202,9 @@ def test_nearest_looks_at_few_points(monkeypatch):
     monkeypatch.setattr(K, "squares", lambda q, p: seen.append(q[..., 0].size * p[..., 0].size) or plain(q, p))
     nearest(np.random.default_rng(2).normal(size=(20_000, 3)), 10)
     assert sum(seen) < 20_000**2 / 10
+
+
+def test_levels_on_an_edge():
+    """0.43 and 181.93: the edge above the third bin is 54.88, which belongs to that bin."""
+    y = np.array([0.43, 181.93, 54.88, 54.89, 1.0, 30.0, 60.0, 80.0, 100.0, 120.0, 140.0, 160.0])
+    assert K.level_labels(y)[[0, 1, 2, 3]].tolist() == [0, 10, 3, 4]
