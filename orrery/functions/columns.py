@@ -79,8 +79,10 @@ def zero_crossings(y: Column) -> Column:
 
 
 def centred(y: Column) -> Column:
-    m = array_mean(y)
-    return F.transform(y, lambda v: v - m)
+    """Less the mean; a difference within the rounding of the mean's sum is 0."""
+    own = F.struct(array_mean(y).alias("m"), (F.array_max(F.transform(y, lambda v: F.abs(v))) * 1e-12).alias("least"))
+    # an array of one, so that its mean is not made anew for every value
+    return F.transform(F.array(own), lambda p: F.transform(y, lambda v: F.when(F.abs(v - p["m"]) <= p["least"], 0.0).otherwise(v - p["m"])))[0]
 
 
 def rates(y: Column) -> dict[str, Column]:

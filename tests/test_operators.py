@@ -300,3 +300,17 @@ def test_interpolation_reads_rows_once(spark, axis):
     got = made.where("signal_id = 'x'").orderBy("signal_0").toPandas()["value"].to_numpy()
     at, known = s if axis else np.arange(3000.0), np.isfinite(y)
     assert np.allclose(got, np.interp(at, at[known], y[known]))
+
+
+def _value_on_mean(seed, n):
+    """Cents whose mean is the first of them, and the changes of their signs about it."""
+    c = np.random.default_rng(seed).integers(100, 9000, n - 1)
+    c = np.append(c, n * c[0] - c.sum())
+    side = np.sign(c - c[0])
+    return c / 100, int((side[1:] != side[:-1]).sum())
+
+
+def test_crossings_with_a_value_on_the_mean(spark, tmp_path):
+    """A sum's rounding puts no value beside a mean that it equals."""
+    y, want = _value_on_mean(92, 32)
+    assert Q.QUERIES["window_arrays"](spark, _events(spark, tmp_path, {"a": y})).first()["mean_crossings"] == want
