@@ -28,7 +28,7 @@ def metrics(y: np.ndarray) -> dict[str, float]:
         out["lyapunov_proxy"] = K.lyapunov_rosenstein(y, 3, 1)[0]
     if abs(m) > 1e-10:
         out["cv"], out["range_norm"] = s / abs(m), np.ptp(y) / abs(m)
-    sign = np.sign(y - m)
+    sign = np.where(np.abs(y - m) <= 1e-12 * np.abs(y).max(), 0, np.sign(y - m))  # equal but for the sum's rounding
     out["zero_crossing_rate"] = float((sign[1:] != sign[:-1]).mean())
     out["trend_strength"] = float(np.clip(K.line(np.arange(len(y), dtype=float), y)[2], 0, 1))
     out["mean_abs_diff"] = float(np.abs(np.diff(y)).mean())

@@ -13,6 +13,7 @@ from orrery.functions import kernels as K
 from orrery.operators import discrete, dynamics, local, normalisation, pairwise, segments
 from orrery.operators.breaks import breaks
 from orrery.operators.signal_vector import signal_vector, window_features, window_size
+from orrery.operators.typology import metrics
 from orrery.operators.windows import arrays
 from orrery.sources.manifest import Config, Gate, Manifest, deep_merge, parse_manifest
 from orrery.sources.observations import cmapss_observations, interpolate, read_cmapss
@@ -314,3 +315,8 @@ def test_crossings_with_a_value_on_the_mean(spark, tmp_path):
     """A sum's rounding puts no value beside a mean that it equals."""
     y, want = _value_on_mean(92, 32)
     assert Q.QUERIES["window_arrays"](spark, _events(spark, tmp_path, {"a": y})).first()["mean_crossings"] == want
+
+
+def test_crossing_rate_with_a_value_on_the_mean():
+    y, want = _value_on_mean(129, 64)
+    assert abs(metrics(y)["zero_crossing_rate"] - want / 63) < 1e-12
