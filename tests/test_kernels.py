@@ -208,3 +208,11 @@ def test_levels_on_an_edge():
     """0.43 and 181.93: the edge above the third bin is 54.88, which belongs to that bin."""
     y = np.array([0.43, 181.93, 54.88, 54.89, 1.0, 30.0, 60.0, 80.0, 100.0, 120.0, 140.0, 160.0])
     assert K.level_labels(y)[[0, 1, 2, 3]].tolist() == [0, 10, 3, 4]
+
+
+@pytest.mark.parametrize("value", [1.0, 1.37, 7.58, 30.02])
+def test_equal_values_have_no_power(value):
+    """Nor where their mean is rounded to another number, as that of 64 times 30.02."""
+    s = K.spectrum(np.full(64, value))
+    assert s["total_power"] == s["signal_power"] == s["snr_linear"] == 0
+    assert np.isnan(s["snr_db"]) and np.isnan(s["spectral_flatness"])
