@@ -159,7 +159,9 @@ def _kmers(words: Column, cfg: FingerprintConfig) -> Column:
     return F.slice(out, 1, F.greatest(F.size(out) - (cfg.k - 1), F.lit(1)))
 
 
-BOTH, TEXT, EDITED = 0, 1, 2
+#: Whose a k-mer is; a sum counts the text's in its lower half and the edited form's in its upper one.
+TEXT, EDITED = 1, 1 << 32
+BOTH = TEXT | EDITED
 
 
 def kmer_rows(rows: DataFrame, cfg: FingerprintConfig) -> DataFrame:
@@ -173,9 +175,9 @@ def kmer_rows(rows: DataFrame, cfg: FingerprintConfig) -> DataFrame:
     rows = rows.withColumn("b", _kmers(F.slice("w", F.col("c") + 1, F.greatest(F.size("w") - F.col("c"), F.lit(0))), cfg))
 
     def placed(of: int, x: Column, first: Column) -> Column:
-        return F.transform(x, lambda v, i: F.struct(F.lit(of).alias("of"), (first + i).alias("pos"), v.alias("kmer")))
+        return F.transform(x, lambda v, i: F.struct(F.lit(of).cast("long").alias("of"), (first + i).alias("pos"), v.alias("kmer")))
 
-    none = F.array().cast("array<struct<of:int,pos:int,kmer:bigint>>")
+    none = F.array().cast("array<struct<of:bigint,pos:int,kmer:bigint>>")
     own = F.slice("a", F.col("c") + 1, F.greatest(F.size("a") - F.col("c"), F.lit(0)))
     shared = placed(BOTH, F.slice("a", F.lit(1), F.col("c")), F.lit(0))
     each = F.concat(shared, F.when(F.col("no_text"), none).otherwise(placed(TEXT, own, F.col("c"))), F.when(F.col("no_edited"), none).otherwise(placed(EDITED, F.col("b"), F.col("c"))))
@@ -207,27 +209,31 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
     top = 64 - (classes.bit_length() - 1)  # bits of a hash below its class
     own = lambda h: F.shiftrightunsigned(h, top)
     cell = lambda h: (F.col("row") * F.lit(classes).cast("long") + own(h)).alias("cell")
+    row_and_class = (F.shiftright("cell", 64 - top).cast("int").alias("row"), F.col("cell").bitwiseAND(classes - 1).cast("int").alias("j"))
+    of = F.col("of")
+    in_text, in_edited = of.bitwiseAND(TEXT) != 0, of.bitwiseAND(EDITED) != 0
+    of_text, of_edited = lambda total: F.col(total).bitwiseAND(EDITED - 1), lambda total: F.shiftright(total, 32)
+    # all k-mers are sorted, so that their rows are narrow: the cell has the text's row and the
+    # k-mer's class, ``low`` the rest of the k-mer; sums are of columns, which Spark would add
+    keyed = kmer_rows(rows, cfg).select("part", cell("kmer"), F.col("kmer").bitwiseAND((1 << top) - 1).alias("low"), "pos", "of")
     # a k-mer's first occurrence has its own hash, so that the order which numbers k-mers also
     # tells the two least of each class; what repeats has the hash of k-mer and number
-    keyed = kmer_rows(rows, cfg).select("part", "row", "of", "pos", "kmer", cell("kmer"), F.col("kmer").bitwiseAND((1 << top) - 1).alias("low"))
     so_far = Window.partitionBy("cell", "part", "low").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    seen = {w: F.count(F.when(F.col("of") != other, 1)).over(so_far) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
-    nth = F.when(F.col("of") == EDITED, seen[EDITED]).otherwise(seen[TEXT])
-    numbered = keyed.withColumn("nth", nth)
+    nth = F.when(of == EDITED, of_edited("seen")).otherwise(of_text("seen"))
+    numbered = keyed.withColumn("seen", F.sum("of").over(so_far)).withColumn("nth", nth).withColumn("once", F.when(F.col("nth") == 1, of).otherwise(F.lit(0)))
     least = Window.partitionBy("cell", "part").orderBy("low", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    rank = {w: F.count(F.when((F.col("of") != other) & (F.col("nth") == 1), 1)).over(least) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
-    few = numbered.withColumns({"rt": rank[TEXT], "re": rank[EDITED]})
-    few = few.where((F.col("nth") > 1) | (F.col("of") != EDITED) & (F.col("rt") <= 2) | (F.col("of") != TEXT) & (F.col("re") <= 2))
-    ranked = few.select("part", "row", "of", "pos", F.when(F.col("nth") == 1, F.col("kmer")).otherwise(F.xxhash64("kmer", "nth")).alias("h"))
+    few = numbered.withColumn("rank", F.sum("once").over(least))
+    few = few.where((F.col("nth") > 1) | in_text & (of_text("rank") <= 2) | in_edited & (of_edited("rank") <= 2))
+    kmer = F.shiftleft(F.col("cell").bitwiseAND(classes - 1), top).bitwiseOR(F.col("low"))
+    ranked = few.select("part", row_and_class[0], "of", "pos", F.when(F.col("nth") == 1, kmer).otherwise(F.xxhash64(kmer, F.col("nth"))).alias("h"))
     # a k-mer as one number: its class, its hash within the class, its place in the text
     short = F.shiftrightunsigned("h", top - cfg.hash_bits).bitwiseAND((1 << cfg.hash_bits) - 1)
     packed = F.shiftleft(own("h"), within).bitwiseOR(F.shiftleft(short, cfg.place_bits)).bitwiseOR(F.col("pos").cast("long").bitwiseAND(place))
-    ranked = ranked.select("part", "row", "of", own("h").cast("int").alias("j"), packed.alias("v"), cell("h"))
+    ranked = ranked.select("part", "of", packed.alias("v"), cell("h"))
     # the two least of each class, of the text and of the edited text
     least = Window.partitionBy("cell", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    rank = {w: F.count(F.when(F.col("of") != other, 1)).over(least) for w, other in ((TEXT, EDITED), (EDITED, TEXT))}
-    few = ranked.select("part", "row", "of", "j", "v", rank[TEXT].alias("rt"), rank[EDITED].alias("re"))
-    few = few.select("part", "row", "j", "v", ((F.col("of") != EDITED) & (F.col("rt") <= 2)).alias("t"), ((F.col("of") != TEXT) & (F.col("re") <= 2)).alias("e")).where("t or e")
+    few = ranked.withColumn("rank", F.sum("of").over(least))
+    few = few.select("part", *row_and_class, "v", (in_text & (of_text("rank") <= 2)).alias("t"), (in_edited & (of_edited("rank") <= 2)).alias("e")).where("t or e")
     ends = [f(F.when(F.col(w), F.col("v"))).alias(f"{w}{i}") for w in ("t", "e") for i, f in enumerate((F.min, F.max))]
     cells = few.groupBy("part", "row", "j").agg(*ends)
     # at most a row for each class: arrays of ``coordinates`` entries a text

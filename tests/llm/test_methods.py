@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orrery.llm import queries as Q
-from orrery.llm.fingerprint import FingerprintConfig, compare
+from orrery.llm.fingerprint import FingerprintConfig, compare, fingerprints
 from orrery.llm.html_text import default_tree, labelled_blocks, labelled_pages, main_text
 from orrery.llm.language import EDGE, LanguageConfig, LanguageModel, fit_language, load_pieces
 from orrery.llm.mixing import MixingConfig, _rate, fit_domains, fit_rates, mix, mix_with_report
@@ -424,6 +424,18 @@ def test_ranges_do_not_change_fingerprints(spark):
     assert one == two and len(one) == len(rows)
 
 
+def test_sorted_kmers_are_narrow(spark):
+    """What a task sorts of every k-mer, of text and edit, is at most five numbers a row."""
+    docs = spark.createDataFrame([(i, f"words of text {i} and more") for i in range(9)], "doc_id long, text string")
+    widths, nodes = [], [fingerprints(docs)._jdf.queryExecution().executedPlan().initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Sort" and "cell" in node.sortOrder().toString():
+            widths.append(node.output().size())
+    assert widths and max(widths) <= 5, widths
+
+
 def test_mixing_meets_targets(spark, sf_dir):
     d = sf_dir.replace("0.001", "0.01")
     labelled = Q.quality_domains(spark.read.parquet(f"{d}/labels.parquet"))
