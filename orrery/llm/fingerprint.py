@@ -214,7 +214,8 @@ def fingerprints(docs: DataFrame, cfg: FingerprintConfig = FingerprintConfig())
     in_text, in_edited = of.bitwiseAND(TEXT) != 0, of.bitwiseAND(EDITED) != 0
     of_text, of_edited = lambda total: F.col(total).bitwiseAND(EDITED - 1), lambda total: F.shiftright(total, 32)
     # all k-mers are sorted, so that their rows are narrow: the cell has the text's row and the
-    # k-mer's class, ``low`` the rest of the k-mer; sums are of columns, which Spark would add
+    # k-mer's class, ``low`` the rest of the k-mer; a window's sum of anything but a column
+    # would add that to the rows before they are sorted
     keyed = kmer_rows(rows, cfg).select("part", cell("kmer"), F.col("kmer").bitwiseAND((1 << top) - 1).alias("low"), "pos", "of")
     # a k-mer's first occurrence has its own hash, so that the order which numbers k-mers also
     # tells the two least of each class; what repeats has the hash of k-mer and number
